@@ -119,20 +119,12 @@ def keep_all(jobs: DataFrame, reason: str = "preferences_missing") -> DataFrame:
     return jobs.select("*", F.lit(True).alias("keep"), F.lit(reason).alias("reason"), F.lit(False).alias("is_real"))
 
 
-def decision_stats(decided: DataFrame) -> DataFrame:
-    """Totals over all decisions."""
-    return decided.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("keep").alias("kept"),
-        F.count_if("is_real").alias("real_decisions"),
-    )
-
-
 def chunk_stats(decided: DataFrame, responses: DataFrame) -> DataFrame:
     """Per chunk: jobs, kept, tokens and time; a failed chunk counts no tokens."""
     per = decided.groupBy("company", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_jobs"),
         F.count_if("keep").alias("n_kept"),
+        F.count_if("is_real").alias("n_real"),
     )
     used = responses.select(
         "company", "chunk_no", "failed",
@@ -142,17 +134,17 @@ def chunk_stats(decided: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def run_stats(decided: DataFrame, responses: DataFrame) -> DataFrame:
-    """Decision totals beside chunk totals, one row."""
-    chunks = chunk_stats(decided, responses).agg(
+    """Totals of a run, one row."""
+    return chunk_stats(decided, responses).agg(
         F.sum("n_jobs").alias("total"),
         F.sum("n_kept").alias("kept"),
+        F.sum("n_real").alias("real_decisions"),
         F.count(F.lit(1)).alias("chunks"),
-        F.count_if("failed").alias("failed_chunks"),
+        F.count_if(F.coalesce("failed", F.lit(True))).alias("failed_chunks"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         F.sum("duration_ms").alias("duration_ms"),
     )
-    return chunks
 
 
 def decision_groups(decisions: DataFrame) -> DataFrame:

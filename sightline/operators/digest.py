@@ -38,13 +38,15 @@ def digest_rows(today: DataFrame, week: DataFrame) -> DataFrame:
     """Rows of both sections with their place in the digest.
 
     Companies go by lower-cased name, listings newest first. ``position`` counts inside the
-    company, and position 1 carries the company heading. Days cut large companies for numbering.
+    company, and position 1 carries the company heading. Hours cut large
+    companies for numbering.
     """
     columns = ["company", "title", "url", "location", "department", "job_type", "first_seen_at"]
     both = today.select(F.lit(NEW_TODAY).alias("section"), *columns).unionByName(
         week.select(F.lit(LAST_WEEK).alias("section"), *columns)
     )
-    hours = -F.floor(F.unix_timestamp(F.col("first_seen_at").cast("timestamp")) / 3600)
+    seen = F.col("first_seen_at")
+    hours = -(F.datediff(seen, F.lit("1970-01-01")) * 24 + F.hour(seen))
     numbered = number_rows(both, ["section", "company"], [F.desc("first_seen_at"), "url"], hours, "position")
     return numbered.withColumn("is_heading", F.col("position") == 1)
 

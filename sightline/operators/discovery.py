@@ -35,7 +35,7 @@ def job_score(obj: Column) -> Column:
     return score
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _flatten_nested(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else flatten(json.loads(v)))
 

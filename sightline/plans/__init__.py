@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, each with the SQL it is checked against."""
+
+from . import deciding, reading, texts, tracking  # noqa: F401
+from .registry import CHECKS, QUERIES
+
+__all__ = ["CHECKS", "QUERIES"]
