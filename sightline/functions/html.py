@@ -14,8 +14,7 @@ _BLOCK_EDGE = r"(?i)(?=<(?:li|article|tr|section)\b)|(?<=</(?:li|article|tr|sect
 def all_matches(s: Column, pattern: str, *groups: int) -> Column:
     """Every match as a struct of the given groups (``g1``, ``g2`` ...)."""
     found = [F.regexp_extract_all(s, F.lit(pattern), F.lit(g)) for g in groups]
-    zipped = F.arrays_zip(*[c.alias(f"g{g}") for c, g in zip(found, groups)])
-    return zipped
+    return F.arrays_zip(*[c.alias(f"g{g}") for c, g in zip(found, groups)])
 
 
 def anchors(body: Column) -> Column:
@@ -25,8 +24,9 @@ def anchors(body: Column) -> Column:
 
 def attribute(attrs: Column, name: str) -> Column:
     """Value of an attribute, entities undone; empty text when absent."""
-    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return unescape(F.concat(*[F.regexp_extract(attrs, pattern, g) for g in (1, 2, 3)]))
+    pattern = rf"""(?is)(?:^|.*?\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)).*$"""
+    found = F.when(attrs.rlike(pattern), F.regexp_replace(attrs, pattern, "$1$2$3")).otherwise("")
+    return unescape(found)
 
 
 def text_of(markup: Column, sep: str = " ") -> Column:

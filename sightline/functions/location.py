@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .text import strings
+from .urls import let
 
 _NON_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -77,12 +78,16 @@ def location_match(text: Column, places: Column | str) -> Column:
     """
     if isinstance(places, str):
         places = compile_filter(places)
-    lowered = F.lower(text)
-    tokens = F.split(lowered, _NON_WORD)
 
-    def any_part(parts: Column) -> Column:
-        return F.exists(F.array(lowered), lambda t: F.exists(parts, lambda p: t.contains(p)))
+    def any_part(parts: Column, low: Column) -> Column:
+        return F.exists(parts, lambda p: low.contains(p))
 
-    rejected = F.arrays_overlap(tokens, places["rival_words"]) | any_part(places["rival_parts"])
-    accepted = F.arrays_overlap(tokens, places["words"]) | any_part(places["parts"])
-    return F.coalesce((text != "") & ~rejected & accepted, F.lit(False))
+    def judged(low: Column, tokens: Column) -> Column:
+        rejected = F.arrays_overlap(tokens, places["rival_words"]) | any_part(places["rival_parts"], low)
+        accepted = F.arrays_overlap(tokens, places["words"]) | any_part(places["parts"], low)
+        return (low != "") & ~rejected & accepted
+
+    matched = let(
+        F.lower(text), lambda low: let(F.split(low, _NON_WORD), lambda tokens: judged(low, tokens))
+    )
+    return F.coalesce(matched, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .urls import url_part
+from .urls import let, named, url_part
 
 # Unicode white space, spelt so that Java and RE2 agree on it.
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
@@ -17,14 +17,17 @@ EXPIRY_NOTE = rf"(?i){WS}*expires?:{WS}*\d{{1,2}}/\d{{1,2}}/\d{{4}}"
 
 
 def strings(values) -> Column:
-    """A literal array of strings, empty included."""
+    """A literal array of strings, empty included; one literal keeps plans small."""
     values = list(values)
-    return F.lit(values) if values else F.array().cast("array<string>")
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x01".join(values)), "\x01")
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it many times inside ``body`` (a one-element transform)."""
-    return F.transform(F.array(value), body)[0]
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """Value of a short fixed table, null when the key is not in it."""
+    text = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02")), key)
 
 
 def strip(s: Column) -> Column:
@@ -42,15 +45,12 @@ def or_null(s: Column) -> Column:
 
 
 def in_vocab(s: Column, words) -> Column:
-    return F.lower(s).isin(list(words))
+    return F.array_contains(strings(words), F.lower(s))
 
 
 def contains_any(s: Column, parts) -> Column:
-    """True when any literal part is a substring; an OR chain stays inside generated code."""
-    hit = F.lit(False)
-    for part in parts:
-        hit = hit | s.contains(part)
-    return hit
+    """True when any literal part is a substring."""
+    return let(s, lambda t: F.exists(strings(parts), lambda p: t.contains(p)))
 
 
 # --- entities ---------------------------------------------------------------------------------
@@ -62,13 +62,12 @@ _AMPERSANDS = ("&amp;", "&#38;", "&#x26;", "&#X26;")
 def _entity_text(entity: Column) -> Column:
     """The character an entity stands for; unknown names stay as they are."""
     names = {f"&{n};": chr(c) for n, c in name2codepoint.items()} | {"&apos;": "'"}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     digits = F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
     hexed = F.when(entity.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
     return F.when(
         entity.startswith("&#"),
         F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"),
-    ).otherwise(F.coalesce(F.try_element_at(table, entity), entity))
+    ).otherwise(F.coalesce(lookup(names, entity), entity))
 
 
 def unescape(s: Column) -> Column:
@@ -76,20 +75,18 @@ def unescape(s: Column) -> Column:
 
     The ampersand goes last, so ``&amp;lt;`` becomes ``&lt;`` and not ``<``.
     """
-    found = F.array_distinct(F.regexp_extract_all(s, F.lit(_ENTITY), F.lit(0)))
-    plain = F.reduce(
-        F.filter(found, lambda e: ~e.isin(*_AMPERSANDS)),
-        s,
-        lambda acc, e: F.replace(acc, e, _entity_text(e)),
-    )
-    for amp in _AMPERSANDS:
-        plain = F.replace(plain, F.lit(amp), F.lit("&"))
-    return F.when(s.contains("&"), plain).otherwise(s)
-
+    def plain(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)))
+        out = F.reduce(
+            F.filter(found, lambda e: ~e.isin(*_AMPERSANDS)),
+            t,
+            lambda acc, e: F.replace(acc, e, _entity_text(e)),
+        )
+        for amp in _AMPERSANDS:
+            out = F.replace(out, F.lit(amp), F.lit("&"))
+        return F.when(t.contains("&"), out).otherwise(t)
 
-def tag_text(html: Column) -> Column:
-    """Visible text of a fragment: tags become blanks, entities are undone, blanks collapse."""
-    return norm_text(unescape(F.regexp_replace(html, r"(?s)<[^>]*>", " ")))
+    return let(s, plain)
 
 
 # --- slugs --------------------------------------------------------------------------------------
@@ -151,14 +148,12 @@ def slug_title(url: Column) -> Column:
 
 def real_title(title: Column) -> Column:
     """Two or more words, 5 to 200 characters, and no known label."""
-    t = strip(title)
-    return F.coalesce(
-        F.length(t).between(5, 200)
-        & ~in_vocab(t, vocab.NON_JOB_WORDS)
-        & ~in_vocab(t, vocab.GENERIC_TITLES)
-        & t.rlike(WS),
-        F.lit(False),
+    labels = [*vocab.NON_JOB_WORDS, *vocab.GENERIC_TITLES]
+    real = let(
+        strip(title),
+        lambda t: F.length(t).between(5, 200) & t.rlike(WS) & ~in_vocab(t, labels),
     )
+    return F.coalesce(real, F.lit(False))
 
 
 def _without_expiry(line: Column) -> Column:
@@ -169,38 +164,43 @@ def _comparable(s: Column) -> Column:
     return norm_text(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_\s\p{Z}]", " "))
 
 
-def title_pick(text: Column, url_hint: Column | None = None) -> Column:
+def title_pick(text: Column, slug: Column | None = None) -> Column:
     """The most title-like line of a text that may hold several lines.
 
-    A line equal to the title in the URL slug wins; then the longest line of up to 150
-    characters; then the shortest one. A text of one line, or with no acceptable line, gives its
-    first line.
+    A line equal to ``slug`` (the title in the URL, see ``slug_title``) wins; then the longest
+    line of up to 150 characters; then the shortest one. A text of one line, or with no acceptable
+    line, gives its first line.
     """
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda x: x != "")
-    wanted = _comparable(slug_title(url_hint)) if url_hint is not None else F.lit(None)
 
     def choose(ls: Column) -> Column:
         first = F.coalesce(_without_expiry(F.get(ls, F.lit(0))), F.lit(""))
         usable = F.filter(
             F.transform(ls, _without_expiry),
             lambda c: (F.length(c) >= 4)
-            & ~in_vocab(c, vocab.GENERIC_TITLES)
-            & (c.rlike(WS) | (F.length(c) >= 15)),
+            & (c.rlike(WS) | (F.length(c) >= 15))
+            & ~in_vocab(c, vocab.GENERIC_TITLES),
         )
         return F.when(F.size(ls) <= 1, first).otherwise(
-            F.coalesce(let(usable, _best_line), first)
+            F.coalesce(let(usable, best_line), first)
         )
 
-    def _best_line(cs: Column) -> Column:
+    def best_line(cs: Column) -> Column:
         ranked = F.transform(
-            cs, lambda c, i: F.struct(F.length(c).alias("n"), (-i).alias("i"), c.alias("line"))
+            cs, lambda c, i: named(n=F.length(c), i=-i, line=c)
+        )
+        by_length = let(
+            ranked,
+            lambda rs: F.coalesce(
+                F.array_max(F.filter(rs, lambda r: r["n"] <= 150))["line"], F.array_min(rs)["line"]
+            ),
         )
-        same = (
-            F.get(F.filter(cs, lambda c: _comparable(c) == wanted), F.lit(0))
-            if url_hint is not None
-            else F.lit(None).cast("string")
+        if slug is None:
+            return by_length
+        same = let(
+            _comparable(slug),
+            lambda wanted: F.get(F.filter(cs, lambda c: _comparable(c) == wanted), F.lit(0)),
         )
-        longest = F.array_max(F.filter(ranked, lambda r: r["n"] <= 150))["line"]
-        return F.coalesce(same, longest, F.array_min(ranked)["line"])
+        return F.coalesce(F.when(slug.isNotNull(), same), by_length)
 
     return let(lines, choose)

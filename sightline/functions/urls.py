@@ -15,6 +15,16 @@ _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]
 _GROUPS = {"scheme": 1, "netloc": 2, "rawpath": 3, "query": 4, "fragment": 5}
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times inside ``body`` (a one-element transform)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def named(**fields: Column) -> Column:
+    """Struct with fixed names; inside nested lambdas an aliased struct can lose them."""
+    return F.named_struct(*[x for n, c in fields.items() for x in (F.lit(n), c)])
+
+
 def url_part(url: Column, part: str) -> Column:
     """One part of a URL; absent parts are empty text.
 
@@ -30,6 +40,19 @@ def url_part(url: Column, part: str) -> Column:
     return F.lower(found) if part == "scheme" else found
 
 
+def url_parts(url: Column) -> Column:
+    """All parts of a URL as one struct, from a single match; bind it with ``let`` to reuse it."""
+    mark = "\x01"
+    cut = F.split(F.regexp_replace(url, _URL, mark.join(f"${g}" for g in range(1, 6))), mark)
+    return let(
+        cut,
+        lambda c: named(
+            scheme=F.lower(c[0]), netloc=c[1], rawpath=c[2],
+            path=F.regexp_replace(c[2], ";[^/]*$", ""), query=c[3], fragment=c[4],
+        ),
+    )
+
+
 def root_domain(netloc: Column) -> Column:
     """Last two labels of a host."""
     return F.substring_index(netloc, ".", -2)
@@ -68,23 +91,31 @@ def _tidy_marks(s: Column) -> Column:
 
 def url_join(base: Column, ref: Column) -> Column:
     """Absolute form of a link found on ``base``."""
-    scheme, netloc, path = (url_part(base, p) for p in ("scheme", "netloc", "rawpath"))
-    origin = F.concat(scheme, F.lit("://"), netloc)
-    folder = F.regexp_replace(F.concat(F.lit("/"), path), "[^/]*$", "")
-    ref_path = url_part(ref, "rawpath")
-    tail = _tidy_marks(F.substr(ref, F.length(ref_path) + 1))
+    return let(url_parts(base), lambda b: let(url_parts(ref), lambda r: _joined(base, b, ref, r)))
+
+
+def _joined(base: Column, b: Column, ref: Column, r: Column) -> Column:
+    origin = F.concat(b["scheme"], F.lit("://"), b["netloc"])
+    folder = F.regexp_replace(F.concat(F.lit("/"), b["rawpath"]), "[^/]*$", "")
+    tail = _tidy_marks(F.substr(ref, F.length(r["rawpath"]) + 1))
     whole = _tidy_marks(ref)
-    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(
-        F.regexp_replace(F.concat(folder, ref_path), "/+", "/")
+    merged = F.when(r["rawpath"].startswith("/"), r["rawpath"]).otherwise(
+        F.regexp_replace(F.concat(folder, r["rawpath"]), "/+", "/")
     )
+    path = F.when(
+        merged.rlike(r"/\.{1,2}(?:/|$)"), _tidy_path(merged)
+    ).otherwise(merged)
     return (
         F.when(ref == "", base)
-        .when(~url_part(ref, "scheme").isin("", "http", "https"), ref)
-        .when(url_part(ref, "scheme") != "", F.when(url_part(ref, "scheme") == scheme, whole).otherwise(ref))
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), whole))
-        .when(ref.startswith("?"), F.concat(origin, path, whole))
-        .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), F.regexp_replace(ref, "^#$", "")))
-        .otherwise(F.concat(origin, _tidy_path(merged), tail))
+        .when(~r["scheme"].isin("", "http", "https"), ref)
+        .when(r["scheme"] != "", F.when(r["scheme"] == b["scheme"], whole).otherwise(ref))
+        .when(ref.startswith("//"), F.concat(b["scheme"], F.lit(":"), whole))
+        .when(ref.startswith("?"), F.concat(origin, b["rawpath"], whole))
+        .when(
+            ref.startswith("#"),
+            F.concat(F.regexp_replace(base, "#.*$", ""), F.regexp_replace(ref, "^#$", "")),
+        )
+        .otherwise(F.concat(origin, path, tail))
     )
 
 
@@ -97,9 +128,9 @@ def query_params(query: Column) -> Column:
     pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^[^=]*=."))
     return F.transform(
         pairs,
-        lambda p: F.struct(
-            decoded(F.substring_index(p, "=", 1)).alias("name"),
-            decoded(F.regexp_replace(p, "(?s)^[^=]*=", "")).alias("value"),
+        lambda p: named(
+            name=decoded(F.substring_index(p, "=", 1)),
+            value=decoded(F.regexp_replace(p, "(?s)^[^=]*=", "")),
         ),
     )
 
@@ -128,16 +159,18 @@ def grouped_params(pairs: Column) -> Column:
 
 def canonical_key(url: Column) -> Column:
     """One key for the same posting reached through different URLs."""
-    fragment, query, path = (url_part(url, p) for p in ("fragment", "query", "path"))
-    by_fragment = F.regexp_extract(fragment, "(?i)^job[-_]?(.+)$", 1)
     names = "|".join(vocab.CANONICAL_ID_KEYS)
-    by_query = F.regexp_extract(
-        query, rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{names})=([A-Za-z0-9_-]{{4,}})", 1
-    )
-    tail = F.regexp_extract(path, "([^/]*)/*$", 1)
-    return F.lower(
-        F.when(by_fragment != "", by_fragment)
-        .when(by_query != "", by_query)
-        .when(tail.rlike(r"\d{4,}"), tail)
-        .otherwise(url)
-    )
+    id_param = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{names})=([A-Za-z0-9_-]{{4,}})"
+
+    def key(p: Column) -> Column:
+        by_fragment = F.regexp_extract(p["fragment"], "(?i)^job[-_]?(.+)$", 1)
+        by_query = F.regexp_extract(p["query"], id_param, 1)
+        tail = F.regexp_extract(p["path"], "([^/]*)/*$", 1)
+        return (
+            F.when(by_fragment != "", by_fragment)
+            .when(by_query != "", by_query)
+            .when(tail.rlike(r"\d{4,}"), tail)
+            .otherwise(url)
+        )
+
+    return F.lower(let(url_parts(url), key))

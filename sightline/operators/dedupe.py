@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def compute_once(df: DataFrame, fields: Column, keep) -> DataFrame:
+    """Add the fields of a struct, keeping rows that pass ``keep(struct)``.
+
+    A filter on a computed column is pushed below the projection and computes it again; a
+    generator over a list of no or one struct computes it once.
+    """
+    rows = F.filter(F.array(fields), keep)
+    return df.select("*", F.explode(rows).alias("_once")).select(*df.columns, "_once.*")
+
+
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
     """Keep the first row of every key.
 

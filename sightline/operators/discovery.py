@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 from ..functions import vocab
 from ..functions.jsonwalk import candidates, flatten, posting
 from ..functions.location import compile_filter_column
-from ..functions.text import contains_any, norm_text, or_null, real_title, slug_title, strings, title_pick
-from ..functions.urls import canonical_key, root_domain, strip_locale, url_join, url_part
+from ..functions.text import contains_any, norm_text, real_title, slug_title, strings, title_pick
+from ..functions.urls import canonical_key, let, root_domain, strip_locale, url_join, url_part, url_parts
 from ..sources.captures import admit_captures
 from ..sources.common import in_place, keys_of, listings, once_per, sequence, source_keys
-from .dedupe import first_by
+from .dedupe import compute_once, first_by
 
 
 def job_score(obj: Column) -> Column:
@@ -82,27 +82,30 @@ def _has_job_query(query: Column) -> Column:
 
 def discover_jobs(captures: DataFrame) -> DataFrame:
     """Postings in any JSON responses of a company, first per URL."""
-    found = json_candidates(admit_captures(captures, check_json=False))
-    base = F.regexp_replace("careers_url", "/+$", "")
-    url = F.when(F.col("raw_url").isNotNull(), url_join(F.col("careers_url"), F.col("raw_url"))).when(
-        F.col("raw_location").isNotNull(), F.concat(base, F.lit("#job-"), F.col("raw_id"))
-    )
-    rows = (
-        found.withColumn("places", compile_filter_column(F.col("location_filter")))
-        .withColumn("title", norm_text(F.col("raw_title")))
-        .withColumn("url", url)
-        .where(real_title(F.col("title")) & F.col("url").isNotNull())
+    found = json_candidates(admit_captures(captures, check_json=False)).withColumn(
+        "places", compile_filter_column(F.col("location_filter"))
     )
-    netloc, path, query, fragment = (
-        url_part(F.col("url"), p) for p in ("netloc", "path", "query", "fragment")
+    careers = F.col("careers_url")
+    base = F.regexp_replace(careers, "/+$", "")
+    url = F.when(F.col("raw_url").isNotNull(), url_join(careers, F.col("raw_url"))).when(
+        F.col("raw_location").isNotNull(), F.concat(base, F.lit("#job-"), F.col("raw_id"))
     )
-    home = url_part(F.col("careers_url"), "netloc")
-    distinctive = (fragment != "") | _has_job_query(query) | query.rlike(r"\d{4,}")
-    kept = rows.where(
-        ((netloc == "") | (root_domain(netloc) == root_domain(home)))
-        & (distinctive | (strip_locale(path) != _base_path()))
-        & (F.col("raw_location").isNull() | in_place(F.col("raw_location")))
+    home = root_domain(url_part(careers, "netloc"))
+
+    def apart(x: Column) -> Column:
+        """On the company's domain, and not the careers page itself."""
+        p = x["p"]
+        distinctive = (p["fragment"] != "") | _has_job_query(p["query"]) | p["query"].rlike(r"\d{4,}")
+        same_domain = (p["netloc"] == "") | (root_domain(p["netloc"]) == home)
+        return same_domain & (distinctive | (strip_locale(p["path"]) != _base_path()))
+
+    fields = let(url, lambda u: F.struct(
+        norm_text(F.col("raw_title")).alias("title"), u.alias("url"), url_parts(u).alias("p")
+    ))
+    rows = compute_once(
+        found, fields, lambda x: x["url"].isNotNull() & real_title(x["title"]) & apart(x)
     )
+    kept = rows.where(F.col("raw_location").isNull() | in_place(F.col("raw_location")))
     return once_per(
         listings(
             kept,
@@ -120,42 +123,56 @@ def discover_jobs(captures: DataFrame) -> DataFrame:
 _STRONG_PATH = rf"(?:^|[/_-])(?:{'|'.join(vocab.STRONG_PATH_STEMS)})s?(?:[/_-]|$)"
 
 
-def _usable_title() -> Column:
+def _posting_shape(p: Column) -> Column:
+    """The URL looks like one posting and not like navigation or the careers page."""
+    query = p["query"]
+
+    def shaped(path: Column) -> Column:
+        ids = F.concat(path, F.lit("?"), F.lower(query))
+        strong = contains_any(path, vocab.STRONG_PATH_PARTS) | path.rlike(_STRONG_PATH)
+        weak = contains_any(path, vocab.WEAK_PATH_PARTS)
+        has_id = ids.rlike(r"\d{4,}") | ids.rlike("[0-9a-f]{16,}")
+        navigation = contains_any(path, vocab.NAVIGATION_PATH_PARTS) | path.startswith("/search/")
+        return ~navigation & (strong | _has_job_query(query) | (weak & has_id))
+
+    distinctive = ~p["fragment"].isin("", "0") | _has_job_query(query) | query.rlike(r"\d{4,}")
+    return (distinctive | (strip_locale(p["path"]) != _base_path())) & let(F.lower(p["path"]), shaped)
+
+
+def _usable_title(href: Column, text: Column, context: Column) -> Column:
     """From the link text, else the text around it, else the URL slug; null when none is real."""
-    href, context = F.col("href"), F.col("context")
 
     def real(title: Column) -> Column:
-        return F.when(real_title(title), title)
-
-    return F.coalesce(
-        real(title_pick(F.col("text"), href)),
-        real(F.when(context != "", title_pick(context, href))),
-        real(slug_title(href)),
+        return let(title, lambda t: F.when(real_title(t), t))
+
+    return let(
+        slug_title(href),
+        lambda slug: F.coalesce(
+            real(title_pick(text, slug)),
+            F.when(context != "", real(title_pick(context, slug))),
+            real(slug),
+        ),
     )
 
 
 def discover_links(links: DataFrame) -> DataFrame:
     """Links of a rendered page (``pos``, ``href``, ``text``, ``context``) that are postings."""
-    href, context = F.col("href"), F.coalesce("context", F.lit(""))
-    netloc, path, query, fragment = (url_part(href, p) for p in ("netloc", "path", "query", "fragment"))
-    low_path, low_query = F.lower(path), F.lower(query)
-    ids = F.concat(low_path, F.lit("?"), low_query)
-    distinctive = ~fragment.isin("", "0") | _has_job_query(query) | query.rlike(r"\d{4,}")
-    strong = contains_any(low_path, vocab.STRONG_PATH_PARTS) | low_path.rlike(_STRONG_PATH)
-    weak = contains_any(low_path, vocab.WEAK_PATH_PARTS)
-    has_id = ids.rlike(r"\d{4,}") | ids.rlike("[0-9a-f]{16,}")
-    shaped = (
-        links.where((href != "") & (F.col("text") != ""))
-        .where((netloc == "") | (netloc == url_part(F.col("careers_url"), "netloc")))
-        .where(distinctive | (strip_locale(path) != _base_path()))
-        .where(~contains_any(low_path, vocab.NAVIGATION_PATH_PARTS) & ~low_path.startswith("/search/"))
-        .where(strong | _has_job_query(query) | (weak & has_id))
-        .withColumn("context", context)
-        .withColumn("title", _usable_title())
-        .where(F.col("title").isNotNull() & (F.length("title") <= 120))
+    href, home = F.col("href"), url_part(F.col("careers_url"), "netloc")
+    named = links.where((href != "") & (F.col("text") != "")).withColumn(
+        "context", F.coalesce("context", F.lit(""))
+    )
+    shaped = compute_once(
+        named,
+        F.struct(url_parts(href).alias("p")),
+        lambda x: ((x["p"]["netloc"] == "") | (x["p"]["netloc"] == home)) & _posting_shape(x["p"]),
+    )
+    titled = compute_once(
+        shaped,
+        F.struct(_usable_title(href, F.col("text"), F.col("context")).alias("title")),
+        lambda x: F.length(x["title"]) <= 120,
     )
-    placed = in_place(path, F.col("title"), F.col("context"))
-    kept = shaped.where(placed | (F.length("context") <= 40))
+    placed = in_place(F.col("p.path"), F.col("title"), F.col("context"))
+    kept = titled.where((F.length("context") <= 40) | placed)
     return once_per(
         listings(kept, seq=sequence(F.col("pos"), links), title=F.col("title"), url=href), "url"
     )

@@ -127,7 +127,7 @@ def entities(spark, sf_dir):
 
 @query("opaque_id", with_fixtures("url_cases") + r""",
 words AS (SELECT page_id, variant, unnest(string_split_regex(url, '[^A-Za-z0-9]+')) AS word FROM url_cases)
-SELECT page_id, variant, word, length(word) >= 6 AND (
+SELECT page_id, CAST(variant AS BIGINT) AS variant, word, length(word) >= 6 AND (
     (regexp_matches(word, '[A-Z]') AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[0-9]'))
     OR len(regexp_extract_all(word, '[A-Z]+|[^A-Z]+')) >= 5) AS is_opaque FROM words""")
 def opaque(spark, sf_dir):

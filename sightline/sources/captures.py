@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import contains_any, or_null, strip, strings
+from ..functions.text import contains_any, lookup, or_null, strip, strings
 from ..functions.urls import (
-    facet_params, first_param, grouped_params, query_params, url_part,
+    facet_params, first_param, grouped_params, let, query_params, url_part,
 )
+from ..operators.dedupe import compute_once
 from .common import source_keys
 
 _BODY_LIMIT = 2_000_000
@@ -164,10 +165,7 @@ def request_plan(companies: DataFrame) -> DataFrame:
         origin, path, F.lit("?"), _encoded_query(F.concat(kept, startrow)),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
-    labels_by_city = F.create_map(
-        *[F.lit(x) for pair in vocab.CARD_LOCATION_LABELS.items() for x in pair]
-    )
-    label = F.coalesce(F.try_element_at(labels_by_city, F.lower("location_filter")), F.lit(""))
+    label = F.coalesce(lookup(vocab.CARD_LOCATION_LABELS, F.lower("location_filter")), F.lit(""))
 
     url = (
         F.when(
@@ -232,35 +230,38 @@ def request_plan(companies: DataFrame) -> DataFrame:
 
 def source_errors(companies: DataFrame) -> DataFrame:
     """Companies that cannot be read at all, with the reason; the others are not affected."""
-    parser, path = F.col("parser"), url_part(F.col("careers_url"), "path")
     city = F.lower("location_filter")
-    error = (
-        F.when(parser.isNull(), F.concat(F.lit("unknown platform "), F.coalesce("ats", F.lit("(none)"))))
-        .when(
-            (parser == "embedded_json") & or_null(F.col("acciona_division")).isNull(),
-            F.lit("no division configured"),
-        )
-        .when((parser == "html_in_json") & ~path.rlike(_BOARD), F.lit("no board id in the careers URL"))
-        .when(
-            (parser == "atom") & ~(path.rlike(_BRAND) & path.rlike(_VACANCY)),
-            F.lit("no brand or vacancy in the careers URL"),
-        )
-        .when(
-            (parser == "card_links") & ~F.array_contains(strings(vocab.CARD_LINK_COUNTRY_CODES), city),
-            F.concat(F.lit("no country code for "), F.col("location_filter")),
+
+    def reason(parser: Column, path: Column) -> Column:
+        return (
+            F.when(parser.isNull(), F.concat(F.lit("unknown platform "), F.coalesce("ats", F.lit("(none)"))))
+            .when(
+                (parser == "embedded_json") & or_null(F.col("acciona_division")).isNull(),
+                F.lit("no division configured"),
+            )
+            .when((parser == "html_in_json") & ~path.rlike(_BOARD), F.lit("no board id in the careers URL"))
+            .when(
+                (parser == "atom") & ~(path.rlike(_BRAND) & path.rlike(_VACANCY)),
+                F.lit("no brand or vacancy in the careers URL"),
+            )
+            .when(
+                (parser == "card_links") & ~F.array_contains(strings(vocab.CARD_LINK_COUNTRY_CODES), city),
+                F.concat(F.lit("no country code for "), F.col("location_filter")),
+            )
         )
+
+    error = let(
+        F.col("parser"), lambda parser: let(url_part(F.col("careers_url"), "path"), lambda path: reason(parser, path))
+    )
+    return compute_once(companies, F.struct(error.alias("error")), lambda x: x["error"].isNotNull()).select(
+        "company_id", "error"
     )
-    return companies.withColumn("error", error).where("error IS NOT NULL").select("company_id", "error")
 
 
 def place_code(parser: Column, location_filter: Column) -> Column:
     """Code a portal's own place filter takes: a country or a province."""
     city = F.lower(location_filter)
-
-    def lookup(codes: dict) -> Column:
-        return F.try_element_at(F.create_map(*[F.lit(x) for p in codes.items() for x in p]), city)
-
-    return F.when(parser == "card_links", lookup(vocab.CARD_LINK_COUNTRY_CODES)).when(
+    return F.when(parser == "card_links", lookup(vocab.CARD_LINK_COUNTRY_CODES, city)).when(
         parser == "id_permalink",
-        F.coalesce(lookup(vocab.PROVINCE_CODES), F.lit(vocab.PROVINCE_FALLBACK)),
+        F.coalesce(lookup(vocab.PROVINCE_CODES, city), F.lit(vocab.PROVINCE_FALLBACK)),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.location import compile_filter_column, location_match
 from ..functions.text import or_null
+from ..functions.urls import named
 from ..operators.dedupe import first_by
 from ..schemas import KEY_FIELDS, LISTING_FIELDS
 
@@ -54,11 +55,18 @@ def sequence(pos: Column, df: DataFrame) -> Column:
 
 
 def listings(df: DataFrame, **fields: Column) -> DataFrame:
-    """Project to keys, ``seq`` and the listing fields; rows need a title and a URL."""
+    """Project to keys, ``seq`` and the listing fields; rows need a title and a URL.
+
+    The row goes through a generator, so a field that parses markup is computed once and not
+    again in the filter.
+    """
     none = F.lit(None).cast("string")
-    columns = [fields.get(n, none).cast("string").alias(n) for n in LISTING_FIELDS]
-    out = df.select(*source_keys(df), fields["seq"].alias("seq"), *columns)
-    return out.where((F.col("title") != "") & (F.col("url") != ""))
+    row = named(**{n: fields.get(n, none).cast("string") for n in LISTING_FIELDS})
+    whole = F.filter(F.array(row), lambda r: (r["title"] != "") & (r["url"] != ""))
+    keys = source_keys(df)
+    return df.select(*keys, fields["seq"].alias("seq"), F.explode(whole).alias("r")).select(
+        *keys, "seq", "r.*"
+    )
 
 
 def once_per(df: DataFrame, *names: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.blocks import listing_blocks
 from ..functions.html import all_matches, anchors, attribute, blocks, starts_block, text_of
 from ..functions.location import compile_filter_column
 from ..functions.text import contains_any, norm_text, or_null, slugify, strip, unescape
-from ..functions.urls import url_join, url_part
+from ..functions.urls import let, named, url_join, url_part
 from .common import in_place, keys_of, listings, once_per, sequence
 
 
@@ -58,45 +58,47 @@ def parse_html_listing(captures: DataFrame) -> DataFrame:
     return once_per(rows, "url")
 
 
-def _anchor_rows(captures: DataFrame) -> DataFrame:
-    """One row per anchor: ``pos``, ``attrs``, ``href`` and ``inner``."""
-    return captures.select("*", F.posexplode(anchors(F.col("body"))).alias("pos", "a")).select(
-        *[c for c in captures.columns if c != "body"],
-        "pos",
-        F.col("a.g1").alias("attrs"),
-        strip(attribute(F.col("a.g1"), "href")).alias("href"),
-        F.col("a.g2").alias("inner"),
-    )
+def _each(captures: DataFrame, items: Column, fields) -> DataFrame:
+    """One row per item with ``pos`` and the computed fields, the body left behind.
+
+    The fields are computed inside the generator, once per item whatever reads them later.
+    """
+    rows = F.posexplode(F.transform(items, lambda x: named(**fields(x)))).alias("pos", "x")
+    carried = [c for c in captures.columns if c != "body"]
+    return captures.select(*carried, rows).select(*carried, "pos", "x.*")
 
 
 def links_from_html(captures: DataFrame) -> DataFrame:
     """Anchors as links: href as written, text, and the text of the innermost block around them."""
-    piece = captures.select("*", F.posexplode(blocks(F.col("body"))).alias("piece_no", "piece"))
-    rows = piece.select(
-        *[c for c in captures.columns if c != "body"],
-        "piece_no",
-        F.when(starts_block(F.col("piece")), text_of(F.col("piece"))).otherwise("").alias("context"),
-        F.posexplode(anchors(F.col("piece"))).alias("in_piece", "a"),
-    )
-    return rows.select(
-        *[c for c in captures.columns if c != "body"],
-        (F.col("piece_no") * 1000 + F.col("in_piece")).cast("long").alias("pos"),
-        strip(attribute(F.col("a.g1"), "href")).alias("href"),
-        text_of(F.col("a.g2")).alias("text"),
-        "context",
-    )
+
+    def in_block(piece: Column, piece_no: Column) -> Column:
+        context = F.when(starts_block(piece), text_of(piece)).otherwise("")
+        return let(
+            context,
+            lambda around: F.transform(
+                anchors(piece),
+                lambda a, i: named(
+                    pos=(piece_no * 1000 + i).cast("long"),
+                    href=strip(attribute(a["g1"], "href")),
+                    text=text_of(a["g2"]),
+                    context=around,
+                ),
+            ),
+        )
+
+    found = F.flatten(F.transform(blocks(F.col("body")), in_block))
+    carried = [c for c in captures.columns if c != "body"]
+    return captures.select(*carried, F.explode(found).alias("x")).select(*carried, "x.*")
 
 
 def successfactors_cards(captures: DataFrame) -> DataFrame:
-    """Job anchors of a page before any location test: the first text per absolute URL wins."""
-    text = text_of(F.col("inner"), "")
-    tail = F.concat(F.regexp_replace("href", "/+$", ""), F.lit("/"))
-    found = _anchor_rows(captures).where(
-        F.col("href").contains("/job/") & (F.length(text) >= 4) & tail.rlike(r"/\d{6,}/?$")
-    )
-    return found.withColumn("text", text).withColumn(
-        "url", url_join(F.col("careers_url"), F.col("href"))
-    )
+    """Job anchors of a page before any location test."""
+    found = _each(captures, anchors(F.col("body")), lambda a: {
+        "href": strip(attribute(a["g1"], "href")), "text": text_of(a["g2"], ""),
+    })
+    return found.where(
+        F.col("href").contains("/job/") & (F.length("text") >= 4) & F.col("href").rlike(r"/\d{6,}/*$")
+    ).withColumn("url", url_join(F.col("careers_url"), F.col("href")))
 
 
 def parse_successfactors(captures: DataFrame) -> DataFrame:
@@ -117,15 +119,16 @@ _BOARD_ITEM = r'(?i)class="search-results__req_title"[^>]*href="([^"]+)"[^>]*>([
 def parse_html_in_json(captures: DataFrame) -> DataFrame:
     """Board that serves an HTML fragment inside JSON; its office filter stands for the place."""
     fragment = F.get_json_object("body", "$.html")
-    rows = captures.select("*", F.posexplode(all_matches(fragment, _BOARD_ITEM, 1, 2)).alias("pos", "m"))
-    title = strip(unescape(F.col("m.g2")))
+    rows = _each(captures, all_matches(fragment, _BOARD_ITEM, 1, 2), lambda m: {
+        "href": m["g1"], "text": strip(unescape(m["g2"])),
+    })
     careers = F.col("careers_url")
     base = F.concat(url_part(careers, "scheme"), F.lit("://"), url_part(careers, "netloc"))
     found = listings(
-        rows.where(F.length(title) >= 4),
+        rows.where(F.length("text") >= 4),
         seq=sequence(F.col("pos"), captures),
-        title=title,
-        url=url_join(base, F.col("m.g1")),
+        title=F.col("text"),
+        url=url_join(base, F.col("href")),
         location=F.col("location_filter"),
     )
     return once_per(found, "url")
@@ -140,22 +143,23 @@ _CARD_DEPARTMENT = r'(?i)class="news-grid__items_cat"[^>]*>([^<]+)</div>'
 def parse_wp_cards(captures: DataFrame) -> DataFrame:
     """Cards without a page of their own: the URL is the careers page and a slug of the title."""
     fragment = F.get_json_object("body", "$.careers")
-    rows = captures.select(
-        "*", F.posexplode(F.regexp_extract_all(fragment, F.lit(_CARD), F.lit(1))).alias("pos", "card")
-    )
 
-    def part(pattern: str) -> Column:
-        found = or_null(F.regexp_extract("card", pattern, 1))
-        return strip(unescape(found))
+    def part(card: Column, pattern: str) -> Column:
+        return strip(unescape(or_null(F.regexp_extract(card, pattern, 1))))
 
-    title, place = part(_CARD_TITLE), part(_CARD_PLACE)
+    rows = _each(captures, F.regexp_extract_all(fragment, F.lit(_CARD), F.lit(1)), lambda card: {
+        "title": part(card, _CARD_TITLE),
+        "place": part(card, _CARD_PLACE),
+        "department": part(card, _CARD_DEPARTMENT),
+    })
+    title, place = F.col("title"), F.col("place")
     return listings(
         rows.where((F.coalesce(place, F.lit("")) == "") | in_place(place)),
         seq=sequence(F.col("pos"), captures),
         title=title,
         url=F.concat(F.col("careers_url"), F.lit("#"), slugify(title)),
         location=place,
-        department=part(_CARD_DEPARTMENT),
+        department=F.col("department"),
     )
 
 
@@ -167,20 +171,22 @@ _ATOM = (
 
 def parse_atom(captures: DataFrame) -> DataFrame:
     """Atom feed: the plain alternate link, else one that opens the form, else the entry id."""
-    feed = F.from_xml(F.col("body"), _ATOM)
-    rows = captures.select("*", F.posexplode(feed["entry"]).alias("pos", "e"))
-    alternate = F.filter(
-        F.col("e.link"),
-        lambda x: F.coalesce(x["_rel"], F.lit("")).isin("", "alternate")
-        & (F.coalesce(x["_href"], F.lit("")) != ""),
-    )
-    plain = F.filter(alternate, lambda x: ~x["_href"].contains("instant=apply"))
-    href = F.coalesce(
-        F.get(plain, F.lit(0))["_href"],
-        F.get(alternate, F.lit(0))["_href"],
-        or_null(strip(F.col("e.id"))),
-    )
-    title = strip(F.col("e.title"))
+    def entry(e: Column) -> dict[str, Column]:
+        alternate = F.filter(
+            e["link"],
+            lambda x: F.coalesce(x["_rel"], F.lit("")).isin("", "alternate")
+            & (F.coalesce(x["_href"], F.lit("")) != ""),
+        )
+        plain = F.filter(alternate, lambda x: ~x["_href"].contains("instant=apply"))
+        href = F.coalesce(
+            F.get(plain, F.lit(0))["_href"],
+            F.get(alternate, F.lit(0))["_href"],
+            or_null(strip(e["id"])),
+        )
+        return {"text": strip(e["title"]), "href": href}
+
+    rows = _each(captures, F.from_xml(F.col("body"), _ATOM)["entry"], entry)
+    title, href = F.col("text"), F.col("href")
     found = listings(
         rows.where((F.length(title) >= 4) & in_place(title, href)),
         seq=sequence(F.col("pos"), captures),
@@ -193,26 +199,31 @@ def parse_atom(captures: DataFrame) -> DataFrame:
 
 def parse_id_permalink(captures: DataFrame) -> DataFrame:
     """Rows that open by script: the offer id makes both the URL and the external id."""
-    rows = _anchor_rows(captures).where(attribute(F.col("attrs"), "id").contains("lbMostrarOferta"))
-    offer = or_null(attribute(F.col("attrs"), "data_idoferta"))
+    rows = _each(captures, anchors(F.col("body")), lambda a: {
+        "element": attribute(a["g1"], "id"),
+        "offer": or_null(attribute(a["g1"], "data_idoferta")),
+        "text": norm_text(text_of(a["g2"], "")),
+    }).where(F.col("element").contains("lbMostrarOferta"))
     return listings(
         rows,
         seq=sequence(F.col("pos"), captures),
-        title=norm_text(text_of(F.col("inner"), "")),
-        url=F.concat(F.lit("https://bdo.epreselec.com/Ofertas/Ofertas.aspx?idOferta="), offer),
+        title=F.col("text"),
+        url=F.concat(F.lit("https://bdo.epreselec.com/Ofertas/Ofertas.aspx?idOferta="), F.col("offer")),
         location=F.col("location_filter"),
-        external_id=offer,
+        external_id=F.col("offer"),
     )
 
 
 def parse_html_table(captures: DataFrame) -> DataFrame:
     """Table rows of two and more cells with a link: title, location, department."""
-    row_text = F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    rows = captures.select("*", F.posexplode(row_text).alias("pos", "row")).drop("body")
-    cell_text = F.regexp_extract_all(F.col("row"), F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
-    rows = rows.withColumn("cells", F.transform(cell_text, text_of)).withColumn(
-        "href", strip(attribute(F.get(anchors(F.col("row")), F.lit(0))["g1"], "href"))
-    )
+    table_rows = F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    rows = _each(captures, table_rows, lambda row: {
+        "cells": F.transform(
+            F.regexp_extract_all(row, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)),
+            lambda cell: text_of(cell),
+        ),
+        "href": strip(attribute(F.get(anchors(row), F.lit(0))["g1"], "href")),
+    })
     title, place, department = (F.get(F.col("cells"), F.lit(i)) for i in range(3))
     found = listings(
         rows.where((F.size("cells") >= 2) & (F.col("href") != "") & in_place(place, title)),
@@ -227,26 +238,23 @@ def parse_html_table(captures: DataFrame) -> DataFrame:
 
 def parse_headings(captures: DataFrame) -> DataFrame:
     """Headings that name a role; all share the page's apply link."""
-    links = F.transform(
-        anchors(F.col("body")),
-        lambda a: F.struct(attribute(a["g1"], "href").alias("href"), text_of(a["g2"]).alias("text")),
-    )
-    apply_links = F.filter(
-        F.transform(
-            F.filter(
-                links,
-                lambda x: (x["href"] != "")
-                & (x["text"].rlike("(?i)apply") | x["href"].rlike("(?i)recruit|apply")),
+    def apply_link(a: Column) -> Column:
+        return let(
+            attribute(a["g1"], "href"),
+            lambda href: F.when(
+                (href != "") & (text_of(a["g2"]).rlike("(?i)apply") | href.rlike("(?i)recruit|apply")),
+                url_join(F.col("careers_url"), href),
             ),
-            lambda x: url_join(F.col("careers_url"), x["href"]),
-        ),
-        lambda h: ~h.contains("#"),
+        )
+
+    apply_links = F.filter(
+        F.transform(anchors(F.col("body")), apply_link), lambda h: h.isNotNull() & ~h.contains("#")
     )
     heads = F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<h([2-4])\b[^>]*>(.*?)</h\1>"), F.lit(2))
     rows = captures.select(
         "*",
         F.coalesce(F.get(apply_links, F.lit(0)), F.col("careers_url")).alias("apply_url"),
-        F.posexplode(F.transform(heads, text_of)).alias("pos", "text"),
+        F.posexplode(F.transform(heads, lambda h: text_of(h))).alias("pos", "text"),
     ).drop("body")
     lowered = F.lower("text")
     found = listings(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.urls import url_part
+from ..functions.text import lookup
+from ..functions.urls import let, named, url_part
 from . import json_portals, link_portals, markup_portals
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -48,15 +49,18 @@ def parser_column(careers_url: Column, ats: Column, rules=None, platforms=None)
     """
     rules = vocab.HOST_RULES if rules is None else rules
     platforms = vocab.PLATFORM_PARSERS if platforms is None else platforms
-    host, path = url_part(careers_url, "host"), F.lower(url_part(careers_url, "path"))
-    choice = None
-    for kind, name, fragment, parser in rules:
-        fits = host.endswith(name) if kind == "suffix" else host == name
-        if fragment:
-            fits = fits & path.contains(fragment)
-        choice = F.when(fits, parser) if choice is None else choice.when(fits, parser)
-    configured = F.create_map(*[F.lit(x) for pair in platforms.items() for x in pair])
-    return choice.otherwise(F.try_element_at(configured, ats))
+
+    def first_rule(site: Column) -> Column:
+        choice = F
+        for kind, name, fragment, parser in rules:
+            fits = site["host"].endswith(name) if kind == "suffix" else site["host"] == name
+            if fragment:
+                fits = fits & site["path"].contains(fragment)
+            choice = choice.when(fits, parser)
+        return choice.otherwise(lookup(platforms, ats))
+
+    url = F.coalesce(careers_url, F.lit(""))
+    return let(named(host=url_part(url, "host"), path=F.lower(url_part(url, "path"))), first_rule)
 
 
 def resolve_parser(companies: DataFrame) -> DataFrame:
