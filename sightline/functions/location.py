@@ -85,9 +85,11 @@ def location_match(text: Column, places: Column | str) -> Column:
     def judged(low: Column, tokens: Column) -> Column:
         rejected = F.arrays_overlap(tokens, places["rival_words"]) | any_part(places["rival_parts"], low)
         accepted = F.arrays_overlap(tokens, places["words"]) | any_part(places["parts"], low)
-        return (low != "") & ~rejected & accepted
+        return ~rejected & accepted
 
-    matched = let(
-        F.lower(text), lambda low: let(F.split(low, _NON_WORD), lambda tokens: judged(low, tokens))
-    )
-    return F.coalesce(matched, F.lit(False))
+    # A text without any accepted term as a substring fails without being cut into words.
+    def matched(low: Column) -> Column:
+        hopeful = any_part(places["words"], low) | any_part(places["parts"], low)
+        return hopeful & (low != "") & let(F.split(low, _NON_WORD), lambda tokens: judged(low, tokens))
+
+    return F.coalesce(let(F.lower(text), matched), F.lit(False))

@@ -12,6 +12,11 @@ from .urls import let, named, url_part
 
 # Unicode white space, spelt so that Java and RE2 agree on it.
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+WS_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]+"
 EXPIRY_NOTE = rf"(?i){WS}*expires?:{WS}*\d{{1,2}}/\d{{1,2}}/\d{{4}}"
 
@@ -31,7 +36,8 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, rf"^{WS}+|{WS}+$", "")
+    """Trim Unicode white space; reads only the ends of the text."""
+    return F.trim(s, F.lit(WS_CHARS))
 
 
 def norm_text(s: Column) -> Column:
@@ -45,7 +51,9 @@ def or_null(s: Column) -> Column:
 
 
 def in_vocab(s: Column, words) -> Column:
-    return F.array_contains(strings(words), F.lower(s))
+    """Equal to one of the words in lower case; longer texts are not even lower-cased."""
+    longest = max(map(len, words))
+    return (F.length(s) <= longest) & F.array_contains(strings(words), F.lower(s))
 
 
 def contains_any(s: Column, parts) -> Column:
@@ -98,9 +106,10 @@ def slugify(s: Column) -> Column:
 
 def is_opaque_id(word: Column) -> Column:
     """Looks like a generated id: mixed case with digits, or four and more changes of case."""
-    mask = F.regexp_replace(F.regexp_replace(word, r"[^\p{Lu}]+", "a"), r"\p{Lu}+", "A")
     mixed = word.rlike(r"\p{Lu}") & word.rlike(r"\p{Ll}") & word.rlike(r"\p{Nd}")
-    return (F.length(word) >= 6) & (mixed | (F.length(mask) >= 5))
+    mask = F.regexp_replace(F.regexp_replace(word, r"[^\p{Lu}]+", "a"), r"\p{Lu}+", "A")
+    # Without capitals neither can hold.
+    return (F.length(word) >= 6) & word.rlike(r"\p{Lu}") & (mixed | (F.length(mask) >= 5))
 
 
 def _keep_until_last(words: Column, droppable) -> Column:
@@ -111,27 +120,33 @@ def _keep_until_last(words: Column, droppable) -> Column:
     return F.slice(words, 1, F.coalesce(last, F.lit(0)))
 
 
+def _is_number(w: Column) -> Column:
+    return w.rlike(r"^\p{Nd}+$")
+
+
 def _segment_title(segment: Column) -> Column:
-    words = F.split(segment, "[-_]+")
-    kept = _keep_until_last(
-        words,
-        lambda w: (F.length(w) <= 8) & w.rlike(r"\p{Nd}") & ~w.rlike(r"^\p{Nd}+$"),
-    )
-    kept = _keep_until_last(kept, lambda w: (F.length(w) <= 1) | w.rlike(r"^\p{Nd}+$"))
-    cased = F.transform(
-        kept,
-        lambda w: F.when(
-            w.rlike(r"^\p{L}+$"),
-            F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2)))),
-        ).otherwise(w),
-    )
-    title = norm_text(F.array_join(cased, " "))
+    def mixed_id(w: Column) -> Column:
+        return (F.length(w) <= 8) & w.rlike(r"\p{Nd}") & ~_is_number(w)
+
+    def cased(w: Column) -> Column:
+        proper = F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))
+        return F.when(w.rlike(r"^\p{L}+$"), proper).otherwise(w)
+
+    def from_kept(kept: Column) -> Column:
+        title = let(
+            norm_text(F.array_join(F.transform(kept, cased), " ")),
+            lambda t: F.when(F.length(t).between(5, 120), t),
+        )
+        return F.when(F.size(kept) >= 2, title)
+
+    def from_words(words: Column) -> Column:
+        kept = _keep_until_last(
+            _keep_until_last(words, mixed_id), lambda w: (F.length(w) <= 1) | _is_number(w)
+        )
+        return F.when(~F.exists(words, is_opaque_id), let(kept, from_kept))
+
     return F.when(
-        (F.length(segment) >= 4)
-        & ~F.exists(words, is_opaque_id)
-        & (F.size(kept) >= 2)
-        & F.length(title).between(5, 120),
-        title,
+        (F.length(segment) >= 4) & segment.rlike("[-_]"), let(F.split(segment, "[-_]+"), from_words)
     )
 
 
@@ -157,7 +172,9 @@ def real_title(title: Column) -> Column:
 
 
 def _without_expiry(line: Column) -> Column:
-    return strip(F.regexp_replace(line, EXPIRY_NOTE, ""))
+    return F.when(
+        F.lower(line).contains("expire"), strip(F.regexp_replace(line, EXPIRY_NOTE, ""))
+    ).otherwise(line)
 
 
 def _comparable(s: Column) -> Column:

@@ -48,12 +48,13 @@ _TEXT = "concat(title, ' - ', coalesce(location, ''))"
 asked AS (SELECT id, {_TEXT} AS t, {cases("ref", _FILTERS)} AS places FROM postings)
 SELECT id, places, {location_by_filter("t", "places", _FILTERS)} AS matched FROM asked""")
 def location_match_multi(spark, sf_dir):
-    """The filter comes from a column, as it does for companies with their own filter."""
+    """The filter comes from a column; it is compiled once per distinct filter and joined."""
     rows = fixture(spark, sf_dir, "postings").select(
         "id", F.expr(_TEXT).alias("t"), F.expr(cases("ref", _FILTERS)).alias("places")
     )
-    match = location_match(F.col("t"), compile_filter_column(F.col("places")))
-    return rows.select("id", "places", match.alias("matched"))
+    compiled = rows.select("places").distinct().withColumn("terms", compile_filter_column(F.col("places")))
+    match = location_match(F.col("t"), F.col("terms"))
+    return rows.join(compiled, "places").select("id", "places", match.alias("matched"))
 
 
 # Words of the generated prose stand for places here.

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, lifecycle, listings
-from .fixtures import LAST_RUN, fixture, with_fixtures
+from ..sources.sinks import read_state
+from ..streaming import replay
+from .fixtures import FIXTURES, LAST_RUN, fixture, with_fixtures
 from .registry import query
 
 _GOOD = with_fixtures("sightings", "failures") + """,
@@ -179,3 +184,18 @@ def diagnose_companies(spark, sf_dir):
 @query("diagnose_by_name", with_fixtures("catalog") + "SELECT company_id, name, ats FROM catalog WHERE contains(lower(name), '#00000001')")
 def diagnose_by_name(spark, sf_dir):
     return listings.by_name(fixture(spark, sf_dir, "catalog"), "#00000001").select("company_id", "name", "ats")
+
+
+@query("state_streamed", _GOOD + "SELECT * FROM state")
+def state_streamed(spark, sf_dir):
+    """The event file as a stream; the state it leaves behind equals the batch fold."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    root = f"{replay.shared_dir(spark, tempfile.gettempdir())}/state-{uuid.uuid4().hex}"
+
+    def read(batch):
+        made = {n: batch.sparkSession.sql(FIXTURES[n], events=batch) for n in ("sightings", "failures")}
+        return made["sightings"], made["failures"]
+
+    stream = replay.read_files(spark, f"{sf_dir}/events.parquet", events.schema)
+    replay.track(stream, read, f"{root}/state", f"{root}/progress").awaitTermination()
+    return read_state(spark, f"{root}/state")
