@@ -196,6 +196,7 @@ def state_streamed(spark, sf_dir):
         made = {n: batch.sparkSession.sql(FIXTURES[n], events=batch) for n in ("sightings", "failures")}
         return made["sightings"], made["failures"]
 
-    stream = replay.read_files(spark, f"{sf_dir}/events.parquet", events.schema)
+    # A pattern, since a stream takes no plain file name and the table may be a file or a folder.
+    stream = replay.read_files(spark, f"{sf_dir}/events.parque[t]", events.schema)
     replay.track(stream, read, f"{root}/state", f"{root}/progress").awaitTermination()
     return read_state(spark, f"{root}/state")
