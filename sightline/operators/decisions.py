@@ -170,11 +170,8 @@ def persisted(decisions: DataFrame) -> DataFrame:
     and ``seq``.
     """
     group = ["run_date", "keep", "reason"]
-    real = (
-        decisions.where("is_real")
-        .withColumn("reason", F.substring("reason", 1, REASON_LIMIT))
-        .groupBy(*group, "url")
-        .agg(F.min("seq").alias("seq"))
+    real = decisions.where("is_real").select(
+        "url", "seq", "run_date", "keep", F.substring("reason", 1, REASON_LIMIT).alias("reason")
     )
     first = real.groupBy(*group).agg(F.min("seq").alias("_group_seq"))
     return (

@@ -38,24 +38,17 @@ def number_rows(df: DataFrame, keys: list[str], order: list, bucket: Column, nam
     column). Rows are numbered inside (key, bucket); the offset of a bucket is the running sum of
     the bucket counts before it, a table with one short row per bucket.
     """
-    cut = df.withColumn("_bucket", bucket)
-    counts = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # A struct of the keys is never null, so counting and joining treat absent keys alike.
+    cut = df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket)
+    counts = cut.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_kb"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        "_key", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    same.append(F.col("_bucket").eqNullSafe(F.col("_kb")))
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    helper = [f"_k{i}" for i in range(len(keys))] + ["_kb", "_offset", "_bucket"]
+    inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
     return (
         cut.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, condition)
+        .join(offsets, ["_key", "_bucket"])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop(*helper, "_inside")
+        .drop("_key", "_bucket", "_offset", "_inside")
     )

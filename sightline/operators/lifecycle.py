@@ -51,18 +51,21 @@ def _fold(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_active(folded: DataFrame) -> DataFrame:
-    """Active means: seen in the company's newest run. One row per company, not a window, so no
-    task has to hold a whole company."""
-    newest = folded.groupBy("company_id").agg(F.max("last_seen_at").alias("_company_last"))
-    return folded.join(newest, "company_id").withColumn(
+def _with_active(rows: DataFrame) -> DataFrame:
+    """Fold, and mark what was seen in the company's newest run as active.
+
+    The newest run per company is one row per company from two narrow columns of the same rows; a
+    window would have to hold a whole company in one task.
+    """
+    newest = rows.groupBy("company_id").agg(F.max("last_seen_at").alias("_company_last"))
+    return _fold(rows).join(newest, "company_id").withColumn(
         "is_active", F.col("last_seen_at") == F.col("_company_last")
     ).drop("_company_last")
 
 
 def fold_history(sightings: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """State after all runs, without going run by run."""
-    return _with_active(_fold(_as_state(successful(sightings, failed))))
+    return _with_active(_as_state(successful(sightings, failed)))
 
 
 def merge_runs(state: DataFrame | None, sightings: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -70,7 +73,7 @@ def merge_runs(state: DataFrame | None, sightings: DataFrame, failed: DataFrame
     rows = _as_state(successful(sightings, failed))
     if state is not None:
         rows = state.select(*rows.columns).unionByName(rows)
-    return _with_active(_fold(rows))
+    return _with_active(rows)
 
 
 def snapshot(sightings: DataFrame) -> DataFrame:
@@ -139,16 +142,16 @@ def run_audit(runs: DataFrame, sightings: DataFrame, errors: DataFrame, unfinish
     ``errors`` holds (run_date, company_id, error). The error texts stay rows (``run_errors``), so
     a run with very many failures is never one value. A run in ``unfinished`` stays ``running``.
     """
-    good = successful(sightings, errors)
-    state = _fold(_as_state(good))
-    repeats = (
-        good.groupBy("run_date", "company_id", "url").agg((F.count(F.lit(1)) - 1).alias("n"))
-        .groupBy("run_date").agg(F.sum("n").alias("repeated_urls"))
+    # One row per run and listing serves both the repeats and the first sightings.
+    listed = successful(sightings, errors).groupBy("company_id", "url", "run_date").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    repeats = listed.groupBy("run_date").agg(F.sum(F.col("n") - 1).alias("repeated_urls"))
+    first = listed.groupBy("company_id", "url").agg(F.min("run_date").alias("first_seen_at"))
     failures = errors.groupBy("run_date").agg(F.count(F.lit(1)).alias("n_errors"))
     audit = (
         runs.select("run_date").distinct()
-        .join(new_per_run(state), "run_date", "left")
+        .join(new_per_run(first), "run_date", "left")
         .join(failures, "run_date", "left")
         .join(repeats, "run_date", "left")
         .na.fill(0, ["new_jobs_found", "n_errors", "repeated_urls"])

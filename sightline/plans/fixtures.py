@@ -57,7 +57,7 @@ CAREERS_URLS = [
     None,
 ]
 
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _BASE_URL = "split_part(split_part(url, '#', 1), '?', 1)"
 
@@ -136,7 +136,7 @@ FIXTURES: dict[str, str] = {
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
     return {
-        t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in sql
+        t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql
     }
 
 
@@ -147,5 +147,5 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fixtures(*names: str) -> str:
     """WITH clause of the named fixtures for the check SQL."""
-    plain = {t: t for t in _TABLES} | {"TS": "TIMESTAMP"}
+    plain = {t: t for t in TABLES} | {"TS": "TIMESTAMP"}
     return "WITH " + ",\n".join(f"{n} AS ({FIXTURES[n].format(**plain)})" for n in names)

@@ -14,6 +14,9 @@ from ..schemas import KEY_FIELDS, LISTING_FIELDS
 # Room for a million rows on one captured page.
 _PAGE_STRIDE = 1_000_000
 
+# A company's settings with its place lists take about a kilobyte.
+_BROADCAST_COMPANIES = 20_000
+
 
 def keys_of(df: DataFrame) -> list[str]:
     return [k for k in KEY_FIELDS if k in df.columns]
@@ -33,11 +36,12 @@ def load_companies(catalog: DataFrame, default_location_filter: str) -> DataFram
 def attach_companies(captures: DataFrame, companies: DataFrame) -> DataFrame:
     """Captures with their company's settings; the filter is compiled once per company.
 
-    No broadcast hint: the optimizer broadcasts a catalog below its size threshold and shuffles a
-    larger one.
+    Bodies should not travel for this join, so a catalog of counted, bounded size is broadcast.
+    A larger one joins by shuffle, where adaptive execution splits a hot company.
     """
     settings = companies.withColumn("places", compile_filter_column(F.col("location_filter")))
-    return captures.join(settings, "company_id")
+    small = companies.limit(_BROADCAST_COMPANIES + 1).count() <= _BROADCAST_COMPANIES
+    return captures.join(F.broadcast(settings) if small else settings, "company_id")
 
 
 def in_place(*texts: Column) -> Column:

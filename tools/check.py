@@ -16,7 +16,7 @@ import pandas as pd
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from sightline.plans import CHECKS, QUERIES  # noqa: E402
-from sightline.plans.fixtures import _TABLES  # noqa: E402
+from sightline.plans.fixtures import TABLES  # noqa: E402
 from sightline.session import local_session  # noqa: E402
 
 
@@ -63,7 +63,7 @@ def main() -> int:
     args = parser.parse_args()
     spark = local_session("check")
     con = duckdb.connect()
-    for t in _TABLES:
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{args.sf}/{t}.parquet'")
     bad = 0
     for name in args.names or QUERIES:
