@@ -17,14 +17,14 @@ CHUNK_SIZE = 25
 REASON_LIMIT = 500
 
 
-def chunk_jobs(jobs: DataFrame, order: list, bucket: Column, size: int = CHUNK_SIZE) -> DataFrame:
+def chunk_jobs(jobs: DataFrame, order: list, bucket: Column | None = None, size: int = CHUNK_SIZE) -> DataFrame:
     """Number jobs per company in input order and cut them in chunks of ``size``.
 
     A numbering over all companies would be one task; chunk membership only shows when a chunk
     fails, so numbering per company is the same thing to a reader. ``bucket`` cuts large companies
-    (see ``number_rows``).
+    where ``order`` is a unique id (see ``number_rows``).
     """
-    numbered = number_rows(jobs, ["company"], order, bucket, "job_no")
+    numbered = number_rows(jobs, ["company"], order, "job_no", bucket)
     return numbered.withColumn("chunk_no", F.floor((F.col("job_no") - 1) / size).cast("long"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +34,49 @@ def top_by(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list, name: str, bucket: Column | None = None) -> DataFrame:
     """Exact 1-based row number per key without one task holding a whole key.
 
-    ``bucket`` must not decrease along ``order`` inside a key (a range of the leading order
-    column). Rows are numbered inside (key, bucket); the offset of a bucket is the running sum of
-    the bucket counts before it, a table with one short row per bucket.
+    With ``bucket``: a column that does not decrease along ``order`` and holds a bounded number of
+    rows per value, such as a range of a unique id. Rows are numbered inside (key, bucket), and a
+    bucket starts after the counts of the buckets before it.
+
+    Without it the rows are sorted over the cluster by ranges of key and order, so a hot key spreads
+    over many ranges, and written once to the shared folder, which fixes the ranges.
     """
+    if bucket is None:
+        placed = df.orderBy(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
+        cut = written(placed, "numbered").withColumn("_bucket", F.shiftright("_id", 33))
+    else:
+        cut = df.withColumn("_bucket", bucket)
     # A struct of the keys is never null, so counting and joining treat absent keys alike.
-    cut = df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket)
-    counts = cut.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    cut = cut.withColumn("_key", F.struct(*keys))
+    starts = F.min("_id") if bucket is None else F.lit(0).cast("long")
+    counts = cut.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"), starts.alias("_start"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_key", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        "_key", "_bucket", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_key", "_bucket").orderBy(*order)
-    return (
-        cut.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, ["_key", "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_key", "_bucket", "_offset", "_inside")
+    if bucket is None:
+        placed_in = cut.join(offsets, ["_key", "_bucket"])
+        inside = F.col("_id") - F.col("_start") + 1
+    else:
+        w = Window.partitionBy("_key", "_bucket").orderBy(*order)
+        placed_in = cut.withColumn("_nth", F.row_number().over(w)).join(offsets, ["_key", "_bucket"])
+        inside = F.col("_nth")
+    return placed_in.withColumn(name, F.col("_offset") + inside).drop(
+        "_key", "_bucket", "_id", "_nth", "_start", "_offset"
     )
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and safe when executors are lost.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one serves only
+    where none is named, as in local trials.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -34,20 +34,23 @@ def last_days(state: DataFrame, companies: DataFrame, as_of: Column, days: int =
     return newest_first(with_company(recent(visible(state), as_of, days), companies))
 
 
+def section_rows(today: DataFrame, week: DataFrame) -> DataFrame:
+    """Rows of both sections, marked by section."""
+    columns = ["company", "title", "url", "location", "department", "job_type", "first_seen_at"]
+    return today.select(F.lit(NEW_TODAY).alias("section"), *columns).unionByName(
+        week.select(F.lit(LAST_WEEK).alias("section"), *columns)
+    )
+
+
 def digest_rows(today: DataFrame, week: DataFrame) -> DataFrame:
     """Rows of both sections with their place in the digest.
 
     Companies go by lower-cased name, listings newest first. ``position`` counts inside the
-    company, and position 1 carries the company heading. Hours cut large
-    companies for numbering.
+    company, and position 1 carries the company heading. The numbering sorts over the cluster, so
+    a company whose listings all arrived at once is no burden to one task.
     """
-    columns = ["company", "title", "url", "location", "department", "job_type", "first_seen_at"]
-    both = today.select(F.lit(NEW_TODAY).alias("section"), *columns).unionByName(
-        week.select(F.lit(LAST_WEEK).alias("section"), *columns)
-    )
-    seen = F.col("first_seen_at")
-    hours = -(F.datediff(seen, F.lit("1970-01-01")) * 24 + F.hour(seen))
-    numbered = number_rows(both, ["section", "company"], [F.desc("first_seen_at"), "url"], hours, "position")
+    rows = section_rows(today, week)
+    numbered = number_rows(rows, ["section", "company"], [F.desc("first_seen_at"), "url"], "position")
     return numbered.withColumn("is_heading", F.col("position") == 1)
 
 
@@ -59,7 +62,8 @@ def in_digest_order(rows: DataFrame) -> DataFrame:
 def section_heads(rows: DataFrame) -> DataFrame:
     """Heading text of both sections, with the row count or the note that there is nothing."""
     counts = rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
-    names = rows.sparkSession.createDataFrame([(NEW_TODAY,), (LAST_WEEK,)], "section string")
+    both = F.when(F.col("id") == 0, NEW_TODAY).otherwise(LAST_WEEK)
+    names = rows.sparkSession.range(2).select(both.alias("section"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     head = F.concat(F.lit(SECTION_HEAD), F.col("section"))
     return names.join(counts, "section", "left").select(

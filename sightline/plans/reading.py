@@ -166,7 +166,7 @@ SELECT s.section, coalesce(c.n, 0) AS n, CASE WHEN c.n IS NULL
 FROM (VALUES ('{digest.NEW_TODAY}'), ('{digest.LAST_WEEK}')) s(section)
 LEFT JOIN (SELECT section, count(*) AS n FROM rows_ GROUP BY ALL) c ON c.section = s.section""")
 def digest_section_heads(spark, sf_dir):
-    return digest.section_heads(_rows(spark, sf_dir))
+    return digest.section_heads(digest.section_rows(*_sections(spark, sf_dir)))
 
 
 @query("digest_subject", _STATE + _NEW + """, n AS (SELECT (SELECT count(*) FROM today) AS a, (SELECT count(*) FROM week) AS b)

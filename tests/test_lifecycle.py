@@ -126,16 +126,18 @@ def test_run_audit(spark):
     assert got == {day(0): "completed", day(1): "running"}
 
 
-def test_numbering_a_hot_key(spark):
+@pytest.mark.parametrize("cut", ["by range of the id", "by sorting"])
+def test_numbering_a_hot_key(spark, cut):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 3)}", i) for i in range(3000)] + [(None, 3000), (None, 3001)]
-    df = spark.createDataFrame(rows, "k string, n long")
-    got = dedupe.number_rows(df, ["k"], ["n"], F.floor(F.col("n") / 64), "no").collect()
+    df = spark.createDataFrame(rows, "k string, n long").repartition(5)
+    bucket = F.floor(F.col("n") / 64) if cut == "by range of the id" else None
+    got = dedupe.number_rows(df, ["k"], ["n"], "no", bucket).collect()
     want, count = {}, {}
     for k, n in rows:
         count[k] = count.get(k, 0) + 1
         want[n] = count[k]
-    assert {r.n: r.no for r in got} == want
+    assert {r.n: r.no for r in got} == want and set(got[0].asDict()) == {"k", "n", "no"}
 
 
 def test_first_by_is_pushed_before_the_shuffle(spark):
