@@ -7,12 +7,17 @@ ends. The page is one bounded row; Spark spreads the pages and this helper reads
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urlparse
 
 from .vocab import HTML_JOB_CLASS_WORDS, HTML_JOB_HREF_PARTS
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
+_PIECE = re.compile(
+    r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SIMPLE = re.compile(r"([.#]?[\w-]+|\*)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
 
 
@@ -64,42 +69,56 @@ def _selected(path: list[_Element], selector: str) -> bool:
     return False
 
 
-class _Reader(HTMLParser):
+class _Reader:
+    """Open elements of a page, and the ones that are links or chosen."""
+
     def __init__(self, chosen):
-        super().__init__(convert_charrefs=True)
         self.chosen, self.path, self.open, self.found = chosen, [], [], []
 
-    def handle_starttag(self, tag, attrs):
+    def read(self, body: str):
+        for piece in _PIECE.finditer(body):
+            _, closing, tag, attrs, text = piece.groups()
+            if text is not None:
+                self.text(text)
+            elif tag and closing:
+                self.close(tag.lower())
+            elif tag:
+                self.start(tag.lower(), attrs)
+
+    def start(self, tag, attrs):
         if tag == "li":
-            self._close("li", within=("ul", "ol"))
-        element = _Element(tag, {k: v or "" for k, v in attrs})
-        for holder in self.open:
-            if tag == "a" and holder.link is None:
-                holder.link = element
+            self.close("li", within=("ul", "ol"))
+        values = {
+            name.lower(): unescape(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attrs)
+        } if attrs else {}
+        element = _Element(tag, values)
+        if tag == "a":
+            for holder in self.open:
+                if holder.link is None:
+                    holder.link = element
         self.path.append(element)
         element.marked = self.chosen(self.path)
         if tag == "a" or element.marked:
             self.open.append(element)
             self.found.append(element)
         if tag in _VOID:
-            self._close(tag)
+            self.close(tag)
 
-    def _close(self, tag, within=()):
+    def close(self, tag, within=()):
         for i in range(len(self.path) - 1, -1, -1):
             if self.path[i].tag == tag:
-                gone = set(map(id, self.path[i:]))
+                gone = self.path[i:]
                 del self.path[i:]
-                self.open = [e for e in self.open if id(e) not in gone]
+                self.open = [e for e in self.open if e not in gone]
                 return
             if self.path[i].tag in within:
                 return
 
-    def handle_endtag(self, tag):
-        self._close(tag)
-
-    def handle_data(self, data):
-        data = data.strip()
-        if data and not (self.path and self.path[-1].tag in ("script", "style")):
+    def text(self, data):
+        if not self.open:
+            return
+        data = unescape(data).strip()
+        if data:
             for element in self.open:
                 element.text.append(data)
 
@@ -113,8 +132,7 @@ def _job_class(path):
 def listing_blocks(body: str, selector: str | None, page_url: str | None):
     """Yield (href, link text, block text) for every block that may hold a listing."""
     reader = _Reader((lambda path: _selected(path, selector)) if selector else _job_class)
-    reader.feed(body or "")
-    reader.close()
+    reader.read(body or "")
     picked = [e for e in reader.found if e.marked]
     if not picked and not selector:
         host = urlparse(page_url or "").netloc

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -56,6 +57,14 @@ def in_vocab(s: Column, words) -> Column:
     return (F.length(s) <= longest) & F.array_contains(strings(words), F.lower(s))
 
 
+def contains_path_part(path: Column, parts) -> Column:
+    """True when any of the parts, which all begin with a slash, is a substring of the path.
+
+    One pattern that only starts at slashes is cheaper than a search per part.
+    """
+    return path.rlike("/(?:" + "|".join(re.escape(p.removeprefix("/")) for p in parts) + ")")
+
+
 def contains_any(s: Column, parts) -> Column:
     """True when any literal part is a substring."""
     return let(s, lambda t: F.exists(strings(parts), lambda p: t.contains(p)))
@@ -214,10 +223,11 @@ def title_pick(text: Column, slug: Column | None = None) -> Column:
         )
         if slug is None:
             return by_length
+        # Only a text of several usable lines ever needs the slug.
         same = let(
             _comparable(slug),
             lambda wanted: F.get(F.filter(cs, lambda c: _comparable(c) == wanted), F.lit(0)),
         )
-        return F.coalesce(F.when(slug.isNotNull(), same), by_length)
+        return F.coalesce(same, by_length)
 
     return let(lines, choose)

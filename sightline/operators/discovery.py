@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +10,12 @@ from pyspark.sql import types as T
 
 from ..functions import vocab
 from ..functions.jsonwalk import candidates, flatten, posting
-from ..functions.location import compile_filter_column
-from ..functions.text import contains_any, norm_text, real_title, slug_title, strings, title_pick
+from ..functions.text import (
+    contains_any, contains_path_part, norm_text, real_title, slug_title, strings, title_pick,
+)
 from ..functions.urls import canonical_key, let, root_domain, strip_locale, url_join, url_part, url_parts
 from ..sources.captures import admit_captures
-from ..sources.common import in_place, keys_of, listings, once_per, sequence, source_keys
+from ..sources.common import flat_map, in_place, keys_of, listings, once_per, sequence, source_keys
 from .dedupe import compute_once, first_by
 
 
@@ -49,27 +48,21 @@ def flatten_json(raw: Column) -> Column:
 
 def json_candidates(captures: DataFrame) -> DataFrame:
     """Candidate objects of admitted captures (they carry ``strict``), in document order."""
-    keys = keys_of(captures)
-    carried = [*keys, "careers_url", "location_filter"]
-    order = ["resp_no"] if "resp_no" in captures.columns else []
-    found = ["pos", "raw_title", "raw_url", "raw_id", "raw_location", "raw_department"]
-    kept = [*carried, *order]
-    out = T.StructType(
-        [captures.schema[k] for k in kept]
-        + [T.StructField("pos", T.LongType())]
-        + [T.StructField(n, T.StringType()) for n in found[1:]]
-    )
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pages in batches:
-            rows = []
-            for page in pages.itertuples(index=False):
-                key = [getattr(page, k) for k in kept]
-                for i, obj in enumerate(candidates(page.body, page.strict)):
-                    rows.append([*key, i, *posting(obj)])
-            yield pd.DataFrame(rows, columns=out.names)
-
-    return captures.select(*kept, "body", "strict").mapInPandas(walk, out)
+    def walk(body, strict):
+        for i, obj in enumerate(candidates(body, strict)):
+            yield i, *posting(obj)
+
+    return flat_map(
+        captures,
+        [*keys_of(captures), "careers_url", "places"],
+        ["body", "strict"],
+        T.StructType.fromDDL(
+            "pos long, raw_title string, raw_url string, raw_id string, raw_location string,"
+            " raw_department string"
+        ),
+        walk,
+    )
 
 
 def _base_path() -> Column:
@@ -82,9 +75,7 @@ def _has_job_query(query: Column) -> Column:
 
 def discover_jobs(captures: DataFrame) -> DataFrame:
     """Postings in any JSON responses of a company, first per URL."""
-    found = json_candidates(admit_captures(captures, check_json=False)).withColumn(
-        "places", compile_filter_column(F.col("location_filter"))
-    )
+    found = json_candidates(admit_captures(captures, check_json=False))
     careers = F.col("careers_url")
     base = F.regexp_replace(careers, "/+$", "")
     url = F.when(F.col("raw_url").isNotNull(), url_join(careers, F.col("raw_url"))).when(
@@ -129,10 +120,10 @@ def _posting_shape(p: Column) -> Column:
 
     def shaped(path: Column) -> Column:
         ids = F.concat(path, F.lit("?"), F.lower(query))
-        strong = contains_any(path, vocab.STRONG_PATH_PARTS) | path.rlike(_STRONG_PATH)
-        weak = contains_any(path, vocab.WEAK_PATH_PARTS)
+        strong = contains_path_part(path, vocab.STRONG_PATH_PARTS) | path.rlike(_STRONG_PATH)
+        weak = contains_path_part(path, vocab.WEAK_PATH_PARTS)
         has_id = ids.rlike(r"\d{4,}") | ids.rlike("[0-9a-f]{16,}")
-        navigation = contains_any(path, vocab.NAVIGATION_PATH_PARTS) | path.startswith("/search/")
+        navigation = contains_path_part(path, vocab.NAVIGATION_PATH_PARTS) | path.startswith("/search/")
         return ~navigation & (strong | _has_job_query(query) | (weak & has_id))
 
     distinctive = ~p["fragment"].isin("", "0") | _has_job_query(query) | query.rlike(r"\d{4,}")
@@ -145,13 +136,11 @@ def _usable_title(href: Column, text: Column, context: Column) -> Column:
     def real(title: Column) -> Column:
         return let(title, lambda t: F.when(real_title(t), t))
 
-    return let(
-        slug_title(href),
-        lambda slug: F.coalesce(
-            real(title_pick(text, slug)),
-            F.when(context != "", real(title_pick(context, slug))),
-            real(slug),
-        ),
+    slug = slug_title(href)
+    return F.coalesce(
+        real(title_pick(text, slug)),
+        F.when(context != "", real(title_pick(context, slug))),
+        real(slug),
     )
 
 

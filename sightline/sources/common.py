@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.location import compile_filter_column, location_match
 from ..functions.text import or_null
@@ -76,3 +81,28 @@ def listings(df: DataFrame, **fields: Column) -> DataFrame:
 def once_per(df: DataFrame, *names: str) -> DataFrame:
     """First row per source and the given columns, in page and document order."""
     return first_by(df, [*source_keys(df), *names], ["seq"])
+
+
+def flat_map(df: DataFrame, carried: list[str], inputs: list[str], fields: T.StructType, read) -> DataFrame:
+    """Rows ``read(*inputs)`` yields for each row, with ``carried`` columns repeated beside them.
+
+    The carried columns stay in Arrow; only the inputs become Python values.
+    """
+    out = T.StructType([df.schema[c] for c in carried] + fields.fields)
+    names = fields.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in fields.fields]
+        for batch in batches:
+            source, rows = [], []
+            for i, values in enumerate(zip(*[batch.column(c).to_pylist() for c in inputs])):
+                found = list(read(*values))
+                rows.extend(found)
+                source.extend([i] * len(found))
+            columns = [batch.column(c).take(pa.array(source, pa.int64())) for c in carried]
+            made = zip(*rows) if rows else [[] for _ in names]
+            columns += [pa.array(values, t) for values, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *names])
+
+    wanted = [*carried, *[c for c in inputs if c not in carried]]
+    return df.select(*wanted).mapInArrow(run, out)

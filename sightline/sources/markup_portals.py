@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,43 +9,30 @@ from pyspark.sql import types as T
 from ..functions import vocab
 from ..functions.blocks import listing_blocks
 from ..functions.html import all_matches, anchors, attribute, blocks, starts_block, text_of
-from ..functions.location import compile_filter_column
 from ..functions.text import contains_any, norm_text, or_null, slugify, strip, unescape
 from ..functions.urls import let, named, url_join, url_part
-from .common import in_place, keys_of, listings, once_per, sequence
+from .common import flat_map, in_place, keys_of, listings, once_per, sequence
 
 
 def html_blocks(captures: DataFrame) -> DataFrame:
     """Listing blocks of every page: ``pos``, ``href``, ``text``, ``context``."""
-    keys = keys_of(captures)
-    carried = [*keys, "careers_url", "location_filter", "job_selector"]
-    out = T.StructType(
-        [captures.schema[k] for k in [*keys, "careers_url", "location_filter"]]
-        + [
-            T.StructField("pos", T.IntegerType()),
-            T.StructField("href", T.StringType()),
-            T.StructField("text", T.StringType()),
-            T.StructField("context", T.StringType()),
-        ]
-    )
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pages in batches:
-            found = []
-            for page in pages.itertuples(index=False):
-                key = [getattr(page, k) for k in carried[:-1]]
-                blocks_here = listing_blocks(page.body, page.job_selector, page.careers_url)
-                found.extend([*key, i, *block] for i, block in enumerate(blocks_here))
-            yield pd.DataFrame(found, columns=out.names)
+    def read(body, selector, page_url):
+        for i, block in enumerate(listing_blocks(body, selector, page_url)):
+            yield i, *block
 
-    return captures.select(*carried, "body").mapInPandas(read, out)
+    return flat_map(
+        captures,
+        [*keys_of(captures), "careers_url", "places"],
+        ["body", "job_selector", "careers_url"],
+        T.StructType.fromDDL("pos int, href string, text string, context string"),
+        read,
+    )
 
 
 def parse_html_listing(captures: DataFrame) -> DataFrame:
     """Any listing page: blocks by selector, by class, else job-like anchors."""
-    found = html_blocks(captures).withColumn(
-        "places", compile_filter_column(F.col("location_filter"))
-    )
+    found = html_blocks(captures)
     rows = listings(
         found.where((F.length("text") >= 3) & in_place(F.col("context"))),
         seq=sequence(F.col("pos"), captures),

@@ -42,10 +42,11 @@ def test_scores_agree_with_the_walk(column):
 
 
 def capture(spark, body, url="https://x/api/jobs"):
-    return spark.createDataFrame(
+    made = spark.createDataFrame(
         [("c", 0, url, "application/json", 200, body, HOME, "Madrid")],
         "company_id string, page_idx int, request_url string, content_type string, status int, body string, careers_url string, location_filter string",
     )
+    return made.withColumn("places", compile_filter("Madrid"))
 
 
 def test_discovered_rows(spark):
