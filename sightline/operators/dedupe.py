@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def compute_once(df: DataFrame, fields: Column, keep) -> DataFrame:
     """Add the fields of a struct, keeping rows that pass ``keep(struct)``.
@@ -67,16 +66,3 @@ def number_rows(df: DataFrame, keys: list[str], order: list, name: str, bucket:
     return placed_in.withColumn(name, F.col("_offset") + inside).drop(
         "_key", "_bucket", "_id", "_nth", "_start", "_offset"
     )
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and safe when executors are lost.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one serves only
-    where none is named, as in local trials.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
