@@ -1,11 +1,13 @@
 """Operators over text corpora, their registered queries and check SQL."""
 
-from . import bytebpe, cascade, langmask, packing, urlrules, warcfiles
+from . import bytebpe, cascade, langmask, packing, paritysketch, repeats, urlrules, warcfiles
 
 _MODULES = {
     "op2_language": langmask,
+    "op4_ngram_jaccard": paritysketch,
     "op5_warc": warcfiles,
     "op6_quality": cascade,
+    "op7_repeats": repeats,
     "op8_packing": packing,
     "op9_byte_bpe": bytebpe,
     "op10_url_rules": urlrules,

@@ -37,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of every span values[start:end], the same wherever the span stands."""
     size = 1 << max(10, int(len(values)).bit_length())
     up, down = _powers(size)
@@ -68,7 +68,7 @@ def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
     if lower:
         data = _LOWER[data]
     starts, ends = word_bounds(data)
-    return _spans(data.astype(_U) + _U(1), starts, ends)
+    return spans_hashes(data.astype(_U) + _U(1), starts, ends)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -77,7 +77,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, _U)
     starts = np.arange(n)
-    return _spans(words, starts, starts + size)
+    return spans_hashes(words, starts, starts + size)
 
 
 def raw_texts(column) -> list[bytes]:
