@@ -18,7 +18,9 @@ tables give empty results; other columns of the input are left out.
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -36,47 +38,95 @@ BUCKETS = 256
 # Latin-1 letters, digits and white space as the split pattern of the vocabulary file has them.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_KEEP = 400_000
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_KEEP_TOKENS, _KEEP_WORDS = 700_000, 400_000
+_LONG = 64
 
 
 class WordTokens:
     """Token ids of texts as little-endian 32-bit words.
 
-    The vocabulary encodes every match of its split pattern alone, so matches are looked up in a
-    bounded table and only unseen ones are encoded. Texts beyond Latin-1 or that may hold a special
-    token go to the tokenizer whole.
+    The vocabulary lower-cases texts and encodes every match of its split pattern alone, and no
+    match spans white space. So a text is cut at white space and the ids of each piece looked up in
+    a bounded table; an unseen piece is split by the pattern, and its words merged here. Texts
+    beyond Latin-1 (where case and classes could differ between libraries), with separators that
+    the libraries class differently, or with what may be a special token, and very long words go to
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self._ranks = {ids[a] << 20 | ids[b]: i for i, (a, b) in enumerate(pairs)}
+        self._made = [ids[a + b] for a, b in pairs]
+        symbols = self._tokenizer.pre_tokenizer
+        shown = {c: symbols.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if symbols.pre_tokenize_str(c)}
+        self._inner = {c: [ids[x] for x in s] for c, s in shown.items()}
+        self._last = {c: [*(ids[x] for x in s[:-1]), ids[s[-1] + end]] for c, s in shown.items()}
+        self._tokens: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of one match: the pair of lowest rank merges first, the leftmost of equal ones."""
+        inner, ranks, never = self._inner, self._ranks, len(self._made)
+        parts = [x for c in word[:-1] for x in inner[c]] + self._last[word[-1]]
+        near = [ranks.get(a << 20 | b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while near:
+            best = min(near)
+            if best == never:
+                break
+            i = near.index(best)
+            parts[i : i + 2] = [self._made[best]]
+            del near[i]
+            if i < len(near):
+                near[i] = ranks.get(parts[i] << 20 | parts[i + 1], never)
+            if i:
+                near[i - 1] = ranks.get(parts[i - 1] << 20 | parts[i], never)
+        return struct.pack(f"<{len(parts)}I", *parts)
+
+    def _of_token(self, token: str) -> bytes:
+        out = []
+        for word in _LATIN.findall(token):
+            known = self._words.get(word)
+            if known is None:
+                known = self._merged(word) if len(word) <= _LONG else self._whole(word)
+                if len(word) <= _LONG:
+                    if len(self._words) >= _KEEP_WORDS:
+                        self._words.clear()
+                    self._words[word] = known
+            out.append(known)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole(text)
-        if "<|" in text:
+        if _ODD.search(text):
             return self._whole(text)
-        words = _LATIN.findall(text.lower())
-        known = self._known
+        tokens = text.lower().split()
+        known = self._tokens
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(known.__getitem__, tokens))
         except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > _KEEP:
+            new = {t for t in tokens if t not in known}
+        if len(known) + len(new) > _KEEP_TOKENS:
             known.clear()
-            new = list(set(words))
-        for word, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = self._packed(e.ids)
-        return b"".join(map(known.__getitem__, words))
+            new = set(tokens)
+        if sum(map(len, new)) > 4 * _KEEP_TOKENS:  # one text of very long pieces: nothing to keep
+            return b"".join(map(self._of_token, tokens))
+        for token in new:
+            known[token] = self._of_token(token)
+        return b"".join(map(known.__getitem__, tokens))
 
     def _whole(self, text: str) -> bytes:
         return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
