@@ -1,9 +1,11 @@
 """Operators over text corpora, their registered queries and check SQL."""
 
-from . import bytebpe, cascade, langmask, packing, paritysketch, repeats, urlrules, warcfiles
+from . import bytebpe, cascade, cwsample, langmask, packing, paritysketch, personal, repeats, urlrules, warcfiles
 
 _MODULES = {
+    "op1_personal_data": personal,
     "op2_language": langmask,
+    "op3_fingerprints": cwsample,
     "op4_ngram_jaccard": paritysketch,
     "op5_warc": warcfiles,
     "op6_quality": cascade,
