@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -85,6 +85,33 @@ def raw_texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast("binary").to_pylist()]
 
 
+SLOTS = 1 << 18
+
+
+def mark() -> Column:
+    """With doc_id, what a row is known by: rows with both equal have equal texts."""
+    return F.xxhash64("text")
+
+
+def touched(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that may have a key (doc_id, mark), with ``mark``, and all other rows.
+
+    Keys fall in ``SLOTS`` slots by hash, and the table of occupied slots, bounded by that number, is
+    broadcast. So a join on a few keys does not shuffle every text; with more keys than slots all
+    rows are simply in the first part.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLOTS)).cast("int")
+    occupied = F.broadcast(keys.select(slot.alias("_slot")).distinct())
+    rows = docs.withColumn("mark", mark()).withColumn("_slot", slot)
+    return rows.join(occupied, "_slot", "left_semi").drop("_slot"), rows.join(occupied, "_slot", "left_anti").drop("_slot", "mark")
+
+
+def join_rows(rows: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (with doc_id and mark) joined to ``keys`` (doc_id, mark, ...) by both; a null id fits a null id."""
+    own = keys.withColumnsRenamed({"doc_id": "_key_id", "mark": "_key_mark"})
+    return rows.join(own, F.expr("doc_id <=> _key_id AND mark = _key_mark"), how).drop("_key_id", "_key_mark")
+
+
 def linked_groups(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b) reaches.
 

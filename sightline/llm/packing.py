@@ -278,7 +278,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
     )
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """Pack (doc_id, text) with the word vocabulary file that is installed, closing token 0."""
     import public_tokenizers
 
-    return pack(pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))

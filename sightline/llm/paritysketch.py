@@ -39,11 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, linked_groups, mix, partitions, raw_texts, window_hashes, word_hashes, written
+from .common import documents, join_rows, linked_groups, mark, mix, partitions, raw_texts, touched, window_hashes, word_hashes, written
 
 _U = np.uint64
 BLOCK = 2048
-SLOTS = 1 << 18
 _WEAK = 3
 _SEEN = 200_000
 _NONE = np.zeros(0, np.int64)
@@ -139,7 +138,7 @@ def sketched(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                  pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                 ["doc_id", "mark", "n", "class", "bits", "words"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    rows = docs.select("doc_id", "text", mark().alias("mark"))
     return rows.mapInArrow(run, "doc_id long, mark long, n long, class long, bits binary, words array<long>")
 
 
@@ -177,19 +176,15 @@ def _distances(bits: list[bytes]) -> np.ndarray:
 def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Those pairs of classes (a, b) whose texts link. ``places``: one (doc_id, mark) of each class.
 
-    Only texts whose place falls in an occupied slot are shuffled; the table of occupied slots has
-    at most ``SLOTS`` rows, and with more classes than slots it just lets every text pass.
+    Only texts that may be in a pair are shuffled.
     """
     def place(end: str) -> DataFrame:
         return places.select(F.col("class").alias(end), F.col("doc_id").alias(f"doc_{end}"), F.col("mark").alias(f"mark_{end}"))
 
     pairs = written(pairs.join(place("a"), "a").join(place("b"), "b"), "pairs")
-    slot = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLOTS)).cast("int")
     ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("mark_a").alias("mark")).unionByName(
         pairs.select(F.col("doc_b").alias("doc_id"), F.col("mark_b").alias("mark")))
-    occupied = ends.select(slot.alias("slot")).distinct()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").withColumn("slot", slot)
-    texts = texts.join(F.broadcast(occupied), "slot", "left_semi")
+    texts = touched(docs.select("doc_id", "text"), ends)[0]
 
     def text(end: str) -> DataFrame:
         return texts.select(F.col("doc_id").alias(f"doc_{end}"), F.col("mark").alias(f"mark_{end}"), F.col("text").alias(f"text_{end}"))
@@ -305,5 +300,21 @@ def grouped(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> Da
         "doc_id", "mark", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of every group: of those with the smallest doc_id, one; rows without words all stay."""
+    rows = written(grouped(docs, size, num, den).where("n_shingles > 0"), "groups")
+    gone = rows.where("doc_id <> component_id").select("doc_id", "mark")
+    again = rows.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
+    # Two texts under the group's smallest id: the smaller mark stays.
+    firsts = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+    twins = rows.where("doc_id = component_id").join(firsts.where("first <> last"), "component_id").where("mark <> first").select("doc_id", "mark")
+    gone = written(gone.unionByName(twins).distinct(), "gone")
+    near, rest = touched(docs, gone.unionByName(again))
+    near = join_rows(near, gone, "left_anti")
+    single = join_rows(near, again, "left_semi").dropDuplicates(["doc_id", "mark"])
+    near = join_rows(near, again, "left_anti").unionByName(single)
+    return near.select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(documents(spark, sf_dir)).drop("mark")

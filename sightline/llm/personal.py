@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, join_rows, mark, touched, written
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -81,7 +81,7 @@ def _cut(kind: str, pattern: str) -> Column:
 
 def matches(docs: DataFrame) -> DataFrame:
     """Matches that pass their test: row keys, kind, start, end, value, words before and after."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("rid", F.monotonically_increasing_id())
     parts = [
         F.when(F.col("text").rlike(_GUARDS[kind]), _cut(kind, pattern)).otherwise(F.array().cast(_ROWS))
@@ -127,8 +127,8 @@ def learned(docs: DataFrame, found: DataFrame, confident: float, support: int, r
     return best.select("side", "word", "kind", "score")
 
 
-def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
-    """Spans of every text: (doc_id, mark, base, spans), lists of (start, kind number, end)."""
+def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
+    """(doc_id, mark, base, spans) of texts with spans, lists of (start, kind number, end)."""
     docs = docs.select("doc_id", "text")
     found = written(matches(docs), "matches")
     patterns = learned(docs, found, confident, support, rounds)
@@ -147,11 +147,36 @@ def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int
     new = F.filter("all", lambda x: ~x["base"] & ~F.exists(own, lambda y: (y["s"]["start"] < x["s"]["end"]) & (x["s"]["start"] < y["s"]["end"])))
     lists = lists.select("doc_id", "mark", F.sort_array(F.transform(own, lambda x: x["s"])).alias("base"),
                          F.sort_array(F.transform(F.concat(own, new), lambda x: x["s"])).alias("spans"))
-    lists = lists.dropDuplicates(["doc_id", "mark"])
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"))
+    return lists.dropDuplicates(["doc_id", "mark"])
+
+
+def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
+    """Spans of every text: (doc_id, mark, base, spans), empty lists where there are none."""
+    lists = found_in(docs, confident, support, rounds)
+    rows = docs.select("doc_id", mark().alias("mark"))
     kind = "array<struct<start:bigint,kind:int,end:bigint>>"
-    joined = rows.join(lists, (rows["doc_id"].eqNullSafe(lists["doc_id"])) & (rows["mark"] == lists["mark"]), "left")
-    return joined.select(rows["doc_id"], rows["mark"], *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
+    joined = join_rows(rows, lists, "left")
+    return joined.select("doc_id", "mark", *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
+
+
+def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
+    """``docs`` with every span of personal data replaced by its kind in brackets."""
+    lists = written(found_in(docs, confident, support, rounds).select("doc_id", "mark", F.col("spans").alias("_spans")), "spans")
+    part, rest = touched(docs, lists)
+    joined = join_rows(part, lists, "left").select(*docs.columns, "_spans")
+    tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def add(done: Column, span: Column) -> Column:
+        gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
+        more = F.concat(done["out"], gap, F.element_at(tags, span["kind"]))
+        # A span inside what is masked already only moves the end.
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.when(span["start"] >= done["at"], more).otherwise(done["out"]).alias("out"))
+
+    rebuilt = F.aggregate("_spans", start, add, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rebuilt)
+    both = joined.withColumn("text", text).select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else both
 
 
 def shown(spans: str) -> Column:

@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, raw_texts, spans_hashes, window_hashes, word_bounds, word_hashes, written
-from .paritysketch import SLOTS
+from .common import documents, join_rows, mark, mix, raw_texts, spans_hashes, touched, window_hashes, word_bounds, word_hashes, written
 
 _U = np.uint64
 SIZE, SEED = 35, 8
@@ -110,16 +109,14 @@ def seeded(docs: DataFrame, size: int, seed: int) -> DataFrame:
                      ["first", "last", "anchor", "whole"]))],
                 ["doc_id", "mark", "n", "sha", "runs"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    rows = docs.select("doc_id", "text", mark().alias("mark"))
     return rows.mapInArrow(run, "doc_id long, mark long, n long, sha string, runs array<struct<first:int,last:int,anchor:long,whole:long>>")
 
 
 def placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Texts with the rows of ``places`` (doc_id, mark, ...); the table of slots is bounded."""
-    slot = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLOTS)).cast("int")
-    occupied = places.select(slot.alias("slot")).distinct()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").withColumn("slot", slot)
-    return texts.join(F.broadcast(occupied), "slot", "left_semi").drop("slot").join(places, ["doc_id", "mark"])
+    """Texts with the rows of ``places`` (doc_id, mark, ...), equal ones once."""
+    texts = touched(docs.select("doc_id", "text"), places)[0]
+    return join_rows(texts, places).dropDuplicates(["doc_id", "mark"])
 
 
 def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +150,7 @@ def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataF
                     [pa.array(found[at].view(np.int64)), pa.array([doc_id] * len(at), pa.int64()), pa.array([mark] * len(at), pa.int64()), pa.array(at.astype(np.int32))],
                     ["window", "doc_id", "mark", "first"])
 
-    single = placed_texts(docs, written(ends, "ends")).dropDuplicates(["doc_id", "mark"])
+    single = placed_texts(docs, written(ends, "ends"))
     single = written(single.mapInArrow(windows, "window long, doc_id long, mark long, first int"), "windows")
     twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     alone = single.join(twice, "window").select("doc_id", "mark", "first", F.col("first").alias("last"))
@@ -189,7 +186,7 @@ def trimmed(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(removed, pa.int64()), pa.array(shas, pa.string())],
                                              ["doc_id", "mark", "removed", "kept"])
 
-    parts = placed_texts(docs, spans).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", "text", "spans").mapInArrow(run, "doc_id long, mark long, removed long, kept string")
+    parts = placed_texts(docs, spans).select("doc_id", "mark", "text", "spans").mapInArrow(run, "doc_id long, mark long, removed long, kept string")
     out = rows.join(parts, ["doc_id", "mark"], "left")
     whole = F.lit(digest([]))
     return out.select(
@@ -199,5 +196,34 @@ def trimmed(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
     )
 
 
+def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
+    """``docs`` less the repeated words, with ``n_chars`` of what is kept; texts left without a word go.
+
+    Texts that lose nothing stay as they are; in others single blanks stand between the kept words.
+    """
+    rows, spans = repeated(docs.select("doc_id", "text"), size, seed)
+    whole = written(rows.where("copied").select("doc_id", "mark").distinct(), "copied")
+    part, rest = touched(docs, spans.select("doc_id", "mark").unionByName(whole))
+    part = join_rows(part, whole, "left_anti")
+    part = join_rows(part, spans.withColumnRenamed("spans", "_spans"), "left")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, of in zip(batch["text"], batch["_spans"].to_pylist(), strict=True):
+                if not of:
+                    kept.append(text.as_py())
+                    continue
+                words = text_words((text.as_py() or "").encode())
+                gone = cover(of, len(words), size)
+                kept.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch[c] for c in names], names)
+
+    cut = part.select(*names, "_spans").mapInArrow(run, docs.schema).where(F.col("text").isNull() | (F.col("text") != ""))
+    both = cut.unionByName(rest.select(*names))
+    return both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else both
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trimmed(documents(spark, sf_dir)).drop("mark")
