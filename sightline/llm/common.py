@@ -94,22 +94,24 @@ def mark() -> Column:
 
 
 def touched(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that may have a key (doc_id, mark), with ``mark``, and all other rows.
+    """Rows of ``docs`` that may have a key (doc_id, mark), with ``_mark``, and all other rows.
 
     Keys fall in ``SLOTS`` slots by hash, and the table of occupied slots, bounded by that number, is
     broadcast. So a join on a few keys does not shuffle every text; with more keys than slots all
     rows are simply in the first part.
     """
-    slot = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLOTS)).cast("int")
-    occupied = F.broadcast(keys.select(slot.alias("_slot")).distinct())
-    rows = docs.withColumn("mark", mark()).withColumn("_slot", slot)
-    return rows.join(occupied, "_slot", "left_semi").drop("_slot"), rows.join(occupied, "_slot", "left_anti").drop("_slot", "mark")
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id", name), F.lit(SLOTS)).cast("int")
+
+    occupied = F.broadcast(keys.select(slot("mark").alias("_slot")).distinct())
+    rows = docs.withColumn("_mark", mark()).withColumn("_slot", slot("_mark"))
+    return rows.join(occupied, "_slot", "left_semi").drop("_slot"), rows.join(occupied, "_slot", "left_anti").drop("_slot", "_mark")
 
 
 def join_rows(rows: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` (with doc_id and mark) joined to ``keys`` (doc_id, mark, ...) by both; a null id fits a null id."""
+    """``rows`` (with doc_id and _mark) joined to ``keys`` (doc_id, mark, ...) by both; a null id fits a null id."""
     own = keys.withColumnsRenamed({"doc_id": "_key_id", "mark": "_key_mark"})
-    return rows.join(own, F.expr("doc_id <=> _key_id AND mark = _key_mark"), how).drop("_key_id", "_key_mark")
+    return rows.join(own, F.expr("doc_id <=> _key_id AND _mark = _key_mark"), how).drop("_key_id", "_key_mark")
 
 
 def linked_groups(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -138,8 +138,9 @@ def fit(labelled: DataFrame, sample: int = 1500, min_share: float = 2e-6, distin
     return MaskFilter.build(languages, [(g, number[x]) for x, g in zip(rows["lang"].to_pylist(), rows["gram"].to_pylist(), strict=True)])
 
 
-def predict(docs: DataFrame, model: MaskFilter, keep: list[str], sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score`` (the winner's part of all rates)."""
+def predict(docs: DataFrame, model: MaskFilter, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"),
+            sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language and its score (the winner's part of all rates)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by min_share and the languages
     docs = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"))
 
@@ -158,9 +159,9 @@ def predict(docs: DataFrame, model: MaskFilter, keep: list[str], sizes: tuple[in
                 langs.append(found.languages[best])
                 scores.append(float(rates[best] / rates.sum()) if rates[best] > 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*keep, "lang_pred", "score"])
+                                             [*keep, *names])
 
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

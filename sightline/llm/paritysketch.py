@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, nu
     texts = touched(docs.select("doc_id", "text"), ends)[0]
 
     def text(end: str) -> DataFrame:
-        return texts.select(F.col("doc_id").alias(f"doc_{end}"), F.col("mark").alias(f"mark_{end}"), F.col("text").alias(f"text_{end}"))
+        return texts.select(F.col("doc_id").alias(f"doc_{end}"), F.col("_mark").alias(f"mark_{end}"), F.col("text").alias(f"text_{end}"))
 
     found = pairs.join(text("b"), ["doc_b", "mark_b"]).join(text("a"), ["doc_a", "mark_a"])
 
@@ -311,7 +311,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     gone = written(gone.unionByName(twins).distinct(), "gone")
     near, rest = touched(docs, gone.unionByName(again))
     near = join_rows(near, gone, "left_anti")
-    single = join_rows(near, again, "left_semi").dropDuplicates(["doc_id", "mark"])
+    single = join_rows(near, again, "left_semi").dropDuplicates(["doc_id", "_mark"])
     near = join_rows(near, again, "left_anti").unionByName(single)
     return near.select(*docs.columns).unionByName(rest.select(*docs.columns))
 

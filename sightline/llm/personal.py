@@ -153,10 +153,10 @@ def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds:
 def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
     """Spans of every text: (doc_id, mark, base, spans), empty lists where there are none."""
     lists = found_in(docs, confident, support, rounds)
-    rows = docs.select("doc_id", mark().alias("mark"))
+    rows = docs.select("doc_id", mark().alias("_mark"))
     kind = "array<struct<start:bigint,kind:int,end:bigint>>"
     joined = join_rows(rows, lists, "left")
-    return joined.select("doc_id", "mark", *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
+    return joined.select("doc_id", F.col("_mark").alias("mark"), *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
 
 
 def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:

@@ -116,7 +116,7 @@ def seeded(docs: DataFrame, size: int, seed: int) -> DataFrame:
 def placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Texts with the rows of ``places`` (doc_id, mark, ...), equal ones once."""
     texts = touched(docs.select("doc_id", "text"), places)[0]
-    return join_rows(texts, places).dropDuplicates(["doc_id", "mark"])
+    return join_rows(texts, places).withColumnRenamed("_mark", "mark").dropDuplicates(["doc_id", "mark"])
 
 
 def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
