@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 SAMPLES = 32
 _AT_ONCE = 4
@@ -117,7 +117,7 @@ def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     found = signatures(texts, ["block", "nth", "kind"], samples)
     none = F.array().cast("array<bigint>")
     pick = [F.max(F.when(F.col("kind") == i, F.col("signature"))).alias(name) for i, name in enumerate(("own", "changed"))]
-    found = found.groupBy("block", "nth").agg(*pick)
+    found = written(found.groupBy("block", "nth").agg(*pick), "signatures")
     facts = rows.select("doc_id", "block", "nth", "next_block", "next_nth", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(edited(F.col("text"), F.col("following")), 256).alias("edited_sha256"))
     facts = facts.join(found, ["block", "nth"], "left")
