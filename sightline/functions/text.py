@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,36 +72,43 @@ def contains_any(s: Column, parts) -> Column:
 
 # --- entities ---------------------------------------------------------------------------------
 
-_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-_AMPERSANDS = ("&amp;", "&#38;", "&#x26;", "&#X26;")
+_ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+# Names that stand without a semicolon too, the longest first, as a prefix of what follows.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_OPEN = "^&(" + "|".join(_OPEN_NAMES) + ")(.*)$"
+
+
+def _number_text(entity: Column) -> Column:
+    """The character of a numeric reference: windows-1252 for 128 to 159, none for what is no character."""
+    digits = F.regexp_replace(F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+)", 1), "^0+(?=.)", "")
+    hexed = F.when(entity.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+    point = F.when((F.length(digits) <= 7), F.conv(hexed, 16, 10).cast("int")).otherwise(F.lit(1 << 30))
+    old = {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    character = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+    nothing = point.between(1, 8) | point.between(14, 31) | (point == 127) | (point == 11) | point.between(0xFDD0, 0xFDEF) | (point % 65536 >= 65534)
+    return (
+        F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\ufffd"))
+        .when(point == 13, F.lit("\r"))
+        .when(F.coalesce(lookup(old, point.cast("string")), F.lit("")) != "", lookup(old, point.cast("string")))
+        .when(nothing, F.lit(""))
+        .otherwise(character)
+    )
 
 
 def _entity_text(entity: Column) -> Column:
-    """The character an entity stands for; unknown names stay as they are."""
-    names = {f"&{n};": chr(c) for n, c in name2codepoint.items()} | {"&apos;": "'"}
-    digits = F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-    hexed = F.when(entity.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
-    return F.when(
-        entity.startswith("&#"),
-        F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32"),
-    ).otherwise(F.coalesce(lookup(names, entity), entity))
+    """The text an entity stands for by the HTML 5 rules; unknown names stay as they are."""
+    closed = {f"&{n}": text for n, text in html5.items()}
+    open_name = F.concat(F.lit("&"), F.regexp_extract(entity, _OPEN, 1))
+    prefix = F.concat(lookup(closed, open_name), F.regexp_extract(entity, _OPEN, 2))
+    return F.when(entity.startswith("&#"), _number_text(entity)).otherwise(F.coalesce(lookup(closed, entity), prefix, entity))
 
 
 def unescape(s: Column) -> Column:
-    """Undo HTML entities: the named set of HTML 4 and all numeric references.
-
-    The ampersand goes last, so ``&amp;lt;`` becomes ``&lt;`` and not ``<``.
-    """
+    """Undo HTML entities, named and numeric, in one pass: what an entity gives is not read again."""
     def plain(t: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)))
-        out = F.reduce(
-            F.filter(found, lambda e: ~e.isin(*_AMPERSANDS)),
-            t,
-            lambda acc, e: F.replace(acc, e, _entity_text(e)),
-        )
-        for amp in _AMPERSANDS:
-            out = F.replace(out, F.lit(amp), F.lit("&"))
-        return F.when(t.contains("&"), out).otherwise(t)
+        gaps, found = F.split(t, _ENTITY, -1), F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0))
+        pairs = F.zip_with(gaps, found, lambda gap, e: F.concat(gap, F.coalesce(_entity_text(e), F.lit(""))))
+        return F.when(t.contains("&"), F.array_join(pairs, "")).otherwise(t)
 
     return let(s, plain)
 

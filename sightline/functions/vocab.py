@@ -225,3 +225,13 @@ PLATFORM_PARSERS = {
     "playwright": "discover",
     "workday": "workday",
 }
+
+# Pages of the portal whose openings stand on one page per program.
+PROGRAM_PAGES = [
+    "https://www.pwc.es/es/carrera-profesional/student-job-search/results.html?wdcountry=ESP&wdjobsite=Global_Campus_Careers&wdprog=b78cd3deaf49102755292a6430e60000&wdgrade=1840265",
+    "https://www.pwc.es/es/carrera-profesional/student-job-search/results.html?wdcountry=ESP&wdjobsite=Global_Campus_Careers&wdprog=181d27aa0ec21027504f21f399fe0000&wdgrade=1840265",
+    "https://www.pwc.es/es/carrera-profesional/becas-y-practicas-profesionales/results.html?wdcountry=ESP&wdjobsite=Global_Campus_Careers&wdprog=3205d7f4e6a110274f8dbea37a590000&wdgrade=12669415",
+    "https://www.pwc.es/es/carrera-profesional/student-job-search/results.html?wdcountry=ESP&wdjobsite=Global_Campus_Careers&wdprog=3205d7f4e6a110274f8dbea37a590000&wdgrade=1840265",
+]
+# Text of a page that a portal's bot protection serves.
+BLOCK_PAGE_TEXT = "you have been blocked"

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_null, strings
-from ..schemas import DECISIONS
 from .dedupe import number_rows
 
 CHUNK_SIZE = 25
@@ -71,9 +70,24 @@ def score_chunks(payloads: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """Responses with ``decisions`` (null when the text is no valid answer) and ``failed``."""
-    parsed = F.from_json(or_null(F.col("response")), DECISIONS)["decisions"]
-    return responses.withColumn("decisions", parsed).withColumn("failed", F.col("decisions").isNull())
+    """Responses with ``decisions`` (null when the text is no valid answer) and ``failed``.
+
+    Entries that are no objects or have no URL are skipped; ``keep`` is true for anything but
+    false, nothing, zero and empty values; a missing reason is empty.
+    """
+    entries = F.from_json(or_null(F.col("response")), "struct<decisions: array<string>>")["decisions"]
+    objects = F.filter(F.transform(entries, F.try_parse_json), lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+
+    def decision(v: Column) -> Column:
+        keep, kind = F.try_variant_get(v, "$.keep", "string"), F.schema_of_variant(F.try_variant_get(v, "$.keep", "variant"))
+        no = (kind == "BOOLEAN") & (keep == "false") | keep.isin("", "[]", "{}") | kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (keep.try_cast("double") == 0)
+        return F.struct(
+            F.try_variant_get(v, "$.url", "string").alias("url"),
+            (keep.isNotNull() & ~F.coalesce(no, F.lit(False))).alias("keep"),
+            F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")).alias("reason"))
+
+    found = F.filter(F.transform(objects, decision), lambda d: d["url"].isNotNull())
+    return responses.withColumn("decisions", found).withColumn("failed", F.col("decisions").isNull())
 
 
 def response_decisions(parsed: DataFrame) -> DataFrame:
@@ -173,9 +187,12 @@ def persisted(decisions: DataFrame) -> DataFrame:
     real = decisions.where("is_real").select(
         "url", "seq", "run_date", "keep", F.substring("reason", 1, REASON_LIMIT).alias("reason")
     )
-    first = real.groupBy(*group).agg(F.min("seq").alias("_group_seq"))
+    # A URL counts once in a group, and a struct of the keys is never null. A group that a third of
+    # all rows share is split by adaptive execution, since nothing above needs its rows together.
+    once = real.groupBy("url", *group).agg(F.min("seq").alias("seq")).withColumn("_group", F.struct(*group))
+    first = real.groupBy(F.struct(*group).alias("_group")).agg(F.min("seq").alias("_group_seq"))
     return (
-        real.join(first, group)
+        once.join(first, "_group")
         .groupBy("url")
         .agg(F.max_by(F.struct("keep", "reason"), F.struct("run_date", "_group_seq")).alias("d"))
         .select("url", F.col("d.keep").alias("ai_keep"), F.col("d.reason").alias("ai_reason"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab
-from ..functions.jsonwalk import candidates, flatten, posting
+from ..functions.jsonwalk import candidates, parsed, posting, readable, score
 from ..functions.text import (
-    contains_any, contains_path_part, norm_text, real_title, slug_title, strings, title_pick,
+    contains_any, contains_path_part, norm_text, real_title, slug_title, title_pick,
 )
 from ..functions.urls import canonical_key, let, root_domain, strip_locale, url_join, url_part, url_parts
 from ..sources.captures import admit_captures
@@ -19,24 +18,16 @@ from ..sources.common import flat_map, in_place, keys_of, listings, once_per, se
 from .dedupe import compute_once, first_by
 
 
-def job_score(obj: Column) -> Column:
+@F.pandas_udf(T.IntegerType())
+def job_score(objects: pd.Series) -> pd.Series:
     """0 to 5: how many of title, url, id, location and department a JSON object has."""
-    members = F.map_entries(F.from_json(obj, "map<string, string>"))
-    score = F.lit(0)
-    for names in vocab.JSON_ROLE_KEYS.values():
-        has = F.exists(
-            members,
-            lambda m: F.array_contains(strings(names), F.lower(m["key"]))
-            & m["value"].isNotNull()
-            & ~m["value"].isin("", "[]"),
-        )
-        score = score + F.coalesce(has, F.lit(False)).cast("int")
-    return score
+    found = objects.map(lambda text: parsed(text) if text is not None else None)
+    return found.map(lambda obj: score(obj) if isinstance(obj, dict) else 0).astype("int32")
 
 
 @F.pandas_udf(T.StringType())
 def _flatten_nested(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None else flatten(json.loads(v)))
+    return values.map(lambda v: v if v is None else readable(parsed(v)))
 
 
 def flatten_json(raw: Column) -> Column:

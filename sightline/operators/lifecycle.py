@@ -69,11 +69,18 @@ def fold_history(sightings: DataFrame, failed: DataFrame | None = None) -> DataF
 
 
 def merge_runs(state: DataFrame | None, sightings: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """State after further runs, in any order: old rows and new sightings fold together."""
+    """State after further runs, in any order: old rows and new sightings fold together.
+
+    Whatever else the state holds, such as decisions, stays with its row.
+    """
     rows = _as_state(successful(sightings, failed))
-    if state is not None:
-        rows = state.select(*rows.columns).unionByName(rows)
-    return _with_active(rows)
+    if state is None:
+        return _with_active(rows)
+    more = [c for c in state.columns if c not in {*rows.columns, "is_active"}]
+    now = _with_active(state.select(*rows.columns).unionByName(rows))
+    if not more:
+        return now
+    return now.join(state.select("company_id", "url", *more), ["company_id", "url"], "left")
 
 
 def snapshot(sightings: DataFrame) -> DataFrame:

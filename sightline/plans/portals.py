@@ -12,7 +12,7 @@ from ..sources import json_portals as js
 from ..sources import link_portals as lp
 from ..sources import markup_portals as mk
 from ..sources.common import attach_companies, load_companies
-from ..sources.registry import resolve_parser
+from ..sources.registry import parse_sources, parser_names, resolve_parser
 from .check_sql import location_by_filter, real_title_sql, slug_sql, stripped
 from .fixtures import CAREERS_URLS, PLACES, TITLES, cases, fixture, quoted, with_fixtures
 from .portal_pages import (
@@ -510,25 +510,27 @@ def link_profile_first(spark, sf_dir):
 
 
 _KINDS = ["workday", "phenom", "successfactors", "html_in_json", "wp_cards", "greenhouse"]
+# Thinner and thinner pages, up to the sixtieth.
+_PAGE = "(ref % 101) * (ref % 101) * 60 div 10201"
 _PAGED = with_fixtures("postings") + f""",
-kept AS (SELECT *, {cases("portal", _KINDS)} AS parser, ref - ref % 4 AS link FROM postings WHERE price > 60000 + 12000 * page_idx),
+kept AS (SELECT * EXCLUDE (page_idx), {cases("portal", _KINDS)} AS parser, ref - ref % 4 AS link, {_PAGE.replace(" div ", " // ")} AS page_idx FROM postings),
 firsts AS (SELECT portal, link, min(page_idx) AS page_idx FROM kept GROUP BY ALL),
 news AS (SELECT portal, page_idx, count(*) AS n_new FROM firsts GROUP BY ALL),
-pages_ AS (SELECT k.portal, k.page_idx, any_value(k.parser) AS parser, count(*) AS n_items FROM kept k GROUP BY ALL),
+pages_ AS (SELECT k.portal, k.page_idx, any_value(k.parser) AS parser, count(*) AS n_items, count(DISTINCT link) AS n_urls FROM kept k GROUP BY ALL),
 totals AS (SELECT portal, count(*) AS total FROM kept GROUP BY ALL),
-sizes AS (SELECT portal, n_items AS size FROM pages_ WHERE page_idx = 0),
+sizes AS (SELECT portal, n_urls AS size FROM pages_ WHERE page_idx = 0),
 full_ AS (SELECT p.*, coalesce(n.n_new, 0) AS n_new, t.total, coalesce(s.size, 25) AS size FROM pages_ p JOIN totals t USING (portal)
   LEFT JOIN news n ON n.portal = p.portal AND n.page_idx = p.page_idx LEFT JOIN sizes s ON s.portal = p.portal),
 stops AS (SELECT *, CASE parser WHEN 'workday' THEN (page_idx + 1) * 20 >= total WHEN 'phenom' THEN (page_idx + 1) * 50 >= total
-  WHEN 'successfactors' THEN n_items < size WHEN 'html_in_json' THEN n_new = 0 WHEN 'wp_cards' THEN n_new = 0 ELSE false END AS stop FROM full_)
+  WHEN 'successfactors' THEN n_urls < size WHEN 'html_in_json' THEN n_new = 0 ELSE false END AS stop FROM full_)
 SELECT CAST(portal AS VARCHAR) AS company_id, CAST(page_idx AS BIGINT) AS page_idx, parser, n_items FROM stops s
 WHERE page_idx <= coalesce((SELECT min(page_idx) FROM stops e WHERE e.portal = s.portal AND e.stop), 1000)"""
 
 
 @query("paged_source", _PAGED)
 def paged_source(spark, sf_dir):
-    rows = postings(spark, sf_dir).where("price > 60000 + 12000 * page_idx").select(
-        "company_id", "page_idx", (F.col("ref") - F.col("ref") % 4).alias("url"), F.expr(cases("portal", _KINDS)).alias("parser")
+    rows = postings(spark, sf_dir).select(
+        "company_id", F.expr(_PAGE).alias("page_idx"), (F.col("ref") - F.col("ref") % 4).alias("url"), F.expr(cases("portal", _KINDS)).alias("parser")
     )
     totals = rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("total"), F.first("parser").alias("parser"))
     counted = cap.count_new(rows.drop("parser")).join(totals, "company_id")
@@ -567,7 +569,7 @@ def parser_routing(spark, sf_dir):
   WHEN parser = 'card_links' AND lower(places) <> 'madrid' THEN concat('no country code for ', places) END AS error
 FROM routed WHERE error IS NOT NULL""")
 def source_errors(spark, sf_dir):
-    return cap.source_errors(_companies(spark, sf_dir))
+    return cap.source_errors(_companies(spark, sf_dir), parser_names())
 
 
 @query("place_codes", _ROUTED + """SELECT company_id, parser, CASE WHEN parser = 'card_links' THEN CASE WHEN lower(places) = 'madrid' THEN '74' END
@@ -578,23 +580,28 @@ def place_codes(spark, sf_dir):
 
 
 @query("request_plan", _ROUTED + """,
-paged AS (SELECT *, unnest(range(CASE parser WHEN 'successfactors' THEN 50 WHEN 'html_in_json' THEN 20 WHEN 'wp_cards' THEN 20 ELSE 1 END)) AS p FROM routed)
+sized AS (SELECT *, CAST(company_id AS BIGINT) % 137 AS total, CASE WHEN CAST(company_id AS BIGINT) % 3 = 0 THEN 10 END AS step FROM routed),
+paged AS (SELECT *, unnest(range(CASE parser WHEN 'html_table' THEN 4 ELSE greatest(1, coalesce(CAST(ceil(total / (
+    CASE parser WHEN 'workday' THEN 20 WHEN 'phenom' THEN 50 WHEN 'successfactors' THEN coalesce(step, 25) WHEN 'html_in_json' THEN step WHEN 'wp_cards' THEN step END)) AS BIGINT), 1)) END)) AS p FROM sized)
 SELECT company_id, parser, p AS page_idx, CASE WHEN kind IN (0, 1) OR parser = 'workday' THEN 'POST' ELSE 'GET' END AS method,
   CASE WHEN kind = 0 THEN 'https://acme.wd3.myworkdayjobs.com/wday/cxs/acme/External/jobs'
     WHEN kind = 1 THEN 'https://www.alantra.com/wp-admin/admin-ajax.php'
-    WHEN kind = 5 THEN concat('https://empleo.es.deloitte.com/search/?sort=x+y&startrow=', p * 25, '#top')
+    WHEN kind = 5 THEN concat('https://empleo.es.deloitte.com/search/?sort=x+y&startrow=', p * coalesce(step, 25), '#top')
     WHEN kind = 8 THEN concat('https://eyglobal.yello.co/job_boards/c1riT--B2O/search?query=&filters=139513,180711&page_number=', p + 1)
     WHEN kind = 11 THEN 'https://www.morganstanley.com/web/career_services/webapp/service/careerservice/resultset.json?opportunity=ep&lang=EN&location='
     WHEN kind = 15 THEN 'https://firm.tal.net/vx/mobile-0/appcentre-1/brand-6/candidate/jobboard/vacancy/2/feed'
     WHEN parser = 'workday' THEN CASE kind WHEN 13 THEN 'https://careers.marsh.myworkdayjobs.com/wday/cxs/careers/global/en/other/jobs'
       WHEN 17 THEN 'https://higher.gs.myworkdayjobs.com/wday/cxs/higher/campus/jobs' WHEN 18 THEN 'https://boards.example.myworkdayjobs.com/wday/cxs/boards/acme/jobs' END
+    WHEN parser = 'html_table' THEN """ + cases("p", vocab.PROGRAM_PAGES) + """
     WHEN parser = 'greenhouse' THEN concat('https://boards-api.greenhouse.io/v1/boards/', greenhouse_id, '/jobs?content=true')
     WHEN parser = 'lever' THEN concat('https://api.lever.co/v0/postings/', lever_id, '?mode=json') ELSE careers_url END AS url,
-  CASE WHEN kind = 0 THEN '{"appliedFacets":{"locations":["3b74"],"jobFamily":["a","b"]},"limit":20,"offset":0,"searchText":""}'
-    WHEN kind = 17 AND parser = 'workday' THEN '{"appliedFacets":{"LOCATION":["Madrid|London"],"page":["1"]},"limit":20,"offset":0,"searchText":""}'
-    WHEN parser = 'workday' AND careers_url IS NOT NULL THEN '{"appliedFacets":{},"limit":20,"offset":0,"searchText":""}'
+  CASE WHEN kind = 0 THEN '{"appliedFacets":{"locations":["3b74"],"jobFamily":["a","b"]},"limit":20,"offset":' || p * 20 || ',"searchText":""}'
+    WHEN kind = 17 AND parser = 'workday' THEN '{"appliedFacets":{"LOCATION":["Madrid|London"],"page":["1"]},"limit":20,"offset":' || p * 20 || ',"searchText":""}'
+    WHEN parser = 'workday' AND careers_url IS NOT NULL THEN '{"appliedFacets":{},"limit":20,"offset":' || p * 20 || ',"searchText":""}'
     WHEN kind = 1 THEN concat('action=careers_filter&page=', p + 1, '&location=',
       CASE lower(places) WHEN 'madrid' THEN 'Spain+-+Madrid' WHEN 'london' THEN 'UK+-+London' ELSE '' END, '&division=&words=') END AS payload
 FROM paged""")
 def request_plan(spark, sf_dir):
-    return cap.request_plan(_companies(spark, sf_dir))
+    number = F.col("company_id").cast("long")
+    known = _companies(spark, sf_dir).withColumn("total", number % 137).withColumn("page_size", F.when(number % 3 == 0, 10))
+    return cap.request_plan(known)

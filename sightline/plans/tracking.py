@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, lifecycle, listings
+from ..shared import new_path
 from ..sources.sinks import read_state
 from ..streaming import replay
 from .fixtures import FIXTURES, LAST_RUN, fixture, with_fixtures
@@ -188,15 +186,15 @@ def diagnose_by_name(spark, sf_dir):
 
 @query("state_streamed", _GOOD + "SELECT * FROM state")
 def state_streamed(spark, sf_dir):
-    """The event file as a stream; the state it leaves behind equals the batch fold."""
+    """The events as a stream of four files, which split runs; the state equals the batch fold."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    root = f"{replay.shared_dir(spark, tempfile.gettempdir())}/state-{uuid.uuid4().hex}"
+    root = f"{new_path(spark, 'state')}"
+    events.repartition(4, "event_id").write.parquet(f"{root}/events")
 
     def read(batch):
         made = {n: batch.sparkSession.sql(FIXTURES[n], events=batch) for n in ("sightings", "failures")}
         return made["sightings"], made["failures"]
 
-    # A pattern, since a stream takes no plain file name and the table may be a file or a folder.
-    stream = replay.read_files(spark, f"{sf_dir}/events.parque[t]", events.schema)
+    stream = replay.read_files(spark, f"{root}/events", events.schema, files_per_batch=1)
     replay.track(stream, read, f"{root}/state", f"{root}/progress").awaitTermination()
     return read_state(spark, f"{root}/state")

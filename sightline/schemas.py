@@ -45,5 +45,3 @@ STATE = T.StructType(
         T.StructField("ai_reason", T.StringType()),
     ]
 )
-
-DECISIONS = "struct<decisions: array<struct<url: string, keep: boolean, reason: string>>>"

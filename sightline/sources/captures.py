@@ -13,20 +13,19 @@ from ..functions.urls import (
 from ..operators.dedupe import compute_once
 from .common import source_keys
 
-_BODY_LIMIT = 2_000_000
 
-
-def admit_captures(captures: DataFrame, check_json: bool = True) -> DataFrame:
+def admit_captures(captures: DataFrame, check_json: bool = True, body_limit: int | None = None) -> DataFrame:
     """Responses worth reading, with ``strict`` set where the path does not speak of jobs.
 
-    ``check_json=False`` leaves the parse test to a reader that parses the body anyway.
+    ``check_json=False`` leaves the parse test to a reader that parses the body anyway;
+    ``body_limit`` drops longer bodies, if given.
     """
     body = strip(F.col("body"))
     path = F.lower(url_part(F.col("request_url"), "path"))
     kept = captures.where(
         F.lower("content_type").contains("json")
         & (F.col("status") < 400)
-        & (F.length("body") <= _BODY_LIMIT)
+        & (F.lit(True) if body_limit is None else F.length("body") <= body_limit)
         & body.rlike(r"^[\[{]")
         & ~contains_any(path, vocab.SKIPPED_RESPONSE_PATHS)
     )
@@ -38,55 +37,55 @@ def admit_captures(captures: DataFrame, check_json: bool = True) -> DataFrame:
 # --- page assembly ------------------------------------------------------------------------------
 
 def count_new(items: DataFrame) -> DataFrame:
-    """Per page: rows, and rows whose URL no earlier page of the same source had."""
+    """Per page: rows, different URLs, and those of them that no earlier page of the source had."""
     keys = source_keys(items)
     first = items.groupBy(*keys, "url").agg(F.min("page_idx").alias("page_idx"))
     new = first.groupBy(*keys, "page_idx").agg(F.count(F.lit(1)).alias("n_new"))
-    pages = items.groupBy(*keys, "page_idx").agg(F.count(F.lit(1)).alias("n_items"))
+    pages = items.groupBy(*keys, "page_idx").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_distinct("url").alias("n_urls"))
     return pages.join(new, [*keys, "page_idx"], "left").na.fill(0, ["n_new"])
 
 
-# Page size and page cap of the paged portals; a size of None is read off the first page.
+# How each paged portal ends: at its total in pages of a size, at a page with fewer different URLs
+# than the first one, at a page without a new URL, or (no further rule) at an empty page.
 PAGE_RULES = {
-    "workday": {"size": 20, "by_total": True},
-    "phenom": {"size": 50, "by_total": True},
-    "successfactors": {"size": None, "cap": 50},
-    "html_in_json": {"new_only": True, "cap": 20},
-    "wp_cards": {"new_only": True, "cap": 20},
+    "workday": {"size": 20},
+    "phenom": {"size": 50},
+    "successfactors": {"short_page": True},
+    "html_in_json": {"new_only": True},
+    "wp_cards": {},
 }
 
 
 def _stops_here(rule: dict) -> Column:
     """No further page is read after this one."""
     stop = F.coalesce(F.col("n_items"), F.lit(0)) == 0
-    if rule.get("by_total"):
+    if "size" in rule:
         stop = stop | ((F.col("page_idx") + 1) * rule["size"] >= F.coalesce("total", F.lit(0)))
-    elif rule.get("new_only"):
+    if rule.get("new_only"):
         stop = stop | (F.col("n_new") == 0)
-    else:
-        stop = stop | (F.col("n_items") < F.col("_size"))
+    if rule.get("short_page"):
+        stop = stop | (F.col("n_urls") < F.col("_size"))
     return stop
 
 
 def assemble_pages(pages: DataFrame, rules: dict | None = None) -> DataFrame:
     """Pages a source really contributes: in order, up to the first one that ends the list.
 
-    ``pages`` holds ``parser``, ``page_idx`` from 0, ``n_items``, ``n_new`` and ``total``. Both
-    aggregates are one row per source; no source is gathered in one task.
+    ``pages`` holds ``parser``, ``page_idx`` from 0, ``n_items``, ``n_urls``, ``n_new`` (see
+    ``count_new``; items after the place test for cards, before it for rows of links) and ``total``.
+    Captured pages are never cut at a number. Both aggregates are one row per source.
     """
     rules = PAGE_RULES if rules is None else rules
     keys = source_keys(pages)
-    stop, cap = F.lit(False), F.lit(None).cast("int")
+    stop = F.lit(False)
     for parser, rule in rules.items():
-        here = F.col("parser") == parser
-        stop = F.when(here, _stops_here(rule)).otherwise(stop)
-        cap = F.when(here, F.lit(rule.get("cap")).cast("int")).otherwise(cap)
+        stop = F.when(F.col("parser") == parser, _stops_here(rule)).otherwise(stop)
     sizes = pages.where("page_idx = 0").select(
-        *keys, F.coalesce(F.nullif("n_items", F.lit(0)), F.lit(25)).alias("_size")
+        *keys, F.coalesce(F.nullif("n_urls", F.lit(0)), F.lit(25)).alias("_size")
     )
     marked = (
-        pages.where(F.coalesce(F.col("page_idx") < cap, F.lit(True)))
-        .join(sizes, keys, "left")
+        pages.join(sizes, keys, "left")
         .withColumn("_size", F.coalesce("_size", F.lit(25)))
         .withColumn("_stop", stop)
     )
@@ -98,6 +97,46 @@ def assemble_pages(pages: DataFrame, rules: dict | None = None) -> DataFrame:
     )
 
 
+# --- failures -----------------------------------------------------------------------------------
+
+_JSON_BODIES = ("greenhouse", "lever", "workday", "phenom", "resultset", "intervieweb", "html_in_json", "wp_cards")
+# A later page of these that fails only ends the list.
+_LENIENT = ("successfactors", "html_in_json")
+
+
+def capture_error(parser: Column, status: Column, body: Column) -> Column:
+    """Why a captured response cannot be read, or null."""
+    return (
+        F.when(status >= 400, F.concat(F.lit("status "), status.cast("string")))
+        .when(parser.isin(*_JSON_BODIES) & F.try_parse_json(body).isNull(), F.lit("body is no JSON"))
+        .when((parser == "atom") & ~F.coalesce(body.contains("<feed"), F.lit(False)), F.lit("body is no feed"))
+        .when((parser == "headings") & F.lower(body).contains(vocab.BLOCK_PAGE_TEXT), F.lit("blocked"))
+    )
+
+
+def _judged(captures: DataFrame) -> DataFrame:
+    return captures.withColumn("error", capture_error(F.col("parser"), F.col("status"), F.col("body")))
+
+
+def capture_failures(captures: DataFrame) -> DataFrame:
+    """Pages that make a company-run fail: its keys, ``page_idx`` and ``error``.
+
+    A failed response of a discovered site is just not read, since others may hold the listings.
+    """
+    ends = F.col("parser").isin(*_LENIENT) & (F.col("page_idx") > 0)
+    failed = _judged(captures).where(F.col("error").isNotNull() & ~ends & (F.col("parser") != "discover"))
+    return failed.select(*source_keys(captures), "page_idx", "error")
+
+
+def readable_captures(captures: DataFrame) -> DataFrame:
+    """Captures without an error, of a list that a failed page ends only those before it."""
+    judged, keys = _judged(captures), source_keys(captures)
+    ends = judged.where(F.col("error").isNotNull() & F.col("parser").isin(*_LENIENT))
+    ends = ends.groupBy(*keys).agg(F.min("page_idx").alias("_end"))
+    good = judged.where(F.col("error").isNull()).drop("error").join(ends, keys, "left")
+    return good.where(F.col("_end").isNull() | (F.col("page_idx") < F.col("_end"))).drop("_end")
+
+
 # --- request plan -------------------------------------------------------------------------------
 
 def _form_encoded(s: Column) -> Column:
@@ -125,7 +164,9 @@ def request_plan(companies: DataFrame) -> DataFrame:
     """Pages to fetch per company: ``page_idx``, ``method``, ``url``, ``payload``.
 
     Needs ``parser`` (see ``resolve_parser``). A paged portal gets its first page, or all of them
-    where a ``total`` column says how many postings there are; capped portals get the whole cap.
+    where a ``total`` column says how many postings there are; without a total the fetcher goes on
+    until ``assemble_pages`` would stop. ``page_size`` is the size that a portal's first page had.
+    A portal of several program pages gets each of them.
     """
     careers = F.col("careers_url")
     scheme, netloc, path, query, host = (
@@ -135,12 +176,14 @@ def request_plan(companies: DataFrame) -> DataFrame:
     parser, page = F.col("parser"), F.col("page_idx")
     total = F.col("total") if "total" in companies.columns else F.lit(0)
 
-    last_page = (
-        F.when(parser == "workday", F.greatest(F.ceil(F.coalesce(total, F.lit(0)) / 20) - 1, F.lit(0)))
-        .when(parser == "successfactors", F.lit(PAGE_RULES["successfactors"]["cap"] - 1))
-        .when(parser.isin("html_in_json", "wp_cards"), F.lit(PAGE_RULES["wp_cards"]["cap"] - 1))
-        .otherwise(F.lit(0))
-    ).cast("int")
+    step = F.col("page_size") if "page_size" in companies.columns else F.lit(None).cast("int")
+    size = (
+        F.when(parser == "workday", F.lit(20)).when(parser == "phenom", F.lit(50))
+        .when(parser == "successfactors", F.coalesce(step, F.lit(25))).when(parser.isin("html_in_json", "wp_cards"), step)
+    )
+    by_total = F.coalesce(F.ceil(F.coalesce(total, F.lit(0)) / size) - 1, F.lit(0))
+    programs = len(vocab.PROGRAM_PAGES)
+    last_page = F.when(parser == "html_table", programs - 1).otherwise(F.greatest(by_total, F.lit(0))).cast("int")
     planned = companies.withColumn("page_idx", F.explode(F.sequence(F.lit(0), last_page)))
 
     labels = F.split(host, r"\.")
@@ -158,7 +201,7 @@ def request_plan(companies: DataFrame) -> DataFrame:
     )
     kept = F.filter(query_params(query), lambda p: F.lower(p["name"]) != "startrow")
     startrow = F.array(
-        F.struct(F.lit("startrow").alias("name"), (page * 25).cast("string").alias("value"))
+        F.struct(F.lit("startrow").alias("name"), (page * F.coalesce(step, F.lit(25))).cast("string").alias("value"))
     )
     fragment = url_part(careers, "fragment")
     row_page = F.concat(
@@ -212,6 +255,7 @@ def request_plan(companies: DataFrame) -> DataFrame:
             F.concat(F.lit("https://api.lever.co/v0/postings/"), F.col("lever_id"), F.lit("?mode=json")),
         )
         .when(parser == "wp_cards", F.concat(origin, F.lit("/wp-admin/admin-ajax.php")))
+        .when(parser == "html_table", F.get(strings(vocab.PROGRAM_PAGES), page))
         .otherwise(careers)
     )
     payload = F.when(parser == "workday", facets).when(
@@ -228,13 +272,17 @@ def request_plan(companies: DataFrame) -> DataFrame:
     )
 
 
-def source_errors(companies: DataFrame) -> DataFrame:
-    """Companies that cannot be read at all, with the reason; the others are not affected."""
+def source_errors(companies: DataFrame, known: list[str] | tuple = ()) -> DataFrame:
+    """Companies that cannot be read at all, with the reason; the others are not affected.
+
+    ``known`` names the parsers there are (see ``registry.parser_names``); without it all pass.
+    """
     city = F.lower("location_filter")
 
     def reason(parser: Column, path: Column) -> Column:
         return (
             F.when(parser.isNull(), F.concat(F.lit("unknown platform "), F.coalesce("ats", F.lit("(none)"))))
+            .when(F.lit(bool(known)) & ~parser.isin(*known), F.concat(F.lit("no parser named "), parser))
             .when(
                 (parser == "embedded_json") & or_null(F.col("acciona_division")).isNull(),
                 F.lit("no division configured"),

@@ -16,11 +16,8 @@ from ..functions.urls import named
 from ..operators.dedupe import first_by
 from ..schemas import KEY_FIELDS, LISTING_FIELDS
 
-# Room for a million rows on one captured page.
-_PAGE_STRIDE = 1_000_000
-
-# A company's settings with its place lists take about a kilobyte.
-_BROADCAST_COMPANIES = 20_000
+# More than the rows of one captured page can be: they come from arrays of at most 2^31 entries.
+_PAGE_BITS = 32
 
 
 def keys_of(df: DataFrame) -> list[str]:
@@ -41,12 +38,11 @@ def load_companies(catalog: DataFrame, default_location_filter: str) -> DataFram
 def attach_companies(captures: DataFrame, companies: DataFrame) -> DataFrame:
     """Captures with their company's settings; the filter is compiled once per company.
 
-    Bodies should not travel for this join, so a catalog of counted, bounded size is broadcast.
-    A larger one joins by shuffle, where adaptive execution splits a hot company.
+    The planner broadcasts a catalog that its size estimate allows; a larger one joins by shuffle,
+    where adaptive execution splits a hot company.
     """
     settings = companies.withColumn("places", compile_filter_column(F.col("location_filter")))
-    small = companies.limit(_BROADCAST_COMPANIES + 1).count() <= _BROADCAST_COMPANIES
-    return captures.join(F.broadcast(settings) if small else settings, "company_id")
+    return captures.join(settings, "company_id")
 
 
 def in_place(*texts: Column) -> Column:
@@ -60,7 +56,7 @@ def in_place(*texts: Column) -> Column:
 def sequence(pos: Column, df: DataFrame) -> Column:
     """Order of a row inside its source fetch."""
     page = F.col("page_idx").cast("long") if "page_idx" in df.columns else F.lit(0).cast("long")
-    return page * _PAGE_STRIDE + pos.cast("long")
+    return F.shiftleft(page, _PAGE_BITS) + pos.cast("long")
 
 
 def listings(df: DataFrame, **fields: Column) -> DataFrame:

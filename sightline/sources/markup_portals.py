@@ -55,14 +55,13 @@ def _each(captures: DataFrame, items: Column, fields) -> DataFrame:
 def links_from_html(captures: DataFrame) -> DataFrame:
     """Anchors as links: href as written, text, and the text of the innermost block around them."""
 
-    def in_block(piece: Column, piece_no: Column) -> Column:
+    def in_block(piece: Column) -> Column:
         context = F.when(starts_block(piece), text_of(piece)).otherwise("")
         return let(
             context,
             lambda around: F.transform(
                 anchors(piece),
-                lambda a, i: named(
-                    pos=(piece_no * 1000 + i).cast("long"),
+                lambda a: named(
                     href=strip(attribute(a["g1"], "href")),
                     text=text_of(a["g2"]),
                     context=around,
@@ -72,7 +71,8 @@ def links_from_html(captures: DataFrame) -> DataFrame:
 
     found = F.flatten(F.transform(blocks(F.col("body")), in_block))
     carried = [c for c in captures.columns if c != "body"]
-    return captures.select(*carried, F.explode(found).alias("x")).select(*carried, "x.*")
+    rows = captures.select(*carried, F.posexplode(found).alias("pos", "x"))
+    return rows.select(*carried, F.col("pos").cast("long").alias("pos"), "x.*")
 
 
 def successfactors_cards(captures: DataFrame) -> DataFrame:

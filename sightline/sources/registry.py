@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.text import lookup
 from ..functions.urls import let, named, url_part
+from ..operators import discovery
 from . import json_portals, link_portals, markup_portals
+from .captures import readable_captures
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -32,6 +34,7 @@ CAPTURE_PARSERS: dict[str, Parser] = {
     "id_permalink": markup_portals.parse_id_permalink,
     "html_table": markup_portals.parse_html_table,
     "headings": markup_portals.parse_headings,
+    "discover": discovery.discover_jobs,
 }
 
 # Parsers of rendered links.
@@ -39,8 +42,16 @@ LINK_PARSERS: dict[str, Parser] = {
     "atom": link_portals.parse_talentlink_links,
     "query_routed": link_portals.parse_ubs_links,
     "card_links": link_portals.parse_cegid_links,
+    "discover": discovery.discover_links,
 }
 
+# Parsers of rendered cards (``title``, ``status``, ``apply_href``).
+CARD_PARSERS: dict[str, Parser] = {"status_cards": link_portals.parse_cards}
+
+
+def parser_names() -> list[str]:
+    return sorted({*CAPTURE_PARSERS, *LINK_PARSERS, *CARD_PARSERS})
+
 
 def parser_column(careers_url: Column, ats: Column, rules=None, platforms=None) -> Column:
     """Host rules first, then the configured platform; null when neither is known.
@@ -76,3 +87,26 @@ def parse_captures(captures: DataFrame, parsers: dict[str, Parser] | None = None
     parsers = CAPTURE_PARSERS if parsers is None else parsers
     parts = [parse(captures.where(F.col("parser") == name)) for name, parse in parsers.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def parse_sources(
+    captures: DataFrame, links: DataFrame | None = None, cards: DataFrame | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """Listings of everything captured: readable bodies, rendered links and cards, by ``parser``.
+
+    What responses and links of a discovered site say of one posting is merged to one row.
+    ``names`` lists the parsers that the catalog uses, all by default; the plan has a branch each.
+    """
+    names = parser_names() if names is None else names
+    if unknown := sorted(set(names) - set(parser_names())):
+        raise ValueError(f"no parser named {', '.join(unknown)}")
+    readable = readable_captures(captures)
+
+    def parts(rows: DataFrame | None, parsers: dict[str, Parser]) -> dict[str, DataFrame]:
+        return {} if rows is None else {n: p(rows.where(F.col("parser") == n)) for n, p in parsers.items() if n in names}
+
+    bodies, anchors, shown = parts(readable, CAPTURE_PARSERS), parts(links, LINK_PARSERS), parts(cards, CARD_PARSERS)
+    discovered = [x.pop("discover") for x in (bodies, anchors) if "discover" in x]
+    if len(discovered) == 2:
+        discovered = [discovery.merge_by_key(*discovered).drop("job_key")]
+    return reduce(DataFrame.unionByName, [*bodies.values(), *anchors.values(), *shown.values(), *discovered])

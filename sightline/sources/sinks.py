@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import CAPTURES
 
@@ -18,18 +19,24 @@ def write_captures(captures: DataFrame, path: str) -> None:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CAPTURES.add("parser", "string")).parquet(path)
+    fields = [*CAPTURES.fields, T.StructField("parser", T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def write_state(state: DataFrame, path: str, version: int) -> None:
-    """A new version beside the old ones; writing the same version again replaces it."""
+    """A new version beside the old ones; writing the same version again replaces it.
+
+    A mark written after the rows says that the version is complete.
+    """
     state.write.mode("overwrite").parquet(f"{path}/version={version}")
+    mark = state.sparkSession.range(1, numPartitions=1).select(F.lit(version).alias("version"))
+    mark.write.mode("overwrite").parquet(f"{path}-complete/part={version}")
 
 
 def read_state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """One version of the state, the newest by default."""
+    """One version of the state, by default the newest that was written to its end."""
     if version is None:
-        version = spark.read.parquet(path).agg(F.max("version")).first()[0]
+        version = spark.read.parquet(f"{path}-complete").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{path}/version={version}")
 
 

@@ -5,21 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.lifecycle import merge_runs
+from ..operators.lifecycle import fold_history
 from ..sources.sinks import read_state, write_state
 
 # Sightings of a batch, and its failed company-runs or None.
 Reader = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
 
 
-def shared_dir(spark: SparkSession, fallback: str) -> str:
-    """The folder the cluster names for checkpoints; the fallback only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
-
-
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -35,12 +31,28 @@ def drop_repeats(sightings: DataFrame, delay: str = "3 days") -> DataFrame:
 def track(stream: DataFrame, read: Reader, state_path: str, checkpoint: str) -> StreamingQuery:
     """Fold every micro-batch into the next state version and stop when no file is left.
 
-    Batch n reads version n - 1 and writes version n, so a batch that runs again after a failure
-    writes the same version again. Late runs are welcome: the fold takes minima and maxima.
+    A run may be split over batches, and its failure may come with any of them, so sightings and
+    failures are kept as tables and the companies that a batch touches are folded again from all
+    of theirs; rows of other companies, and decisions, stay. Batch n reads version n - 1 and writes
+    its own rows and version n, so a batch that runs again after a failure writes the same again.
     """
     def step(batch: DataFrame, n: int) -> None:
-        before = read_state(batch.sparkSession, state_path, n - 1) if n > 0 else None
-        write_state(merge_runs(before, *read(batch)), state_path, n)
+        spark = batch.sparkSession
+        sightings, failed = read(batch)
+        seen, bad = f"{state_path}-sightings", f"{state_path}-failures"
+        sightings.write.mode("overwrite").parquet(f"{seen}/batch={n}")
+        (sightings.limit(0) if failed is None else failed).select("company_id", "run_date").distinct().write.mode("overwrite").parquet(f"{bad}/batch={n}")
+        seen, bad = (spark.read.parquet(p).where(F.col("batch") <= n) for p in (seen, bad))
+        touched = seen.select("company_id", "batch").unionByName(bad.select("company_id", "batch"))
+        touched = touched.where(F.col("batch") == n).select("company_id").distinct()
+        state = fold_history(seen.drop("batch").join(touched, "company_id", "left_semi"), bad.drop("batch"))
+        if n > 0:
+            before = read_state(spark, state_path, n - 1)
+            more = [c for c in before.columns if c not in state.columns]
+            if more:
+                state = state.join(before.select("company_id", "url", *more), ["company_id", "url"], "left")
+            state = state.unionByName(before.join(touched, "company_id", "left_anti"))
+        write_state(state, state_path, n)
 
     return (
         stream.writeStream.foreachBatch(step)

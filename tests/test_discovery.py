@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sightline.functions.jsonwalk import candidates, flatten
+from sightline.functions.jsonwalk import candidates, posting, readable
 from sightline.functions.location import compile_filter
 from sightline.operators import discovery
 
@@ -17,23 +17,27 @@ def test_candidate_lists():
     found = lambda data, strict=False: list(candidates(json.dumps(data), strict))
     assert len(found({"a": {"b": [{"c": [job(1), job(2)]}]}})) == 2
     assert found([1, job(1)]) == [] and found([[job(1)]]) == [] and found([]) == []
-    assert len(found([job(i) for i in range(500)])) == 500 and found([job(i) for i in range(501)]) == []
+    assert len(found([job(i) for i in range(501)])) == 501
+    assert list(candidates(json.dumps([job(i) for i in range(501)]), False, max_items=500)) == []
     assert found([{"title": "x", "id": 1}], strict=True) == [] and len(found([{"title": "x", "id": 1}])) == 1
     assert found([{"title": "", "url": "/a", "id": 1, "city": "b"}]) == []
     assert len(found([job(1, city="b", team="c"), {"title": "bare"}])) == 2      # mean 3 passes, minimum does not
-    assert len(found([job(i) for i in range(5)] + [{"x": 1}])) == 6               # only the first five are scored
+    assert found([job(i) for i in range(5)] + [{"x": 1}]) == []                     # every item is judged
+    assert len(list(candidates(json.dumps([job(i) for i in range(5)] + [{"x": 1}]), False, sample=5))) == 6
     deep = [job(1)]
     for _ in range(8):
         deep = {"d": deep}
-    assert len(found(deep)) == 1 and found({"d": deep}) == []
+    assert len(found({"d": deep})) == 1 and list(candidates(json.dumps({"d": deep}), False, max_depth=8)) == []
+    assert list(candidates("[" * 100_000, False)) == []
+    assert posting({"title": "a\ud800b", "url": "/x"})[0] == "a?b"
     nested = [job(1, kids=[job(2)]), job(3)]
     assert [o["id"] for o in found(nested)] == [1, 3, 2]
     assert list(candidates("[broken", False)) == []
 
 
-def test_flatten():
-    assert flatten({"Name": "X", "z": 1}) == "X" and flatten({"z": "b", "a": ["c", None, 2]}) == "b, c, 2"
-    assert flatten([True, {"city": {"text": "M"}}, ""]) == "True, M" and flatten(None) == ""
+def test_readable():
+    assert readable({"Name": "X", "z": 1}) == "X" and readable({"z": "b", "a": ["c", None, 2]}) == "b, c, 2"
+    assert readable([True, {"city": {"text": "M"}}, ""]) == "True, M" and readable(None) == ""
 
 
 def test_scores_agree_with_the_walk(column):

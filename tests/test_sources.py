@@ -3,13 +3,16 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.functions import vocab
 from sightline.functions.blocks import listing_blocks
+from sightline.schemas import CAPTURES
+from sightline.sources import sinks
 from sightline.sources import captures as cap
 from sightline.sources import json_portals as js
 from sightline.sources import link_portals as lp
 from sightline.sources import markup_portals as mk
 from sightline.sources.common import attach_companies, load_companies
-from sightline.sources.registry import CAPTURE_PARSERS, parse_captures, resolve_parser
+from sightline.sources.registry import CAPTURE_PARSERS, parse_captures, parser_names, resolve_parser
 
 
 @pytest.fixture(scope="module")
@@ -166,7 +169,7 @@ def test_admission(spark):
         (base, False), (("https://x/v1/list?jobs", *base[1:]), True), (("https://x/api/JobFacets/x", "Text/JSON", 200, "[1]"), False),
         (("https://x/api/facets", *base[1:]), None), ((base[0], "text/html", 200, "[1]"), None), ((base[0], None, 200, "[1]"), None),
         ((*base[:2], 404, "[1]"), None), ((*base[:3], " \n{}"), False), ((*base[:3], "1"), None), ((*base[:3], "[1"), None),
-        ((*base[:3], "[" + " " * 1_999_998 + "]"), False), ((*base[:3], "[" + " " * 1_999_999 + "]"), None),
+        ((*base[:3], "[" + " " * 2_100_000 + "]"), False),
     ]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, request_url string, content_type string, status int, body string")
     got = {r.i: r.strict for r in cap.admit_captures(df).select("i", "strict").collect()}
@@ -177,20 +180,39 @@ def test_admission(spark):
 def test_page_assembly(spark):
     def pages(parser, *sizes, total=None, new=None):
         new = new or sizes
-        return [(parser, parser, i, n, m, total) for i, (n, m) in enumerate(zip(sizes, new))]
+        return [(parser, parser, i, n, n, m, total) for i, (n, m) in enumerate(zip(sizes, new))]
 
     data = (
         pages("workday", 20, 20, 20, total=40) + pages("phenom", 50, 0, 50, total=500) + pages("successfactors", 10, 10, 9, 10)
-        + pages("html_in_json", 5, 5, 5, new=(5, 0, 5)) + pages("wp_cards", *[1] * 25) + pages("other", 3, 3)
+        + pages("html_in_json", 5, 5, 5, new=(5, 0, 5)) + pages("wp_cards", *[1] * 25, new=[0] * 25) + pages("other", 3, 3)
     )
-    df = spark.createDataFrame(data, "company_id string, parser string, page_idx int, n_items long, n_new long, total long")
+    df = spark.createDataFrame(data, "company_id string, parser string, page_idx int, n_items long, n_urls long, n_new long, total long")
     got = {r.company_id: r.n for r in cap.assemble_pages(df).groupBy("company_id").agg(F.count("*").alias("n")).collect()}
-    assert got == {"workday": 2, "phenom": 1, "successfactors": 3, "html_in_json": 2, "wp_cards": 20, "other": 2}
+    assert got == {"workday": 2, "phenom": 1, "successfactors": 3, "html_in_json": 2, "wp_cards": 25, "other": 2}
 
 
 def test_all_parsers_in_one_job(page):
     body = json.dumps({"jobs": [{"id": 1, "title": "A B", "absolute_url": "u", "location": {"name": "Madrid"}}]})
     lever = json.dumps([{"id": "L", "text": "C D", "hostedUrl": "v", "categories": {"location": "Madrid"}}])
-    captures = page(body, lever, body, parser=["greenhouse", "lever", "lever"])
+    captures = page(body, lever, body, parser=["greenhouse", "lever", "lever"], content_type=["x"] * 3, status=["200"] * 3, request_url=["/"] * 3)
     assert set(rows(parse_captures(captures), "url")) == {("u",), ("v",)}
-    assert len(CAPTURE_PARSERS) == 15
+    assert len(CAPTURE_PARSERS) == 16 and len(parser_names()) == 19
+    named = {r[-1] for r in vocab.HOST_RULES} | set(vocab.PLATFORM_PARSERS.values())
+    assert named <= set(parser_names())
+
+
+def test_failures_and_readable_pages(page):
+    made = page("[1]", "[broken", "[1]", "[1]", "<p>You have been BLOCKED</p>", "x", "{}", "x",
+                parser=["lever", "lever", "workday", "successfactors", "headings", "atom", "discover", "successfactors"])
+    rows_ = made.withColumn("status", F.when(F.col("parser").isin("workday", "discover"), 500).otherwise(200))
+    rows_ = rows_.withColumn("status", F.when((F.col("parser") == "successfactors") & (F.col("body") == "x"), 404).otherwise(F.col("status")))
+    failed = {(r.page_idx, r.error) for r in cap.capture_failures(rows_).collect()}
+    assert failed == {(1, "body is no JSON"), (2, "status 500"), (4, "blocked"), (5, "body is no feed")}
+    assert {r.page_idx for r in cap.readable_captures(rows_.where("parser = 'lever' or parser = 'successfactors'")).collect()} == {0, 3}
+
+
+def test_captures_are_read_twice(spark, tmp_path):
+    empty = spark.createDataFrame([], CAPTURES).withColumn("parser", F.lit("lever"))
+    sinks.write_captures(empty, str(tmp_path / "c"))
+    for _ in range(2):
+        assert sinks.read_captures(spark, str(tmp_path / "c")).columns[-1] == "parser"

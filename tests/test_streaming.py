@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.operators.lifecycle import fold_history
+from sightline.shared import shared_root
 from sightline.sources import sinks
 from sightline.streaming import replay
 from tests.test_lifecycle import SCHEMA, as_dict, history
@@ -39,9 +40,34 @@ def test_repeats_inside_the_watermark(spark, tmp_path):
     assert sorted(r.url for r in spark.table("kept").collect()) == ["u", "v"]
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
+def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert replay.shared_dir(spark, "/elsewhere") == (named or "/elsewhere")
+    assert shared_root(spark) == (named or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+
+
+def test_a_run_split_over_batches(spark, tmp_path):
+    """The failure of a run comes with its second part; a decision stays through every batch."""
+    day = [dt.date(2024, 1, n) for n in (1, 2)]
+    parts = [
+        ([(day[0], "c", 1, "u0", None)], []),
+        ([(day[1], "c", 1, "u1", None)], []),
+        ([(day[1], "c", 2, "u2", None)], [(day[1], "c")]),
+    ]
+    schema = "run_date date, company_id string, seq long, url string, title string"
+    for rows, _ in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = replay.read_files(spark, str(tmp_path / "in"), T.StructType.fromDDL(schema), files_per_batch=1)
+
+        def read(batch):
+            bad = batch.where("url = 'u2'").select("run_date", "company_id")
+            return batch, bad
+
+        replay.track(stream, read, str(tmp_path / "state"), str(tmp_path / "progress")).awaitTermination()
+        if rows[0][3] == "u0":
+            decided = sinks.read_state(spark, str(tmp_path / "state")).withColumn("ai_keep", F.lit(True)).collect()
+            sinks.write_state(spark.createDataFrame(decided, "company_id string, url string, title string, seq long, first_seen_at date, last_seen_at date, is_active boolean, ai_keep boolean"), str(tmp_path / "state"), 0)
+    got = {r.url: (r.is_active, r.ai_keep) for r in sinks.read_state(spark, str(tmp_path / "state")).collect()}
+    assert got == {"u0": (True, True)}
 
 
 def test_sinks(spark, tmp_path):
