@@ -142,13 +142,25 @@ def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataF
     ends = judged.where("ends").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ends"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            sizes = [len(h[0]) for h in held]
+            columns = [np.concatenate([h[0] for h in held]), np.repeat([h[2] for h in held], sizes), np.concatenate([h[3] for h in held])]
+            ids = pa.array([h[1] for h in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), ids, pa.array(columns[1]), pa.array(columns[2])], ["window", "doc_id", "mark", "first"])
+
         for batch in batches:
-            for doc_id, mark, raw, spans in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), raw_texts(batch["text"]), batch["ends"].to_pylist(), strict=True):
+            for doc_id, of_text, raw, spans in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), raw_texts(batch["text"]), batch["ends"], strict=True):
                 found = window_hashes(word_hashes(raw), size)
-                at = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[at].view(np.int64)), pa.array([doc_id] * len(at), pa.int64()), pa.array([mark] * len(at), pa.int64()), pa.array(at.astype(np.int32))],
-                    ["window", "doc_id", "mark", "first"])
+                first, last = (spans.values.field(i).to_numpy() for i in (0, 1))
+                at = np.repeat(first - np.concatenate(([0], np.cumsum(last - first + 1)[:-1])), last - first + 1) + np.arange((last - first + 1).sum())
+                held.append((found[at].view(np.int64), doc_id, of_text, at.astype(np.int32)))
+                if sum(len(h[0]) for h in held) > 50_000:
+                    yield flushed()
+                    held.clear()
+        if held:
+            yield flushed()
 
     single = placed_texts(docs, written(ends, "ends"))
     single = written(single.mapInArrow(windows, "window long, doc_id long, mark long, first int"), "windows")
