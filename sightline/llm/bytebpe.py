@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 _SEAM = re.compile(r"(?<=\S)(?=[ \t\n])")
-LEAF_CHARS, LEAF_BYTES, WINDOW = 8192, 512, 8
+LEAF_CHARS, LEAF_BYTES, WINDOW = 1024, 512, 8
 
 
 class TreeEncoder:

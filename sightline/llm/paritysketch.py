@@ -277,7 +277,9 @@ def grouped(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> Da
     classes = written(rows.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.first("bits").alias("bits")), "class-bits")
     words = rows.select("class", F.explode("words").alias("word"))
     low = words.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    shared = words.join(low.where("low <> high").select("word", "low"), "word").select("word", "class", "low")
+    # Written before the join, which can then be split where a word is hot.
+    low = written(low.where("low <> high").select("word", "low"), "low-words")
+    shared = words.join(low, "word").select("word", "class", "low")
     shared = written(shared, "shared-words")
     best = Window.partitionBy("class").orderBy(F.col("times").desc(), "low")
     stars = shared.where("class <> low").groupBy("class", "low").agg(F.count(F.lit(1)).alias("times"))

@@ -128,12 +128,14 @@ def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataF
     rows = written(seeded(docs, size, seed), "stretches")
     copies = rows.where(F.col("n") >= size).groupBy("sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha", F.lit(True).alias("copied"))
     runs = rows.select("doc_id", "mark", F.explode("runs").alias("r")).select("doc_id", "mark", "r.*")
-    counted = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written before the join, which can then be split where an anchor is hot.
+    counted = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     seeds = written(runs.join(counted, "anchor"), "seeds")
     one = F.xxhash64("doc_id", "mark", "first")
     wholes = written(seeds.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("one")), "wholes")
     several = wholes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("several"))
-    judged = seeds.join(wholes.join(several, "anchor", "left"), ["anchor", "whole"])
+    wholes = written(wholes.join(several, "anchor", "left"), "wholes")
+    judged = seeds.join(wholes, ["anchor", "whole"])
     judged = written(judged.select(
         "doc_id", "mark", "first", "last", (F.col("times") > 1).alias("full"),
         (F.coalesce("several", F.lit(False)) & (F.col("one") == one)).alias("ends"),
@@ -164,7 +166,7 @@ def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataF
 
     single = placed_texts(docs, written(ends, "ends"))
     single = written(single.mapInArrow(windows, "window long, doc_id long, mark long, first int"), "windows")
-    twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    twice = written(single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "twice")
     alone = single.join(twice, "window").select("doc_id", "mark", "first", F.col("first").alias("last"))
     both = judged.where("full").select("doc_id", "mark", "first", "last").unionByName(alone)
     spans = both.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))

@@ -107,7 +107,8 @@ def write(pages: DataFrame, root: str, span: int = SPAN, roll_bytes: int = ROLL_
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     marks = rows.where(F.length("payload") >= min_bytes).select("page_id", F.sha1("payload").alias("sha"))
     chosen = marks.groupBy("sha").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("copies"))
-    revisits = marks.join(chosen.where("copies > 1").select("sha", "chosen"), "sha")
+    # Written before the join, which can then be split where a payload is hot.
+    revisits = marks.join(written(chosen.where("copies > 1").select("sha", "chosen"), "chosen"), "sha")
     revisits = revisits.where("page_id IS DISTINCT FROM chosen").select("page_id", "sha", "chosen").distinct()
     none = F.lit(None).cast
     events = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", none("string").alias("sha"), none("long").alias("chosen"))
