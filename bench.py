@@ -23,6 +23,7 @@ HEADLINE = [
     "decisions_aligned", "chunk_failover", "state_with_decisions", "criteria_score",
     "src_greenhouse", "src_workday", "src_html_links", "src_atom", "src_html_table",
     "json_discover", "dom_discover", "merge_by_key", "first_occurrence", "paged_source",
+    "chunk_stats", "decision_stats", "state_streamed", "src_phenom", "slug_title", "capture_failures",
 ]
 
 
