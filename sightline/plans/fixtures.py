@@ -76,8 +76,8 @@ FIXTURES: dict[str, str] = {
         FROM {events} WHERE event_type = 'error' AND value > 80
         GROUP BY CAST(ts AS DATE), CAST(user_id AS STRING)""",
     "companies": """
-        SELECT CAST(c_custkey AS STRING) AS company_id, c_name AS name
-        FROM {customer} WHERE c_acctbal > 0""",
+        SELECT CAST(CASE WHEN c_acctbal > 0 THEN c_custkey ELSE c_custkey + 1000000000 END AS STRING) AS company_id, c_name AS name
+        FROM {customer}""",
     "catalog": f"""
         SELECT CAST(c_custkey AS STRING) AS company_id, c_name AS name,
                {cases("c_custkey", ["playwright", "workday", "greenhouse", "lever", "html", "taleo", None])} AS ats,
@@ -112,8 +112,8 @@ FIXTURES: dict[str, str] = {
                DATE '2024-01-30' - CAST(d.doc_id % 2 AS INT), quality = 1
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "portals": """
-        SELECT DISTINCT source AS company_id, concat('Portal ', source) AS name
-        FROM {documents} WHERE source <> 'src3'""",
+        SELECT DISTINCT CASE WHEN source = 'src3' THEN 'no source' ELSE source END AS company_id, concat('Portal ', source) AS name
+        FROM {documents}""",
     "postings": f"""
         SELECT o_orderkey AS id, CAST(FLOOR(o_orderkey / 1000) AS BIGINT) AS portal,
                CAST(FLOOR((o_orderkey % 1000) / 50) AS INT) AS page_idx,

@@ -98,18 +98,27 @@ def pick(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", title_pick(F.col("text")).alias("title"))
 
 
-@query("real_title", with_fixtures("docs", "postings") + f"""
-SELECT 'doc' AS kind, doc_id AS id, {real_title_sql("title")} AS is_real FROM docs
-UNION ALL SELECT 'posting', id, {real_title_sql("title")} FROM postings""")
+# Every line of every document as a title.
+_LINES_SQL = """doc_lines AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS title
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"""
+
+
+def _lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "title"))
+
+
+@query("real_title", with_fixtures("postings") + f""", {_LINES_SQL}
+SELECT 'doc' AS kind, doc_id AS id, line_no, {real_title_sql("title")} AS is_real FROM doc_lines
+UNION ALL SELECT 'posting', id, 0, {real_title_sql("title")} FROM postings""")
 def real(spark, sf_dir):
-    docs = fixture(spark, sf_dir, "docs").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "title")
-    posts = fixture(spark, sf_dir, "postings").select(F.lit("posting").alias("kind"), "id", "title")
-    return docs.unionByName(posts).select("kind", "id", real_title(F.col("title")).alias("is_real"))
+    docs = _lines(spark, sf_dir).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "line_no", "title")
+    posts = fixture(spark, sf_dir, "postings").select(F.lit("posting").alias("kind"), "id", F.lit(0).alias("line_no"), "title")
+    return docs.unionByName(posts).select("kind", "id", "line_no", real_title(F.col("title")).alias("is_real"))
 
 
-@query("slugify", with_fixtures("docs") + f"SELECT doc_id, {slug_sql('title')} AS slug FROM docs")
+@query("slugify", f"WITH {_LINES_SQL} SELECT doc_id, line_no, {slug_sql('title')} AS slug FROM doc_lines")
 def slug(spark, sf_dir):
-    return fixture(spark, sf_dir, "docs").select("doc_id", slugify(F.col("title")).alias("slug"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", slugify(F.col("title")).alias("slug"))
 
 
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&copy;": "©", "&middot;": "·", "&nbsp;": " "}

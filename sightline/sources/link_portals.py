@@ -63,6 +63,12 @@ def status_badge(first_line: Column) -> Column:
     return or_null(F.regexp_extract(first_line, _STATUS_BADGE, 1))
 
 
+def _title_case(s: Column) -> Column:
+    """A capital at the start of every run of letters, also after a hyphen or an apostrophe."""
+    runs = F.regexp_extract_all(s, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
+
+
 def normal_status(status: Column) -> Column:
     s = F.lower(status)
     return (
@@ -70,7 +76,7 @@ def normal_status(status: Column) -> Column:
         .when(s.contains("passed"), "Deadline passed")
         .when(s.contains("apply now") | (s == "open"), "Open")
         .when(s == "closed", "Closed")
-        .when(s != "", F.initcap(s))
+        .when(s != "", _title_case(s))
     )
 
 
