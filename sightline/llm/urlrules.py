@@ -44,16 +44,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", sample: in
     """Rule and verdict of every page.
 
     ``rules`` has ``host, path, verdict``. Of the fitting rules the longest (host and path together)
-    wins; ``default`` is the verdict without one. ``sample`` bounds the rows from which the range
-    limits are read; they affect balance only.
+    wins; ``default`` is the verdict without one. ``sample`` is about the number of rows from which the
+    range limits are read; they affect balance only.
     """
     spark = pages.sparkSession
     host, path = host_path(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", F.concat(host_key(F.col("host")), "path")).withColumn(
-        "mark", F.xxhash64("page_id", "host", "path"))
+        "mark", F.xxhash64("page_id", "host", "path", F.monotonically_increasing_id()))
     ranges = partitions(spark)
-    drawn = [r.key for r in urls.select("key", "mark").orderBy("mark").limit(sample).collect()]
+    every = max(1, pages.count() // sample)  # so that about ``sample`` rows reach the driver, at most twice as many
+    drawn = [r.key for r in urls.where(F.pmod("mark", F.lit(every)) == 0).select("key").collect()]
     drawn.sort()
     limits = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
 
