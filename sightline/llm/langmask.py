@@ -8,7 +8,7 @@ language with the highest corrected rate wins.
 An n-gram enters the filter of a language when its share of the language's n-grams is at least
 ``min_share``, which bounds a filter to 1 / min_share entries whatever the corpus, and at least
 ``distinct`` times its highest share in any language. Shares are taken from a bounded sample, the
-``sample`` texts a language of smallest text hash.
+``sample`` different texts a language of smallest text hash.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, as is every text when
 nothing can be learned; of equal rates the language first in text order wins; texts are read whole;
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import mix, written
 
 _U = np.uint64
 SIZES = (1, 2, 3, 4, 5)
@@ -115,9 +115,13 @@ def _places(values: np.ndarray, size: int, hashes: int) -> Iterator[np.ndarray]:
 def fit(labelled: DataFrame, sample: int = 1500, min_share: float = 2e-6, distinct: float = 0.5,
         sizes: tuple[int, ...] = SIZES) -> MaskFilter:
     """Learn from (text, lang); rows with a null lang or a text without letters teach nothing."""
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    drawn = known.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("mark"))
+    # Marks are ranked first and texts then picked by the last mark of their language, so texts that
+    # are not in the sample are not shuffled. Copies count once. One row a language, as the model has.
+    first = Window.partitionBy("lang").orderBy("mark")
+    ranked = known.select("lang", "mark").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
+    last = written(ranked.groupBy("lang").agg(F.max("mark").alias("last")), "sample")
+    drawn = known.join(F.broadcast(last), "lang").where("mark <= last").groupBy("lang", "mark").agg(F.any_value("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
