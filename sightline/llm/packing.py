@@ -128,6 +128,11 @@ class WordTokens:
             known[token] = self._of_token(token)
         return b"".join(map(known.__getitem__, tokens))
 
+    def forget(self) -> None:
+        """Empty the tables at the end of a task: the process lives on and may serve other stages."""
+        self._tokens.clear()
+        self._words.clear()
+
     def _whole(self, text: str) -> bytes:
         return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -154,6 +159,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tokens.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")
