@@ -4,9 +4,11 @@ Base. Four patterns find e-mail and IP addresses, card and phone numbers, each k
 without overlap; matches that fail their test (octets, Luhn, digits) are dropped. The text between
 two matches and the matches themselves give the places, by running sums of their lengths.
 
-Bootstrap. The words beside base spans are patterns: "what follows (or precedes) this word". A
-pattern extracts whatever stands there, so its precision is the confidence of the identifiers it
-extracts over all occurrences of its word in the corpus. Other identifier-like tokens (six or more
+Bootstrap. The words beside base spans are patterns: "what follows (or precedes) this word". Texts
+are cut into words at white space and at the edges of all matches, so a cue may be part of a token.
+Precision counts one unit above and below: a different neighbour of the word in a different text,
+where all identifiers of a text are one neighbour. So copies of a text, or a word repeated before the
+same neighbour, count once. Other identifier-like tokens (six or more
 characters, four or more digits) are instances of unknown kind; their confidence is the noisy-or of
 the patterns that extract them. Both scores are updated in turn over the graph of patterns and
 instances, for ``rounds`` rounds. Tokens extracted by a pattern of a precision of at least
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, join_rows, mark, touched, written
+from .common import SLOTS, documents, join_rows, mark, touched, written
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -33,11 +35,13 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # A whole run of digits with single separators, of 14 to 19 digits.
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TOKEN = r"(?<![A-Za-z0-9+@._%-])[A-Za-z0-9+][A-Za-z0-9@._%+-]{4,}[A-Za-z0-9]"
+_TOKEN = r"(?<![A-Za-z0-9+@._%-])(?=(?:[A-Za-z@._%+-]*+[0-9]){4})[A-Za-z0-9+][A-Za-z0-9@._%+-]{4,}[A-Za-z0-9]"
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "other": _TOKEN}
 _GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "other": r"[0-9]"}
 _SPACE = r"\x20\x09-\x0D"
 _BEFORE, _AFTER = rf"([^{_SPACE}]+)[{_SPACE}]*$", rf"^[{_SPACE}]*([^{_SPACE}]+)"
+_ANY = "|".join(_PATTERNS.values())
+_HERE = "\x01"  # stands for a match where texts are cut into words
 _NEAR = 64
 _ROWS = "array<struct<kind:string,gap:int,value:string,before:string,after:string>>"
 
@@ -68,13 +72,18 @@ def _holds(kind: Column, m: Column) -> Column:
     )
 
 
+def _marked(text: Column) -> Column:
+    """The text in lower case with a mark in place of every match, set apart by blanks."""
+    return F.lower(F.regexp_replace(text, _ANY, f" {_HERE} "))
+
+
 def _cut(kind: str, pattern: str) -> Column:
     """The text before every match with the match, and the rest of the text with none."""
     def row(gap: Column, m: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), F.length(gap).alias("gap"), m.alias("value"),
-            F.lower(F.regexp_extract(F.right(gap, F.lit(_NEAR)), _BEFORE, 1)).alias("before"),
-            F.lower(F.regexp_extract(F.left(gap, F.lit(_NEAR)), _AFTER, 1)).alias("after"))
+            F.regexp_extract(_marked(F.right(gap, F.lit(_NEAR))), _BEFORE, 1).alias("before"),
+            F.regexp_extract(_marked(F.left(gap, F.lit(_NEAR))), _AFTER, 1).alias("after"))
 
     return F.zip_with(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), row)
 
@@ -94,34 +103,65 @@ def matches(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("rid", "kind").orderBy("i")
     placed = rows.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(w) - F.col("size")).withColumn("after", F.lead("after").over(w))
     placed = placed.where(F.col("value").isNotNull() & _holds(F.col("kind"), F.col("value")))
-    return placed.select("doc_id", "mark", "rid", "kind", "start", (F.col("start") + F.col("size")).alias("end"), "value", "before", "after")
+    placed = placed.withColumn("end", F.col("start") + F.col("size"))
+    # A token that touches a base span is that span, seen with its surroundings.
+    is_base = F.col("kind") != "other"
+    near = Window.partitionBy("rid").orderBy("start", ~is_base)
+    reach = F.max(F.when(is_base, F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    next_base = F.min(F.when(is_base, F.col("start"))).over(Window.partitionBy("rid").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("reach", F.coalesce(reach, F.lit(0))).withColumn("next_base", F.coalesce(next_base, F.col("end")))
+    placed = placed.where(is_base | ((F.col("reach") <= F.col("start")) & (F.col("next_base") >= F.col("end"))))
+    return placed.select("doc_id", "mark", "rid", "kind", "start", "end", "value", "before", "after")
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """(pattern, word, value, kind): an instance beside a word, once for each different value."""
+    """(mark, side, word, value, kind): an instance beside a word, once for each different text."""
     sides = F.array(F.struct(F.lit("after").alias("side"), F.col("before").alias("word")), F.struct(F.lit("before").alias("side"), F.col("after").alias("word")))
-    return found.select("value", "kind", F.explode(sides).alias("s")).select("value", "kind", "s.side", "s.word").where("word <> ''").distinct()
+    rows = found.select("mark", "value", "kind", F.explode(sides).alias("s")).select("mark", "s.side", "s.word", "value", "kind")
+    return rows.where((F.col("word") != "") & (F.col("word") != _HERE)).distinct()
+
+
+def _different(docs: DataFrame) -> DataFrame:
+    """Every different text once. Only rows in slots that may hold copies are shuffled."""
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), mark().alias("mark")).withColumn("slot", F.pmod("mark", F.lit(SLOTS)).cast("int"))
+    copied = written(rows.groupBy("mark", "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot").distinct(), "copied")
+    slots = F.broadcast(copied)  # bounded by SLOTS
+    once = rows.join(slots, "slot", "left_semi").groupBy("mark").agg(F.any_value("text").alias("text"))
+    return rows.join(slots, "slot", "left_anti").select("text").unionByName(once.select("text"))
+
+
+def _totals(docs: DataFrame) -> DataFrame:
+    """(side, word, total): different neighbours of a word on a side, summed over the different texts."""
+    words = F.filter(F.split(_marked(F.col("text")), rf"[{_SPACE}]+"), lambda x: x != "")
+    # The generator keeps the words from being computed twice.
+    cut = _different(docs).select(F.explode(F.array(F.concat(F.array(F.lit("")), words, F.array(F.lit(""))))).alias("w"))
+    pairs = F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.struct(x.alias("x"), F.coalesce(y, F.lit("")).alias("y"))))
+    sides = F.array(F.struct(F.lit("after").alias("side"), F.col("p.x").alias("word")), F.struct(F.lit("before").alias("side"), F.col("p.y").alias("word")))
+    each = cut.select(F.explode(pairs).alias("p")).select(F.explode(sides).alias("s")).select("s.side", "s.word")
+    return each.where((F.col("word") != "") & (F.col("word") != _HERE)).groupBy("side", "word").agg(F.count(F.lit(1)).alias("total"))
 
 
 def learned(docs: DataFrame, found: DataFrame, confident: float, support: int, rounds: int) -> DataFrame:
     """(side, word, kind) of the patterns that the graph makes confident."""
-    edges = _edges(found)
-    seeds = edges.where("kind <> 'other'")
-    strong = seeds.groupBy("side", "word", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    strong = written(strong, "patterns")
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[{_SPACE}]+")).alias("word")).where("word <> ''")
-    totals = words.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    patterns = written(strong.join(totals, "word"), "patterns")
-    links = edges.where("kind = 'other'").select("value", "side", "word").join(patterns.select("side", "word", "kind"), ["side", "word"])
-    links = written(links, "links")
+    edges = written(_edges(found), "edges")
+    pattern = ["side", "word", "kind"]
+    seeds, others = edges.where("kind <> 'other'"), edges.where("kind = 'other'").drop("kind")
+    strong = seeds.groupBy(*pattern).agg(F.count_distinct("value").alias("values"), F.count_distinct("mark").alias("seeds")).where(F.col("values") >= support)
+    strong = written(strong.drop("values"), "patterns")
+    patterns = written(strong.join(_totals(docs), ["side", "word"]), "patterns")
+    links = written(others.join(patterns.select(*pattern), ["side", "word"]), "links")
+    # Texts that count as a seed of the pattern already gain nothing.
+    open_links = written(links.join(seeds.select("mark", *pattern).distinct(), ["mark", *pattern], "left_anti"), "links")
     scores = patterns.withColumn("score", F.least(F.col("seeds") / F.col("total"), F.lit(1.0)))
+    pairs = written(links.select(*pattern, "value").distinct(), "links")
     for _ in range(rounds):
-        linked = links.join(scores.select("side", "word", "kind", "score"), ["side", "word", "kind"])
+        linked = pairs.join(scores.select(*pattern, "score"), pattern)
         values = linked.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"))
-        gained = links.join(values, ["value", "kind"]).groupBy("side", "word", "kind").agg(F.sum("trust").alias("gain"))
-        scores = patterns.join(gained, ["side", "word", "kind"], "left").withColumn(
+        gained = open_links.join(values, ["value", "kind"]).groupBy("mark", *pattern).agg(F.max("trust").alias("trust"))
+        gained = gained.groupBy(*pattern).agg(F.sum("trust").alias("gain"))
+        scores = patterns.join(gained, pattern, "left").withColumn(
             "score", F.least((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("total"), F.lit(1.0)))
-        scores = written(scores.select("side", "word", "kind", "seeds", "total", "score"), "scores")
+        scores = written(scores.select(*pattern, "seeds", "total", "score"), "scores")
     first = Window.partitionBy("side", "word").orderBy(F.desc("score"), "kind")
     best = scores.where(F.col("score") >= confident).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return best.select("side", "word", "kind", "score")
@@ -143,8 +183,7 @@ def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds:
         more.select(*keys, F.struct("start", number.alias("kind"), "end").alias("s"), F.lit(False).alias("base")))
     lists = every.groupBy(*keys).agg(F.collect_list(F.struct("s", "base")).alias("all"))
     own = F.filter("all", lambda x: x["base"])
-    # A token that touches a base span is that span, seen with its surroundings.
-    new = F.filter("all", lambda x: ~x["base"] & ~F.exists(own, lambda y: (y["s"]["start"] < x["s"]["end"]) & (x["s"]["start"] < y["s"]["end"])))
+    new = F.filter("all", lambda x: ~x["base"])
     lists = lists.select("doc_id", "mark", F.sort_array(F.transform(own, lambda x: x["s"])).alias("base"),
                          F.sort_array(F.transform(F.concat(own, new), lambda x: x["s"])).alias("spans"))
     return lists.dropDuplicates(["doc_id", "mark"])

@@ -182,6 +182,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert found[100] == "phone:10:22" and found[101] == "" and found[102] == ""
 
 
+def test_contexts_count_texts_not_copies(spark):
+    """Copies, a repeated number and cues that are parts of tokens do not hide a pattern."""
+    seen = [(i, f"tel: +1 (068) 555-{1000 + i} and mail:<u{i}@b.org> of") for i in range(12)]
+    rows = seen + [(50 + i, "write tel: later") for i in range(200)] + [(300 + i, f"text{i}x tel: +1 (068) 555-1000 or") for i in range(50)]
+    rows += [(400, "now tel: 068-555-9999 ok"), (401, "now mail:<qq1234@b> ok"), (402, "tel: " * 300)]
+    found = {r.doc_id: r.spans for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", personal.shown("spans").alias("spans")).collect()}
+    assert found[400] == "phone:9:21" and found[401] == "email:10:18" and found[50] == "" and found[402] == ""
+
+
 def test_masking(odd_docs, no_docs):
     out = personal.masked(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
