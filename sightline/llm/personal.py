@@ -8,11 +8,14 @@ Bootstrap. The words beside base spans are patterns: "what follows (or precedes)
 are cut into words at white space and at the edges of all matches, so a cue may be part of a token.
 Precision counts one unit above and below: a different neighbour of the word in a different text,
 where all identifiers of a text are one neighbour. So copies of a text, or a word repeated before the
-same neighbour, count once. Other identifier-like tokens (six or more
-characters, four or more digits) are instances of unknown kind; their confidence is the noisy-or of
-the patterns that extract them. Both scores are updated in turn over the graph of patterns and
-instances, for ``rounds`` rounds. Tokens extracted by a pattern of a precision of at least
-``confident`` with at least ``support`` different seeds become spans of that pattern's kind.
+same neighbour, count once. Spans like identifiers are instances of unknown kind: runs of digits with
+single separators or brackets (four or more digits), tokens of six or more characters with four or
+more digits, and addresses without digits (``a@b``, ``a[at]b.c``, ``@name``, and whole tokens with an
+inner dot or underscore). Plain words are none. The confidence of an instance is the noisy-or of the
+patterns that extract it. Both scores are updated in turn over the graph of patterns and instances,
+for ``rounds`` rounds; the words beside an instance that a confident pattern extracts are patterns of
+the next round. Spans extracted by a pattern of a precision of at least ``confident`` with at least
+``support`` different identifiers become spans of that pattern's kind.
 
 The patterns are written so that a long run of one character class is scanned once. All steps are
 DataFrame operations; what is shuffled are matches, words counted before the shuffle, and ids.
@@ -36,11 +39,18 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?<![A-Za-z0-9+@._%-])(?=(?:[A-Za-z@._%+-]*+[0-9]){4})[A-Za-z0-9+][A-Za-z0-9@._%+-]{4,}[A-Za-z0-9]"
-_PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "other": _TOKEN}
-_GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "other": r"[0-9]"}
+_FREE = r"(?<![A-Za-z0-9+@._%-])"
+_GROUP = r"[0-9]++(?![A-Za-z@_%])"
+_RUN = _FREE + rf"[(+]?{_GROUP}(?:\)?(?:\x20-\x20|[\x20./-])?\(?{_GROUP})*+"
+_AT = r"(?:@|(?i:\[at\]|\(at\)|\{at\}))"
+_ADDRESS = _FREE + rf"(?:[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:(?:\.|(?i:\[dot\]|\(dot\)))[A-Za-z0-9-]++)*+|@[A-Za-z0-9_]++(?:[.-][A-Za-z0-9_]++)*+)"
+# Names with inner dots or underscores only as whole tokens; they do not cut cues.
+_NAME = r"(?<![^\x20\x09-\x0D])[A-Za-z0-9]++(?:[._][A-Za-z0-9]++)++(?![:=])"
+_PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "other": f"(?:{_ADDRESS}|{_RUN}|{_TOKEN}|{_NAME})"}
+_GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "other": r"[0-9@_]|[A-Za-z]\.[A-Za-z]|(?i:[\[({]at[\])}])"}
 _SPACE = r"\x20\x09-\x0D"
 _BEFORE, _AFTER = rf"([^{_SPACE}]+)[{_SPACE}]*$", rf"^[{_SPACE}]*([^{_SPACE}]+)"
-_ANY = "|".join(_PATTERNS.values())
+_ANY = "|".join((_EMAIL, _IP, _CARD, _PHONE, _ADDRESS, _RUN, _TOKEN))
 _HERE = "\x01"  # stands for a match where texts are cut into words
 _NEAR = 64
 _ROWS = "array<struct<kind:string,gap:int,value:string,before:string,after:string>>"
@@ -68,7 +78,7 @@ def _holds(kind: Column, m: Column) -> Column:
         .when(kind == "ip", m.rlike(octets))
         .when(kind == "card", _luhn(_digits(m)))
         .when(kind == "phone", n.between(10, 15))
-        .otherwise((n >= 4) & (F.length(m) >= 6))
+        .otherwise((n >= 4) | m.rlike("[A-Za-z@_]"))
     )
 
 
@@ -145,23 +155,23 @@ def learned(docs: DataFrame, found: DataFrame, confident: float, support: int, r
     """(side, word, kind) of the patterns that the graph makes confident."""
     edges = written(_edges(found), "edges")
     pattern = ["side", "word", "kind"]
-    seeds, others = edges.where("kind <> 'other'"), edges.where("kind = 'other'").drop("kind")
-    strong = seeds.groupBy(*pattern).agg(F.count_distinct("value").alias("values"), F.count_distinct("mark").alias("seeds")).where(F.col("values") >= support)
-    strong = written(strong.drop("values"), "patterns")
-    patterns = written(strong.join(_totals(docs), ["side", "word"]), "patterns")
-    links = written(others.join(patterns.select(*pattern), ["side", "word"]), "links")
-    # Texts that count as a seed of the pattern already gain nothing.
-    open_links = written(links.join(seeds.select("mark", *pattern).distinct(), ["mark", *pattern], "left_anti"), "links")
-    scores = patterns.withColumn("score", F.least(F.col("seeds") / F.col("total"), F.lit(1.0)))
-    pairs = written(links.select(*pattern, "value").distinct(), "links")
-    for _ in range(rounds):
-        linked = pairs.join(scores.select(*pattern, "score"), pattern)
-        values = linked.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"))
-        gained = open_links.join(values, ["value", "kind"]).groupBy("mark", *pattern).agg(F.max("trust").alias("trust"))
-        gained = gained.groupBy(*pattern).agg(F.sum("trust").alias("gain"))
-        scores = patterns.join(gained, pattern, "left").withColumn(
-            "score", F.least((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("total"), F.lit(1.0)))
-        scores = written(scores.select(*pattern, "seeds", "total", "score"), "scores")
+    places = edges.groupBy("side", "word").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support)
+    totals = written(places.select("side", "word").join(_totals(docs), ["side", "word"]), "totals")
+    edges = written(edges.join(totals.select("side", "word"), ["side", "word"]), "edges")
+    seeds = edges.where("kind <> 'other'").withColumn("trust", F.lit(1.0)).withColumn("firm", F.lit(True))
+    others, known = edges.where("kind = 'other'").drop("kind"), seeds
+    for i in range(rounds + 1):
+        # A text counts once for a pattern, by the best instance that it has there.
+        texts = known.groupBy("mark", *pattern).agg(F.max("trust").alias("trust")).groupBy(*pattern).agg(F.sum("trust").alias("hits"))
+        values = known.where("firm").groupBy(*pattern).agg(F.count_distinct("value").alias("values")).where(F.col("values") >= support)
+        scores = texts.join(values, pattern).join(totals, ["side", "word"]).withColumn("score", F.least(F.col("hits") / F.col("total"), F.lit(1.0)))
+        scores = written(scores.select(*pattern, "score"), "scores")
+        if i == rounds:
+            break
+        linked = others.select("side", "word", "value").distinct().join(scores, ["side", "word"])
+        none = F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))
+        trusted = linked.groupBy("value", "kind").agg((1 - F.exp(F.sum(none))).alias("trust"), (F.max("score") >= confident).alias("firm"))
+        known = written(seeds.unionByName(others.join(written(trusted, "trusted"), "value").select(*seeds.columns)), "known")
     first = Window.partitionBy("side", "word").orderBy(F.desc("score"), "kind")
     best = scores.where(F.col("score") >= confident).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return best.select("side", "word", "kind", "score")

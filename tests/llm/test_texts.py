@@ -191,6 +191,17 @@ def test_contexts_count_texts_not_copies(spark):
     assert found[400] == "phone:9:21" and found[401] == "email:10:18" and found[50] == "" and found[402] == ""
 
 
+def test_contexts_find_other_shapes_and_teach(spark):
+    """Blanks, brackets, handles and names without digits; accepted instances make patterns of the next round."""
+    rows = [(i, f"t{i}x tel: +1 (068) 555-{1000 + i} or mail: u{i}@b.org of") for i in range(12)]
+    rows += [(100, "tel: 068 555 2713 ok"), (101, "tel: (068) 555-2713 ok"), (102, "tel: 4539 1488 0343 6460 ok"), (103, "mail: bob[at]mail.org ok"),
+             (104, "mail: @bobby ok"), (105, "mail: bob_smith ok"), (106, "tel: none"), (107, "mail: nothing")]
+    rows += [(200 + i, f"tel: 068 555 {3000 + i} fax") for i in range(8)] + [(300, "old 068 777 1234 fax"), (301, "old 068 777 1234 here")]
+    found = {r.doc_id: r.spans for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", personal.shown("spans").alias("spans")).collect()}
+    assert [found[100 + i] for i in range(8)] == ["phone:5:17", "phone:5:19", "phone:5:24", "email:6:21", "email:6:12", "email:6:15", "", ""]
+    assert found[300] == "phone:4:16" and found[301] == ""
+
+
 def test_masking(odd_docs, no_docs):
     out = personal.masked(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
