@@ -189,7 +189,10 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, nu
     def text(end: str) -> DataFrame:
         return texts.select(F.col("doc_id").alias(f"doc_{end}"), F.col("_mark").alias(f"mark_{end}"), F.col("text").alias(f"text_{end}"))
 
-    found = pairs.join(text("b"), ["doc_b", "mark_b"]).join(text("a"), ["doc_a", "mark_a"])
+    found = pairs
+    for end in "ba":
+        own = text(end).withColumnsRenamed({f"doc_{end}": "_id", f"mark_{end}": "_of"})
+        found = found.join(own, F.expr(f"doc_{end} <=> _id AND mark_{end} = _of")).drop("_id", "_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -263,14 +266,15 @@ def unsettled(shared: DataFrame, classes: DataFrame, components: DataFrame, num:
     return rows.select("word", "i", "j", "own", "class", "n", "bits", "component").mapInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id) of every row of (doc_id, text).
+def labelled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component, component_id) of every row of (doc_id, text).
 
-    ``component_id`` is the smallest doc_id that links reach; ``mark`` tells texts of equal ids apart.
+    ``component_id`` is the smallest doc_id that links reach and null only if no row has an id; it may
+    name several groups if texts share an id, ``component`` names one. ``mark`` tells texts of equal ids apart.
     """
     docs = docs.select("doc_id", "text")
     rows = written(sketched(docs, size, num, den), "sketches")
-    some = F.struct("doc_id", "mark")
+    some = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")  # null ids last
     places = written(
         rows.where("n > 0").groupBy("class").agg(F.min(some).alias("p")).select("class", "p.doc_id", "p.mark"),
         "classes")
@@ -296,20 +300,26 @@ def grouped(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> Da
         components = written(linked_groups(docs.sparkSession, edges), "components")
     reached = places.join(components.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    reached = reached.join(smallest, "component").select("class", "component_id")
+    reached = reached.join(smallest, "component").select("class", "component", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "mark", "n", "class").join(reached, "class", "left").select(
-        "doc_id", "mark", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+        "doc_id", "mark", F.col("n").alias("n_shingles"), "component", alone.alias("component_id"))
+
+
+def grouped(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) of every row: ``labelled`` without the groups' own names."""
+    return labelled(docs, size, num, den).drop("component")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of every group: of those with the smallest doc_id, one; rows without words all stay."""
-    rows = written(grouped(docs, size, num, den).where("n_shingles > 0"), "groups")
-    gone = rows.where("doc_id <> component_id").select("doc_id", "mark")
+    rows = written(labelled(docs, size, num, den).where("n_shingles > 0"), "groups")
+    gone = rows.where("not (doc_id <=> component_id)").select("doc_id", "mark")
     again = rows.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
     # Two texts under the group's smallest id: the smaller mark stays.
-    firsts = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
-    twins = rows.where("doc_id = component_id").join(firsts.where("first <> last"), "component_id").where("mark <> first").select("doc_id", "mark")
+    heads = rows.where("doc_id <=> component_id")
+    firsts = heads.groupBy("component").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+    twins = heads.join(firsts.where("first <> last"), "component").where("mark <> first").select("doc_id", "mark")
     gone = written(gone.unionByName(twins).distinct(), "gone")
     near, rest = touched(docs, gone.unionByName(again))
     near = join_rows(near, gone, "left_anti")

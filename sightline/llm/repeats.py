@@ -201,7 +201,7 @@ def trimmed(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
                                              ["doc_id", "mark", "removed", "kept"])
 
     parts = placed_texts(docs, spans).select("doc_id", "mark", "text", "spans").mapInArrow(run, "doc_id long, mark long, removed long, kept string")
-    out = rows.join(parts, ["doc_id", "mark"], "left")
+    out = join_rows(rows.withColumnRenamed("mark", "_mark"), parts, "left").withColumnRenamed("_mark", "mark")
     whole = F.lit(digest([]))
     return out.select(
         "doc_id", "mark", F.col("n").alias("n_words"),

@@ -82,6 +82,26 @@ def test_groups_edges(odd_docs, no_docs):
     assert paritysketch.one_of_each(no_docs).count() == 0
 
 
+def test_null_ids_share_texts_and_links(spark):
+    base = prose(31, 120)
+    near = " ".join([*base[:-1], "end"])
+    far = " ".join([*base[:-2], "other", "end"])
+    alone = [" ".join(prose(32, 40)), " ".join(prose(33, 40))]
+    rows = [(None, " ".join(base)), (7, " ".join(base)), (8, near), (9, far), (None, alone[0]), (None, alone[0]), (None, alone[1]),
+            (20, " ".join(prose(34, 40))), (20, " ".join(prose(35, 40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.component_id is None, r.component_id or 0) for r in paritysketch.grouped(docs).collect())
+    assert found == [(False, 7)] * 4 + [(False, 20)] * 2 + [(True, 0)] * 3
+    kept = paritysketch.one_of_each(docs, 3, 90, 100).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(
+        [(7, " ".join(base)), (0, alone[0]), (0, alone[1]), (20, rows[7][1]), (20, rows[8][1])])
+    passage = " ".join(prose(36, 50))
+    texts = [(None, "start of one " + passage), (3, "start of two " + passage + " tail")]
+    out = repeats.trimmed(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = _trimmed([t for _, t in texts], 35)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == {None: want[0], 3: want[1]}
+
+
 def test_linked_groups(spark):
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, int(x)) for x in rng.integers(1001, 1040, 50)] + [(-3, 7000), (5, 5)]
