@@ -37,11 +37,15 @@ def flatten_json(raw: Column) -> Column:
     return F.when(quoted, plain).otherwise(_flatten_nested(F.when(~quoted, raw)))
 
 
+# Least part of a list's items that have a title; the others (adverts, closing entries) are left out.
+TITLED = 0.5
+
+
 def json_candidates(captures: DataFrame) -> DataFrame:
     """Candidate objects of admitted captures (they carry ``strict``), in document order."""
 
     def walk(body, strict):
-        for i, obj in enumerate(candidates(body, strict)):
+        for i, obj in enumerate(candidates(body, strict, share=TITLED)):
             yield i, *posting(obj)
 
     return flat_map(

@@ -67,6 +67,17 @@ def test_discovered_rows(spark):
     assert discovery.discover_jobs(capture(spark, json.dumps(data), "https://x/facets")).count() == 0
 
 
+def test_odd_entries_do_not_hide_a_list(spark):
+    jobs = [job(i, location="Madrid") for i in range(1, 61)]
+    for at in (0, 3, 60):
+        body = json.dumps([*jobs[:at], {"x": 1}, *jobs[at:]])
+        assert discovery.discover_jobs(capture(spark, body)).count() == 60
+        assert list(candidates(body, True, share=0.5)) == jobs
+    most_odd = json.dumps([*jobs[:5], *[{"x": 1}] * 9])                     # the first five decide as well
+    assert list(candidates(most_odd, False, share=0.5)) == jobs[:5]
+    assert list(candidates(json.dumps([jobs[0], *[{"x": 1}] * 9]), False, share=0.5)) == []
+
+
 def links(spark, *rows):
     df = spark.createDataFrame(
         [("c", 0, i, *r, HOME) for i, r in enumerate(rows)],
