@@ -145,8 +145,10 @@ def _totals(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(_marked(F.col("text")), rf"[{_SPACE}]+"), lambda x: x != "")
     # The generator keeps the words from being computed twice.
     cut = _different(docs).select(F.explode(F.array(F.concat(F.array(F.lit("")), words, F.array(F.lit(""))))).alias("w"))
-    pairs = F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.struct(x.alias("x"), F.coalesce(y, F.lit("")).alias("y"))))
-    sides = F.array(F.struct(F.lit("after").alias("side"), F.col("p.x").alias("word")), F.struct(F.lit("before").alias("side"), F.col("p.y").alias("word")))
+    # Pairs are texts, which are made distinct by hash; structs would be compared pair by pair.
+    pairs = F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat(x, F.lit(" "), F.coalesce(y, F.lit("")))))
+    sides = F.array(F.struct(F.lit("after").alias("side"), F.substring_index("p", " ", 1).alias("word")),
+                    F.struct(F.lit("before").alias("side"), F.substring_index("p", " ", -1).alias("word")))
     each = cut.select(F.explode(pairs).alias("p")).select(F.explode(sides).alias("s")).select("s.side", "s.word")
     return each.where((F.col("word") != "") & (F.col("word") != _HERE)).groupBy("side", "word").agg(F.count(F.lit(1)).alias("total"))
 
