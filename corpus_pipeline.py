@@ -13,9 +13,8 @@ from sightline.shared import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language the filter can tell: texts without letters or known n-grams go."""
-    judged = langmask.predict(docs, langmask.train(docs), docs.columns, ("_lang", "_score"))
-    return judged.where("_lang <> 'und' and _score > 0").select(*docs.columns)
+    """Keep documents that show one learned language: unlearned and evenly mixed ones and random letters go."""
+    return langmask.told(docs, langmask.train(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

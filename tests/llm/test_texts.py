@@ -130,6 +130,25 @@ def test_language(spark, odd_docs, no_docs):
     assert langmask.predict(no_docs, model, ["doc_id"]).count() == 0
 
 
+def test_language_stage_rejects_on_evidence(spark):
+    import random
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by_lang = {}
+    for r in docs.where("length(text) > 600").orderBy("doc_id").select("lang", "text").collect():
+        by_lang.setdefault(r.lang, r.text[:400])
+    mixed = " ".join([by_lang["de"], by_lang["en"]])
+    draw = random.Random(1)
+    letters = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(80))
+    other = "minä olen tässä talossa ja sinä olet siellä missä kaikki muutkin ovat huomenna taas yhdessä"
+    odd = spark.createDataFrame([(-i, t, None, "odd", len(t)) for i, t in enumerate((letters, other, mixed, "12", ""), 1)], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(odd), "")
+    assert kept.where("doc_id < 0").count() == 0
+    assert docs.where(langmask.held_out()).join(kept, "doc_id", "left_anti").count() == 0
+
+
 def test_language_masks_hold_every_entry():
     model = langmask.MaskFilter.build([str(i) for i in range(70)], [(i * 7919, i % 70) for i in range(5000)])
     values = (np.arange(5000, dtype=np.int64) * 7919).view(np.uint64)
