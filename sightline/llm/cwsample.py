@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 
-SAMPLES = 32
+SAMPLES = 64
 _AT_ONCE = 4
 _BLOCK, _REGION = 8, 12  # bits
 
@@ -85,17 +85,29 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - cut), F.left(following, cut))
 
 
-def signatures(texts: DataFrame, keys: list[str], samples: int) -> DataFrame:
-    """The samples of ``text`` of every row by ``keys``, as a list in order; no row for no words."""
-    runs = texts.select(*keys, F.explode(terms(F.col("text"))).alias("run"))
-    runs = runs.select(*keys, "run", F.substring_index("run", " ", 1).alias("word"))
-    weighed = runs.select(*keys, F.xxhash64("word").alias("word"), F.log(F.length("run") / (F.length("word") + 1)).alias("log_weight"))
+def signatures(rows: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """(keys, own, changed): the samples of ``text`` and ``edited`` of every row, as lists in order.
+
+    What a term with its weight draws is drawn once for both texts. No row where neither has a word.
+    """
+    # The generator keeps the terms from being computed for every use.
+    both = rows.select(*keys, F.explode(F.array(F.struct(terms(F.col("text")).alias("x"), terms(F.col("edited")).alias("y")))).alias("t"))
+    x, y = F.col("t.x"), F.col("t.y")
+    parts = [(F.array_intersect(x, y), 0), (F.array_except(x, y), 1), (F.array_except(y, x), 2)]
+
+    def tag(of: Column, kind: int) -> Column:
+        return F.transform(of, lambda r: F.struct(r.alias("run"), F.lit(kind).alias("kind")))
+
+    tagged = [tag(of, kind) for of, kind in parts]
+    runs = both.select(*keys, F.explode(F.concat(*tagged)).alias("r")).select(*keys, "r.run", "r.kind")
+    runs = runs.withColumn("word", F.substring_index("run", " ", 1))
+    weighed = runs.select(*keys, "kind", F.xxhash64("word").alias("word"), F.log(F.length("run") / (F.length("word") + 1)).alias("log_weight"))
     groups = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // _AT_ONCE - 1))).alias("g"))
-    drawn = groups.select(*keys, "g", *(sample(F.col("word"), F.col("log_weight"), F.col("g") * _AT_ONCE + i).alias(f"s{i}") for i in range(_AT_ONCE)))
-    least = drawn.groupBy(*keys, "g").agg(*(F.min(f"s{i}").alias(f"s{i}") for i in range(_AT_ONCE)))
-    lists = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", *(f"s{i}" for i in range(_AT_ONCE))))).alias("l"))
-    flat = F.flatten(F.transform("l", lambda x: F.array(*(x[f"s{i}"] for i in range(_AT_ONCE)))))
-    return lists.select(*keys, flat.alias("signature"))
+    drawn = groups.select(*keys, "kind", "g", *(sample(F.col("word"), F.col("log_weight"), F.col("g") * _AT_ONCE + i).alias(f"s{i}") for i in range(_AT_ONCE)))
+    names = {"own": 2, "changed": 1}  # the kind of terms that the text lacks
+    least = drawn.groupBy(*keys, "g").agg(*(F.min(F.when(F.col("kind") != lacks, F.col(f"s{i}"))).alias(f"{n}{i}") for n, lacks in names.items() for i in range(_AT_ONCE)))
+    flat = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", F.array(*(F.col(f"{n}{i}") for i in range(_AT_ONCE))).alias("s")))), lambda part: part["s"])) for n in names]
+    return least.groupBy(*keys).agg(*(F.filter(f, lambda v: v.isNotNull()).alias(n) for f, n in zip(flat, names, strict=True)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,13 +123,9 @@ def shown(signature: Column) -> Column:
 def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and the next."""
     rows = with_next(docs)
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")),
-                              F.struct(F.lit(1).alias("kind"), edited(F.col("text"), F.col("following")).alias("text")))).alias("k")
-    texts = rows.select("block", "nth", kinds).select("block", "nth", "k.kind", "k.text")
-    found = signatures(texts, ["block", "nth", "kind"], samples)
+    texts = rows.select("block", "nth", "text", edited(F.col("text"), F.col("following")).alias("edited"))
+    found = written(signatures(texts, ["block", "nth"], samples), "signatures")
     none = F.array().cast("array<bigint>")
-    pick = [F.max(F.when(F.col("kind") == i, F.col("signature"))).alias(name) for i, name in enumerate(("own", "changed"))]
-    found = written(found.groupBy("block", "nth").agg(*pick), "signatures")
     facts = rows.select("doc_id", "block", "nth", "next_block", "next_nth", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(edited(F.col("text"), F.col("following")), 256).alias("edited_sha256"))
     facts = facts.join(found, ["block", "nth"], "left")

@@ -249,6 +249,19 @@ def test_fingerprints(spark, odd_docs, no_docs):
     assert len({r.fingerprint for r in out if r.doc_id in (6, 7)}) == 1
 
 
+def test_fingerprint_error_at_the_production_number(spark):
+    texts = [" ".join(prose(500 + i, 120)) for i in range(400)]
+    found = {r.doc_id: r for r in cwsample.compared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    errors = []
+    for i, t in enumerate(texts):
+        cut = len(t) // 4
+        x, y = Counter(t.split()), Counter((t[: len(t) - cut] + texts[(i + 1) % len(texts)][:cut]).split())
+        errors.append(found[i].near_edited - sum((x & y).values()) / sum((x | y).values()))
+    deviation, bias = float(np.std(errors)), float(np.mean(errors))
+    print(f"production error: deviation {deviation:.4f}, bias {bias:.4f}, samples {cwsample.SAMPLES}")
+    assert deviation < 0.07 and abs(bias) < 0.02
+
+
 def test_next_document_over_blocks(spark):
     ids = [0, 255, 256, 5000, 1 << 20, (1 << 20) + 3, 1 << 40, -9]
     rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
