@@ -1,6 +1,6 @@
 """Operators over text corpora, their registered queries and check SQL."""
 
-from . import bytebpe, cascade, cwsample, langmask, packing, paritysketch, personal, repeats, urlrules, warcfiles
+from . import bytebpe, cascade, cwsample, filteraudit, langmask, merkle, packing, paritysketch, personal, repeats, urlrules, warcfiles
 
 _MODULES = {
     "op1_personal_data": personal,
@@ -13,6 +13,8 @@ _MODULES = {
     "op8_packing": packing,
     "op9_byte_bpe": bytebpe,
     "op10_url_rules": urlrules,
+    "op11_merkle_manifest": merkle,
+    "op12_filter_audit": filteraudit,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 CHECKS = {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)}

@@ -210,7 +210,7 @@ def _rows(frame):
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_against_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF).toPandas()
     want = con.execute(CHECKS[name]).fetchdf()
@@ -221,6 +221,8 @@ def test_query_against_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
 def test_query_gives_a_row_for_every_document(spark, name):
+    if name == "op13_graph_search":
+        pytest.skip("embeddings: see test_graph.py")
     out = QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert out.select("doc_id").distinct().count() == n
