@@ -1,6 +1,20 @@
 """Operators over text corpora, their registered queries and check SQL."""
 
-from . import bytebpe, cascade, cwsample, filteraudit, langmask, merkle, packing, paritysketch, personal, repeats, urlrules, warcfiles
+from . import (
+    bytebpe,
+    cascade,
+    cwsample,
+    filteraudit,
+    graphindex,
+    langmask,
+    merkle,
+    packing,
+    paritysketch,
+    personal,
+    repeats,
+    urlrules,
+    warcfiles,
+)
 
 _MODULES = {
     "op1_personal_data": personal,
@@ -15,6 +29,7 @@ _MODULES = {
     "op10_url_rules": urlrules,
     "op11_merkle_manifest": merkle,
     "op12_filter_audit": filteraudit,
+    "op13_graph_search": graphindex,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 CHECKS = {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)}
