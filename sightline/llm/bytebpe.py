@@ -23,13 +23,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, kept
 
 _SEAM = re.compile(r"(?<=\S)(?=[ \t\n])")
 LEAF_CHARS, LEAF_BYTES, WINDOW = 1024, 512, 8
@@ -106,9 +105,8 @@ class TreeEncoder:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> TreeEncoder:
-    return TreeEncoder(path, pattern)
+    return kept("byte bpe", (path, pattern), lambda: TreeEncoder(path, pattern))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def kept(name: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python process for the last key under ``name``.
+
+    Helpers travel to the executors by value, with fresh globals for every task, so what should outlive
+    a task hangs on a module that every process has.
+    """
+    store = sys.__dict__.setdefault("_kept_over_tasks", {})
+    if name not in store or store[name][0] != key:
+        store[name] = (key, make())
+    return store[name][1]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -30,11 +43,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, _U), np.full(n, _BASE_INVERSE, _U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+    """The first powers of the base and of its inverse; those of the longest text so far are kept."""
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, _BASE, _U), np.full(n, _BASE_INVERSE, _U)
+        up[0] = down[0] = 1
+        return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+
+    known = kept("powers", "base", made)
+    if len(known[0]) < n:
+        known = made()
+        sys.__dict__["_kept_over_tasks"]["powers"] = ("base", known)
+    return known
 
 
 def spans_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -93,25 +113,28 @@ def mark() -> Column:
     return F.xxhash64("text")
 
 
+def marked_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, mark): the columns of ``docs`` in one, where no name of theirs meets a helper's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), mark().alias("mark"))
+
+
 def touched(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that may have a key (doc_id, mark), with ``_mark``, and all other rows.
+    """Rows of ``docs`` that may have a key (doc_id, mark), as ``marked_rows``, and all other rows as they are.
 
     Keys fall in ``SLOTS`` slots by hash, and the table of occupied slots, bounded by that number, is
-    broadcast. So a join on a few keys does not shuffle every text; with more keys than slots all
-    rows are simply in the first part.
+    broadcast. So a join on a few keys does not shuffle every text. With more keys than slots nearly all rows
+    are in the first part, and the join shuffles all texts: whole, but no longer cheap.
     """
-    def slot(name: str) -> Column:
-        return F.pmod(F.xxhash64("doc_id", name), F.lit(SLOTS)).cast("int")
-
-    occupied = F.broadcast(keys.select(slot("mark").alias("_slot")).distinct())
-    rows = docs.withColumn("_mark", mark()).withColumn("_slot", slot("_mark"))
-    return rows.join(occupied, "_slot", "left_semi").drop("_slot"), rows.join(occupied, "_slot", "left_anti").drop("_slot", "_mark")
+    slot = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLOTS)).cast("int")
+    occupied = F.broadcast(keys.select(slot.alias("slot")).distinct())
+    rows = marked_rows(docs).withColumn("slot", slot)
+    return rows.join(occupied, "slot", "left_semi").drop("slot"), rows.join(occupied, "slot", "left_anti").select("row.*")
 
 
 def join_rows(rows: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` (with doc_id and _mark) joined to ``keys`` (doc_id, mark, ...) by both; a null id fits a null id."""
-    own = keys.withColumnsRenamed({"doc_id": "_key_id", "mark": "_key_mark"})
-    return rows.join(own, F.expr("doc_id <=> _key_id AND _mark = _key_mark"), how).drop("_key_id", "_key_mark")
+    """``rows`` joined to ``keys`` by doc_id and mark, which both have; a null id fits a null id."""
+    own = keys.withColumnsRenamed({"doc_id": "key_id", "mark": "key_mark"})
+    return rows.join(own, F.expr("doc_id <=> key_id AND mark = key_mark"), how).drop("key_id", "key_mark")
 
 
 def linked_groups(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -24,14 +24,13 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, kept, written
 
 CAPACITY = 2048
 BUCKETS = 256
@@ -39,16 +38,57 @@ BUCKETS = 256
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-_KEEP_TOKENS, _KEEP_WORDS = 700_000, 400_000
+# Bytes of the tables that a Python process keeps over tasks, and about what Python needs for an entry besides.
+_KEEP_TOKENS, _KEEP_WORDS, _ENTRY = 48 << 20, 24 << 20, 190
 _LONG = 64
 
 
+class Recent:
+    """Values of a function of strings, kept for the strings of late, in about ``size`` bytes.
+
+    There are two tables: a full one becomes the old one, and what is asked for again moves up.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self.now: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._make, self._size, self._bytes = make, size // 2, 0
+
+    def get(self, key: str) -> bytes:
+        value = self.now.get(key)
+        if value is not None:
+            return value
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        need = len(key) + len(value) + _ENTRY
+        if need <= self._size:  # a longer one is not kept
+            if self._bytes + need > self._size:
+                self._old, self.now, self._bytes = self.now, {}, 0
+            self.now[key] = value
+            self._bytes += need
+        return value
+
+    def joined(self, keys: list[str]) -> bytes:
+        """The values of all keys, concatenated."""
+        table = self.now
+        try:
+            return b"".join(map(table.__getitem__, keys))
+        except KeyError:
+            for key in set(keys).difference(table):
+                self.get(key)
+        try:
+            return b"".join(map(self.now.__getitem__, keys))
+        except KeyError:  # the table changed in between
+            return b"".join(map(self.get, keys))
+
+
 class WordTokens:
     """Token ids of texts as little-endian 32-bit words.
 
     The vocabulary lower-cases texts and encodes every match of its split pattern alone, and no
     match spans white space. So a text is cut at white space and the ids of each piece looked up in
-    a bounded table; an unseen piece is split by the pattern, and its words merged here. Texts
+    a table bounded in bytes; an unseen piece is split by the pattern, and its words merged here. Texts
     beyond Latin-1 (where case and classes could differ between libraries), with separators that
     the libraries class differently, or with what may be a special token, and very long words go to
     the tokenizer itself.
@@ -68,8 +108,8 @@ class WordTokens:
         shown = {c: symbols.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if symbols.pre_tokenize_str(c)}
         self._inner = {c: [ids[x] for x in s] for c, s in shown.items()}
         self._last = {c: [*(ids[x] for x in s[:-1]), ids[s[-1] + end]] for c, s in shown.items()}
-        self._tokens: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._tokens = Recent(self._of_token, _KEEP_TOKENS)
+        self._words = Recent(self._of_word, _KEEP_WORDS)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -94,17 +134,10 @@ class WordTokens:
         return struct.pack(f"<{len(parts)}I", *parts)
 
     def _of_token(self, token: str) -> bytes:
-        out = []
-        for word in _LATIN.findall(token):
-            known = self._words.get(word)
-            if known is None:
-                known = self._merged(word) if len(word) <= _LONG else self._whole(word)
-                if len(word) <= _LONG:
-                    if len(self._words) >= _KEEP_WORDS:
-                        self._words.clear()
-                    self._words[word] = known
-            out.append(known)
-        return b"".join(out)
+        return b"".join(map(self._words.get, _LATIN.findall(token)))
+
+    def _of_word(self, word: str) -> bytes:
+        return self._merged(word) if len(word) <= _LONG else self._whole(word)
 
     def encode(self, text: str) -> bytes:
         try:
@@ -113,33 +146,14 @@ class WordTokens:
             return self._whole(text)
         if _ODD.search(text):
             return self._whole(text)
-        tokens = text.lower().split()
-        known = self._tokens
-        try:
-            return b"".join(map(known.__getitem__, tokens))
-        except KeyError:
-            new = {t for t in tokens if t not in known}
-        if len(known) + len(new) > _KEEP_TOKENS:
-            known.clear()
-            new = set(tokens)
-        if sum(map(len, new)) > 4 * _KEEP_TOKENS:  # one text of very long pieces: nothing to keep
-            return b"".join(map(self._of_token, tokens))
-        for token in new:
-            known[token] = self._of_token(token)
-        return b"".join(map(known.__getitem__, tokens))
-
-    def forget(self) -> None:
-        """Empty the tables at the end of a task: the process lives on and may serve other stages."""
-        self._tokens.clear()
-        self._words.clear()
+        return self._tokens.joined(text.lower().split())
 
     def _whole(self, text: str) -> bytes:
         return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return kept("word tokens", path, lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:
@@ -159,7 +173,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
-        tokens.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")
