@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, written
+from .common import kept, mix, written
 
 _U = np.uint64
 SIZES = (1, 2, 3, 4, 5)
@@ -35,9 +34,12 @@ EVIDENCE = (3, 4, 5)
 _BLANK = 0x20
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point, in lower case if it is a letter, else a blank."""
+    return kept("letters", None, _letter_table)
+
+
+def _letter_table() -> np.ndarray:
     table = np.full(0x110000, _BLANK, np.uint32)
     for i in range(0x110000):
         c = chr(i)
@@ -71,6 +73,11 @@ def grams(text: str, sizes: tuple[int, ...]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def astuple(model: MaskFilter) -> tuple:
+    """The model's plain values, which need no class of this package to be read."""
+    return model.languages, model.slots, model.hashes, model.fill
+
+
 @dataclass
 class MaskFilter:
     """Slots of language bits. ``fill`` is the chance, per language, that an absent n-gram hits."""
@@ -81,15 +88,12 @@ class MaskFilter:
     fill: np.ndarray
 
     @staticmethod
-    def build(languages: list[str], entries: list[tuple[int, int]], hashes: int = 3, per_entry: int = 16) -> MaskFilter:
-        """``entries``: (n-gram hash, language number)."""
-        size = 1 << max(10, (max(1, len(entries)) * per_entry - 1).bit_length())
+    def build(languages: list[str], values: np.ndarray, numbers: np.ndarray, hashes: int = 3, per_entry: int = 16) -> MaskFilter:
+        """``values``: n-gram hashes; ``numbers``: the language of each."""
+        size = 1 << max(10, (max(1, len(values)) * per_entry - 1).bit_length())
         slots = np.zeros((size, -(-max(1, len(languages)) // 64)), _U)
-        if entries:
-            values = np.array([e[0] for e in entries], np.int64).view(_U)
-            numbers = np.array([e[1] for e in entries])
-            for at in _places(values, size, hashes):
-                np.bitwise_or.at(slots, (at, numbers // 64), _U(1) << (numbers % 64).astype(_U))
+        for at in _places(values, size, hashes):
+            np.bitwise_or.at(slots, (at, numbers // 64), _U(1) << (numbers % 64).astype(_U))
         set_bits = [((slots[:, i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(languages))]
         return MaskFilter(languages, slots, hashes, np.array(set_bits) ** hashes)
 
@@ -133,27 +137,31 @@ def fit(labelled: DataFrame, sample: int = 1500, min_share: float = 2e-6, distin
                     ["lang", "gram", "n"])
 
     counts = drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    kept = counts.where(F.col("share") >= min_share)
-    top = kept.withColumn("top", F.max("share").over(Window.partitionBy("gram")))
-    # At most 1 / min_share rows a language.
+    counts = written(counts, "grams")
+    totals = written(counts.groupBy("lang").agg(F.sum("n").alias("every")), "totals")  # one row a language
+    counts = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("every"))
+    common = counts.where(F.col("share") >= min_share)
+    top = common.withColumn("top", F.max("share").over(Window.partitionBy("gram")))
+    # At most 1 / min_share rows a language, held as arrays of 8 and 4 bytes a row.
     rows = top.where(F.col("share") >= distinct * F.col("top")).select("lang", "gram").toArrow()
-    languages = sorted(set(rows["lang"].to_pylist()))
-    number = {lang: i for i, lang in enumerate(languages)}
-    return MaskFilter.build(languages, [(g, number[x]) for x, g in zip(rows["lang"].to_pylist(), rows["gram"].to_pylist(), strict=True)])
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    spelled = names.dictionary.to_pylist()
+    languages = sorted(spelled)
+    number = np.array([languages.index(x) for x in spelled] or [0])
+    return MaskFilter.build(languages, rows["gram"].to_numpy().view(_U), number[names.indices.to_numpy(zero_copy_only=False)])
 
 
 def predict(docs: DataFrame, model: MaskFilter, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"),
             sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the language and its score (the winner's part of all rates)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by min_share and the languages
-    docs = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # bounded by min_share and the languages
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = MaskFilter(*shared.value)
         for batch in batches:
             langs, scores = [], []
-            for text in batch["_text"]:
+            for text in batch["text"]:
                 values = grams(text.as_py() or "", sizes)
                 if not len(values) or not found.languages:
                     langs.append("und")
@@ -163,11 +171,12 @@ def predict(docs: DataFrame, model: MaskFilter, keep: list[str], names: tuple[st
                 best = int(np.argmax(rates))
                 langs.append(found.languages[best])
                 scores.append(float(rates[best] / rates.sum()) if rates[best] > 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*batch["row"].flatten(), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              [*keep, *names])
 
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    own = rows.schema["row"].dataType.fields
+    schema = T.StructType([*own, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def told(docs: DataFrame, model: MaskFilter, floor: float = 0.3, margin: float = 0.15) -> DataFrame:
@@ -177,10 +186,10 @@ def told(docs: DataFrame, model: MaskFilter, floor: float = 0.3, margin: float =
     documents of the sf0.01 table have rates from 0.51 and margins from 0.30; random letters and
     unlearned languages have rates up to 0.14, and an even mix of two languages a margin of 0.10.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by min_share and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # bounded by min_share and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = MaskFilter(*shared.value)
         for batch in batches:
             keep = []
             for text in batch["text"]:

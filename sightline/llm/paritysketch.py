@@ -7,9 +7,9 @@ d = (a + b) * (den - num) / (den + num) shingles.
 1. Texts with equal sets are one class (an aggregate on a digest); only classes are compared.
 2. Size bands: a pair belongs to the band of its smaller set, which bounds d. The shingles of a set
    are dealt by hash to d + 1 + e parts, each XOR-hashed to one word of the band's sketch. Shingles
-   in which two sets differ spoil at most d words, so at least e + 1 words agree. Words of parts
-   with under three shingles, which say little, are left out unless a set has more than e of them:
-   among e + 1 agreeing words one is then kept in either set, or all words of both are.
+   in which two sets differ spoil at most d words, so at least e + 1 words agree. Words of parts with
+   few shingles say little (of none: nothing), so those of the e weakest parts are left out. Of e + 1
+   agreeing parts the strongest has e weaker ones in either set, so its word is kept in both.
 3. Words that more than one class has make the candidates. First every class is verified against
    the one with which it shares most words as their smallest member, and links make components.
 4. Then the groups that still hold several components are compared in blocks of bounded size with
@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,6 @@ from .common import documents, join_rows, linked_groups, mark, mix, partitions,
 
 _U = np.uint64
 BLOCK = 2048
-_WEAK = 3
 _SEEN = 200_000
 _NONE = np.zeros(0, np.int64)
 
@@ -59,19 +57,21 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self._bands: list[tuple[int, int, int, int]] = []
 
     def distance(self, both: int) -> int:
         """Most differing shingles of a linked pair with so many shingles in all."""
         return both * (self.den - self.num) // (self.den + self.num)
 
-    @lru_cache(maxsize=4096)  # noqa: B019 - a handful of instances
     def band(self, k: int) -> tuple[int, int, int, int]:
         """Smallest size, first size above, parts, and agreeing words beyond the first of band ``k``."""
-        low = 1 if k == 0 else self.band(k - 1)[1]
-        high = max(low + 1, low * 3 // 2)
-        d = self.distance(high - 1 + (high - 1) * self.den // self.num)
-        spare = (d + 1) // 8 + 1
-        return low, high, d + 1 + spare if d else 0, spare
+        while len(self._bands) <= k:
+            low = self._bands[-1][1] if self._bands else 1
+            high = max(low + 1, low * 3 // 2)
+            d = self.distance(high - 1 + (high - 1) * self.den // self.num)
+            spare = (d + 1) // 2 + 1
+            self._bands.append((low, high, d + 1 + spare if d else 0, spare))
+        return self._bands[k]
 
     def of(self, n: int) -> list[int]:
         """Bands of the pairs that a set of ``n`` can be in: as the smaller one, or as the larger."""
@@ -97,10 +97,7 @@ class Bands:
             full = np.flatnonzero(counts)
             xors = np.zeros(parts, _U)
             xors[full] = np.bitwise_xor.reduceat(hashes[order], (np.cumsum(counts) - counts)[full])
-            strong = counts >= _WEAK
-            if parts - strong.sum() > spare:
-                strong[:] = True
-            at = np.flatnonzero(strong)
+            at = np.argsort(counts, kind="stable")[spare:]  # ties by part number, as in every other set
             out.append(mix(xors[at] ^ mix(at.astype(_U) + _U(k << 40))))
         return np.concatenate(out) if out else np.zeros(0, _U)
 
@@ -186,13 +183,10 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, nu
         pairs.select(F.col("doc_b").alias("doc_id"), F.col("mark_b").alias("mark")))
     texts = touched(docs.select("doc_id", "text"), ends)[0]
 
-    def text(end: str) -> DataFrame:
-        return texts.select(F.col("doc_id").alias(f"doc_{end}"), F.col("_mark").alias(f"mark_{end}"), F.col("text").alias(f"text_{end}"))
-
     found = pairs
     for end in "ba":
-        own = text(end).withColumnsRenamed({f"doc_{end}": "_id", f"mark_{end}": "_of"})
-        found = found.join(own, F.expr(f"doc_{end} <=> _id AND mark_{end} = _of")).drop("_id", "_of")
+        own = texts.select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), F.col("row.text").alias(f"text_{end}"))
+        found = found.join(own, F.expr(f"doc_{end} <=> id AND mark_{end} = of")).drop("id", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -323,9 +317,9 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     gone = written(gone.unionByName(twins).distinct(), "gone")
     near, rest = touched(docs, gone.unionByName(again))
     near = join_rows(near, gone, "left_anti")
-    single = join_rows(near, again, "left_semi").dropDuplicates(["doc_id", "_mark"])
+    single = join_rows(near, again, "left_semi").dropDuplicates(["doc_id", "mark"])
     near = join_rows(near, again, "left_anti").unionByName(single)
-    return near.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return near.select("row.*").unionByName(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,59 +1,73 @@
-"""Personal data by base patterns and by contexts learned from what they find.
+"""Personal data and secrets by base patterns and by contexts learned from what they find.
 
 Base. Four patterns find e-mail and IP addresses, card and phone numbers, each kind leftmost and
 without overlap; matches that fail their test (octets, Luhn, digits) are dropped. The text between
 two matches and the matches themselves give the places, by running sums of their lengths.
 
-Bootstrap. The words beside base spans are patterns: "what follows (or precedes) this word". Texts
-are cut into words at white space and at the edges of all matches, so a cue may be part of a token.
-Precision counts one unit above and below: a different neighbour of the word in a different text,
-where all identifiers of a text are one neighbour. So copies of a text, or a word repeated before the
-same neighbour, count once. Spans like identifiers are instances of unknown kind: runs of digits with
-single separators or brackets (four or more digits), tokens of six or more characters with four or
-more digits, and addresses without digits (``a@b``, ``a[at]b.c``, ``@name``, and whole tokens with an
-inner dot or underscore). Plain words are none. The confidence of an instance is the noisy-or of the
-patterns that extract it. Both scores are updated in turn over the graph of patterns and instances,
-for ``rounds`` rounds; the words beside an instance that a confident pattern extracts are patterns of
-the next round. Spans extracted by a pattern of a precision of at least ``confident`` with at least
-``support`` different identifiers become spans of that pattern's kind.
+Bootstrap. Spans like identifiers are instances: the base shapes, runs of digits with single separators
+or brackets (four or more digits), tokens of six or more characters with four or more digits, addresses
+without digits (``a@b``, ``a[at]b.c``, ``@name``, whole tokens with an inner dot or underscore), and quoted
+values after ``=`` or ``:``. Seeds are the base shapes that pass their test and, as the kind "secret", long
+tokens of letters and digits whose characters have a high entropy. A secret is only reported where a
+learned context confirms it: a digest in running text is none.
+
+The one to three words beside an instance are its patterns ("what follows ``token = "``"). Texts are cut
+into lower-case words at white space and at the edges of instances, and a line end is a word, so a
+pattern may be a part of a token, an assignment or the start of a line. Precision counts one unit above
+and below: a different neighbour of the pattern in a different text, where all instances of a text are
+one neighbour. So copies of a text, or a word repeated before the same neighbour, count once. The
+confidence of an instance is the noisy-or of the best pattern on each side. Both scores are updated in
+turn over the graph of patterns and instances, for ``rounds`` rounds; instances that are more ``likely``
+than not count for their patterns in the next round, by their confidence. Spans extracted by a pattern of a precision of at
+least ``confident`` with at least ``support`` different identifiers become spans of that pattern's kind;
+those that touch a base span do not.
+
+Most words that stand beside an instance are no patterns. They go by a bound on their precision, from
+the texts that have instances; what is below ``floor`` carries no weight. Only texts with a word of the
+patterns left are cut and counted besides.
 
 The patterns are written so that a long run of one character class is scanned once. All steps are
-DataFrame operations; what is shuffled are matches, words counted before the shuffle, and ids.
+DataFrame operations; what is shuffled are different texts with instances, matches, and words counted
+before the shuffle.
 
 Edge cases: a null text is empty; texts without matches have an empty list of spans; repeated rows
 get equal results, also with one id over several texts; empty tables give empty results; other
-columns are left out.
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLOTS, documents, join_rows, mark, touched, written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # A whole run of digits with single separators, of 14 to 19 digits.
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TOKEN = r"(?<![A-Za-z0-9+@._%-])(?=(?:[A-Za-z@._%+-]*+[0-9]){4})[A-Za-z0-9+][A-Za-z0-9@._%+-]{4,}[A-Za-z0-9]"
+_PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
+_GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+# Other instances.
 _FREE = r"(?<![A-Za-z0-9+@._%-])"
+_TOKEN = _FREE + r"(?=(?:[A-Za-z@._%+-]*+[0-9]){4})[A-Za-z0-9+][A-Za-z0-9@._%+-]{4,}[A-Za-z0-9]"
 _GROUP = r"[0-9]++(?![A-Za-z@_%])"
 _RUN = _FREE + rf"[(+]?{_GROUP}(?:\)?(?:\x20-\x20|[\x20./-])?\(?{_GROUP})*+"
 _AT = r"(?:@|(?i:\[at\]|\(at\)|\{at\}))"
 _ADDRESS = _FREE + rf"(?:[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:(?:\.|(?i:\[dot\]|\(dot\)))[A-Za-z0-9-]++)*+|@[A-Za-z0-9_]++(?:[.-][A-Za-z0-9_]++)*+)"
-# Names with inner dots or underscores only as whole tokens; they do not cut cues.
+_QUOTED = r"(?<=[=:]\x20?[\x22'])[^\x20\x09-\x0D\x22']{6,}+(?=[\x22'])"
 _NAME = r"(?<![^\x20\x09-\x0D])[A-Za-z0-9]++(?:[._][A-Za-z0-9]++)++(?![:=])"
-_PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "other": f"(?:{_ADDRESS}|{_RUN}|{_TOKEN}|{_NAME})"}
-_GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "other": r"[0-9@_]|[A-Za-z]\.[A-Za-z]|(?i:[\[({]at[\])}])"}
+_ANY = "|".join((_EMAIL, _IP, _CARD, _PHONE, _QUOTED, _ADDRESS, _RUN, _TOKEN, _NAME))
+_ANY_GUARD = r"[0-9@_]|[A-Za-z]\.[A-Za-z]|(?i:[\[({]at[\])}])|[=:]\x20?[\x22']"
 _SPACE = r"\x20\x09-\x0D"
-_BEFORE, _AFTER = rf"([^{_SPACE}]+)[{_SPACE}]*$", rf"^[{_SPACE}]*([^{_SPACE}]+)"
-_ANY = "|".join((_EMAIL, _IP, _CARD, _PHONE, _ADDRESS, _RUN, _TOKEN))
-_HERE = "\x01"  # stands for a match where texts are cut into words
-_NEAR = 64
-_ROWS = "array<struct<kind:string,gap:int,value:string,before:string,after:string>>"
+_HERE, _LINE = "\x01", "\x02"  # words that stand for an instance and for a line end
+_WORDS = 3
+_LONG, _ENTROPY = 20, 3.0
 
 
 def _digits(m: Column) -> Column:
@@ -77,144 +91,230 @@ def _holds(kind: Column, m: Column) -> Column:
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", m.rlike(octets))
         .when(kind == "card", _luhn(_digits(m)))
-        .when(kind == "phone", n.between(10, 15))
-        .otherwise((n >= 4) | m.rlike("[A-Za-z@_]"))
+        .otherwise(n.between(10, 15))
     )
 
 
-def _marked(text: Column) -> Column:
-    """The text in lower case with a mark in place of every match, set apart by blanks."""
-    return F.lower(F.regexp_replace(text, _ANY, f" {_HERE} "))
-
-
 def _cut(kind: str, pattern: str) -> Column:
-    """The text before every match with the match, and the rest of the text with none."""
+    """The length of the text before every match with the match, and the rest of the text with none."""
     def row(gap: Column, m: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), F.length(gap).alias("gap"), m.alias("value"),
-            F.regexp_extract(_marked(F.right(gap, F.lit(_NEAR))), _BEFORE, 1).alias("before"),
-            F.regexp_extract(_marked(F.left(gap, F.lit(_NEAR))), _AFTER, 1).alias("after"))
+        return F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), m.alias("value"))
 
     return F.zip_with(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), row)
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """Matches that pass their test: row keys, kind, start, end, value, words before and after."""
+    """Base matches that pass their test: (doc_id, mark, rid, kind, start, end)."""
     texts = docs.select("doc_id", mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("rid", F.monotonically_increasing_id())
-    parts = [
-        F.when(F.col("text").rlike(_GUARDS[kind]), _cut(kind, pattern)).otherwise(F.array().cast(_ROWS))
-        for kind, pattern in _PATTERNS.items()
-    ]
+    none = F.array().cast("array<struct<kind:string,gap:int,value:string>>")
+    parts = [F.when(F.col("text").rlike(_GUARDS[kind]), _cut(kind, pattern)).otherwise(none) for kind, pattern in _PATTERNS.items()]
     # One generator over all kinds; a text without any has nothing to explode.
-    listed = F.concat(*parts)
-    rows = texts.select("doc_id", "mark", "rid", F.posexplode(listed).alias("i", "r")).select("doc_id", "mark", "rid", "i", "r.*")
+    rows = texts.select("doc_id", "mark", "rid", F.posexplode(F.concat(*parts)).alias("i", "r")).select("doc_id", "mark", "rid", "i", "r.*")
     rows = rows.withColumn("size", F.coalesce(F.length("value"), F.lit(0)))
     w = Window.partitionBy("rid", "kind").orderBy("i")
-    placed = rows.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(w) - F.col("size")).withColumn("after", F.lead("after").over(w))
+    placed = rows.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(w) - F.col("size"))
     placed = placed.where(F.col("value").isNotNull() & _holds(F.col("kind"), F.col("value")))
-    placed = placed.withColumn("end", F.col("start") + F.col("size"))
-    # A token that touches a base span is that span, seen with its surroundings.
-    is_base = F.col("kind") != "other"
-    near = Window.partitionBy("rid").orderBy("start", ~is_base)
-    reach = F.max(F.when(is_base, F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
-    next_base = F.min(F.when(is_base, F.col("start"))).over(Window.partitionBy("rid").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("reach", F.coalesce(reach, F.lit(0))).withColumn("next_base", F.coalesce(next_base, F.col("end")))
-    placed = placed.where(is_base | ((F.col("reach") <= F.col("start")) & (F.col("next_base") >= F.col("end"))))
-    return placed.select("doc_id", "mark", "rid", "kind", "start", "end", "value", "before", "after")
-
-
-def _edges(found: DataFrame) -> DataFrame:
-    """(mark, side, word, value, kind): an instance beside a word, once for each different text."""
-    sides = F.array(F.struct(F.lit("after").alias("side"), F.col("before").alias("word")), F.struct(F.lit("before").alias("side"), F.col("after").alias("word")))
-    rows = found.select("mark", "value", "kind", F.explode(sides).alias("s")).select("mark", "s.side", "s.word", "value", "kind")
-    return rows.where((F.col("word") != "") & (F.col("word") != _HERE)).distinct()
-
-
-def _different(docs: DataFrame) -> DataFrame:
-    """Every different text once. Only rows in slots that may hold copies are shuffled."""
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), mark().alias("mark")).withColumn("slot", F.pmod("mark", F.lit(SLOTS)).cast("int"))
-    copied = written(rows.groupBy("mark", "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot").distinct(), "copied")
-    slots = F.broadcast(copied)  # bounded by SLOTS
-    once = rows.join(slots, "slot", "left_semi").groupBy("mark").agg(F.any_value("text").alias("text"))
-    return rows.join(slots, "slot", "left_anti").select("text").unionByName(once.select("text"))
-
-
-def _totals(docs: DataFrame) -> DataFrame:
-    """(side, word, total): different neighbours of a word on a side, summed over the different texts."""
-    words = F.filter(F.split(_marked(F.col("text")), rf"[{_SPACE}]+"), lambda x: x != "")
-    # The generator keeps the words from being computed twice.
-    cut = _different(docs).select(F.explode(F.array(F.concat(F.array(F.lit("")), words, F.array(F.lit(""))))).alias("w"))
-    # Pairs are texts, which are made distinct by hash; structs would be compared pair by pair.
-    pairs = F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat(x, F.lit(" "), F.coalesce(y, F.lit("")))))
-    sides = F.array(F.struct(F.lit("after").alias("side"), F.substring_index("p", " ", 1).alias("word")),
-                    F.struct(F.lit("before").alias("side"), F.substring_index("p", " ", -1).alias("word")))
-    each = cut.select(F.explode(pairs).alias("p")).select(F.explode(sides).alias("s")).select("s.side", "s.word")
-    return each.where((F.col("word") != "") & (F.col("word") != _HERE)).groupBy("side", "word").agg(F.count(F.lit(1)).alias("total"))
-
-
-def learned(docs: DataFrame, found: DataFrame, confident: float, support: int, rounds: int) -> DataFrame:
-    """(side, word, kind) of the patterns that the graph makes confident."""
-    edges = written(_edges(found), "edges")
-    pattern = ["side", "word", "kind"]
-    places = edges.groupBy("side", "word").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support)
-    totals = written(places.select("side", "word").join(_totals(docs), ["side", "word"]), "totals")
-    edges = written(edges.join(totals.select("side", "word"), ["side", "word"]), "edges")
+    return placed.select("doc_id", "mark", "rid", "kind", "start", (F.col("start") + F.col("size")).alias("end"))
+
+
+def _entropy(value: Column) -> Column:
+    """Bits a character, by how often each stands in the value."""
+    def bits(total: Column, c: Column) -> Column:
+        share = (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value)
+        return total - share * F.log2(share)
+
+    return F.aggregate(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), F.lit(0.0), bits)
+
+
+def _kind(value: Column) -> Column:
+    """The kind of an instance: a base one, "secret" or "other"."""
+    known = F.lit(None)
+    for kind, pattern in reversed(_PATTERNS.items()):
+        known = F.when(value.rlike(f"^(?:{pattern})$") & _holds(F.lit(kind), value), kind).otherwise(known)
+    dense = value.rlike(rf"^[A-Za-z0-9+/_-]{{{_LONG},}}=*$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return F.coalesce(known, F.when(dense & (_entropy(value) >= _ENTROPY), "secret").otherwise("other"))
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """(mark, words, found) of every different text that may have instances: its words and its instances.
+
+    ``found`` lists (value, start, at): where the instance starts in the text and among the words.
+    """
+    # The two signs that stand for something in the words are blanks in texts; lengths stay.
+    texts = docs.select(mark().alias("mark"), F.translate("text", _HERE + _LINE, "  ").alias("text"))
+    once = texts.where(F.col("text").rlike(_ANY_GUARD)).groupBy("mark").agg(F.any_value("text").alias("text"))
+    parts = F.split("text", _ANY, -1)
+    values = F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
+    # The generator keeps the two lists from being computed again where they are used twice.
+    both = once.select("mark", F.explode(F.array(F.struct(parts.alias("gaps"), values.alias("values")))).alias("c")).select("mark", "c.*")
+    both = both.where(F.size("values") > 0)
+    steps = F.zip_with(F.transform("gaps", lambda g: F.length(g)), F.transform("values", lambda v: F.length(v)), lambda g, v: F.named_struct(F.lit("g"), g, F.lit("v"), v))
+    begun = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+
+    def add(done: Column, step: Column) -> Column:
+        start = done["end"] + step["g"]
+        return F.struct((start + step["v"]).alias("end"), F.concat(done["starts"], F.array(start)).alias("starts"))
+
+    starts = F.aggregate(F.filter(steps, lambda s: s["v"].isNotNull()), begun, add, lambda done: done["starts"])
+    words = words_of(F.array_join("gaps", f" {_HERE} "))
+    rows = both.select("mark", "values", starts.alias("starts"), F.explode(F.array(words)).alias("words"))
+    at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i) == _HERE)
+    return rows.select("mark", "words", F.arrays_zip(F.col("values").alias("value"), F.col("starts").alias("start"), at.alias("at")).alias("found"))
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, line ends among them."""
+    lines = F.replace(F.lower(text), F.lit("\n"), F.lit(f" {_LINE} "))
+    return F.filter(F.split(lines, rf"[{_SPACE}]+"), lambda x: x != "")
+
+
+def _patterns_at(words: Column, at: Column) -> Column:
+    """(side, pattern) of the place ``at``: the runs of one to three words before and after, without instances."""
+    n = F.size(words)
+
+    def run(side: str, first: Column, size: int, fits: Column) -> Column:
+        own = F.slice(words, F.when(fits, first).otherwise(1), F.when(fits, size).otherwise(0))
+        fits = fits & ~F.array_contains(own, _HERE)
+        return F.struct(F.lit(side).alias("side"), F.when(fits, F.array_join(own, " ")).alias("pattern"))
+
+    runs = [run("after", at - k, k, at > k) for k in range(1, _WORDS + 1)] + [run("before", at + 1, k, at + k <= n) for k in range(1, _WORDS + 1)]
+    return F.filter(F.array(*runs), lambda r: r["pattern"].isNotNull())
+
+
+def instances(cut: DataFrame) -> DataFrame:
+    """(mark, value, start, kind, sides): every instance with the patterns beside it."""
+    rows = cut.select("mark", "words", F.explode("found").alias("f")).select("mark", "words", "f.*")
+    return rows.select("mark", "value", "start", _kind(F.col("value")).alias("kind"), _patterns_at(F.col("words"), F.col("at")).alias("sides"))
+
+
+def _slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+
+
+def _neighbours(cut: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(side, pattern, n): different neighbours of the patterns in each of the texts, in all.
+
+    Runs that cannot be one of ``patterns`` (side, pattern) are left out before they are counted.
+    """
+    def run(size: int) -> Callable[[Column], Column]:
+        return lambda i: F.array_join(F.slice(F.col("padded"), i, size + 1), " ")
+
+    cut = cut.select(F.concat(F.array(F.lit("")), F.col("words"), F.array(F.lit(""))).alias("padded"))
+    every = []
+    for size in range(1, _WORDS + 1):
+        # Runs of one word more: a pattern and its neighbour; an empty word stands before and after the text.
+        starts = F.when(F.size("padded") > size, F.sequence(F.lit(1), F.size("padded") - size)).otherwise(F.array().cast("array<int>"))
+        runs = F.array_distinct(F.transform(starts, run(size)))
+        each = cut.select(F.explode(runs).alias("run"))
+        sides = F.array(F.struct(F.lit("after").alias("side"), F.substring_index("run", " ", size).alias("pattern")),
+                        F.struct(F.lit("before").alias("side"), F.substring_index("run", " ", -size).alias("pattern")))
+        every.append(each.select(F.explode(sides).alias("s")).select("s.side", "s.pattern"))
+    rows = every[0]
+    for more in every[1:]:
+        rows = rows.unionByName(more)
+    wanted = F.broadcast(patterns.select(_slot("pattern").alias("slot")).distinct())  # at most SLOTS rows
+    rows = rows.withColumn("slot", _slot("pattern")).join(wanted, "slot", "left_semi")
+    return rows.groupBy("side", "pattern").agg(F.count(F.lit(1)).alias("n")).join(patterns.select("side", "pattern"), ["side", "pattern"], "left_semi")
+
+
+def _totals(docs: DataFrame, cut: DataFrame, patterns: DataFrame, floor: float) -> DataFrame:
+    """(side, pattern, total): different neighbours over all texts, of the patterns that may matter.
+
+    ``patterns`` has ``texts``, in how many an instance is beside the pattern; so many of them at most
+    count for it, and the neighbours in texts with instances count against it.
+    """
+    near = written(_neighbours(cut, patterns), "neighbours")
+    left = written(patterns.join(near, ["side", "pattern"]).where(F.col("texts") >= floor * F.col("n")).select("side", "pattern", "n"), "patterns")
+    # The other texts: those that have the word of a pattern that is next to the instance. Two tables of slots,
+    # of at most SLOTS rows, keep other words and other texts from being shuffled.
+    words = left.select(F.when(F.col("side") == "after", F.substring_index("pattern", " ", -1)).otherwise(F.substring_index("pattern", " ", 1)).alias("word"))
+    wanted = F.broadcast(words.select(_slot("word").alias("slot")).distinct())
+    hits = docs.select(mark().alias("mark"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    hits = hits.withColumn("slot", _slot("word")).join(wanted, "slot", "left_semi").select("mark").distinct()
+    hits = written(hits.join(cut.select("mark"), "mark", "left_anti"), "hits")
+    hit = F.broadcast(hits.select(_slot("mark").alias("slot")).distinct())
+    again = docs.select(mark().alias("mark"), "text").withColumn("slot", _slot("mark")).join(hit, "slot", "left_semi")
+    again = again.join(hits, "mark", "left_semi").groupBy("mark").agg(F.any_value("text").alias("text"))
+    more = _neighbours(again.select(F.explode(F.array(words_of(F.col("text")))).alias("words")), left)
+    both = left.unionByName(more.select("side", "pattern", "n"))
+    return both.groupBy("side", "pattern").agg(F.sum("n").alias("total"))
+
+
+def learned(docs: DataFrame, cut: DataFrame, found: DataFrame, confident: float, support: int, rounds: int, floor: float,
+            likely: float = 0.499) -> DataFrame:
+    """(side, pattern, kind, score) of the patterns that the graph makes confident."""
+    edges = found.select("mark", "value", "kind", F.explode("sides").alias("s")).select("mark", "s.side", "s.pattern", "value", "kind").distinct()
+    edges = written(edges, "edges")
+    places = edges.groupBy("side", "pattern").agg(F.count_distinct("value").alias("values"), F.count_distinct("mark").alias("texts"))
+    places = written(places.where(F.col("values") >= support), "places")
+    totals = written(_totals(docs, cut, places, floor), "totals")
+    edges = written(edges.join(totals.select("side", "pattern"), ["side", "pattern"]), "edges")
     seeds = edges.where("kind <> 'other'").withColumn("trust", F.lit(1.0)).withColumn("firm", F.lit(True))
     others, known = edges.where("kind = 'other'").drop("kind"), seeds
+    pattern = ["side", "pattern", "kind"]
     for i in range(rounds + 1):
         # A text counts once for a pattern, by the best instance that it has there.
         texts = known.groupBy("mark", *pattern).agg(F.max("trust").alias("trust")).groupBy(*pattern).agg(F.sum("trust").alias("hits"))
         values = known.where("firm").groupBy(*pattern).agg(F.count_distinct("value").alias("values")).where(F.col("values") >= support)
-        scores = texts.join(values, pattern).join(totals, ["side", "word"]).withColumn("score", F.least(F.col("hits") / F.col("total"), F.lit(1.0)))
+        scores = texts.join(values, pattern).join(totals, ["side", "pattern"]).withColumn("score", F.least(F.col("hits") / F.col("total"), F.lit(1.0)))
         scores = written(scores.select(*pattern, "score"), "scores")
         if i == rounds:
             break
-        linked = others.select("side", "word", "value").distinct().join(scores, ["side", "word"])
+        # Patterns of one side share words and are no independent signs, so the best of each side counts.
+        linked = others.select("side", "pattern", "value").distinct().join(scores, ["side", "pattern"])
+        linked = linked.groupBy("value", "kind", "side").agg(F.max("score").alias("score"))
         none = F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))
         trusted = linked.groupBy("value", "kind").agg((1 - F.exp(F.sum(none))).alias("trust"), (F.max("score") >= confident).alias("firm"))
-        known = written(seeds.unionByName(others.join(written(trusted, "trusted"), "value").select(*seeds.columns)), "known")
-    first = Window.partitionBy("side", "word").orderBy(F.desc("score"), "kind")
+        trusted = written(trusted.where(F.col("trust") >= likely), "trusted")
+        known = written(seeds.unionByName(others.join(trusted, "value").select(*seeds.columns)), "known")
+    first = Window.partitionBy("side", "pattern").orderBy(F.desc("score"), "kind")
     best = scores.where(F.col("score") >= confident).withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    return best.select("side", "word", "kind", "score")
+    return best.select("side", "pattern", "kind", "score")
 
 
-def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
+def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.1) -> DataFrame:
     """(doc_id, mark, base, spans) of texts with spans, lists of (start, kind number, end)."""
     docs = docs.select("doc_id", "text")
-    found = written(matches(docs), "matches")
-    patterns = learned(docs, found, confident, support, rounds)
-    base = found.where("kind <> 'other'")
-    sides = F.array(F.struct(F.lit("after").alias("side"), F.col("before").alias("word")), F.struct(F.lit("before").alias("side"), F.col("after").alias("word")))
-    more = found.where("kind = 'other'").select("doc_id", "mark", "rid", "start", "end", F.explode(sides).alias("s"))
-    more = more.select("doc_id", "mark", "rid", "start", "end", "s.side", "s.word").join(patterns, ["side", "word"])
-    more = more.groupBy("doc_id", "mark", "rid", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    keys = ["doc_id", "mark", "rid"]
-    every = base.select(*keys, F.struct("start", number.alias("kind"), "end").alias("s"), F.lit(True).alias("base")).unionByName(
-        more.select(*keys, F.struct("start", number.alias("kind"), "end").alias("s"), F.lit(False).alias("base")))
-    lists = every.groupBy(*keys).agg(F.collect_list(F.struct("s", "base")).alias("all"))
-    own = F.filter("all", lambda x: x["base"])
-    new = F.filter("all", lambda x: ~x["base"])
-    lists = lists.select("doc_id", "mark", F.sort_array(F.transform(own, lambda x: x["s"])).alias("base"),
-                         F.sort_array(F.transform(F.concat(own, new), lambda x: x["s"])).alias("spans"))
-    return lists.dropDuplicates(["doc_id", "mark"])
-
-
-def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
+    base = matches(docs)
+    cut = written(cut_texts(docs), "cut")
+    found = written(instances(cut), "instances")
+    patterns = learned(docs, cut, found, confident, support, rounds, floor)
+    more = found.where("kind in ('other', 'secret')").select("mark", "start", F.length("value").alias("size"), F.explode("sides").alias("s"))
+    more = more.select("mark", "start", "size", "s.side", "s.pattern").join(patterns, ["side", "pattern"])
+    more = more.groupBy("mark", "start", "size").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+
+    def number(names: str) -> Column:
+        return F.array_position(F.array(*map(F.lit, KINDS)), F.col(names)).cast("int").alias("kind")
+
+    span = F.struct(F.col("start").cast("long").alias("start"), number("kind"), (F.col("start") + F.col("size")).cast("long").alias("end"))
+    new = written(more.groupBy("mark").agg(F.collect_list(span).alias("new")), "learned")
+    keys = ["doc_id", "mark"]
+    own = base.groupBy(*keys, "rid").agg(F.sort_array(F.collect_list(F.struct("start", number("kind"), "end"))).alias("base"))
+    own = written(own.drop("rid").dropDuplicates(keys), "base")
+    # Texts with learned spans and no base span have a row of their own.
+    rows = docs.select("doc_id", mark().alias("mark")).join(new, "mark").dropDuplicates(keys)
+    none = F.array().cast(own.schema["base"].dataType)
+    both = own.withColumn("new", none).unionByName(rows.withColumn("base", none).select("doc_id", "mark", "base", "new"))
+    both = both.groupBy(*keys).agg(F.max("base").alias("base"), F.max("new").alias("new"))  # the one that is not empty
+    apart = F.filter("new", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return both.select(*keys, "base", F.sort_array(F.concat("base", apart)).alias("spans")).where(F.size("spans") > 0)
+
+
+def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.1) -> DataFrame:
     """Spans of every text: (doc_id, mark, base, spans), empty lists where there are none."""
-    lists = found_in(docs, confident, support, rounds)
-    rows = docs.select("doc_id", mark().alias("_mark"))
+    lists = found_in(docs, confident, support, rounds, floor)
+    rows = docs.select("doc_id", mark().alias("mark"))
     kind = "array<struct<start:bigint,kind:int,end:bigint>>"
     joined = join_rows(rows, lists, "left")
-    return joined.select("doc_id", F.col("_mark").alias("mark"), *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
+    return joined.select("doc_id", "mark", *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
 
 
-def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2) -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in brackets."""
-    lists = written(found_in(docs, confident, support, rounds).select("doc_id", "mark", F.col("spans").alias("_spans")), "spans")
+def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.1) -> DataFrame:
+    """``docs`` with every span of personal data and every secret replaced by its kind in brackets."""
+    lists = written(found_in(docs, confident, support, rounds, floor).select("doc_id", "mark", "spans"), "spans")
     part, rest = touched(docs, lists)
-    joined = join_rows(part, lists, "left").select(*docs.columns, "_spans")
+    joined = join_rows(part, lists, "left").select("row", F.col("row.text").alias("text"), "spans")
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -224,9 +324,9 @@ def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: in
         # A span inside what is masked already only moves the end.
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.when(span["start"] >= done["at"], more).otherwise(done["out"]).alias("out"))
 
-    rebuilt = F.aggregate("_spans", start, add, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rebuilt)
-    both = joined.withColumn("text", text).select(*docs.columns).unionByName(rest.select(*docs.columns))
+    rebuilt = F.aggregate("spans", start, add, lambda done: F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rebuilt)
+    both = joined.withColumn("row", F.col("row").withField("text", text)).select("row.*").unionByName(rest)
     return both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else both
 
 
@@ -238,6 +338,10 @@ def shown(spans: str) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
-    kinds = F.transform("base", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS, 1)]
-    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+    def count(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind) + 1)).cast("long")
+
+    counts = [count("base", k).alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"),
+                        count("spans", "secret").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))

@@ -116,7 +116,7 @@ def seeded(docs: DataFrame, size: int, seed: int) -> DataFrame:
 def placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Texts with the rows of ``places`` (doc_id, mark, ...), equal ones once."""
     texts = touched(docs.select("doc_id", "text"), places)[0]
-    return join_rows(texts, places).withColumnRenamed("_mark", "mark").dropDuplicates(["doc_id", "mark"])
+    return join_rows(texts, places).withColumn("text", F.col("row.text")).drop("row").dropDuplicates(["doc_id", "mark"])
 
 
 def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +201,7 @@ def trimmed(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
                                              ["doc_id", "mark", "removed", "kept"])
 
     parts = placed_texts(docs, spans).select("doc_id", "mark", "text", "spans").mapInArrow(run, "doc_id long, mark long, removed long, kept string")
-    out = join_rows(rows.withColumnRenamed("mark", "_mark"), parts, "left").withColumnRenamed("_mark", "mark")
+    out = join_rows(rows, parts, "left")
     whole = F.lit(digest([]))
     return out.select(
         "doc_id", "mark", F.col("n").alias("n_words"),
@@ -219,23 +219,24 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> Data
     whole = written(rows.where("copied").select("doc_id", "mark").distinct(), "copied")
     part, rest = touched(docs, spans.select("doc_id", "mark").unionByName(whole))
     part = join_rows(part, whole, "left_anti")
-    part = join_rows(part, spans.withColumnRenamed("spans", "_spans"), "left")
+    part = join_rows(part, spans, "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for text, of in zip(batch["text"], batch["_spans"].to_pylist(), strict=True):
+            fields = dict(zip(names, batch["row"].flatten(), strict=True))
+            for text, of in zip(fields["text"], batch["spans"].to_pylist(), strict=True):
                 if not of:
                     kept.append(text.as_py())
                     continue
                 words = text_words((text.as_py() or "").encode())
                 gone = cover(of, len(words), size)
                 kept.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch[c] for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else fields[c] for c in names], names)
 
-    cut = part.select(*names, "_spans").mapInArrow(run, docs.schema).where(F.col("text").isNull() | (F.col("text") != ""))
-    both = cut.unionByName(rest.select(*names))
+    cut = part.select("row", "spans").mapInArrow(run, docs.schema).where(F.col("text").isNull() | (F.col("text") != ""))
+    both = cut.unionByName(rest)
     return both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else both
 
 

@@ -23,9 +23,11 @@ def odd_docs(spark):
         (-5, "negative id " + " ".join(prose(5, 30))), (None, "no id"), (14, "é ü ß 漢字 \U0001f600 \x85 end"),
         (15, "call +1 (068) 555-2713 or a.b@c.example.org from 10.0.0.300 and 10.0.0.30, card 4539 1488 0343 6467"),
     ]
-    wide = [(i, t, "en" if i != 4 else None, "s", 0, "a", 1, "b", 2.0) for i, t in rows]
+    # Names that the operators use themselves, with and without a line.
+    clashing = ["mark", "n", "class", "score", "_mark", "_slot", "slot", "_text", "spans", "_spans", "base", "row", "_key_id", "key_id", "start", "value", "kind", "words", "found"]
+    wide = [(i, t, "en" if i != 4 else None, "s", 0, *["a"] * len(clashing)) for i, t in rows]
     return spark.createDataFrame(
-        wide, "doc_id long, text string, lang string, source string, n_chars long, mark string, n long, class string, score double")
+        wide, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing))
 
 
 @pytest.fixture(scope="session")

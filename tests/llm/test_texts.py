@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sightline.llm import bytebpe, cascade, cwsample, langmask, packing, personal
 
@@ -150,7 +151,8 @@ def test_language_stage_rejects_on_evidence(spark):
 
 
 def test_language_masks_hold_every_entry():
-    model = langmask.MaskFilter.build([str(i) for i in range(70)], [(i * 7919, i % 70) for i in range(5000)])
+    numbers = np.arange(5000)
+    model = langmask.MaskFilter.build([str(i) for i in range(70)], (numbers * 7919).astype(np.uint64), numbers % 70)
     values = (np.arange(5000, dtype=np.int64) * 7919).view(np.uint64)
     masks = model.masks(values)
     assert all((int(masks[i][(i % 70) // 64]) >> ((i % 70) % 64)) & 1 for i in range(5000))
@@ -221,6 +223,39 @@ def test_contexts_find_other_shapes_and_teach(spark):
     assert found[300] == "phone:4:16" and found[301] == ""
 
 
+def test_contexts_confirm_secrets(spark):
+    """Assignments, several words and line starts are patterns; high entropy alone is no secret."""
+    digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f"{w} token = \"{digest[i]}\" {w}") for i, w in enumerate(prose(31, 12))]
+    rows += [(20 + i, f"some words\nkey {digest[20 + i]} {w}") for i, w in enumerate(prose(32, 8))]
+    rows += [(40 + i, f"{w} key {w}z and token {w} title = \"{w}long\"") for i, w in enumerate(prose(33, 30))]
+    rows += [(100, "last token = \"hunterXYZ\" here"), (101, f"commit {digest[50]} of main"), (102, f"a key {digest[51]} there"), (103, f"x\nkey {digest[52]}"),
+             (104, "the token = none"), (105, "title = \"Something\"")]
+    found = {r.doc_id: r.spans for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", personal.shown("spans").alias("spans")).collect()}
+    assert all(found[i] == f"secret:{(at := rows[i][1].index(digest[i]))}:{at + 40}" for i in range(12))
+    assert found[100] == "secret:14:23" and found[101] == "" and found[102] == "" and found[103] == "secret:6:46"
+    assert found[104] == "" and found[105] == "" and all(found[40 + i] == "" for i in range(30))
+
+
+def test_long_words_beside_identifiers(spark):
+    """A word beside an identifier is taken whole, however long."""
+    cue = "x" * 300 + ":"
+    rows = [(i, f"w{i}x {cue} +1 (068) 555-{1000 + i} z") for i in range(9)] + [(50, f"{cue} 068-555-9999 q"), (51, f"{cue[100:]} 068-555-9998 q")]
+    found = {r.doc_id: r.spans for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", personal.shown("spans").alias("spans")).collect()}
+    assert found[50] == "phone:302:314" and found[51] == ""
+
+
+def test_secrets_of_the_table(spark):
+    """Documents with a secret are found and masked, and nothing else is added but beside the same context."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = {r.doc_id for r in docs.collect() if re.search(r'token = "[0-9a-f]{40}"', r.text or "")}
+    out = personal.find(docs).select("doc_id", "spans", F.size("base").alias("n")).collect()
+    caught = {r.doc_id for r in out if any(s.kind == 5 for s in r.spans)}
+    assert planted and len(caught & planted) >= 0.9 * len(planted)
+    assert {r.doc_id for r in out if len(r.spans) > r.n} <= planted
+    assert not any(re.search("[0-9a-f]{40}", r.text or "") for r in personal.masked(docs).collect() if r.doc_id in planted)
+
+
 def test_masking(odd_docs, no_docs):
     out = personal.masked(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
