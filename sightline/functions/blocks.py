@@ -18,55 +18,78 @@ _PIECE = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SIMPLE = re.compile(r"([.#]?[\w-]+|\*)|\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
+# What a selector may be made of: tags, classes, ids, attributes, :first-child and :not() of one of these, joined
+# by blanks (inside), ">" (child) and commas.
+_TAG, _VALUE = r"(?:[\w-]+|\*)", r"""\[[\w-]+(?:[*^$]?=(?:"[^"]*"|'[^']*'|[^\]"',]*))?\]"""
+_MARK = rf"(?:[.#][\w-]+|{_VALUE}|:first-child)"
+_PART = rf"(?:{_MARK}|:not\((?:{_TAG}|{_MARK})\))"
+_COMPOUND = rf"(?:{_TAG}{_PART}*|{_PART}+)"
+_COMPLEX = rf"{_COMPOUND}(?:(?:\s*>\s*|\s+){_COMPOUND})*"
+SELECTOR = rf"^\s*{_COMPLEX}(?:\s*,\s*{_COMPLEX})*\s*$"
+_TOKEN = re.compile(rf"\s*(?P<join>[>,])\s*|(?P<inside>\s+)|(?P<simple>{_TAG}|{_PART})")
+_TEST = re.compile(r"""(?P<name>[.#]?[\w-]+|\*)$|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)["']?(?P<want>[^"'\]]*)["']?)?\]$""")
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "text", "link", "marked")
+    __slots__ = ("tag", "attrs", "text", "link", "marked", "nth", "children")
 
-    def __init__(self, tag, attrs):
-        self.tag, self.attrs = tag, attrs
+    def __init__(self, tag, attrs, nth):
+        self.tag, self.attrs, self.nth, self.children = tag, attrs, nth, 0
         self.text, self.link = [], self if tag == "a" else None
 
 
-def _fits(element: _Element, compound: str) -> bool:
-    for m in _SIMPLE.finditer(compound):
-        name, attr, op, want = m.groups()
-        if attr:
-            have = element.attrs.get(attr)
-            ok = have is not None and {
-                None: True, "=": have == want, "*=": want in have,
-                "^=": have.startswith(want or "\0"), "$=": have.endswith(want or "\0"),
-            }[op]
-        elif name == "*":
-            ok = True
-        elif name[0] == ".":
-            ok = name[1:] in (element.attrs.get("class") or "").split()
-        elif name[0] == "#":
-            ok = element.attrs.get("id") == name[1:]
+def _test(simple: str):
+    """Whether an element fits one simple selector, as a function."""
+    if simple.startswith(":not("):
+        inner = _test(simple[5:-1])
+        return lambda e: not inner(e)
+    if simple == ":first-child":
+        return lambda e: e.nth == 1
+    name, attr, op, want = _TEST.match(simple).group("name", "attr", "op", "want")
+    if attr:
+        # A part of a value that is empty fits nothing.
+        fits = {
+            None: lambda have: True, "=": lambda have: have == want, "*=": lambda have: bool(want) and want in have,
+            "^=": lambda have: bool(want) and have.startswith(want), "$=": lambda have: bool(want) and have.endswith(want),
+        }[op]
+        return lambda e: attr.lower() in e.attrs and fits(e.attrs[attr.lower()])
+    if name == "*":
+        return lambda e: True
+    if name[0] == ".":
+        return lambda e: name[1:] in (e.attrs.get("class") or "").split()
+    if name[0] == "#":
+        return lambda e: e.attrs.get("id") == name[1:]
+    return lambda e: e.tag == name.lower()
+
+
+def compiled(selector: str) -> list[list[tuple[bool, list]]]:
+    """Alternatives, each as steps from the chosen element outwards: (is the next one its parent, tests)."""
+    if not re.match(SELECTOR, selector):
+        raise ValueError(f"selector not supported: {selector}")
+    lists, steps = [], [(False, [])]
+    for m in _TOKEN.finditer(selector.strip()):
+        if m["simple"]:
+            steps[-1][1].append(_test(m["simple"]))
+        elif m["join"] == ",":
+            lists.append(steps)
+            steps = [(False, [])]
         else:
-            ok = element.tag == name.lower()
-        if not ok:
+            steps.append((m["join"] == ">", []))
+    lists.append(steps)
+    return [list(reversed(one)) for one in lists]
+
+
+def _selected(path: list[_Element], selector: list) -> bool:
+    """The last element of the open path fits an alternative."""
+    def fits(at: int, steps: list) -> bool:
+        is_child, tests = steps[0]
+        if not all(test(path[at]) for test in tests):
             return False
-    return True
-
-
-def _selected(path: list[_Element], selector: str) -> bool:
-    """Comma lists, compound selectors and descendants."""
-    for one in selector.split(","):
-        *outer, last = one.split() or [""]
-        if not last or not _fits(path[-1], last):
-            continue
-        rest = path[:-1]
-        for want in reversed(outer):
-            while rest and not _fits(rest[-1], want):
-                rest = rest[:-1]
-            if not rest:
-                break
-            rest = rest[:-1]
-        else:
+        if len(steps) == 1:
             return True
-    return False
+        return any(fits(outer, steps[1:]) for outer in ([at - 1] if is_child and at else [] if is_child else range(at - 1, -1, -1)))
+
+    return any(fits(len(path) - 1, steps) for steps in selector)
 
 
 class _Reader:
@@ -74,6 +97,7 @@ class _Reader:
 
     def __init__(self, chosen):
         self.chosen, self.path, self.open, self.found = chosen, [], [], []
+        self.outermost = 0
 
     def read(self, body: str):
         for piece in _PIECE.finditer(body):
@@ -91,7 +115,11 @@ class _Reader:
         values = {
             name.lower(): unescape(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attrs)
         } if attrs else {}
-        element = _Element(tag, values)
+        if self.path:
+            self.path[-1].children += 1
+        else:
+            self.outermost += 1
+        element = _Element(tag, values, self.path[-1].children if self.path else self.outermost)
         if tag == "a":
             for holder in self.open:
                 if holder.link is None:
@@ -131,7 +159,8 @@ def _job_class(path):
 
 def listing_blocks(body: str, selector: str | None, page_url: str | None):
     """Yield (href, link text, block text) for every block that may hold a listing."""
-    reader = _Reader((lambda path: _selected(path, selector)) if selector else _job_class)
+    steps = compiled(selector) if selector else None
+    reader = _Reader((lambda path: _selected(path, steps)) if steps else _job_class)
     reader.read(body or "")
     picked = [e for e in reader.found if e.marked]
     if not picked and not selector:

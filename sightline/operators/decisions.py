@@ -115,49 +115,67 @@ def align(jobs: DataFrame, decisions: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
-def decide(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Aligned decisions of all chunks; jobs of a failed chunk are kept and marked."""
-    aligned = align(chunked, response_decisions(parsed.where(~F.col("failed"))), ["company", "chunk_no", "url"])
-    outcome = parsed.select("company", "chunk_no", F.col("failed").alias("_failed"))
+USAGE = ["input_tokens", "output_tokens", "duration_ms"]
+
+
+def decide_with_usage(chunked: DataFrame, parsed: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """``decide`` with ``failed`` and, on the first job of a chunk, what its answer used.
+
+    The answers of a chunk, about ``size`` of them, are one map by URL, so one join by chunk brings all that
+    its jobs need; of repeated URLs the last entry wins, and a failed chunk used nothing.
+    """
+    # Later entries first: the first of equal URLs is then the one that counts.
+    entries = F.reverse(F.coalesce("decisions", F.array().cast("array<struct<url:string,keep:boolean,reason:string>>")))
+    urls = F.transform(entries, lambda d: d["url"])
+    last = F.filter(entries, lambda d, i: F.array_position(urls, d["url"]) == i + 1)
+    answers = F.map_from_arrays(F.transform(last, lambda d: d["url"]), F.transform(last, lambda d: F.struct(d["keep"].alias("keep"), d["reason"].alias("reason"))))
+    usage = [c for c in USAGE if c in parsed.columns]
+    chunks = parsed.select("company", "chunk_no", F.col("failed").alias("_failed"), answers.alias("_answers"), *(F.col(c).alias(f"_{c}") for c in usage))
     lost = F.coalesce(F.col("_failed"), F.lit(True))
-    return aligned.join(outcome, ["company", "chunk_no"], "left").select(
+    first = F.col("job_no") == F.col("chunk_no") * size + 1
+    d = F.try_element_at("_answers", F.col("url"))
+    joined = chunked.withColumn("_first", first).join(chunks, ["company", "chunk_no"], "left").withColumn("_d", d)
+    none = F.col("_d").isNull()
+    return joined.select(
         *chunked.columns,
-        F.when(lost, True).otherwise(F.col("keep")).alias("keep"),
-        F.when(lost, "chunk_failed").otherwise(F.col("reason")).alias("reason"),
-        (~lost & F.col("is_real")).alias("is_real"),
+        F.when(lost | none, True).otherwise(F.coalesce(F.col("_d.keep"), F.lit(False))).alias("keep"),
+        F.when(lost, "chunk_failed").when(none, "missing_from_model_output").otherwise(F.coalesce("_d.reason", F.lit(""))).alias("reason"),
+        (~lost & ~none).alias("is_real"),
+        lost.alias("failed"), F.col("_first").alias("is_first"),
+        *(F.when(F.col("_first"), F.when(lost, 0).otherwise(F.col(f"_{c}"))).cast("long").alias(c) for c in usage),
     )
 
 
+def decide(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Aligned decisions of all chunks; jobs of a failed chunk are kept and marked."""
+    return decide_with_usage(chunked, parsed.select("company", "chunk_no", "decisions", "failed")).drop("failed", "is_first")
+
+
 def keep_all(jobs: DataFrame, reason: str = "preferences_missing") -> DataFrame:
     """Without criteria every job is kept, and no decision is real."""
     return jobs.select("*", F.lit(True).alias("keep"), F.lit(reason).alias("reason"), F.lit(False).alias("is_real"))
 
 
-def chunk_stats(decided: DataFrame, responses: DataFrame) -> DataFrame:
-    """Per chunk: jobs, kept, tokens and time; a failed chunk counts no tokens."""
-    per = decided.groupBy("company", "chunk_no").agg(
+def chunk_stats(decided: DataFrame) -> DataFrame:
+    """Per chunk of ``decide_with_usage``: jobs, kept, tokens and time; a failed chunk counts no tokens."""
+    return decided.groupBy("company", "chunk_no").agg(
         F.count(F.lit(1)).alias("n_jobs"),
         F.count_if("keep").alias("n_kept"),
         F.count_if("is_real").alias("n_real"),
+        F.max("failed").alias("failed"),
+        *(F.max(c).alias(c) for c in USAGE),
     )
-    used = responses.select(
-        "company", "chunk_no", "failed",
-        *[F.when(F.col("failed"), 0).otherwise(F.col(c)).alias(c) for c in ("input_tokens", "output_tokens", "duration_ms")],
-    )
-    return per.join(used, ["company", "chunk_no"], "left")
-
-
-def run_stats(decided: DataFrame, responses: DataFrame) -> DataFrame:
-    """Totals of a run, one row."""
-    return chunk_stats(decided, responses).agg(
-        F.sum("n_jobs").alias("total"),
-        F.sum("n_kept").alias("kept"),
-        F.sum("n_real").alias("real_decisions"),
-        F.count(F.lit(1)).alias("chunks"),
-        F.count_if(F.coalesce("failed", F.lit(True))).alias("failed_chunks"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum("duration_ms").alias("duration_ms"),
+
+
+def run_stats(decided: DataFrame) -> DataFrame:
+    """Totals of a run of ``decide_with_usage``, one row."""
+    return decided.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if("keep").alias("kept"),
+        F.count_if("is_real").alias("real_decisions"),
+        F.count_if("is_first").alias("chunks"),
+        F.count_if(F.col("is_first") & F.col("failed")).alias("failed_chunks"),
+        *(F.sum(c).alias(c) for c in USAGE),
     )
 
 
@@ -176,25 +194,28 @@ def group_members(decisions: DataFrame) -> DataFrame:
     return decisions.where("is_real").select("keep", F.substring("reason", 1, REASON_LIMIT).alias("reason"), "url")
 
 
-def persisted(decisions: DataFrame) -> DataFrame:
+def with_group_positions(decisions: DataFrame) -> DataFrame:
+    """Decisions of a run as they are stored: ``group_seq`` says where their (keep, reason) group begins.
+
+    ``decisions`` carries ``run_date`` and ``seq``. Groups are counted before they are joined back, and the
+    join is split by adaptive execution where a third of all rows have one reason.
+    """
+    group = ["run_date", "keep", "reason"]
+    rows = decisions.withColumn("reason", F.substring("reason", 1, REASON_LIMIT)).withColumn("_group", F.struct(*group))
+    first = rows.where("is_real").groupBy(F.struct(*group).alias("_group")).agg(F.min("seq").alias("group_seq"))
+    return rows.join(first, "_group", "left").drop("_group")
+
+
+def persisted(stored: DataFrame) -> DataFrame:
     """The decision each URL ends up with, whatever the company.
 
     Only real decisions count. A later run wins; inside a run the (keep, reason) group that first
-    appeared later wins, as if each group were written in turn. ``decisions`` carries ``run_date``
-    and ``seq``.
+    appeared later wins, as if each group were written in turn. ``stored`` has the group positions that
+    ``with_group_positions`` wrote, so this is one aggregate by URL.
     """
-    group = ["run_date", "keep", "reason"]
-    real = decisions.where("is_real").select(
-        "url", "seq", "run_date", "keep", F.substring("reason", 1, REASON_LIMIT).alias("reason")
-    )
-    # A URL counts once in a group, and a struct of the keys is never null. A group that a third of
-    # all rows share is split by adaptive execution, since nothing above needs its rows together.
-    once = real.groupBy("url", *group).agg(F.min("seq").alias("seq")).withColumn("_group", F.struct(*group))
-    first = real.groupBy(F.struct(*group).alias("_group")).agg(F.min("seq").alias("_group_seq"))
     return (
-        once.join(first, "_group")
-        .groupBy("url")
-        .agg(F.max_by(F.struct("keep", "reason"), F.struct("run_date", "_group_seq")).alias("d"))
+        stored.where("is_real").groupBy("url")
+        .agg(F.max_by(F.struct("keep", "reason"), F.struct("run_date", "group_seq")).alias("d"))
         .select("url", F.col("d.keep").alias("ai_keep"), F.col("d.reason").alias("ai_reason"))
     )
 

@@ -83,6 +83,12 @@ def merge_runs(state: DataFrame | None, sightings: DataFrame, failed: DataFrame
     return now.join(state.select("company_id", "url", *more), ["company_id", "url"], "left")
 
 
+def settled(base: DataFrame | None, sightings: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Runs that are final as one row per listing, from its first to its last sighting."""
+    rows = _as_state(successful(sightings, failed))
+    return _fold(rows if base is None else base.select(*rows.columns).unionByName(rows))
+
+
 def snapshot(sightings: DataFrame) -> DataFrame:
     """One run's rows, the first per (company, url)."""
     return first_by(sightings, ["company_id", "url"], ["seq"])

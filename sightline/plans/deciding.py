@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import decisions
+from ..shared import written
 from .fixtures import fixture, with_fixtures
 from .registry import query
 
@@ -22,21 +24,30 @@ def _chunked(spark, sf_dir):
     return decisions.chunk_jobs(fixture(spark, sf_dir, "docs"), ["doc_id"], bucket)
 
 
-def _responses(spark, sf_dir):
+def _responses(spark, sf_dir, chunked):
     """Answers as a scorer would write them: labelled jobs only, the first one twice with the
-    verdict turned round before it, an entry without a URL, and cut-off text for some chunks."""
+    verdict turned round before it, an entry without a URL, entries that are no objects, verdicts as
+    text and numbers, and cut-off text for some chunks."""
     verdicts = fixture(spark, sf_dir, "verdicts").select("url", "keep", "reason")
-    jobs = _chunked(spark, sf_dir).join(verdicts, "url", "left")
-    entry = F.when(
+    jobs = chunked.join(verdicts, "url", "left")
+    kind = F.col("doc_id") % 3
+
+    def entry(n: int, url: Column, keep: Column, reason: Column) -> Column:
+        spelled = F.when(keep, F.when(kind == 1, '"true"').when(kind == 2, "1").otherwise("true")).otherwise(
+            F.when(kind == 1, "0").when(kind == 2, '""').otherwise("false"))
+        text = F.concat(F.lit('{"url":'), F.coalesce(F.concat(F.lit('"'), url, F.lit('"')), F.lit("null")), F.lit(',"keep":'), spelled,
+                        F.lit(',"reason":"'), reason, F.lit('"}'))
+        return F.struct("doc_id", F.lit(n).alias("n"), text.alias("d"))
+
+    stray = [F.struct("doc_id", F.lit(3 + i).alias("n"), F.lit(x).alias("d")) for i, x in enumerate(('"stray"', "7", "null", "[]"))]
+    entries = F.when(
         F.col("keep").isNotNull(),
         F.array(
-            F.struct("doc_id", F.lit(0).alias("n"), F.struct("url", (~F.col("keep")).alias("keep"), F.lit("first try").alias("reason")).alias("d")),
-            F.struct("doc_id", F.lit(1).alias("n"), F.struct("url", "keep", "reason").alias("d")),
-            F.struct("doc_id", F.lit(2).alias("n"), F.struct(F.lit(None).cast("string").alias("url"), "keep", "reason").alias("d")),
-        ),
+            entry(0, F.col("url"), ~F.col("keep"), F.lit("first try")), entry(1, F.col("url"), F.col("keep"), F.col("reason")),
+            entry(2, F.lit(None).cast("string"), F.col("keep"), F.col("reason")), *stray),
     ).otherwise(F.array())
-    answers = F.array_sort(F.flatten(F.collect_list(entry)))
-    text = F.to_json(F.struct(F.transform(answers, lambda a: a["d"]).alias("decisions")))
+    answers = F.array_sort(F.flatten(F.collect_list(entries)))
+    text = F.concat(F.lit('{"decisions": ['), F.array_join(F.transform(answers, lambda a: a["d"]), ", "), F.lit("]}"))
     return jobs.groupBy("company", "chunk_no").agg(
         F.when(F.sum("doc_id") % 4 == 0, F.lit('{"decisions": [{"url": ')).otherwise(text).alias("response"),
         F.sum(F.length("title")).alias("input_tokens"),
@@ -46,8 +57,9 @@ def _responses(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    parsed = decisions.parse_responses(_responses(spark, sf_dir))
-    return decisions.decide(_chunked(spark, sf_dir), parsed), parsed
+    """Chunks as the run wrote them, and their answers."""
+    chunked = written(_chunked(spark, sf_dir).select("company", "url", "title", "doc_id", "job_no", "chunk_no"), "chunked")
+    return chunked, decisions.parse_responses(_responses(spark, sf_dir, chunked))
 
 
 _DECIDED = _CHUNKED + """,
@@ -85,7 +97,7 @@ def chunk_payload(spark, sf_dir):
 SELECT c.company, c.chunk_no, v.url, v.keep, v.reason FROM chunked c JOIN verdicts v ON v.url = c.url
 JOIN broken b ON b.company = c.company AND b.chunk_no = c.chunk_no WHERE NOT b.failed""")
 def response_parse(spark, sf_dir):
-    return decisions.response_decisions(decisions.parse_responses(_responses(spark, sf_dir)))
+    return decisions.response_decisions(_decided(spark, sf_dir)[1])
 
 
 @query("decisions_aligned", with_fixtures("docs", "verdicts") + """
@@ -98,7 +110,7 @@ def decisions_aligned(spark, sf_dir):
 
 @query("chunk_failover", _DECIDED + "SELECT company, chunk_no, url, keep, reason, is_real FROM decided")
 def chunk_failover(spark, sf_dir):
-    return _decided(spark, sf_dir)[0].select("company", "chunk_no", "url", "keep", "reason", "is_real")
+    return decisions.decide(*_decided(spark, sf_dir)).select("company", "chunk_no", "url", "keep", "reason", "is_real")
 
 
 _CHUNK_STATS = _DECIDED + """,
@@ -112,7 +124,7 @@ stats AS (SELECT d.company, d.chunk_no, count(*) AS n_jobs, count(*) FILTER (d.k
 
 @query("chunk_stats", _CHUNK_STATS + "SELECT * FROM stats")
 def chunk_stats(spark, sf_dir):
-    return decisions.chunk_stats(*_decided(spark, sf_dir))
+    return decisions.chunk_stats(decisions.decide_with_usage(*_decided(spark, sf_dir)))
 
 
 @query("decision_stats", _CHUNK_STATS + """
@@ -120,7 +132,7 @@ SELECT CAST(sum(n_jobs) AS BIGINT) AS total, CAST(sum(n_kept) AS BIGINT) AS kept
   CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
   (SELECT count(*) FILTER (is_real) FROM decided) AS real_decisions FROM stats""")
 def decision_stats(spark, sf_dir):
-    return decisions.run_stats(*_decided(spark, sf_dir))
+    return decisions.run_stats(decisions.decide_with_usage(*_decided(spark, sf_dir)))
 
 
 @query("no_criteria", with_fixtures("docs") + "SELECT company, url, true AS keep, 'preferences_missing' AS reason, false AS is_real FROM docs")
@@ -147,7 +159,8 @@ grouped AS (SELECT *, min(seq) OVER (PARTITION BY run_date, keep, reason) AS gro
 final AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY run_date DESC, group_seq DESC) AS rn FROM grouped)
 SELECT d.company, d.url, f.keep AS ai_keep, f.reason AS ai_reason FROM docs d LEFT JOIN final f ON f.url = d.url AND f.rn = 1""")
 def state_with_decisions(spark, sf_dir):
-    final = decisions.persisted(fixture(spark, sf_dir, "decision_log"))
+    stored = written(decisions.with_group_positions(fixture(spark, sf_dir, "decision_log")), "decisions")
+    final = decisions.persisted(stored)
     return decisions.with_decisions(fixture(spark, sf_dir, "docs").select("company", "url"), final)
 
 

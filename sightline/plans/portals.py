@@ -191,6 +191,27 @@ def html_links(spark, sf_dir):
     return _plain(mk.parse_html_listing(captured(spark, sf_dir, "https://x.example.com/a/list", item, body)))
 
 
+_SELECTORS = ["ul.jobs > li", "ul.jobs > li:first-child", "div li.r:not(.x)", "a + b"]
+
+
+@query("src_html_selectors", with_fixtures("postings") + f""",
+kept AS (SELECT *, {stripped('title')} AS t, {PLACES_SQL} AS places, row_number() OVER (PARTITION BY portal, page_idx ORDER BY pos) AS nth FROM postings),
+fits AS (SELECT *, concat('https://x.example.com/a/open/', ref) AS url FROM kept WHERE length(t) >= 3 AND {_in("trim(concat(t, ' ', coalesce(location, '')))")}
+  AND CASE portal % 4 WHEN 0 THEN true WHEN 1 THEN nth = 1 WHEN 2 THEN ref % 2 = 0 ELSE false END),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY portal, url ORDER BY id) AS rn FROM fits)
+SELECT CAST(portal AS VARCHAR) AS company_id, t AS title, url FROM ranked WHERE rn = 1""")
+def html_selectors(spark, sf_dir):
+    """Pages read by a configured selector each; the last one is not supported and gives nothing."""
+    def item():
+        mark = F.when(F.col("ref") % 2 == 0, "r").otherwise("r x")
+        return markup('<li class="', mark, '"><a href="open/', F.col("ref"), '">', escaped(F.col("title")), "</a> <span>", escaped(F.col("location")), "</span></li>")
+
+    body = as_markup('<html><body><div><ul class="jobs">', '</ul><ol><li><a href="/about">About Madrid</a></li></ol></div></body></html>')
+    pages_ = captured(spark, sf_dir, "https://x.example.com/a/list", item, body)
+    chosen = pages_.withColumn("job_selector", F.expr(cases("CAST(company_id AS BIGINT)", _SELECTORS)))
+    return mk.parse_html_listing(chosen).select("company_id", "title", "url")
+
+
 _SF_URL = "concat('https://empleo.es.deloitte.com/job/', replace(replace(loc, ' ', '-'), ',', ''), '/', ref + 1000000, '/')"
 
 
@@ -566,10 +587,13 @@ def parser_routing(spark, sf_dir):
 
 @query("source_errors", _ROUTED + """SELECT company_id, CASE WHEN parser IS NULL THEN concat('unknown platform ', coalesce(ats, '(none)'))
   WHEN parser = 'embedded_json' AND acciona_division IS NULL THEN 'no division configured'
+  WHEN parser = 'html_listing' AND CAST(company_id AS BIGINT) % 3 = 0 THEN 'selector not supported: a + b'
   WHEN parser = 'card_links' AND lower(places) <> 'madrid' THEN concat('no country code for ', places) END AS error
 FROM routed WHERE error IS NOT NULL""")
 def source_errors(spark, sf_dir):
-    return cap.source_errors(_companies(spark, sf_dir), parser_names())
+    number = F.col("company_id").cast("long")
+    selector = F.when(number % 3 == 0, "a + b").when(number % 3 == 1, "ul > li")
+    return cap.source_errors(_companies(spark, sf_dir).withColumn("job_selector", selector), parser_names())
 
 
 @query("place_codes", _ROUTED + """SELECT company_id, parser, CASE WHEN parser = 'card_links' THEN CASE WHEN lower(places) = 'madrid' THEN '74' END

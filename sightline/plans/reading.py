@@ -26,7 +26,7 @@ _QUERY = "spain en"
 
 
 def state_of(spark, sf_dir):
-    final = decisions.persisted(fixture(spark, sf_dir, "verdicts"))
+    final = decisions.persisted(decisions.with_group_positions(fixture(spark, sf_dir, "verdicts")))
     return decisions.with_decisions(fixture(spark, sf_dir, "docs"), final)
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..operators import diagnostics, lifecycle, listings
 from ..shared import new_path
-from ..sources.sinks import read_state
 from ..streaming import replay
 from .fixtures import FIXTURES, LAST_RUN, fixture, with_fixtures
 from .registry import query
@@ -196,5 +196,19 @@ def state_streamed(spark, sf_dir):
         return made["sightings"], made["failures"]
 
     stream = replay.read_files(spark, f"{root}/events", events.schema, files_per_batch=1)
-    replay.track(stream, read, f"{root}/state", f"{root}/progress").awaitTermination()
-    return read_state(spark, f"{root}/state")
+    replay.track(stream, read, f"{root}/state", f"{root}/progress", buckets=8).awaitTermination()
+    return replay.read_state(spark, f"{root}/state")
+
+
+@query("repeats_streamed", with_fixtures("sightings") + "SELECT company_id, url, CAST(run_date AS VARCHAR) AS run_date, CAST(1 AS BIGINT) AS n_stored FROM sightings GROUP BY ALL")
+def repeats_streamed(spark, sf_dir):
+    """Sightings in three batches, of which the second repeats a part of the first and the third all."""
+    rows = fixture(spark, sf_dir, "sightings")
+    root = f"{new_path(spark, 'repeats')}"
+    third = F.pmod(F.xxhash64("seq"), F.lit(3))
+    for part in (rows.where(third < 2), rows.where(third > 0), rows):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = replay.drop_repeats(replay.read_files(spark, f"{root}/in", rows.schema, files_per_batch=1))
+    replay.track(stream, lambda batch: (batch, None), f"{root}/state", f"{root}/progress", buckets=8).awaitTermination()
+    stored = tables.read_table(spark, f"{root}/state", "sightings")
+    return stored.groupBy("company_id", "url", "run_date").agg(F.count(F.lit(1)).alias("n_stored"))

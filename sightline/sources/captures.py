@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.blocks import SELECTOR
 from ..functions.text import contains_any, lookup, or_null, strip, strings
 from ..functions.urls import (
     facet_params, first_param, grouped_params, let, query_params, url_part,
@@ -278,6 +279,7 @@ def source_errors(companies: DataFrame, known: list[str] | tuple = ()) -> DataFr
     ``known`` names the parsers there are (see ``registry.parser_names``); without it all pass.
     """
     city = F.lower("location_filter")
+    selector = F.col("job_selector") if "job_selector" in companies.columns else F.lit(None).cast("string")
 
     def reason(parser: Column, path: Column) -> Column:
         return (
@@ -287,6 +289,10 @@ def source_errors(companies: DataFrame, known: list[str] | tuple = ()) -> DataFr
                 (parser == "embedded_json") & or_null(F.col("acciona_division")).isNull(),
                 F.lit("no division configured"),
             )
+            .when(
+                (parser == "html_listing") & ~F.coalesce(or_null(selector).rlike(SELECTOR), F.lit(True)),
+                F.concat(F.lit("selector not supported: "), selector),
+            )
             .when((parser == "html_in_json") & ~path.rlike(_BOARD), F.lit("no board id in the careers URL"))
             .when(
                 (parser == "atom") & ~(path.rlike(_BRAND) & path.rlike(_VACANCY)),

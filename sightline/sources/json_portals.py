@@ -77,15 +77,20 @@ def parse_lever(captures: DataFrame) -> DataFrame:
     )
 
 
-def parse_workday(captures: DataFrame) -> DataFrame:
-    """No dedupe: a posting listed twice stays twice until the snapshot is folded."""
-    rows = _rows(
+def workday_postings(captures: DataFrame) -> DataFrame:
+    """Postings of a page before any test."""
+    return _rows(
         captures,
         F.col("body"),
         "struct<jobPostings: array<struct<title: string, locationsText: string,"
         " externalPath: string>>>",
         "jobPostings",
     )
+
+
+def parse_workday(captures: DataFrame) -> DataFrame:
+    """No dedupe: a posting listed twice stays twice until the snapshot is folded."""
+    rows = workday_postings(captures)
     location = F.col("r.locationsText")
     host = url_part(F.col("careers_url"), "host")
     return listings(
@@ -97,8 +102,9 @@ def parse_workday(captures: DataFrame) -> DataFrame:
     )
 
 
-def parse_phenom(captures: DataFrame) -> DataFrame:
-    rows = _rows(
+def phenom_postings(captures: DataFrame) -> DataFrame:
+    """Postings of a page before any test."""
+    return _rows(
         captures,
         F.col("body"),
         "struct<refineSearch: struct<data: struct<jobs: array<struct<title: string,"
@@ -106,6 +112,10 @@ def parse_phenom(captures: DataFrame) -> DataFrame:
         " jobId: string, reqId: string, category: string>>>>>",
         "refineSearch.data.jobs",
     )
+
+
+def parse_phenom(captures: DataFrame) -> DataFrame:
+    rows = phenom_postings(captures)
     location = _first_text("location", "city")
     job_id = _first_text("jobId", "reqId")
     host = url_part(F.col("careers_url"), "host")

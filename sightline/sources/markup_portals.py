@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab
-from ..functions.blocks import listing_blocks
+from ..functions.blocks import SELECTOR, listing_blocks
 from ..functions.html import all_matches, anchors, attribute, blocks, starts_block, text_of
 from ..functions.text import contains_any, norm_text, or_null, slugify, strip, unescape
 from ..functions.urls import let, named, url_join, url_part
@@ -21,8 +21,10 @@ def html_blocks(captures: DataFrame) -> DataFrame:
         for i, block in enumerate(listing_blocks(body, selector, page_url)):
             yield i, *block
 
+    # A selector that is not supported is reported by ``source_errors``; its pages give nothing.
+    known = F.coalesce(or_null(F.col("job_selector")).rlike(SELECTOR), F.lit(True))
     return flat_map(
-        captures,
+        captures.where(known),
         [*keys_of(captures), "careers_url", "places"],
         ["body", "job_selector", "careers_url"],
         T.StructType.fromDDL("pos int, href string, text string, context string"),
@@ -100,22 +102,25 @@ def parse_successfactors(captures: DataFrame) -> DataFrame:
 _BOARD_ITEM = r'(?i)class="search-results__req_title"[^>]*href="([^"]+)"[^>]*>([^<]+)<'
 
 
-def parse_html_in_json(captures: DataFrame) -> DataFrame:
-    """Board that serves an HTML fragment inside JSON; its office filter stands for the place."""
+def board_items(captures: DataFrame) -> DataFrame:
+    """Titled items of a board that serves an HTML fragment inside JSON; its office filter stands for the place."""
     fragment = F.get_json_object("body", "$.html")
     rows = _each(captures, all_matches(fragment, _BOARD_ITEM, 1, 2), lambda m: {
         "href": m["g1"], "text": strip(unescape(m["g2"])),
     })
     careers = F.col("careers_url")
     base = F.concat(url_part(careers, "scheme"), F.lit("://"), url_part(careers, "netloc"))
-    found = listings(
+    return listings(
         rows.where(F.length("text") >= 4),
         seq=sequence(F.col("pos"), captures),
         title=F.col("text"),
         url=url_join(base, F.col("href")),
         location=F.col("location_filter"),
     )
-    return once_per(found, "url")
+
+
+def parse_html_in_json(captures: DataFrame) -> DataFrame:
+    return once_per(board_items(captures), "url")
 
 
 _CARD = r'(?is)<li[^>]*class="[^"]*careers__list__item[^"]*"[^>]*>(.*?)</li>'

@@ -14,6 +14,7 @@ from ..functions.urls import let, named, url_part
 from ..operators import discovery
 from . import json_portals, link_portals, markup_portals
 from .captures import readable_captures
+from .paging import contributed
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -94,13 +95,14 @@ def parse_sources(
 ) -> DataFrame:
     """Listings of everything captured: readable bodies, rendered links and cards, by ``parser``.
 
+    Of a paged portal only the pages up to the one that ends its list count (see ``paging.contributed``).
     What responses and links of a discovered site say of one posting is merged to one row.
     ``names`` lists the parsers that the catalog uses, all by default; the plan has a branch each.
     """
     names = parser_names() if names is None else names
     if unknown := sorted(set(names) - set(parser_names())):
         raise ValueError(f"no parser named {', '.join(unknown)}")
-    readable = readable_captures(captures)
+    readable = contributed(readable_captures(captures), names)
 
     def parts(rows: DataFrame | None, parsers: dict[str, Parser]) -> dict[str, DataFrame]:
         return {} if rows is None else {n: p(rows.where(F.col("parser") == n)) for n, p in parsers.items() if n in names}

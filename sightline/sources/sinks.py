@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
 from ..schemas import CAPTURES
 
 
@@ -23,21 +23,15 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def write_state(state: DataFrame, path: str, version: int) -> None:
-    """A new version beside the old ones; writing the same version again replaces it.
-
-    A mark written after the rows says that the version is complete.
-    """
-    state.write.mode("overwrite").parquet(f"{path}/version={version}")
-    mark = state.sparkSession.range(1, numPartitions=1).select(F.lit(version).alias("version"))
-    mark.write.mode("overwrite").parquet(f"{path}-complete/part={version}")
+def write_state(state: DataFrame, path: str, version: int, keep: int = 2) -> None:
+    """A new version beside the newest old ones; writing the same version again replaces it."""
+    tables.publish(state.sparkSession, path, version, tables.write_part(state, path, "state"))
+    tables.remove_old(state.sparkSession, path, keep)
 
 
-def read_state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def read_state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
     """One version of the state, by default the newest that was written to its end."""
-    if version is None:
-        version = spark.read.parquet(f"{path}-complete").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={version}")
+    return tables.read_table(spark, path, "state", version)
 
 
 def write_by_run(rows: DataFrame, path: str) -> None:

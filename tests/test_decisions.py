@@ -71,10 +71,24 @@ def test_scoring_alignment_and_failover(chunked):
     assert got["A", "u52"] == (False, "", True)                    # null keep is false, null reason empty
     assert got["A", "u53"] == (True, "missing_from_model_output", False)
     assert got["B", "u0"] == (True, "last", True)
-    total = D.run_stats(decided, answers).first()
+    total = D.run_stats(D.decide_with_usage(chunked, answers)).first()
     assert (total.total, total.chunks, total.failed_chunks, total.input_tokens, total.real_decisions) == (61, 4, 2, 20, 4)
 
 
+def test_usage_stands_on_the_first_job_of_a_chunk(chunked):
+    answers = D.parse_responses(D.score_chunks(D.chunk_payload(chunked), lambda payload: ('{"decisions": []}', 3, 2, 1)))
+    rows = D.decide_with_usage(chunked, answers).where("input_tokens is not null").select("company", "job_no", "input_tokens").collect()
+    assert sorted(tuple(r) for r in rows) == [("A", 1, 3), ("A", 26, 3), ("A", 51, 3), ("B", 1, 3)]
+    assert {(r.company, r.chunk_no): (r.n_jobs, r.output_tokens) for r in D.chunk_stats(D.decide_with_usage(chunked, answers)).collect()} == {
+        ("A", 0): (25, 2), ("A", 1): (25, 2), ("A", 2): (10, 2), ("B", 0): (1, 2)}
+
+
+def test_entries_of_other_types(spark):
+    text = '{"decisions": ["stray", 7, null, [1], {"url": "a", "keep": "true"}, {"url": "b", "keep": 1}, {"url": "c", "keep": 0}, {"url": "d", "keep": ""}, {"url": "e", "keep": []}, {"url": "f", "keep": "false"}, {"url": "g", "keep": 0.0}]}'
+    parsed = D.parse_responses(spark.createDataFrame([("A", 0, text)], "company string, chunk_no long, response string"))
+    assert {r.url: r.keep for r in D.response_decisions(parsed).collect()} == {"a": True, "b": True, "c": False, "d": False, "e": False, "f": True, "g": False}
+
+
 def test_persisted_ties(spark):
     log = [
         # url, keep, reason, seq, run, real
@@ -85,7 +99,7 @@ def test_persisted_ties(spark):
         ("u4", True, "z" * 600, 8, "2024-01-01", True),
     ]
     df = spark.createDataFrame(log, "url string, keep boolean, reason string, seq long, run_date string, is_real boolean")
-    got = {r.url: (r.ai_keep, r.ai_reason) for r in D.persisted(df).collect()}
+    got = {r.url: (r.ai_keep, r.ai_reason) for r in D.persisted(D.with_group_positions(df)).collect()}
     assert got == {"u1": (False, "b"), "u2": (True, "x"), "u3": (True, "x"), "u4": (True, "z" * 500)}
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import vocab
-from sightline.functions.blocks import listing_blocks
+from sightline.functions.blocks import compiled, listing_blocks
 from sightline.schemas import CAPTURES
 from sightline.sources import sinks
 from sightline.sources import captures as cap
@@ -103,6 +103,20 @@ def test_selectors():
     assert [h for h, *_ in listing_blocks(body, "a[href*='2']", None)] == ["/2"]
 
 
+def test_selectors_by_structure():
+    body = """<ul id="l"><li class="a"><a href="/1">1</a></li><li class="x"><a href="/2">2</a><ul><li><a href="/3">3</a></li></ul></li></ul>
+    <div><li class="z"><a href="/4">4</a></li></div>"""
+    expected = {
+        "ul > li": "123", "#l > li": "12", "li:first-child": "134", "li:not(.x)": "134", "div li, ul#l>li.x": "24", "ul li li": "3",
+        "ul > li > a": "123", "ul li:not(:first-child) > a": "2", "li[class]": "124", "li:not([class])": "3", "ul > a": "", "*:not(a):not(li) > li": "1234",
+    }
+    for selector, hrefs in expected.items():
+        assert "".join(h[1:] for h, *_ in listing_blocks(body, selector, None)) == hrefs, selector
+    for odd in ("a + b", "li:nth-child(2)", "a ~ b", "li:not(a b)", "> li", "li >", "li,,a", "a" * 60 + "!", "li:"):
+        with pytest.raises(ValueError):
+            compiled(odd)
+
+
 def test_successfactors_first_text_wins_across_pages(page):
     one = '<a href="/job/Madrid-x/123456/">Apply</a><a href="/job/Madrid-x/123456/"><b>Best</b> title</a><a href="/job/Alicante/1234567/">Elsewhere</a><a href="/job/Madrid/12/">Short id</a>'
     got = rows(mk.parse_successfactors(page(one, one.replace("Apply", "Later"))), "title", "url", "location")
