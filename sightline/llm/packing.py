@@ -26,6 +26,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,59 +40,127 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\x
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 # Bytes of the tables that a Python process keeps over tasks, and about what Python needs for an entry besides.
-_KEEP_TOKENS, _KEEP_WORDS, _ENTRY = 48 << 20, 24 << 20, 190
-_LONG = 64
+_KEEP_TOKENS, _KEEP_WORDS, _ENTRY = 80 << 20, 48 << 20, 190
+_LONG, _TOGETHER, _CHARS = 64, 20_000, 2_000_000
 
 
 class Recent:
-    """Values of a function of strings, kept for the strings of late, in about ``size`` bytes.
+    """Values of strings, kept for those of late in about ``size`` bytes, and found many at a time.
 
     There are two tables: a full one becomes the old one, and what is asked for again moves up.
     """
 
-    def __init__(self, make: Callable[[str], bytes], size: int):
+    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int):
         self.now: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._make, self._size, self._bytes = make, size // 2, 0
 
-    def get(self, key: str) -> bytes:
-        value = self.now.get(key)
-        if value is not None:
-            return value
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
-        need = len(key) + len(value) + _ENTRY
-        if need <= self._size:  # a longer one is not kept
-            if self._bytes + need > self._size:
-                self._old, self.now, self._bytes = self.now, {}, 0
-            self.now[key] = value
-            self._bytes += need
-        return value
-
-    def joined(self, keys: list[str]) -> bytes:
-        """The values of all keys, concatenated."""
-        table = self.now
-        try:
-            return b"".join(map(table.__getitem__, keys))
-        except KeyError:
-            for key in set(keys).difference(table):
-                self.get(key)
-        try:
-            return b"".join(map(self.now.__getitem__, keys))
-        except KeyError:  # the table changed in between
-            return b"".join(map(self.get, keys))
+    def filled(self, keys: set[str]) -> dict[str, bytes]:
+        """The present table, with all keys in it."""
+        if self._bytes > self._size:
+            self._old, self.now, self._bytes = self.now, {}, 0
+        old, now, new = self._old, self.now, []
+        for key in keys.difference(now):
+            value = old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                now[key] = value
+                self._bytes += len(key) + len(value) + _ENTRY
+        for key, value in zip(new, self._make(new), strict=True):
+            now[key] = value
+            self._bytes += len(key) + len(value) + _ENTRY
+        return now
+
+
+class Merges:
+    """Byte-pair merges of many words at once: in every round each word merges its leftmost pair of lowest rank."""
+
+    def __init__(self, ids: dict[str, int], pairs: list[list[str]], end: str, symbols: dict[str, str]):
+        """``symbols``: how the vocabulary spells the bytes of every Latin-1 character."""
+        self._inner, self._last = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for char, spelled in symbols.items():
+            raw = char.encode()
+            for byte, symbol in zip(raw, spelled, strict=True):
+                self._inner[byte] = ids[symbol]
+            self._last[raw[-1]] = ids[spelled[-1] + end]
+        keys = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
+        self._made = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self._never = len(keys)
+        self._size = 1 << (8 * len(keys) - 1).bit_length()
+        self._keys, self._ranks, self._probes = np.full(self._size, -1, np.int64), np.full(self._size, self._never, np.int64), 0
+        # A pair listed twice counts by its last rank, as in a dict.
+        keys, last = np.unique(keys[::-1], return_index=True)
+        ranks = len(self._made) - 1 - last
+        while len(keys):
+            at = (self._slot(keys) + self._probes) & (self._size - 1)
+            free = self._keys[at] < 0
+            self._keys[at[free]], self._ranks[at[free]] = keys[free], ranks[free]
+            placed = self._keys[at] == keys
+            self._ranks[at[placed]] = ranks[placed]
+            keys, ranks, self._probes = keys[~placed], ranks[~placed], self._probes + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & (self._size - 1)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the pair (a, b), ``_never`` where it is none."""
+        keys = np.where((a < 0) | (b < 0), -2, a << 20 | b)
+        slot, out = self._slot(keys), np.full(keys.shape, self._never, np.int64)
+        for probe in range(self._probes):
+            at = (slot + probe) & (self._size - 1)
+            out = np.where(self._keys[at] == keys, self._ranks[at], out)
+        return out
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of the words as little-endian 32-bit words; words of like length should come together."""
+        raws = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raws])
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        ends = np.cumsum(sizes)
+        ids = np.full((len(words), int(sizes.max())), -1, np.int64)
+        ids[np.arange(ids.shape[1]) < sizes[:, None]] = self._inner[flat]
+        ids[np.arange(len(words)), sizes - 1] = self._last[flat[ends - 1]]
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        rows, done_rows, done_ids = np.arange(len(words)), [], []
+        while len(rows):
+            width = ranks.shape[1]
+            at = ranks.argmin(axis=1) if width else np.zeros(len(rows), np.int64)
+            best = ranks[np.arange(len(rows)), at] if width else np.full(len(rows), self._never)
+            live = best < self._never
+            done_rows.append(rows[~live])
+            done_ids.append(ids[~live])
+            rows, ids, ranks, at, best = rows[live], ids[live], ranks[live], at[live], best[live]
+            if not len(rows):
+                break
+            n = np.arange(len(rows))
+            ids[n, at] = self._made[best]
+            place = np.arange(width)
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), 1)  # the second of the pair goes
+            ranks = np.take_along_axis(ranks, place[:-1] + (place[:-1] >= at[:, None]), 1)
+            right = at < width - 1
+            ranks[n[right], at[right]] = self._rank(ids[n[right], at[right]], ids[n[right], at[right] + 1])
+            left = at > 0
+            ranks[n[left], at[left] - 1] = self._rank(ids[n[left], at[left] - 1], ids[n[left], at[left]])
+        out: list[bytes] = [b""] * len(words)
+        for part, found in zip(done_rows, done_ids, strict=True):
+            counts = (found >= 0).sum(axis=1)
+            raw = found[found >= 0].astype("<u4").tobytes()
+            cuts = np.concatenate([[0], np.cumsum(4 * counts)]).tolist()
+            for row, low, up in zip(part.tolist(), cuts, cuts[1:], strict=False):
+                out[row] = raw[low:up]
+        return out
 
 
 class WordTokens:
     """Token ids of texts as little-endian 32-bit words.
 
     The vocabulary lower-cases texts and encodes every match of its split pattern alone, and no
-    match spans white space. So a text is cut at white space and the ids of each piece looked up in
-    a table bounded in bytes; an unseen piece is split by the pattern, and its words merged here. Texts
-    beyond Latin-1 (where case and classes could differ between libraries), with separators that
-    the libraries class differently, or with what may be a special token, and very long words go to
-    the tokenizer itself.
+    match spans white space. So texts are cut at white space and the ids of each piece looked up in
+    a table bounded in bytes; unseen pieces are split by the pattern, and their words merged here, all
+    of some texts together. Texts beyond Latin-1 (where case and classes could differ between
+    libraries), with separators that the libraries class differently, or with what may be a special
+    token, and very long words go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -100,56 +169,59 @@ class WordTokens:
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        ids, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self._ranks = {ids[a] << 20 | ids[b]: i for i, (a, b) in enumerate(pairs)}
-        self._made = [ids[a + b] for a, b in pairs]
         symbols = self._tokenizer.pre_tokenizer
         shown = {c: symbols.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if symbols.pre_tokenize_str(c)}
-        self._inner = {c: [ids[x] for x in s] for c, s in shown.items()}
-        self._last = {c: [*(ids[x] for x in s[:-1]), ids[s[-1] + end]] for c, s in shown.items()}
-        self._tokens = Recent(self._of_token, _KEEP_TOKENS)
-        self._words = Recent(self._of_word, _KEEP_WORDS)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _merged(self, word: str) -> bytes:
-        """Ids of one match: the pair of lowest rank merges first, the leftmost of equal ones."""
-        inner, ranks, never = self._inner, self._ranks, len(self._made)
-        parts = [x for c in word[:-1] for x in inner[c]] + self._last[word[-1]]
-        near = [ranks.get(a << 20 | b, never) for a, b in zip(parts, parts[1:], strict=False)]
-        while near:
-            best = min(near)
-            if best == never:
-                break
-            i = near.index(best)
-            parts[i : i + 2] = [self._made[best]]
-            del near[i]
-            if i < len(near):
-                near[i] = ranks.get(parts[i] << 20 | parts[i + 1], never)
-            if i:
-                near[i - 1] = ranks.get(parts[i - 1] << 20 | parts[i], never)
-        return struct.pack(f"<{len(parts)}I", *parts)
-
-    def _of_token(self, token: str) -> bytes:
-        return b"".join(map(self._words.get, _LATIN.findall(token)))
-
-    def _of_word(self, word: str) -> bytes:
-        return self._merged(word) if len(word) <= _LONG else self._whole(word)
+        self._merges = Merges(model["vocab"], pairs, model["end_of_word_suffix"], shown)
+        self._tokens = Recent(self._of_tokens, _KEEP_TOKENS)
+        self._words = Recent(self._of_words, _KEEP_WORDS)
+
+    def _of_tokens(self, tokens: list[str]) -> list[bytes]:
+        split = list(map(_LATIN.findall, tokens))
+        known = self._words.filled({w for words in split for w in words})
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > _LONG:
+            i = order.pop()
+            out[i] = self._whole(words[i])
+        for low in range(0, len(order), _TOGETHER):
+            part = order[low : low + _TOGETHER]
+            for i, ids in zip(part, self._merges.merged([words[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of every text, in order; texts of about ``_CHARS`` characters are looked up together."""
+        low = 0
+        while low < len(texts):
+            up, chars = low, 0
+            while up < len(texts) and (up == low or chars + len(texts[up]) <= _CHARS):
+                chars += len(texts[up])
+                up += 1
+            part = texts[low:up]
+            cut = [text.lower().split() if self._is_plain(text) else None for text in part]
+            known = self._tokens.filled({t for tokens in cut if tokens for t in tokens})
+            for text, tokens in zip(part, cut, strict=True):
+                yield self._whole(text) if tokens is None else b"".join(map(known.__getitem__, tokens))
+            low = up
 
     def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    @staticmethod
+    def _is_plain(text: str) -> bool:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._whole(text)
-        if _ODD.search(text):
-            return self._whole(text)
-        return self._tokens.joined(text.lower().split())
+            return False
+        return not _ODD.search(text)
 
     def _whole(self, text: str) -> bytes:
-        return self._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -163,8 +235,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
         tokens, last = word_tokens(path), closing.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                raw = tokens.encode(text.as_py() or "") + last
+            texts = [text or "" for text in batch["text"].to_pylist()]
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.encode_all(texts), strict=True):
+                raw = ids + last
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
