@@ -10,7 +10,7 @@ d = (a + b) * (den - num) / (den + num) shingles.
    in which two sets differ spoil at most d words, so at least e + 1 words agree. Words of parts with
    few shingles say little (of none: nothing), so those of the e weakest parts are left out. Of e + 1
    agreeing parts the strongest has e weaker ones in either set, so its word is kept in both.
-3. Words that more than one class has make the candidates. First every class is verified against
+3. Words that more than one class has make the candidates (``shared_words``). First every class is verified against
    the one with which it shares most words as their smallest member, and links make components.
 4. Then the groups that still hold several components are compared in blocks of bounded size with
    a second, single-bit parity sketch: its Hamming distance is at most the symmetric difference,
@@ -35,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, join_rows, linked_groups, mark, mix, partitions, raw_texts, touched, window_hashes, word_hashes, written
+from .common import SLOTS, documents, join_rows, linked_groups, mark, mix, partitions, raw_texts, touched, window_hashes, word_hashes, written
 
 _U = np.uint64
 BLOCK = 2048
+_SAMPLED = 256
 _SEEN = 200_000
 _NONE = np.zeros(0, np.int64)
 
@@ -260,6 +261,31 @@ def unsettled(shared: DataFrame, classes: DataFrame, components: DataFrame, num:
     return rows.select("word", "i", "j", "own", "class", "n", "bits", "component").mapInArrow(run, "a long, b long").distinct()
 
 
+def shared_words(rows: DataFrame) -> DataFrame:
+    """(word, class, low): the words that more than one class has, with the smallest class of each.
+
+    Nearly all words are single, so they are dealt by word once and sorted, and no aggregate before that
+    would shrink them. Words that many classes share, as far as a sample of the classes shows, are
+    aggregated first instead and then joined back, which can be split; their slots are a table of at most
+    SLOTS rows. The sample decides the way of a word and never the result.
+    """
+    def slot() -> Column:
+        return F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
+
+    words = rows.select("class", F.explode("words").alias("word"))
+    picked = rows.where(F.pmod("class", F.lit(_SAMPLED)) == 0)
+    often = max(8, picked.select("class").distinct().count() // 1000)
+    hot = picked.select("class", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(written(hot.where(F.col("n") >= often).select(slot().alias("slot")).distinct(), "hot-slots"))
+    placed = words.withColumn("slot", slot())
+    few, many = (placed.join(hot, "slot", how).drop("slot") for how in ("left_anti", "left_semi"))
+    own = Window.partitionBy("word")
+    few = few.select("word", "class", F.min("class").over(own).alias("low"), F.max("class").over(own).alias("high"))
+    low = many.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    low = written(low.where("low <> high").select("word", "low"), "low-words")
+    return few.where("low <> high").drop("high").unionByName(many.join(low, "word").select("word", "class", "low"))
+
+
 def labelled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(doc_id, mark, n_shingles, component, component_id) of every row of (doc_id, text).
 
@@ -273,12 +299,7 @@ def labelled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         rows.where("n > 0").groupBy("class").agg(F.min(some).alias("p")).select("class", "p.doc_id", "p.mark"),
         "classes")
     classes = written(rows.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.first("bits").alias("bits")), "class-bits")
-    words = rows.select("class", F.explode("words").alias("word"))
-    low = words.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    # Written before the join, which can then be split where a word is hot.
-    low = written(low.where("low <> high").select("word", "low"), "low-words")
-    shared = words.join(low, "word").select("word", "class", "low")
-    shared = written(shared, "shared-words")
+    shared = written(shared_words(rows), "shared-words")
     best = Window.partitionBy("class").orderBy(F.col("times").desc(), "low")
     stars = shared.where("class <> low").groupBy("class", "low").agg(F.count(F.lit(1)).alias("times"))
     stars = stars.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(F.col("low").alias("a"), F.col("class").alias("b"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -71,6 +72,30 @@ def test_sketch_words_of_linked_sets_agree():
                 assert set(bands.words(np.unique(one)).tolist()) & set(bands.words(np.unique(other)).tolist())
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_unrelated_sets_share_no_hot_word(num, den):
+    """No key is held by more than one of 100 sets that share no shingle, whatever their size."""
+    bands, rng = paritysketch.Bands(num, den), np.random.default_rng(3)
+    for n in (5, 10, 20, 50, 100, 400, 2000):
+        count = Counter(w for _ in range(600) for w in set(bands.words(np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64))).tolist()))
+        assert max(count.values(), default=0) <= 6, n
+
+
+def test_words_of_many_classes_take_the_other_way(spark, monkeypatch):
+    """Words found often in the sample give the same rows as those that are not."""
+    rows = [(c, [7, c, 1000 + c % 5]) for c in range(40)] + [(3, [7, 3])]
+    table = spark.createDataFrame(rows, "class long, words array<long>")
+    got = []
+    for sampled in (1, 1 << 40):
+        monkeypatch.setattr(paritysketch, "_SAMPLED", sampled)
+        got.append(sorted(tuple(r) for r in paritysketch.shared_words(table).collect()))
+    owners = {}
+    for c, words in rows:
+        for w in words:
+            owners.setdefault(w, set()).add(c)
+    assert got[0] == got[1] == sorted((w, c, min(owners[w])) for c, words in rows for w in words if len(owners[w]) > 1)
+
+
 def test_groups_edges(odd_docs, no_docs):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in paritysketch.grouped(odd_docs).collect()}
     assert rows[(7, 58)] == 6 and rows[(8, 59)] == 6 and rows[(8, 1)] == 8 and rows[(1, 0)] == 1 and rows[(9, 1)] == 9
