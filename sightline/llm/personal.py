@@ -23,8 +23,9 @@ least ``confident`` with at least ``support`` different identifiers become spans
 those that touch a base span do not.
 
 Most words that stand beside an instance are no patterns. They go by a bound on their precision, from
-the texts that have instances; what is below ``floor`` carries no weight. Only texts with a word of the
-patterns left are cut and counted besides.
+the texts that have instances; what is below ``floor`` carries no weight (one such pattern on each side
+does not make an instance likely). Only texts with the rarest word of a pattern that is left are cut and
+counted besides.
 
 The patterns are written so that a long run of one character class is scanned once. All steps are
 DataFrame operations; what is shuffled are different texts with instances, matches, and words counted
@@ -226,10 +227,12 @@ def _totals(docs: DataFrame, cut: DataFrame, patterns: DataFrame, floor: float)
     """
     near = written(_neighbours(cut, patterns), "neighbours")
     left = written(patterns.join(near, ["side", "pattern"]).where(F.col("texts") >= floor * F.col("n")).select("side", "pattern", "n"), "patterns")
-    # The other texts: those that have the word of a pattern that is next to the instance. Two tables of slots,
-    # of at most SLOTS rows, keep other words and other texts from being shuffled.
-    words = left.select(F.when(F.col("side") == "after", F.substring_index("pattern", " ", -1)).otherwise(F.substring_index("pattern", " ", 1)).alias("word"))
-    wanted = F.broadcast(words.select(_slot("word").alias("slot")).distinct())
+    # The other texts: those that have the word of a pattern that is rarest in the texts with instances. Two
+    # tables of slots, of at most SLOTS rows, keep other words and other texts from being shuffled.
+    parts = left.select("side", "pattern", F.explode(F.split("pattern", " ")).alias("word"))
+    often = cut.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    rare = parts.join(often, "word").groupBy("side", "pattern").agg(F.min_by("word", F.struct("texts", "word")).alias("word"))
+    wanted = F.broadcast(written(rare.select(_slot("word").alias("slot")).distinct(), "rare-words"))
     hits = docs.select(mark().alias("mark"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
     hits = hits.withColumn("slot", _slot("word")).join(wanted, "slot", "left_semi").select("mark").distinct()
     hits = written(hits.join(cut.select("mark"), "mark", "left_anti"), "hits")
@@ -273,7 +276,7 @@ def learned(docs: DataFrame, cut: DataFrame, found: DataFrame, confident: float,
     return best.select("side", "pattern", "kind", "score")
 
 
-def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.1) -> DataFrame:
+def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.29) -> DataFrame:
     """(doc_id, mark, base, spans) of texts with spans, lists of (start, kind number, end)."""
     docs = docs.select("doc_id", "text")
     base = matches(docs)
@@ -301,7 +304,7 @@ def found_in(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds:
     return both.select(*keys, "base", F.sort_array(F.concat("base", apart)).alias("spans")).where(F.size("spans") > 0)
 
 
-def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.1) -> DataFrame:
+def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.29) -> DataFrame:
     """Spans of every text: (doc_id, mark, base, spans), empty lists where there are none."""
     lists = found_in(docs, confident, support, rounds, floor)
     rows = docs.select("doc_id", mark().alias("mark"))
@@ -310,7 +313,7 @@ def find(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int
     return joined.select("doc_id", "mark", *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("base", "spans")))
 
 
-def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.1) -> DataFrame:
+def masked(docs: DataFrame, confident: float = 0.6, support: int = 5, rounds: int = 2, floor: float = 0.29) -> DataFrame:
     """``docs`` with every span of personal data and every secret replaced by its kind in brackets."""
     lists = written(found_in(docs, confident, support, rounds, floor).select("doc_id", "mark", "spans"), "spans")
     part, rest = touched(docs, lists)
