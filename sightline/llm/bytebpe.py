@@ -1,14 +1,16 @@
 """Byte-level BPE by a tree reduction, and its inverse.
 
-Encoding. A text is cut in halves until the pieces are short; leaves are encoded on their own and
-neighbours joined. Two joins are provably exact:
-
-- Where a non-space is followed by white space, no match of the split pattern spans the cut and
-  none looks back over it, so halves cut there are joined as they are.
-- Inside one long match, the window around the seam is encoded anew, tokens at a time, and grows
-  until the outermost token of the window and its outer neighbour, encoded together, give the same
-  two tokens. A token row whose neighbours all pass that test is the encoding of its bytes: the
-  first merge across a token border would happen in the pair alone as well.
+Encoding. A text is cut in halves, at any code point, until the pieces are short; leaves are encoded on
+their own and neighbours joined by encoding a window around the seam anew. The window grows on both sides
+until the tokens outside are provably those of the whole:
+
+- It ends where a non-space is followed by white space: no match of the split pattern spans that border and
+  none looks back over it, so tokens beyond it do not depend on the window.
+- Where a half has no such border, the window takes all of it. The matches of a long window are cut again: inside
+  one long match the window around the seam grows, tokens at a time, until the outermost token of the
+  window and its outer neighbour, encoded together, give the same two tokens. A token row whose
+  neighbours all pass that test is the encoding of its bytes: the first merge across a token border would
+  happen in the pair alone as well.
 
 Decoding concatenates byte strings up the same kind of tree.
 
@@ -23,6 +25,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,30 +53,39 @@ class TreeEncoder:
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= LEAF_CHARS:
-            return self._leaf(text)
-        cut = self._cut(text)
-        if cut is None:
-            return [i for m in self._split.finditer(text) for i in self.encode_match(m.group().encode())]
-        return self.encode(text[:cut]) + self.encode(text[cut:])
+            return self._core.encode_ordinary(text)
+        half = len(text) // 2
+        left, right = text[:half], text[half:]
+        before, after = self._last_border(left), self._first_border(right)
+        if before == 0 and after == len(right):  # the window would be all of the text
+            return self._matches(text)
+        head, tail = self.encode(left), self.encode(right)
+        # What the halves gave inside the window goes: it was encoded as if the text ended at the seam.
+        spoiled = len(self._short(left[before:])), len(self._short(right[:after]))
+        return head[: len(head) - spoiled[0]] + self._short(left[before:] + right[:after]) + tail[spoiled[1]:]
 
-    def _leaf(self, text: str) -> list[int]:
-        return self._core.encode_ordinary(text)
+    def _short(self, text: str) -> list[int]:
+        return self._core.encode_ordinary(text) if len(text) <= LEAF_CHARS else self._matches(text)
+
+    def _matches(self, text: str) -> list[int]:
+        return [i for m in self._split.finditer(text) for i in self.encode_match(m.group().encode())]
 
     @staticmethod
-    def _cut(text: str) -> int | None:
-        """A border between a non-space and white space near the middle, or none in the text."""
-        half = len(text) // 2
-        found = _SEAM.search(text, half)
-        if found and found.start() < len(text):
-            return found.start()
-        step = 256
-        while step < 2 * half:
-            low = max(1, half - step)
-            near = [m.start() for m in _SEAM.finditer(text, low, half + 1)]
-            if near:
-                return near[-1]
+    def _last_border(text: str) -> int:
+        """The last place where white space follows a non-space, or the start."""
+        step = 64
+        while True:
+            low = max(0, len(text) - step)
+            near = [m.start() for m in _SEAM.finditer(text, low)]
+            if near or not low:
+                return near[-1] if near else 0
             step *= 4
-        return None
+
+    @staticmethod
+    def _first_border(text: str) -> int:
+        """The first place where white space follows a non-space, or the end."""
+        found = _SEAM.search(text)
+        return found.start() if found else len(text)
 
     def encode_match(self, raw: bytes) -> list[int]:
         """Tokens of one match of the pattern."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -43,6 +44,14 @@ def test_tree_of_a_long_match(bpe, unit):
     assert bpe.encode(text) == bpe._core.encode_ordinary(text)
 
 
+def test_ids_as_the_library(spark, bpe):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in bytebpe.query(spark, "/root/testdata/sf0.001").collect():
+        ids = bpe._core.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_byte_bpe_edges(odd_docs, no_docs):
     out = bytebpe.digests(odd_docs, RANKS, public_tokenizers.PATTERN).collect()
     assert len(out) == odd_docs.count()
@@ -58,6 +67,26 @@ def test_words_as_the_tokenizer(text):
     assert np.frombuffer(words.encode(text), "<u4").tolist() == words._tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_as_the_tokenizer(spark):
+    """Starts, lengths and digests of the pieces, and sequences without gaps."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            want.add((r.doc_id, k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())))
+    out = packing.query(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out} == want
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [at for at, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+
+
 def _fewest(pieces, capacity):
     """Fewest bins by trying all assignments, for small instances."""
     best = len(pieces)
@@ -158,6 +187,74 @@ def test_language_masks_hold_every_entry():
     assert all((int(masks[i][(i % 70) // 64]) >> ((i % 70) % 64)) & 1 for i in range(5000))
 
 
+def _plain_grams(text):
+    """Counts of the n-grams of one to five characters, from the definition."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    words = " " + " ".join(letters.split()) + " "
+    return Counter(g for n in langmask.SIZES for i in range(len(words) - n + 1) if (g := words[i : i + n]) != " ") if words.strip() else Counter()
+
+
+def test_language_against_plain_sets(spark):
+    """Predictions equal those of plain sets of n-grams, and held-out documents are right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", langmask.held_out().alias("held_out"))
+    rows = docs.collect()
+    counts = {}
+    for lang, text in {(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and not r.held_out}:
+        counts.setdefault(lang, Counter()).update(_plain_grams(text))
+    shares = {lang: {g: n / c.total() for g, n in c.items() if n >= 2e-6 * c.total()} for lang, c in counts.items()}
+    top = Counter()
+    for share in shares.values():
+        top |= Counter(share)
+    sets = {lang: {g for g, x in share.items() if x >= 0.5 * top[g]} for lang, share in shares.items()}
+    found = {r.doc_id: r for r in langmask.predict(docs, langmask.train(docs), ["doc_id"]).collect()}
+    for r in rows:
+        own = _plain_grams(r.text or "")
+        rates = {lang: sum(n for g, n in own.items() if g in sets[lang]) / own.total() for lang in sorted(sets)} if own else {}
+        got = found[r.doc_id]
+        if not own:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        best = max(rates, key=rates.get)
+        assert abs(got.score - rates[best] / sum(rates.values())) < 0.03
+        if rates[best] - max(x for lang, x in rates.items() if lang != best) > 0.02:
+            assert got.lang_pred == best
+    held = [r for r in rows if r.held_out and r.lang is not None and _plain_grams(r.text or "")]
+    assert sum(found[r.doc_id].lang_pred == r.lang for r in held) >= 0.99 * len(held) > 0
+
+
+_ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from sightline.llm import QUERIES
+from sightline.session import local_session
+
+def known(_):
+    try:
+        import sightline
+        yield True
+    except ImportError:
+        yield False
+
+spark = local_session("elsewhere", 4)
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(known).collect() == [False]
+for name in ("op2_language", "op4_ngram_jaccard", "op6_quality", "op7_repeats", "op8_packing", "op9_byte_bpe", "op11_merkle_manifest", "op13_graph_search"):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+print("all ran")
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = _ELSEWHERE.format(repo=str(Path(__file__).resolve().parents[2]))
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
 def test_quality(spark, odd_docs, no_docs):
     clean = " ".join(prose(11, 120))
     rows = [(1, clean), (2, "few words"), (3, " ".join(w + "###" for w in prose(11, 120))), (4, "a b c " * 40), (5, clean.upper()), (6, "\n".join([" ".join(prose(12, 30))] * 4))]
