@@ -193,30 +193,38 @@ def _slot(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
 
 
-def _neighbours(cut: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(side, pattern, n): different neighbours of the patterns in each of the texts, in all.
+def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(mark, side, pattern, next): the different neighbours of the patterns in each text of (mark, words).
 
-    Runs that cannot be one of ``patterns`` (side, pattern) are left out before they are counted.
+    Runs that cannot be one of ``patterns`` (side, pattern) are left out in the task that cuts the text, so
+    what is shuffled later are the occurrences of patterns and no texts.
     """
     def run(size: int) -> Callable[[Column], Column]:
         return lambda i: F.array_join(F.slice(F.col("padded"), i, size + 1), " ")
 
-    cut = cut.select(F.concat(F.array(F.lit("")), F.col("words"), F.array(F.lit(""))).alias("padded"))
+    # An empty word stands before and after the text.
+    texts = texts.select("mark", F.concat(F.array(F.lit("")), F.col("words"), F.array(F.lit(""))).alias("padded"))
     every = []
     for size in range(1, _WORDS + 1):
-        # Runs of one word more: a pattern and its neighbour; an empty word stands before and after the text.
+        # Runs of one word more: a pattern and its neighbour.
         starts = F.when(F.size("padded") > size, F.sequence(F.lit(1), F.size("padded") - size)).otherwise(F.array().cast("array<int>"))
-        runs = F.array_distinct(F.transform(starts, run(size)))
-        each = cut.select(F.explode(runs).alias("run"))
-        sides = F.array(F.struct(F.lit("after").alias("side"), F.substring_index("run", " ", size).alias("pattern")),
-                        F.struct(F.lit("before").alias("side"), F.substring_index("run", " ", -size).alias("pattern")))
-        every.append(each.select(F.explode(sides).alias("s")).select("s.side", "s.pattern"))
+        each = texts.select("mark", F.explode(F.array_distinct(F.transform(starts, run(size)))).alias("run"))
+
+        def part(side: str, first: int, last: int) -> Column:
+            return F.struct(F.lit(side).alias("side"), F.substring_index("run", " ", first).alias("pattern"), F.substring_index("run", " ", last).alias("next"))
+
+        every.append(each.select("mark", F.explode(F.array(part("after", size, -1), part("before", -size, 1))).alias("s")).select("mark", "s.*"))
     rows = every[0]
     for more in every[1:]:
         rows = rows.unionByName(more)
     wanted = F.broadcast(patterns.select(_slot("pattern").alias("slot")).distinct())  # at most SLOTS rows
-    rows = rows.withColumn("slot", _slot("pattern")).join(wanted, "slot", "left_semi")
-    return rows.groupBy("side", "pattern").agg(F.count(F.lit(1)).alias("n")).join(patterns.select("side", "pattern"), ["side", "pattern"], "left_semi")
+    return rows.withColumn("slot", _slot("pattern")).join(wanted, "slot", "left_semi").drop("slot")
+
+
+def _counted(occurrences: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(side, pattern, n): the occurrences of each of the patterns."""
+    counts = occurrences.groupBy("side", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(patterns.select("side", "pattern"), ["side", "pattern"], "left_semi")
 
 
 def _totals(docs: DataFrame, cut: DataFrame, patterns: DataFrame, floor: float) -> DataFrame:
@@ -225,7 +233,7 @@ def _totals(docs: DataFrame, cut: DataFrame, patterns: DataFrame, floor: float)
     ``patterns`` has ``texts``, in how many an instance is beside the pattern; so many of them at most
     count for it, and the neighbours in texts with instances count against it.
     """
-    near = written(_neighbours(cut, patterns), "neighbours")
+    near = written(_counted(_occurrences(cut, patterns), patterns), "neighbours")
     left = written(patterns.join(near, ["side", "pattern"]).where(F.col("texts") >= floor * F.col("n")).select("side", "pattern", "n"), "patterns")
     # The other texts: those that have the word of a pattern that is rarest in the texts with instances. Two
     # tables of slots, of at most SLOTS rows, keep other words and other texts from being shuffled.
@@ -234,12 +242,12 @@ def _totals(docs: DataFrame, cut: DataFrame, patterns: DataFrame, floor: float)
     rare = parts.join(often, "word").groupBy("side", "pattern").agg(F.min_by("word", F.struct("texts", "word")).alias("word"))
     wanted = F.broadcast(written(rare.select(_slot("word").alias("slot")).distinct(), "rare-words"))
     hits = docs.select(mark().alias("mark"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    hits = hits.withColumn("slot", _slot("word")).join(wanted, "slot", "left_semi").select("mark").distinct()
-    hits = written(hits.join(cut.select("mark"), "mark", "left_anti"), "hits")
-    hit = F.broadcast(hits.select(_slot("mark").alias("slot")).distinct())
-    again = docs.select(mark().alias("mark"), "text").withColumn("slot", _slot("mark")).join(hit, "slot", "left_semi")
-    again = again.join(hits, "mark", "left_semi").groupBy("mark").agg(F.any_value("text").alias("text"))
-    more = _neighbours(again.select(F.explode(F.array(words_of(F.col("text")))).alias("words")), left)
+    hits = written(hits.withColumn("slot", _slot("word")).join(wanted, "slot", "left_semi").select(_slot("mark").alias("slot")).distinct(), "hits")
+    again = docs.select(mark().alias("mark"), "text").withColumn("slot", _slot("mark")).join(F.broadcast(hits), "slot", "left_semi")
+    again = _occurrences(again.select("mark", F.explode(F.array(words_of(F.col("text")))).alias("words")), left)
+    # Copies count once, and texts with instances are counted already.
+    again = again.distinct().join(cut.select("mark"), "mark", "left_anti")
+    more = _counted(again, left)
     both = left.unionByName(more.select("side", "pattern", "n"))
     return both.groupBy("side", "pattern").agg(F.sum("n").alias("total"))
 
