@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -38,13 +40,16 @@ def admit_captures(captures: DataFrame, check_json: bool = True, body_limit: int
 # --- page assembly ------------------------------------------------------------------------------
 
 def count_new(items: DataFrame) -> DataFrame:
-    """Per page: rows, different URLs, and those of them that no earlier page of the source had."""
+    """Per page: rows, different URLs, and those of them that no earlier page of the source had.
+
+    ``items`` is read once: a URL's first page is a window over the pages that have it.
+    """
     keys = source_keys(items)
-    first = items.groupBy(*keys, "url").agg(F.min("page_idx").alias("page_idx"))
-    new = first.groupBy(*keys, "page_idx").agg(F.count(F.lit(1)).alias("n_new"))
-    pages = items.groupBy(*keys, "page_idx").agg(
-        F.count(F.lit(1)).alias("n_items"), F.count_distinct("url").alias("n_urls"))
-    return pages.join(new, [*keys, "page_idx"], "left").na.fill(0, ["n_new"])
+    on_page = items.groupBy(*keys, "url", "page_idx").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min("page_idx").over(Window.partitionBy(*keys, "url"))
+    told = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    return on_page.withColumn("_new", told & (F.col("page_idx") == first)).groupBy(*keys, "page_idx").agg(
+        F.sum("n").alias("n_items"), F.count("url").alias("n_urls"), F.count_if("_new").alias("n_new"))
 
 
 # How each paged portal ends: at its total in pages of a size, at a page with fewer different URLs
@@ -75,27 +80,22 @@ def assemble_pages(pages: DataFrame, rules: dict | None = None) -> DataFrame:
 
     ``pages`` holds ``parser``, ``page_idx`` from 0, ``n_items``, ``n_urls``, ``n_new`` (see
     ``count_new``; items after the place test for cards, before it for rows of links) and ``total``.
-    Captured pages are never cut at a number. Both aggregates are one row per source.
+    Captured pages are never cut at a number. ``pages`` is read once: both windows hold a source's pages,
+    a few numbers each.
     """
     rules = PAGE_RULES if rules is None else rules
     keys = source_keys(pages)
     stop = F.lit(False)
     for parser, rule in rules.items():
         stop = F.when(F.col("parser") == parser, _stops_here(rule)).otherwise(stop)
-    sizes = pages.where("page_idx = 0").select(
-        *keys, F.coalesce(F.nullif("n_urls", F.lit(0)), F.lit(25)).alias("_size")
-    )
-    marked = (
-        pages.join(sizes, keys, "left")
-        .withColumn("_size", F.coalesce("_size", F.lit(25)))
-        .withColumn("_stop", stop)
-    )
-    ends = marked.groupBy(*keys).agg(F.min(F.when(F.col("_stop"), F.col("page_idx"))).alias("_end"))
-    return (
-        marked.join(ends, keys)
-        .where((F.coalesce("n_items", F.lit(0)) > 0) & (F.col("_end").isNull() | (F.col("page_idx") <= F.col("_end"))))
-        .drop("_size", "_stop", "_end")
-    )
+    source = Window.partitionBy(*keys)
+    told = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    size = F.max(F.when(F.col("page_idx") == 0, F.coalesce(F.nullif("n_urls", F.lit(0)), F.lit(25)))).over(source)
+    marked = pages.where(told).withColumn("_size", F.coalesce(size, F.lit(25))).withColumn("_stop", stop)
+    ended = marked.withColumn("_end", F.min(F.when(F.col("_stop"), F.col("page_idx"))).over(source))
+    return ended.where(
+        (F.coalesce("n_items", F.lit(0)) > 0) & (F.col("_end").isNull() | (F.col("page_idx") <= F.col("_end")))
+    ).drop("_size", "_stop", "_end")
 
 
 # --- failures -----------------------------------------------------------------------------------
@@ -129,13 +129,20 @@ def capture_failures(captures: DataFrame) -> DataFrame:
     return failed.select(*source_keys(captures), "page_idx", "error")
 
 
-def readable_captures(captures: DataFrame) -> DataFrame:
-    """Captures without an error, of a list that a failed page ends only those before it."""
+def readable_captures(captures: DataFrame, name: str | None = None) -> DataFrame:
+    """Captures without an error, of a list that a failed page ends only those before it.
+
+    With ``name`` those of one parser; only a parser whose list a failed page ends is read for that too.
+    """
+    if name is not None:
+        captures = captures.where(F.col("parser") == name)
     judged, keys = _judged(captures), source_keys(captures)
+    good = judged.where(F.col("error").isNull()).drop("error")
+    if name is not None and name not in _LENIENT:
+        return good
     ends = judged.where(F.col("error").isNotNull() & F.col("parser").isin(*_LENIENT))
     ends = ends.groupBy(*keys).agg(F.min("page_idx").alias("_end"))
-    good = judged.where(F.col("error").isNull()).drop("error").join(ends, keys, "left")
-    return good.where(F.col("_end").isNull() | (F.col("page_idx") < F.col("_end"))).drop("_end")
+    return good.join(ends, keys, "left").where(F.col("_end").isNull() | (F.col("page_idx") < F.col("_end"))).drop("_end")
 
 
 # --- request plan -------------------------------------------------------------------------------

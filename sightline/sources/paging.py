@@ -52,18 +52,16 @@ def page_counts(captures: DataFrame, names: list[str] | None = None) -> DataFram
     return pages.join(counted, keys, "left").na.fill(0, ["n_items", "n_urls", "n_new"])
 
 
-def contributed(captures: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Captures less the pages of a paged portal that come after the one that ends its list.
+def contributed(captures: DataFrame, name: str) -> DataFrame:
+    """Captures of the parser ``name`` less the pages that come after the one that ends a paged portal's list.
 
-    A page is judged by its parsed rows (see ``assemble_pages``); captures of other parsers all stay.
+    A page is judged by its parsed rows (see ``assemble_pages``); captures of a parser without pages all stay.
     """
-    paged = [n for n in PAGE_RULES if names is None or n in names]
-    if "page_idx" not in captures.columns or not paged:
+    if "page_idx" not in captures.columns or name not in PAGE_RULES:
         return captures
-    is_paged = F.coalesce(F.col("parser").isin(*paged), F.lit(False))
     keys = [*source_keys(captures), "page_idx"]
-    kept = assemble_pages(page_counts(captures, paged)).select(*keys)
-    return captures.where(is_paged).join(kept, keys, "left_semi").select(*captures.columns).unionByName(captures.where(~is_paged))
+    kept = assemble_pages(page_counts(captures, [name])).select(*keys)
+    return captures.join(kept, keys, "left_semi").select(*captures.columns)
 
 
 def first_pages(captures: DataFrame) -> DataFrame:
