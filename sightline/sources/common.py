@@ -18,6 +18,8 @@ from ..schemas import KEY_FIELDS, LISTING_FIELDS
 
 # More than the rows of one captured page can be: they come from arrays of at most 2^31 entries.
 _PAGE_BITS = 32
+# Rows that ``flat_map`` turns into Python values at once, and rows of a batch that it gives back.
+_PAGES, _ROWS = 32, 1024
 
 
 def keys_of(df: DataFrame) -> list[str]:
@@ -82,23 +84,33 @@ def once_per(df: DataFrame, *names: str) -> DataFrame:
 def flat_map(df: DataFrame, carried: list[str], inputs: list[str], fields: T.StructType, read) -> DataFrame:
     """Rows ``read(*inputs)`` yields for each row, with ``carried`` columns repeated beside them.
 
-    The carried columns stay in Arrow; only the inputs become Python values.
+    The carried columns stay in Arrow; only the inputs become Python values, of a few rows at a time, and
+    what they yield leaves in batches of bounded length. So a process holds no more for more rows.
     """
     out = T.StructType([df.schema[c] for c in carried] + fields.fields)
-    names = fields.names
+    names, pages, most = fields.names, _PAGES, _ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [to_arrow_type(f.dataType) for f in fields.fields]
+
+        def made(part: pa.RecordBatch, source: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [part.column(c).take(pa.array(source, pa.int64())) for c in carried]
+            columns += [pa.array(values, t) for values, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays(columns, names=[*carried, *names])
+
         for batch in batches:
-            source, rows = [], []
-            for i, values in enumerate(zip(*[batch.column(c).to_pylist() for c in inputs])):
-                found = list(read(*values))
-                rows.extend(found)
-                source.extend([i] * len(found))
-            columns = [batch.column(c).take(pa.array(source, pa.int64())) for c in carried]
-            made = zip(*rows) if rows else [[] for _ in names]
-            columns += [pa.array(values, t) for values, t in zip(made, types)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *names])
+            for start in range(0, batch.num_rows, pages):
+                part = batch.slice(start, pages)
+                source, rows = [], []
+                for i, values in enumerate(zip(*[part.column(c).to_pylist() for c in inputs])):
+                    for row in read(*values):
+                        rows.append(row)
+                        source.append(i)
+                        if len(rows) == most:
+                            yield made(part, source, rows)
+                            source, rows = [], []
+                if rows:
+                    yield made(part, source, rows)
 
     wanted = [*carried, *[c for c in inputs if c not in carried]]
     return df.select(*wanted).mapInArrow(run, out)
