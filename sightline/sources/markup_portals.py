@@ -11,7 +11,7 @@ from ..functions.blocks import SELECTOR, listing_blocks
 from ..functions.html import all_matches, anchors, attribute, blocks, starts_block, text_of
 from ..functions.text import contains_any, norm_text, or_null, slugify, strip, unescape
 from ..functions.urls import let, named, url_join, url_part
-from .common import flat_map, in_place, keys_of, listings, once_per, sequence
+from .common import flat_map, in_place, keys_of, listings, once_per, sequence, source_keys
 
 
 def html_blocks(captures: DataFrame) -> DataFrame:
@@ -88,10 +88,13 @@ def successfactors_cards(captures: DataFrame) -> DataFrame:
 
 
 def parse_successfactors(captures: DataFrame) -> DataFrame:
-    cards = successfactors_cards(captures).withColumn("seq", sequence(F.col("pos"), captures))
-    first = once_per(cards, "url")
+    """First card per URL, if it is in place. The place is judged before, so no row carries its lists to the sort."""
+    cards = successfactors_cards(captures).select(
+        *source_keys(captures), sequence(F.col("pos"), captures).alias("seq"), "text", "url", "location_filter",
+        in_place(F.col("url"), F.col("text")).alias("fits"),
+    )
     return listings(
-        first.where(in_place(F.col("url"), F.col("text"))),
+        once_per(cards, "url").where("fits"),
         seq=F.col("seq"),
         title=F.col("text"),
         url=F.col("url"),
