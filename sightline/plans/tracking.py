@@ -207,8 +207,8 @@ def repeats_streamed(spark, sf_dir):
     root = f"{new_path(spark, 'repeats')}"
     third = F.pmod(F.xxhash64("seq"), F.lit(3))
     for part in (rows.where(third < 2), rows.where(third > 0), rows):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = replay.drop_repeats(replay.read_files(spark, f"{root}/in", rows.schema, files_per_batch=1))
-    replay.track(stream, lambda batch: (batch, None), f"{root}/state", f"{root}/progress", buckets=8).awaitTermination()
+        part.write.mode("append").parquet(f"{root}/in")  # in as many files as it is read in, all one batch
+        stream = replay.drop_repeats(replay.read_files(spark, f"{root}/in", rows.schema))
+        replay.track(stream, lambda batch: (batch, None), f"{root}/state", f"{root}/progress", buckets=8).awaitTermination()
     stored = tables.read_table(spark, f"{root}/state", "sightings")
     return stored.groupBy("company_id", "url", "run_date").agg(F.count(F.lit(1)).alias("n_stored"))
