@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle
-from ..shared import new_path
+from ..shared import new_path, written
 from ..sources import sinks
 from ..sources.captures import capture_failures
 from ..sources.common import attach_companies
@@ -22,15 +22,16 @@ _BROKEN = "(portal + page_idx) % 11 = 4"
 _DAY, _DAY_BEFORE = "2024-01-31", "2024-01-30"
 
 
-def _captures(spark, sf_dir, rows: DataFrame, run_date: str) -> DataFrame:
-    """Pages of postings as one run of a portal; some have an error status, some a broken body."""
+def _captures(spark, sf_dir, rows: DataFrame, run_date: str, failing: bool = True) -> DataFrame:
+    """Pages of postings as one run of a portal; if ``failing``, some have an error status, some a broken body."""
     item = F.struct(
         F.concat(F.lit("L"), "id").alias("id"), F.col("title").alias("text"), F.concat(F.lit("https://jobs.example.com/"), "id").alias("hostedUrl"),
         F.struct("location", "department", F.col("job_type").alias("commitment")).alias("categories"), F.col("description").alias("descriptionPlain"))
     made = pages(rows, item, as_json()).withColumn("portal", F.col("company_id").cast("long"))
     made = made.select(
         "company_id", "page_idx", F.lit("lever").alias("parser"), F.lit("run").alias("run_id"), F.lit(run_date).cast("date").alias("run_date"),
-        F.expr(_STATUS).alias("status"), F.when(F.expr(_BROKEN), "[broken").otherwise(F.col("body")).alias("body"),
+        F.expr(_STATUS if failing else "200").alias("status"),
+        F.when(F.expr(_BROKEN if failing else "false"), "[broken").otherwise(F.col("body")).alias("body"),
         F.lit("https://x.example.com/api/jobs").alias("request_url"), F.lit("application/json").alias("content_type"),
         F.lit(f"{run_date} 06:00:00").cast("timestamp").alias("captured_at"))
     return attach_companies(made, settings(postings(spark, sf_dir), _HOME))
@@ -75,12 +76,12 @@ def daily_run(spark, sf_dir):
     """
     rows = postings(spark, sf_dir)
     before = rows.where("id % 5 <> 0")
-    whole = _captures(spark, sf_dir, before, _DAY_BEFORE).withColumn("status", F.lit(200))
-    whole = whole.join(_bodies(before), ["company_id", "page_idx"])  # yesterday every page could be read
-    state = lifecycle.fold_history(parse_sources(whole.drop("body").withColumnRenamed("_body", "body"), names=["lever"]))
-    captures = _captures(spark, sf_dir, rows.where("id % 7 <> 0"), _DAY)
-    failed = capture_failures(captures).select("company_id", "run_date").distinct()
-    today = parse_sources(captures, names=["lever"])
+    whole = _captures(spark, sf_dir, before, _DAY_BEFORE, failing=False)  # yesterday every page could be read
+    # What is read again for later steps is stored: pages are rendered and parsed once.
+    state = written(lifecycle.fold_history(written(parse_sources(whole, names=["lever"]), "sightings")), "state")
+    captures = written(_captures(spark, sf_dir, rows.where("id % 7 <> 0"), _DAY), "captures")
+    failed = written(capture_failures(captures).select("company_id", "run_date").distinct(), "failures")
+    today = written(parse_sources(captures, names=["lever"]), "sightings")
     after = lifecycle.merge_runs(state, today, failed)
     day = F.lit(_DAY).cast("date")
     return after.join(failed.select("company_id", F.lit(True).alias("_failed")), "company_id", "left").groupBy("company_id").agg(
@@ -88,13 +89,6 @@ def daily_run(spark, sf_dir):
         F.count_if(F.col("first_seen_at") == day).alias("n_new"), F.count_if(~F.col("is_active")).alias("n_gone"))
 
 
-def _bodies(rows: DataFrame) -> DataFrame:
-    item = F.struct(
-        F.concat(F.lit("L"), "id").alias("id"), F.col("title").alias("text"), F.concat(F.lit("https://jobs.example.com/"), "id").alias("hostedUrl"),
-        F.struct("location", "department", F.col("job_type").alias("commitment")).alias("categories"), F.col("description").alias("descriptionPlain"))
-    return pages(rows, item, as_json()).withColumnRenamed("body", "_body")
-
-
 @query("parse_all", f"""SELECT company_id, url, title FROM ({_LEVER.replace("postings)", "postings WHERE " + f"{_STATUS} = 200 AND NOT ({_BROKEN}))", 1)})
 UNION ALL SELECT CAST(portal AS VARCHAR), concat('https://x.example.com/job/', id), concat('Analyst number ', id) FROM ({with_fixtures("postings")} SELECT * FROM postings)
 UNION ALL SELECT CAST(portal AS VARCHAR), 'https://x.example.com/', 'Madrid round' FROM ({with_fixtures("postings")} SELECT DISTINCT portal FROM postings) WHERE portal % 3 < 2""")
