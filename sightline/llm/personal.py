@@ -38,8 +38,6 @@ columns are left out, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -196,29 +194,35 @@ def _slot(c: str) -> Column:
 def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(mark, side, pattern, next): the different neighbours of the patterns in each text of (mark, words).
 
-    Runs that cannot be one of ``patterns`` (side, pattern) are left out in the task that cuts the text, so
-    what is shuffled later are the occurrences of patterns and no texts.
+    Runs that cannot be one of ``patterns`` (side, pattern) are left out before they become rows, so what is
+    made and shuffled are the occurrences of patterns and no texts or other words.
     """
-    def run(size: int) -> Callable[[Column], Column]:
-        return lambda i: F.array_join(F.slice(F.col("padded"), i, size + 1), " ")
+    one = F.lit(1).cast("long")
+    bits = patterns.select(_slot("pattern").alias("slot")).groupBy(F.shiftright("slot", 6).cast("long").alias("id"))
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
+    words = patterns.sparkSession.range(SLOTS // 64).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    # One row: a bit for each slot that a pattern has.
+    wanted = F.broadcast(words.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("wanted")))
+
+    def is_wanted(pattern: Column) -> Column:
+        slot = F.pmod(F.xxhash64(pattern), F.lit(SLOTS)).cast("int")
+        return F.get(F.col("wanted"), F.shiftright(slot, 6)).bitwiseAND(F.call_function("shiftleft", one, slot % 64)) != 0
 
     # An empty word stands before and after the text.
     texts = texts.select("mark", F.concat(F.array(F.lit("")), F.col("words"), F.array(F.lit(""))).alias("padded"))
-    every = []
-    for size in range(1, _WORDS + 1):
-        # Runs of one word more: a pattern and its neighbour.
-        starts = F.when(F.size("padded") > size, F.sequence(F.lit(1), F.size("padded") - size)).otherwise(F.array().cast("array<int>"))
-        each = texts.select("mark", F.explode(F.array_distinct(F.transform(starts, run(size)))).alias("run"))
+    texts = texts.join(wanted, how="cross")
 
-        def part(side: str, first: int, last: int) -> Column:
-            return F.struct(F.lit(side).alias("side"), F.substring_index("run", " ", first).alias("pattern"), F.substring_index("run", " ", last).alias("next"))
+    def parts(size: int) -> Column:
+        """The runs of so many words that may be a pattern, each with the word on its other side."""
+        def at(side: str, run: Column, beside: Column) -> Column:
+            return F.struct(F.lit(side).alias("side"), F.array_join(F.slice("padded", run, size), " ").alias("pattern"), F.get("padded", beside).alias("next"))
+
+        starts = F.when(F.size("padded") > size, F.sequence(F.lit(1), F.size("padded") - size)).otherwise(F.array().cast("array<int>"))
+        both = F.flatten(F.transform(starts, lambda i: F.array(at("after", i, i + size - 1), at("before", i + 1, i - 1))))
+        return F.array_distinct(F.filter(both, lambda x: is_wanted(x["pattern"])))
 
-        every.append(each.select("mark", F.explode(F.array(part("after", size, -1), part("before", -size, 1))).alias("s")).select("mark", "s.*"))
-    rows = every[0]
-    for more in every[1:]:
-        rows = rows.unionByName(more)
-    wanted = F.broadcast(patterns.select(_slot("pattern").alias("slot")).distinct())  # at most SLOTS rows
-    return rows.withColumn("slot", _slot("pattern")).join(wanted, "slot", "left_semi").drop("slot")
+    rows = texts.select("mark", F.explode(F.concat(*(parts(size) for size in range(1, _WORDS + 1)))).alias("s"))
+    return rows.select("mark", "s.*")
 
 
 def _counted(occurrences: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.llm import bytebpe, cascade, cwsample, langmask, packing, personal
+from sightline.llm import bytebpe, cascade, common, cwsample, langmask, packing, personal
 
 from .conftest import prose
 
@@ -320,6 +321,26 @@ def test_contexts_find_other_shapes_and_teach(spark):
     assert found[300] == "phone:4:16" and found[301] == ""
 
 
+def test_other_words_make_no_rows(spark):
+    """Runs that are no pattern are left out before the generator, so it makes the occurrences only."""
+    texts = spark.createDataFrame([(1, ["a", "b", "c", "a", "b", "d"]), (2, ["x"] * 50), (3, [])], "mark long, words array<string>")
+    patterns = spark.createDataFrame([("after", "a b"), ("before", "d")], "side string, pattern string")
+    found = personal._occurrences(texts, patterns)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Generate") < plan.index("Join")
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(1, "after", "a b", "c"), (1, "after", "a b", "d"), (1, "before", "a b", ""), (1, "before", "a b", "c"), (1, "after", "d", ""), (1, "before", "d", "b")}
+
+
+def test_a_process_keeps_one_operators_tables():
+    """What an operator before kept goes, and long batches are read in pieces."""
+    assert common.kept("test one", 1, lambda: "a") == "a" and common.kept("test one", 1, lambda: "b") == "a"
+    common.kept("test two", 1, lambda: "c")
+    assert common.kept("test one", 1, lambda: "d") == "d"
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    assert [p.num_rows for p in common.pieces([batch])] == [1024, 1024, 452]
+
+
 def test_contexts_confirm_secrets(spark):
     """Assignments, several words and line starts are patterns; high entropy alone is no secret."""
     digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
