@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +27,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def kept(name: str, key: object, make: Callable[[], object]) -> object:
-    """What ``make`` gives, made once in a Python process for the last key under ``name``.
+    """What ``make`` gives, made once in a Python process for the last name and key.
 
-    Helpers travel to the executors by value, with fresh globals for every task, so what should outlive
+    What is kept under another name belongs to an operator that ran before in the process, and goes. Helpers travel to the executors by value, with fresh globals for every task, so what should outlive
     a task hangs on a module that every process has.
     """
     store = sys.__dict__.setdefault("_kept_over_tasks", {})
     if name not in store or store[name][0] != key:
+        if store:
+            store.clear()
+            gc.collect()
         store[name] = (key, make())
     return store[name][1]
 
@@ -105,6 +110,13 @@ def raw_texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast("binary").to_pylist()]
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most so many rows, so that no more of them are Python values at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 SLOTS = 1 << 18
 
 

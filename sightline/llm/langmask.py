@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, mix, written
+from .common import kept, mix, pieces, written
 
 _U = np.uint64
 SIZES = (1, 2, 3, 4, 5)
@@ -190,7 +190,7 @@ def told(docs: DataFrame, model: MaskFilter, floor: float = 0.3, margin: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = MaskFilter(*shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for text in batch["text"]:
                 values = grams(text.as_py() or "", EVIDENCE)

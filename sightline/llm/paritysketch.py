@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLOTS, documents, join_rows, linked_groups, mark, mix, partitions, raw_texts, touched, window_hashes, word_hashes, written
+from .common import SLOTS, documents, join_rows, linked_groups, mark, mix, partitions, pieces, raw_texts, touched, window_hashes, word_hashes, written
 
 _U = np.uint64
 BLOCK = 2048
@@ -117,7 +117,7 @@ def sketched(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
-        for batch in batches:
+        for batch in pieces(batches):
             n, classes, bits, words = [], [], [], []
             for raw in raw_texts(batch["text"]):
                 found = shingle_set(raw, size)
