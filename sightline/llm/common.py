@@ -120,6 +120,18 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 SLOTS = 1 << 18
 
 
+def slot_bits(slots: DataFrame) -> DataFrame:
+    """One row (bits): a bit for each of the ``SLOTS`` slots that the column ``slot`` has."""
+    own = slots.groupBy(F.shiftright("slot", 6).cast("long").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
+    every = slots.sparkSession.range(SLOTS // 64).join(own, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("bits"))
+
+
+def has_bit(bits: str, slot: Column) -> Column:
+    """Whether the slot is among those of ``slot_bits``."""
+    return F.get(F.col(bits), F.shiftright(slot, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot % 64)) != 0
+
+
 def mark() -> Column:
     """With doc_id, what a row is known by: rows with both equal have equal texts."""
     return F.xxhash64("text")

@@ -38,7 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLOTS, documents, join_rows, linked_groups, mark, mix, partitions, pieces, raw_texts, touched, window_hashes, word_hashes, written
+from .common import (
+    SLOTS, documents, has_bit, join_rows, linked_groups, mark, mix, partitions, pieces, raw_texts, slot_bits, touched, window_hashes, word_hashes, written,
+)
 
 _U = np.uint64
 BLOCK = 2048
@@ -267,18 +269,17 @@ def shared_words(rows: DataFrame) -> DataFrame:
     Nearly all words are single, so they are dealt by word once and sorted, and no aggregate before that
     would shrink them. Words that many classes share, as far as a sample of the classes shows, are
     aggregated first instead and then joined back, which can be split; their slots are a table of at most
-    SLOTS rows. The sample decides the way of a word and never the result.
+    SLOTS bits, looked up as the words are made. The sample decides the way of a word and never the result.
     """
     def slot() -> Column:
         return F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int")
 
-    words = rows.select("class", F.explode("words").alias("word"))
     picked = rows.where(F.pmod("class", F.lit(_SAMPLED)) == 0)
     often = max(8, picked.select("class").distinct().count() // 1000)
     hot = picked.select("class", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(written(hot.where(F.col("n") >= often).select(slot().alias("slot")).distinct(), "hot-slots"))
-    placed = words.withColumn("slot", slot())
-    few, many = (placed.join(hot, "slot", how).drop("slot") for how in ("left_anti", "left_semi"))
+    hot = F.broadcast(written(slot_bits(hot.where(F.col("n") >= often).select(slot().alias("slot"))).withColumnRenamed("bits", "hot"), "hot-slots"))
+    words = rows.select("class", "words").join(hot, how="cross").select("class", "hot", F.explode("words").alias("word"))
+    few, many = (words.where(is_hot).select("class", "word") for is_hot in (~has_bit("hot", slot()), has_bit("hot", slot())))
     own = Window.partitionBy("word")
     few = few.select("word", "class", F.min("class").over(own).alias("low"), F.max("class").over(own).alias("high"))
     low = many.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high"))

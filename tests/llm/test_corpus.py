@@ -96,6 +96,16 @@ def test_words_of_many_classes_take_the_other_way(spark, monkeypatch):
     assert got[0] == got[1] == sorted((w, c, min(owners[w])) for c, words in rows for w in words if len(owners[w]) > 1)
 
 
+def test_words_are_judged_as_they_are_made(spark):
+    """The way of a word is looked up in a bounded row, so no join has the words of all classes and the plan is one for all tables."""
+    for common in (0, 500):
+        rows = [(c * 256, [1000 + c, *([7] if c < common else [])]) for c in range(600)]
+        found = paritysketch.shared_words(spark.createDataFrame(rows, "class long, words array<long>"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "LeftSemi" not in plan
+        assert sorted(tuple(r) for r in found.collect()) == sorted((7, c * 256, 0) for c in range(common))
+
+
 def test_groups_edges(odd_docs, no_docs):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in paritysketch.grouped(odd_docs).collect()}
     assert rows[(7, 58)] == 6 and rows[(8, 59)] == 6 and rows[(8, 1)] == 8 and rows[(1, 0)] == 1 and rows[(9, 1)] == 9
