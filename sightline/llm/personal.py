@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLOTS, documents, join_rows, mark, touched, written
+from .common import SLOTS, documents, has_bit, join_rows, mark, slot_bits, touched, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -195,34 +195,38 @@ def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(mark, side, pattern, next): the different neighbours of the patterns in each text of (mark, words).
 
     Runs that cannot be one of ``patterns`` (side, pattern) are left out before they become rows, so what is
-    made and shuffled are the occurrences of patterns and no texts or other words.
+    made and shuffled are the occurrences of patterns and no texts or other words. Only at the first words of
+    patterns are runs judged, by the hash of their words, and only those that may be a pattern are spelled.
     """
-    one = F.lit(1).cast("long")
-    bits = patterns.select(_slot("pattern").alias("slot")).groupBy(F.shiftright("slot", 6).cast("long").alias("id"))
-    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
-    words = patterns.sparkSession.range(SLOTS // 64).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
-    # One row: a bit for each slot that a pattern has.
-    wanted = F.broadcast(words.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("wanted")))
-
-    def is_wanted(pattern: Column) -> Column:
-        slot = F.pmod(F.xxhash64(pattern), F.lit(SLOTS)).cast("int")
-        return F.get(F.col("wanted"), F.shiftright(slot, 6)).bitwiseAND(F.call_function("shiftleft", one, slot % 64)) != 0
-
-    # An empty word stands before and after the text.
-    texts = texts.select("mark", F.concat(F.array(F.lit("")), F.col("words"), F.array(F.lit(""))).alias("padded"))
-    texts = texts.join(wanted, how="cross")
+    def run_slot(size: int, run: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(F.lit(size), *run), F.lit(SLOTS)).cast("int")
+
+    own = patterns.select(F.split("pattern", " ").alias("words"))
+    whole = F.coalesce(*(F.when(F.size("words") == size, run_slot(size, [F.get("words", F.lit(i)) for i in range(size)])) for size in range(1, _WORDS + 1)))
+    slots = own.select(F.explode(F.array(run_slot(0, [F.get("words", F.lit(0))]), whole)).alias("slot"))
+    wanted = F.broadcast(slot_bits(slots).withColumnRenamed("bits", "wanted"))
+    texts = texts.where(F.size("words") > 0).select("mark", "words").join(wanted, how="cross")
+    # The generator keeps the places from being computed again for every size.
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda at: has_bit("wanted", run_slot(0, [F.get("words", at)])))
+    texts = texts.withColumn("places", F.explode(F.array(places)))
 
     def parts(size: int) -> Column:
-        """The runs of so many words that may be a pattern, each with the word on its other side."""
-        def at(side: str, run: Column, beside: Column) -> Column:
-            return F.struct(F.lit(side).alias("side"), F.array_join(F.slice("padded", run, size), " ").alias("pattern"), F.get("padded", beside).alias("next"))
-
-        starts = F.when(F.size("padded") > size, F.sequence(F.lit(1), F.size("padded") - size)).otherwise(F.array().cast("array<int>"))
-        both = F.flatten(F.transform(starts, lambda i: F.array(at("after", i, i + size - 1), at("before", i + 1, i - 1))))
-        return F.array_distinct(F.filter(both, lambda x: is_wanted(x["pattern"])))
-
-    rows = texts.select("mark", F.explode(F.concat(*(parts(size) for size in range(1, _WORDS + 1)))).alias("s"))
-    return rows.select("mark", "s.*")
+        """The runs of so many words that may be a pattern, each as side, word on its other side, blank and run."""
+        def run(at: Column) -> list[Column]:
+            return [F.get("words", at + i) for i in range(size)]
+
+        def spelled(at: Column) -> Column:
+            after, before = (F.coalesce(F.get("words", i), F.lit("")) for i in (at + size, at - 1))
+            return F.array(*(F.concat_ws(" ", F.concat(F.lit(side), beside), *run(at)) for side, beside in (("a", after), ("b", before))))
+
+        fits = F.filter("places", lambda at: (at + size <= F.size("words")) & has_bit("wanted", run_slot(size, run(at))))
+        return F.flatten(F.transform(fits, spelled))
+
+    # Strings are told apart by a hash table; structs would be compared with each other.
+    rows = texts.select("mark", F.explode(F.array_distinct(F.concat(*(parts(size) for size in range(1, _WORDS + 1))))).alias("s"))
+    first, blank = F.substring("s", 1, 1), F.instr("s", " ")
+    rest = F.substring("s", F.lit(2), blank - 2).alias("next")
+    return rows.select("mark", F.when(first == "a", "after").otherwise("before").alias("side"), F.substring("s", blank + 1, F.length("s")).alias("pattern"), rest)
 
 
 def _counted(occurrences: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -332,6 +333,17 @@ def test_other_words_make_no_rows(spark):
     assert got == {(1, "after", "a b", "c"), (1, "after", "a b", "d"), (1, "before", "a b", ""), (1, "before", "a b", "c"), (1, "after", "d", ""), (1, "before", "d", "b")}
 
 
+def test_many_neighbours_in_one_text(spark):
+    """Neighbours of a long text are told apart by a hash table, not each by all others."""
+    words = [w for i in range(60_000) for w in ("tel", f"n{i % 50_000}")]
+    texts = spark.createDataFrame([(1, words)], "mark long, words array<string>")
+    patterns = spark.createDataFrame([("after", "tel"), ("before", "tel")], "side string, pattern string")
+    begun = time.time()
+    found = {r.side: r.n for r in personal._counted(personal._occurrences(texts, patterns), patterns).collect()}
+    assert found == {"after": 50_000, "before": 50_001}
+    assert time.time() - begun < 30
+
+
 def test_a_process_keeps_one_operators_tables():
     """What an operator before kept goes, and long batches are read in pieces."""
     assert common.kept("test one", 1, lambda: "a") == "a" and common.kept("test one", 1, lambda: "b") == "a"
