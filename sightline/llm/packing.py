@@ -35,27 +35,57 @@ from .common import documents, kept, written
 
 CAPACITY = 2048
 BUCKETS = 256
-# Latin-1 letters, digits and white space as the split pattern of the vocabulary file has them.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
-# Bytes of the tables that a Python process keeps over tasks, and about what Python needs for an entry besides.
-_KEEP_TOKENS, _KEEP_WORDS, _ENTRY = 80 << 20, 48 << 20, 190
-_LONG, _TOGETHER, _CHARS = 64, 20_000, 2_000_000
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+# Bytes of the table that a Python process keeps over tasks, and about what Python needs for an entry besides.
+_KEEP_WORDS, _ENTRY = 128 << 20, 190
+_LONG, _TOGETHER, _CHARS, _DEALT = 64, 20_000, 2_000_000, 1 << 19
+
+
+def _classes() -> np.ndarray:
+    """The class of every Latin-1 character in the split pattern of the vocabulary file."""
+    out = np.full(256, _OTHER, np.uint8)
+    for kind, pattern in ((_LETTER, "[A-Za-zªµºÀ-ÖØ-öø-ÿ]"), (_DIGIT, "[0-9²³¹¼½¾]"), (_SPACE, "[\t-\r \x85\xa0]")):
+        out[[i for i in range(256) if re.match(pattern, chr(i))]] = kind
+    return out
+
+
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = _classes()
+_LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
+
+
+def word_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lower-case Latin-1 text: whether each character is in a word, and whether it begins a match of
+
+    ``'s|'t|'re|'ve|'m|'ll|'d|[letters]+|[digit]|[others]+`` (or a run of blanks).
+    """
+    kind = _CLASS[data]
+    new = np.ones(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    # An apostrophe alone before letters takes one or two of them along.
+    mark = np.flatnonzero((data[:-1] == ord("'")) & new[:-1] & (kind[1:] == _LETTER))
+    first, second = data[mark + 1], np.append(data, 0)[mark + 2]
+    pairs = first.astype(np.int64) << 8 | second
+    size = np.where(np.isin(first, list(b"stmd")), 1, np.where(np.isin(pairs, [a << 8 | b for a, b in (b"re", b"ve", b"ll")]), 2, 0))
+    mark, size = mark[size > 0], size[size > 0]
+    new[mark + 1] = False
+    rest = (mark + size + 1)[mark + size + 1 < len(data)]
+    new[rest[kind[rest] == _LETTER]] = True
+    return kind != _SPACE, new
 
 
 class Recent:
-    """Values of strings, kept for those of late in about ``size`` bytes, and found many at a time.
+    """Values of byte strings, kept for those of late in about ``size`` bytes, and found many at a time.
 
     There are two tables: a full one becomes the old one, and what is asked for again moves up.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int):
-        self.now: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], size: int):
+        self.now: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
         self._make, self._size, self._bytes = make, size // 2, 0
 
-    def filled(self, keys: set[str]) -> dict[str, bytes]:
+    def filled(self, keys: set[bytes]) -> dict[bytes, bytes]:
         """The present table, with all keys in it."""
         if self._bytes > self._size:
             self._old, self.now, self._bytes = self.now, {}, 0
@@ -156,8 +186,8 @@ class WordTokens:
     """Token ids of texts as little-endian 32-bit words.
 
     The vocabulary lower-cases texts and encodes every match of its split pattern alone, and no
-    match spans white space. So texts are cut at white space and the ids of each piece looked up in
-    a table bounded in bytes; unseen pieces are split by the pattern, and their words merged here, all
+    match spans white space. So some texts are cut together into such words, and the ids of each
+    different word looked up once, in a table bounded in bytes; unseen words are merged here, all
     of some texts together. Texts beyond Latin-1 (where case and classes could differ between
     libraries), with separators that the libraries class differently, or with what may be a special
     token, and very long words go to the tokenizer itself.
@@ -173,15 +203,10 @@ class WordTokens:
         symbols = self._tokenizer.pre_tokenizer
         shown = {c: symbols.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if symbols.pre_tokenize_str(c)}
         self._merges = Merges(model["vocab"], pairs, model["end_of_word_suffix"], shown)
-        self._tokens = Recent(self._of_tokens, _KEEP_TOKENS)
         self._words = Recent(self._of_words, _KEEP_WORDS)
 
-    def _of_tokens(self, tokens: list[str]) -> list[bytes]:
-        split = list(map(_LATIN.findall, tokens))
-        known = self._words.filled({w for words in split for w in words})
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    def _of_words(self, raws: list[bytes]) -> list[bytes]:
+        words = [raw.decode("latin-1") for raw in raws]
         out: list[bytes] = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         while order and len(words[order[-1]]) > _LONG:
@@ -202,22 +227,49 @@ class WordTokens:
                 chars += len(texts[up])
                 up += 1
             part = texts[low:up]
-            cut = [text.lower().split() if self._is_plain(text) else None for text in part]
-            known = self._tokens.filled({t for tokens in cut if tokens for t in tokens})
-            for text, tokens in zip(part, cut, strict=True):
-                yield self._whole(text) if tokens is None else b"".join(map(known.__getitem__, tokens))
+            plain = [self._is_plain(text) for text in part]
+            found = iter(self._of_plain([text.encode("latin-1") for text, is_plain in zip(part, plain, strict=True) if is_plain]))
+            for text, is_plain in zip(part, plain, strict=True):
+                yield next(found) if is_plain else self._whole(text)
             low = up
 
+    def _of_plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of Latin-1 texts: what each different word has is dealt to where it stands."""
+        data = np.frombuffer(b"\n".join(texts).translate(_LOWER), np.uint8)
+        inside, new = word_starts(data)
+        begun = np.concatenate([[0], np.cumsum(inside & new)])  # words that begin before each character
+        bounds = np.cumsum([0, *(len(text) + 1 for text in texts)])
+        bounds = begun[np.minimum(bounds, len(data))]
+        data, cuts = data[inside], np.flatnonzero(new[inside])
+        cuts = np.append(cuts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        codes, (_, places, spelled) = coded.indices.to_numpy(), coded.dictionary.buffers()
+        spelled, places = spelled.to_pybytes() if spelled else b"", np.frombuffer(places, np.int32)[: len(coded.dictionary) + 1].tolist()
+        keys = [spelled[low:up] for low, up in zip(places, places[1:], strict=False)]
+        raws = list(map(self._words.filled(set(keys)).__getitem__, keys))
+        ids = np.frombuffer(b"".join(raws), "<u4")
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        out = np.empty(ends[-1], "<u4")
+        for low in range(0, len(codes), _DEALT):
+            at = codes[low : low + _DEALT]
+            first, last = ends[low], ends[low + len(at)]
+            out[first:last] = ids[np.repeat(starts[at] - ends[low : low + len(at)], sizes[at]) + np.arange(first, last)]
+        bounds = ends[bounds].tolist()
+        return [out[low:up].tobytes() for low, up in zip(bounds, bounds[1:], strict=False)]
+
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
     @staticmethod
     def _is_plain(text: str) -> bool:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return not _ODD.search(text)
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not any(odd in text for odd in _ODD)
 
     def _whole(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids

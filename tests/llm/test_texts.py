@@ -69,6 +69,25 @@ def test_words_as_the_tokenizer(text):
     assert np.frombuffer(words.encode(text), "<u4").tolist() == words._tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("'strvemldxa é19.\xa0\n\x85²"), max_size=40))
+def test_words_as_the_split_pattern(text):
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+"
+    inside, new = packing.word_starts(np.frombuffer(text.encode("latin-1"), np.uint8))
+    words = []
+    for char, within, first in zip(text, inside, new, strict=True):
+        if within:
+            words.append(char) if first else words.append(words.pop() + char)
+    assert words == re.findall(pattern, text)
+
+
+def test_a_word_is_kept_once_whatever_stands_beside_it():
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["qzxv, qzxv. qzxv's", "(qzxv) qzxv", ""]
+    assert list(tokens.encode_all(texts)) == [tokens._whole(t) for t in texts]
+    assert sum(len(t.now) for t in vars(tokens).values() if isinstance(t, packing.Recent)) == 6
+
+
 def test_pieces_as_the_tokenizer(spark):
     """Starts, lengths and digests of the pieces, and sequences without gaps."""
     from tokenizers import Tokenizer
