@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -26,6 +27,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: both allocators keep it otherwise, and a worker serves many operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a task, which gives back at its end what it freed."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def kept(name: str, key: object, make: Callable[[], object]) -> object:
     """What ``make`` gives, made once in a Python process for the last name and key.
 
@@ -37,6 +55,7 @@ def kept(name: str, key: object, make: Callable[[], object]) -> object:
         if store:
             store.clear()
             gc.collect()
+            give_back()
         store[name] = (key, make())
     return store[name][1]
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, mix, pieces, written
+from .common import kept, mix, pieces, tidy, written
 
 _U = np.uint64
 SIZES = (1, 2, 3, 4, 5)
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, sample: int = 1500, min_share: float = 2e-6, distin
                     [pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))],
                     ["lang", "gram", "n"])
 
-    counts = drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.select("lang", "text").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
     totals = written(counts.groupBy("lang").agg(F.sum("n").alias("every")), "totals")  # one row a language
     counts = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("every"))
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: MaskFilter, keep: list[str], names: tuple[st
 
     own = rows.schema["row"].dataType.fields
     schema = T.StructType([*own, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def told(docs: DataFrame, model: MaskFilter, floor: float = 0.3, margin: float = 0.15) -> DataFrame:
@@ -198,7 +198,7 @@ def told(docs: DataFrame, model: MaskFilter, floor: float = 0.3, margin: float =
                 keep.append(bool(rates[0] >= floor and rates[0] - (rates[1] if len(rates) > 1 else 0.0) >= margin))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out() -> Column:

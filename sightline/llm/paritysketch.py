@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    SLOTS, documents, has_bit, join_rows, linked_groups, mark, mix, partitions, pieces, raw_texts, slot_bits, touched, window_hashes, word_hashes, written,
+    SLOTS, documents, has_bit, join_rows, linked_groups, mark, mix, partitions, pieces, raw_texts, slot_bits, tidy, touched, window_hashes, word_hashes, written,
 )
 
 _U = np.uint64
@@ -139,7 +139,7 @@ def sketched(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 ["doc_id", "mark", "n", "class", "bits", "words"])
 
     rows = docs.select("doc_id", "text", mark().alias("mark"))
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, class long, bits binary, words array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, n long, class long, bits binary, words array<long>")
 
 
 def within(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -148,12 +148,12 @@ def within(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
         pairs = pairs.join(classes.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ends = (batch[c].to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))
             keep = [int(_distances([x, y])[0]) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(*ends, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _folded(bits: list[bytes]) -> np.ndarray:
@@ -193,7 +193,7 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, nu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for raw_a, raw_b in zip(raw_texts(batch["text_a"]), raw_texts(batch["text_b"]), strict=True):
                 if raw_a != last:
@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, nu
                 keep.append(den * both >= num * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return found.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def unsettled(shared: DataFrame, classes: DataFrame, components: DataFrame, num: int, den: int, every: bool) -> DataFrame:
@@ -251,7 +251,7 @@ def unsettled(shared: DataFrame, classes: DataFrame, components: DataFrame, num:
             found = compare(of) if len(of) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for row in zip(*(batch[c].to_pylist() for c in ("word", "i", "j", "own", "class", "n", "bits", "component")), strict=True):
                 if group and row[:3] != group[0][:3]:
                     yield pairs(group)
@@ -260,7 +260,7 @@ def unsettled(shared: DataFrame, classes: DataFrame, components: DataFrame, num:
         if group:
             yield pairs(group)
 
-    return rows.select("word", "i", "j", "own", "class", "n", "bits", "component").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("word", "i", "j", "own", "class", "n", "bits", "component").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def shared_words(rows: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_rows, mark, mix, raw_texts, spans_hashes, touched, window_hashes, word_bounds, word_hashes, written
+from .common import documents, join_rows, mark, mix, raw_texts, spans_hashes, tidy, touched, window_hashes, word_bounds, word_hashes, written
 
 _U = np.uint64
 SIZE, SEED = 35, 8
@@ -110,7 +110,7 @@ def seeded(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 ["doc_id", "mark", "n", "sha", "runs"])
 
     rows = docs.select("doc_id", "text", mark().alias("mark"))
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, sha string, runs array<struct<first:int,last:int,anchor:long,whole:long>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, n long, sha string, runs array<struct<first:int,last:int,anchor:long,whole:long>>")
 
 
 def placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def repeated(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataF
             yield flushed()
 
     single = placed_texts(docs, written(ends, "ends"))
-    single = written(single.mapInArrow(windows, "window long, doc_id long, mark long, first int"), "windows")
+    single = written(single.mapInArrow(tidy(windows), "window long, doc_id long, mark long, first int"), "windows")
     twice = written(single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "twice")
     alone = single.join(twice, "window").select("doc_id", "mark", "first", F.col("first").alias("last"))
     both = judged.where("full").select("doc_id", "mark", "first", "last").unionByName(alone)
@@ -200,7 +200,7 @@ def trimmed(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(removed, pa.int64()), pa.array(shas, pa.string())],
                                              ["doc_id", "mark", "removed", "kept"])
 
-    parts = placed_texts(docs, spans).select("doc_id", "mark", "text", "spans").mapInArrow(run, "doc_id long, mark long, removed long, kept string")
+    parts = placed_texts(docs, spans).select("doc_id", "mark", "text", "spans").mapInArrow(tidy(run), "doc_id long, mark long, removed long, kept string")
     out = join_rows(rows, parts, "left")
     whole = F.lit(digest([]))
     return out.select(
@@ -235,7 +235,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> Data
                 kept.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else fields[c] for c in names], names)
 
-    cut = part.select("row", "spans").mapInArrow(run, docs.schema).where(F.col("text").isNull() | (F.col("text") != ""))
+    cut = part.select("row", "spans").mapInArrow(tidy(run), docs.schema).where(F.col("text").isNull() | (F.col("text") != ""))
     both = cut.unionByName(rest)
     return both.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else both
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -35,6 +37,48 @@ def _groups(texts, size, num, den):
     return [len(s) for s in sets], group
 
 
+WORKER = """
+import ctypes
+import re
+import numpy as np
+import pyarrow as pa
+from sightline.llm import paritysketch
+
+class Frame:
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+class Name:
+    def alias(self, name):
+        return self
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+paritysketch.mark = Name
+rng = np.random.default_rng(5)
+texts = [rng.integers(0, 1 << 40, 40_000 if i % 250 == 0 else 600).tobytes().hex(" ", 4)[:300_000 if i % 250 == 0 else 4_000] for i in range(2_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(texts), pa.array(range(2_000))], ["doc_id", "text", "mark"])
+del texts
+run = paritysketch.sketched(Frame(), 5, 80, 100)
+sets = sum(out.num_rows for task in range(3) for out in run(iter([batch])))
+after = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(sets, after - held())
+"""
+
+
+def test_worker_keeps_nothing_of_a_task():
+    """A worker serves many tasks; freed memory of the sketches stayed with it."""
+    out = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, check=True, timeout=120).stdout
+    sets, unused = map(int, out.split())
+    assert sets == 6_000
+    assert unused < 6
+
+
 @pytest.mark.parametrize(("size", "num", "den"), [(3, 90, 100), (5, 80, 100)])
 def test_groups_by_brute_force(spark, size, num, den):
     rng = np.random.default_rng(4)
