@@ -11,6 +11,12 @@ number is the winner and equal numbers mean equal samples. Weights come from the
 text, in which equal words are one run. The next document is found inside blocks of 256 ids and
 over blocks of blocks, so no task orders all rows; texts are shuffled once.
 
+Most draws need no logarithm. The smallest a of a text of n words is exponentially distributed with
+rate n, so it is below ``ENOUGH`` / n but for one sample in e^16, and a draw whose lower bound (a few
+products, see ``_below``) lies above that cannot win. A sample whose winner is not below is not taken
+from what is left: the texts that have one, about one in 100,000, are drawn again without a bound,
+read with their neighbours only. So the samples are those of all draws, whatever the bound.
+
 Edge cases: a null text is empty; a text without words has an empty fingerprint, like any other such
 text and unlike all others; ids need not be dense; null ids come first; of repeated ids the one
 with the smaller text comes first, and equal rows follow each other; a table of one row is its own
@@ -22,11 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import SLOTS, documents, written
 
 SAMPLES = 64
+ENOUGH = 16.0
 _AT_ONCE = 4
 _BLOCK, _REGION = 8, 12  # bits
+_KEYS = ["block", "nth"]
 
 
 def terms(text: Column) -> Column:
@@ -39,18 +47,38 @@ def _unit(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
+def _draws(word: Column, number: Column) -> tuple[Column, Column, Column]:
+    """e^-r, e^-c and b."""
+    one, two = F.xxhash64(word, number), F.xxhash64(word, number, F.lit(1))
+    return _unit(one, 0) * _unit(one, 21), _unit(one, 42) * _unit(two, 0), _unit(two, 21)
+
+
+def _below(word: Column, log_weight: Column, number: Column, most: Column) -> Column:
+    """Whether the term may draw an a of at most ``most`` over its weight; false only where it does not.
+
+    With p = e^-r, v = e^-c and f the part of ln w / r + b that floor cuts off, a * w is c * p^(1 - f). There c is at
+    least 2 * (1 - v) / (1 + v), and the power at least the harmonic mean p / (1 - f + f * p). A weight of 1 has f = b,
+    others are taken with the least, f = 0.
+    """
+    p, v, b = _draws(word, number)
+    f = F.when(log_weight == 0, b).otherwise(F.lit(0.0))
+    return F.lit(2.0) * (F.lit(1.0) - v) * p <= most * (F.lit(1.0) + v) * (F.lit(1.0) - f + f * p)
+
+
 def sample(word: Column, log_weight: Column, number: Column) -> Column:
     """What the term draws for one sample, as a number whose minimum over terms is the sample."""
-    one, two = F.xxhash64(word, number), F.xxhash64(word, number, F.lit(1))
-    r = -F.log(_unit(one, 0) * _unit(one, 21))
-    c = -F.log(_unit(one, 42) * _unit(two, 0))
-    b = _unit(two, 21)
+    p, v, b = _draws(word, number)
+    r, c = -F.log(p), -F.log(v)
     t = F.floor(log_weight / r + b)
     log_a = F.log(c) - r * (t - b) - r
     high = F.shiftleft(F.floor((F.greatest(log_a, F.lit(-63.0)) + 64.0) * float(1 << 24)).cast("long"), 32)
     return high.bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _block() -> Column:
+    return F.coalesce(F.shiftright(F.col("doc_id").cast("long"), _BLOCK), F.lit(-(1 << 56)))
+
+
 def _after(blocks: DataFrame) -> DataFrame:
     """(block, next): the next block that holds rows; after the last one the first."""
     inside = Window.partitionBy("region").orderBy("block")
@@ -65,7 +93,7 @@ def _after(blocks: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows in order of doc_id with the text of the next: block, nth, text, following, next_block, next_nth."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.shiftright("doc_id", _BLOCK), F.lit(-(1 << 56))))
+    rows = rows.withColumn("block", _block())
     w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     ordered = rows.withColumn("nth", F.row_number().over(w)).withColumn("near", F.lead("text").over(w))
     heads = rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(F.col("block").alias("next"), F.col("text").alias("head"))
@@ -85,29 +113,87 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - cut), F.left(following, cut))
 
 
-def signatures(rows: DataFrame, keys: list[str], samples: int) -> DataFrame:
-    """(keys, own, changed): the samples of ``text`` and ``edited`` of every row, as lists in order.
+def drawn(rows: DataFrame, keys: list[str], samples: int, enough: float) -> DataFrame:
+    """(keys, kind, own_below, changed_below, n, s): what terms draw for sample n, without draws that cannot count.
 
-    What a term with its weight draws is drawn once for both texts. No row where neither has a word.
+    The kind is 0 for terms with the same weight in ``text`` and ``edited``, 1 for those of ``text``, 2 for those of
+    ``edited``. A draw may be the sample of a text if s is less than the bound for it. Sample 0 keeps all draws, so every
+    row with a word is among the result.
     """
-    # The generator keeps the terms from being computed for every use.
+    # The generators keep lists from being computed for every use.
     both = rows.select(*keys, F.explode(F.array(F.struct(terms(F.col("text")).alias("x"), terms(F.col("edited")).alias("y")))).alias("t"))
     x, y = F.col("t.x"), F.col("t.y")
-    parts = [(F.array_intersect(x, y), 0), (F.array_except(x, y), 1), (F.array_except(y, x), 2)]
 
-    def tag(of: Column, kind: int) -> Column:
-        return F.transform(of, lambda r: F.struct(r.alias("run"), F.lit(kind).alias("kind")))
-
-    tagged = [tag(of, kind) for of, kind in parts]
-    runs = both.select(*keys, F.explode(F.concat(*tagged)).alias("r")).select(*keys, "r.run", "r.kind")
-    runs = runs.withColumn("word", F.substring_index("run", " ", 1))
-    weighed = runs.select(*keys, "kind", F.xxhash64("word").alias("word"), F.log(F.length("run") / (F.length("word") + 1)).alias("log_weight"))
-    groups = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // _AT_ONCE - 1))).alias("g"))
-    drawn = groups.select(*keys, "kind", "g", *(sample(F.col("word"), F.col("log_weight"), F.col("g") * _AT_ONCE + i).alias(f"s{i}") for i in range(_AT_ONCE)))
+    def likely(runs: Column) -> Column:
+        text = F.array_join(runs, "")
+        return F.lit(enough) / F.greatest(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))), F.lit(1))
+
+    parts = F.struct(F.array_intersect(x, y).alias("shared"), F.array_except(x, y).alias("own"), F.array_except(y, x).alias("changed"),
+                     likely(x).alias("in_own"), likely(y).alias("in_changed"))
+    parted = both.select(*keys, F.explode(F.array(parts)).alias("p"))
+
+    def limit(most: Column) -> Column:
+        return F.shiftleft(F.floor((F.least(F.log(most), F.lit(63.0)) + 64.0) * float(1 << 24)).cast("long"), 32)
+
+    sized = parted.select(*keys, F.size("p.shared").alias("n_shared"), F.size("p.own").alias("n_own"), "p.in_own", "p.in_changed",
+                          limit(F.col("p.in_own")).alias("own_below"), limit(F.col("p.in_changed")).alias("changed_below"),
+                          F.posexplode(F.concat("p.shared", "p.own", "p.changed")).alias("at", "run"))
+    kind = F.when(F.col("at") < F.col("n_shared"), 0).when(F.col("at") < F.col("n_shared") + F.col("n_own"), 1).otherwise(2)
+    runs = sized.withColumns({"kind": kind, "word": F.substring_index("run", " ", 1)})
+    runs = runs.withColumn("weight", F.length("run") / (F.length("word") + 1))
+    most = F.when(F.col("kind") == 0, F.greatest("in_own", "in_changed")).when(F.col("kind") == 1, F.col("in_own")).otherwise(F.col("in_changed"))
+    weighed = runs.select(*keys, "kind", "own_below", "changed_below", F.xxhash64("word").alias("word"),
+                          F.when(F.col("weight") == 1, F.lit(0.0)).otherwise(F.log("weight")).alias("log_weight"),
+                          (most * F.col("weight") * (1 + 1e-6)).alias("most"))  # more than what rounding may take
+    draws = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // _AT_ONCE * _AT_ONCE - 1))).alias("n"))
+    draw = F.col("word"), F.col("log_weight"), F.col("n")
+    draws = draws.where(_below(*draw, F.col("most")) | (F.col("n") == 0))
+    return draws.select(*keys, "kind", "own_below", "changed_below", "n", sample(*draw).alias("s"))
+
+
+def signatures(rows: DataFrame, keys: list[str], samples: int, enough: float = float("inf")) -> DataFrame:
+    """(keys, own, changed, open): the samples of ``text`` and ``edited`` of every row, as lists in order.
+
+    What a term with its weight draws is drawn once for both texts. No row where neither has a word. The lists of an
+    open row, of which there are none without ``enough``, lack samples.
+    """
+    draws = drawn(rows, keys, samples, enough)
     names = {"own": 2, "changed": 1}  # the kind of terms that the text lacks
-    least = drawn.groupBy(*keys, "g").agg(*(F.min(F.when(F.col("kind") != lacks, F.col(f"s{i}"))).alias(f"{n}{i}") for n, lacks in names.items() for i in range(_AT_ONCE)))
+
+    def least(name: str, lacks: int, i: int) -> Column:
+        fits = (F.col("n") % _AT_ONCE == i) & (F.col("kind") != lacks) & (F.col("s") < F.col(f"{name}_below"))
+        return F.min(F.when(fits, F.col("s"))).alias(f"{name}{i}")
+
+    few = draws.groupBy(*keys, F.shiftright("n", _AT_ONCE.bit_length() - 1).alias("g")).agg(
+        *(least(n, lacks, i) for n, lacks in names.items() for i in range(_AT_ONCE)), *(F.max(F.col("kind") != lacks).alias(f"has_{n}") for n, lacks in names.items()))
     flat = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", F.array(*(F.col(f"{n}{i}") for i in range(_AT_ONCE))).alias("s")))), lambda part: part["s"])) for n in names]
-    return least.groupBy(*keys).agg(*(F.filter(f, lambda v: v.isNotNull()).alias(n) for f, n in zip(flat, names, strict=True)))
+    found = few.groupBy(*keys).agg(*(F.filter(f, lambda v: v.isNotNull()).alias(n) for f, n in zip(flat, names, strict=True)),
+                                   *(F.max(f"has_{n}").alias(f"has_{n}") for n in names))
+    lacking = [F.col(f"has_{n}") & (F.size(n) < samples // _AT_ONCE * _AT_ONCE) for n in names]
+    return found.select(*keys, *names, (lacking[0] | lacking[1]).alias("open"))
+
+
+def _around(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of the blocks and of the blocks after them, found by hash: others may be among them, but no part of a block."""
+    def slot(block: Column) -> Column:
+        return F.pmod(F.xxhash64(block), F.lit(SLOTS)).cast("int").alias("slot")
+
+    after = _after(docs.select(_block().alias("block")).distinct()).join(blocks, "block", "left_semi")
+    occupied = blocks.select(slot(F.col("block"))).union(after.select(slot(F.col("next")))).distinct()
+    return docs.withColumn("slot", slot(_block())).join(F.broadcast(occupied), "slot", "left_semi").drop("slot")
+
+
+def settled(docs: DataFrame, samples: int, enough: float) -> DataFrame:
+    """(block, nth, own, changed): the samples of all texts that have words, whatever is ``enough``."""
+    def texts(some: DataFrame) -> DataFrame:
+        return with_next(some).select(*_KEYS, "text", edited(F.col("text"), F.col("following")).alias("edited"))
+
+    found = written(signatures(texts(docs), _KEYS, samples, enough), "signatures")
+    again = found.where("open").select(*_KEYS)
+    if not again.isEmpty():
+        rest = texts(_around(docs, again.select("block").distinct())).join(again, _KEYS, "left_semi")
+        found = found.where("NOT open").unionByName(written(signatures(rest, _KEYS, samples), "signatures"))
+    return found.drop("open")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,12 +209,11 @@ def shown(signature: Column) -> Column:
 def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and the next."""
     rows = with_next(docs)
-    texts = rows.select("block", "nth", "text", edited(F.col("text"), F.col("following")).alias("edited"))
-    found = written(signatures(texts, ["block", "nth"], samples), "signatures")
+    found = settled(docs, samples, ENOUGH)
     none = F.array().cast("array<bigint>")
     facts = rows.select("doc_id", "block", "nth", "next_block", "next_nth", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(edited(F.col("text"), F.col("following")), 256).alias("edited_sha256"))
-    facts = facts.join(found, ["block", "nth"], "left")
+    facts = facts.join(found, _KEYS, "left")
     others = found.select(F.col("block").alias("next_block"), F.col("nth").alias("next_nth"), F.col("own").alias("next_own"))
     out = facts.join(others, ["next_block", "next_nth"], "left")
     own, changed, after = (F.coalesce(c, none) for c in ("own", "changed", "next_own"))

@@ -4,7 +4,7 @@ import hashlib
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -446,6 +446,39 @@ def test_fingerprint_error_at_the_production_number(spark):
     assert deviation < 0.07 and abs(bias) < 0.02
 
 
+def test_fingerprints_need_few_draws(spark):
+    texts = [" ".join(prose(900 + i, 150) + prose(900, 60)) for i in range(40)] + ["One", " \t\n", "a a A b"]
+    rows = spark.createDataFrame([(i, t, t[: len(t) // 2] + texts[i - 1][:200]) for i, t in enumerate(texts)], "doc_id long, text string, edited string")
+    counts = [(i, side, word, n) for i, r in enumerate(rows.collect()) for side in ("text", "edited") for word, n in Counter(r[side].lower().split()).items()]
+    every = spark.createDataFrame(counts, "doc_id long, side string, word string, n int").crossJoin(spark.range(64).selectExpr("cast(id as int) AS i"))
+    plain = every.groupBy("doc_id", "side", "i").agg(F.min(cwsample.sample(F.xxhash64("word"), F.log("n"), F.col("i"))).alias("s"))
+    expected = defaultdict(dict)
+    for r in plain.collect():
+        expected[r.doc_id, r.side][r.i] = r.s
+    for enough in (0.5, 5.0, cwsample.ENOUGH, float("inf")):
+        found = cwsample.signatures(rows, ["doc_id"], 64, enough).collect()
+        assert {r.doc_id for r in found} == {i for i, _ in expected}
+        for r in found:
+            same = all(own == [s for _, s in sorted(expected[r.doc_id, side].items())] for own, side in ((r.own, "text"), (r.changed, "edited")))
+            assert same != r.open
+        assert any(r.open for r in found) == (enough < 6)
+    made = cwsample.drawn(rows, ["doc_id"], 64, cwsample.ENOUGH).count()
+    assert made < 0.4 * cwsample.drawn(rows, ["doc_id"], 64, float("inf")).count()
+
+
+def test_fingerprints_of_rows_drawn_again(spark, monkeypatch):
+    ids = [i * i * 37 for i in range(60)] + [None, None, 37, 1 << 40]
+    rows = spark.createDataFrame([(d, " ".join(prose(1200 + i, 30 + i)) if i % 9 else None) for i, d in enumerate(ids)], "doc_id long, text string")
+
+    def found(enough):
+        monkeypatch.setattr(cwsample, "ENOUGH", enough)
+        return sorted(cwsample.compared(rows).collect(), key=str)
+
+    every = found(float("inf"))
+    assert len(every) == len(ids) and {len(r.fingerprint) for r in every} == {0, 1024}
+    assert found(5.0) == every and found(0.5) == every
+
+
 def test_next_document_over_blocks(spark):
     ids = [0, 255, 256, 5000, 1 << 20, (1 << 20) + 3, 1 << 40, -9]
     rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
