@@ -174,26 +174,27 @@ def signatures(rows: DataFrame, keys: list[str], samples: int, enough: float = f
 
 
 def _around(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows of the blocks and of the blocks after them, found by hash: others may be among them, but no part of a block."""
+    """Rows in the blocks, found by hash: those of other blocks may be among them, but no part of a block."""
     def slot(block: Column) -> Column:
         return F.pmod(F.xxhash64(block), F.lit(SLOTS)).cast("int").alias("slot")
 
-    after = _after(docs.select(_block().alias("block")).distinct()).join(blocks, "block", "left_semi")
-    occupied = blocks.select(slot(F.col("block"))).union(after.select(slot(F.col("next")))).distinct()
-    return docs.withColumn("slot", slot(_block())).join(F.broadcast(occupied), "slot", "left_semi").drop("slot")
+    occupied = F.broadcast(blocks.select(slot(F.col("block"))).distinct())
+    return docs.withColumn("slot", slot(_block())).join(occupied, "slot", "left_semi").drop("slot")
 
 
 def settled(docs: DataFrame, samples: int, enough: float) -> DataFrame:
     """(block, nth, own, changed): the samples of all texts that have words, whatever is ``enough``."""
     def texts(some: DataFrame) -> DataFrame:
-        return with_next(some).select(*_KEYS, "text", edited(F.col("text"), F.col("following")).alias("edited"))
+        return with_next(some).select(*_KEYS, "next_block", "text", edited(F.col("text"), F.col("following")).alias("edited"))
 
-    found = written(signatures(texts(docs), _KEYS, samples, enough), "signatures")
-    again = found.where("open").select(*_KEYS)
+    found = written(signatures(texts(docs), [*_KEYS, "next_block"], samples, enough), "signatures")
+    again = found.where("open")
     if not again.isEmpty():
-        rest = texts(_around(docs, again.select("block").distinct())).join(again, _KEYS, "left_semi")
-        found = found.where("NOT open").unionByName(written(signatures(rest, _KEYS, samples), "signatures"))
-    return found.drop("open")
+        # A block and the one after it are all that the edited texts of a block need.
+        blocks = again.select("block").union(again.select("next_block"))
+        rest = texts(_around(docs, blocks)).join(again.select(*_KEYS), _KEYS, "left_semi")
+        found = found.where("NOT open").unionByName(written(signatures(rest, [*_KEYS, "next_block"], samples), "signatures"))
+    return found.select(*_KEYS, "own", "changed")
 
 
 def likeness(a: Column, b: Column) -> Column:
