@@ -8,12 +8,16 @@ point in different directions, some of them far. Edges back are pruned likewise
 and nodes that this cuts off get an edge from the nearest node that can be reached.
 
 Inner products become distances by one more coordinate that gives all vectors of a shard the same length.
+A node has room for half as many edges again while the graph grows, and is pruned when that is full.
 
 Equal vectors of a shard are one node with the list of their ids, so a vector that a third of the rows
 share is no crowd that the search can be lost in, and ties are settled exactly within it.
 
 A search sends every query to every shard, walks the graph with a beam for many queries at once, and the
-best of all shards are merged. How wide the beam must be depends on the data, so it is measured: on some
+best of all shards are merged. A step of a walk looks at the links of several of the best nodes of the beam, and ends
+like a walk node by node when all of the beam are looked at. A beam is a row of integers, product and node in one.
+Walks compare in single precision; what may be among the best is compared again.
+How wide the beam must be depends on the data, so it is measured: on some
 vectors of the shard the beam is doubled, from ``beam`` on, until it finds the share ``recall`` of what
 comparing all finds. Shards hold up to ``shard_bytes``, and queries meet a shard in blocks, so the memory of
 a task is bounded; the number of shards is ``shards`` until they would be larger.
@@ -42,6 +46,7 @@ from ..shared import written
 SHARDS, SHARD_BYTES, BLOCK = 16, 1 << 25, 50_000
 DEGREE, WIDTH, RELAX, BEAM, RECALL = 28, 48, 1.2, 64, 0.96
 BATCH, CELLS, TRIED = 256, 1 << 22, 64
+STEP, NONE = 1 << 15, np.iinfo(np.int64).min
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -51,109 +56,182 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, np.sqrt(np.maximum(most - norms, 0))[:, None]]) / np.sqrt(most)
 
 
-def walked(points: np.ndarray, links: np.ndarray, entries: np.ndarray, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy beam search of several queries at once from the entries: (nodes in the beam, nodes visited), -1 where there are fewer."""
-    n = len(queries)
-    nodes = np.full((n, width), -1, np.int64)
-    scores = np.full((n, width), -np.inf)
-    fresh = np.zeros((n, width), bool)
+def coded(scores: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Score and node as one integer that sorts by the score; its last bit says that the node is not looked at yet."""
+    bits = np.ascontiguousarray(scores, np.float32).view(np.int32)
+    return ((bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) << 32) | (nodes.astype(np.int64) << 1) | 1
+
+
+def decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, score) of the codes; -1 and minus infinity for ``NONE``."""
+    bits = (codes >> 32).astype(np.int32)
+    scores = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).view(np.float32)
+    return np.where(codes > NONE, (codes & 0xFFFFFFFF) >> 1, -1), np.where(codes > NONE, scores, np.float32(-np.inf))
+
+
+def _products(points: np.ndarray, queries: np.ndarray, nodes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Products of each query with its nodes; ``more`` says how many of ``nodes`` are of each query in turn."""
+    out, near = np.empty(len(nodes), points.dtype), np.empty((int(more.max(initial=0)), points.shape[1]), points.dtype)
+    up = 0
+    for query, n in zip(queries, more.tolist(), strict=True):
+        low, up = up, up + n
+        np.dot(points.take(nodes[low:up], axis=0, out=near[:n], mode="clip"), query, out=out[low:up])
+    return out
+
+
+def walked(points: np.ndarray, links: np.ndarray, entries: np.ndarray, queries: np.ndarray, width: int, less: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy beam search of several queries at once from the entries: (nodes in the beam, their products minus ``less``, nodes visited), -1 where there are fewer."""
+    n, size, degree = len(queries), len(points), links.shape[1]
+    at_once = max(1, min(width // 8, 8 + width // 32, 1024))
+    most = max(16, STEP // (at_once * degree))
+    if n > most:
+        parts = [walked(points, links, entries, queries[i : i + most], width, less) for i in range(0, n, most)]
+        steps = max(p[2].shape[1] for p in parts)
+        path = [np.pad(p[2], ((0, 0), (0, steps - p[2].shape[1])), constant_values=-1) for p in parts]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(path)
     entries = entries[:width]
-    begun = slice(0, len(entries))
-    nodes[:, begun], scores[:, begun], fresh[:, begun] = entries, queries @ points[entries].T, True
-    seen = np.zeros((n, len(points)), bool)
-    seen[:, entries] = True
-    path = []
-    rows = np.arange(n)
-    while len(rows):
-        best = np.where(fresh[rows], scores[rows], -np.inf)
-        pick = best.argmax(axis=1)
-        live = best[np.arange(len(rows)), pick] > -np.inf
-        rows, pick = rows[live], pick[live]
-        if not len(rows):
+    beam = np.full((n, width), NONE)
+    beam[:, : len(entries)] = coded(queries @ points[entries].T - less, entries)
+    seen = np.zeros((n, size), np.int16 if at_once * degree < 1 << 15 else np.int32)  # not 0: where in a step the node was met
+    seen[:, entries] = 1
+    seen = seen.ravel()
+    ended, path, rows = beam.copy(), [], np.arange(n)
+    while True:
+        fresh = np.where(beam & 1, beam, NONE)
+        live = fresh.max(axis=1) > NONE
+        if live.sum() <= 0.9 * len(rows):
+            ended[rows[~live]] = beam[~live]
+            rows, beam, fresh = rows[live], beam[live], fresh[live]
+        m = len(rows)
+        if not m:
             break
-        fresh[rows, pick] = False
-        now = nodes[rows, pick]
-        visited = np.full(n, -1, np.int64)
+        pick = np.partition(fresh, width - at_once, axis=1)[:, width - at_once :]
+        beam -= (beam & 1) * (beam >= pick.min(axis=1)[:, None])
+        now = decoded(pick)[0]
+        visited = np.full((n, at_once), -1, np.int32)
         visited[rows] = now
         path.append(visited)
-        near = links[now]
-        new = (near >= 0) & ~seen[rows[:, None], near]
-        r, k = np.nonzero(new)
-        seen[rows[r], near[r, k]] = True
-        found = np.full(near.shape, -np.inf)
-        found[r, k] = np.einsum("ij,ij->i", points[near[r, k]], queries[rows[r]])
-        every = np.concatenate([scores[rows], found], axis=1)
-        keep = np.argpartition(-every, width - 1, axis=1)[:, :width]
-        scores[rows] = np.take_along_axis(every, keep, 1)
-        nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], np.where(new, near, -1)], axis=1), keep, 1)
-        fresh[rows] = np.take_along_axis(np.concatenate([fresh[rows], new], axis=1), keep, 1)
-    return np.where(scores > -np.inf, nodes, -1), np.stack(path, axis=1)
+        near = links.take(now, axis=0, mode="wrap")
+        near[now < 0] = -1
+        wide = at_once * degree
+        near = near.reshape(m, wide)
+        flat = ((rows * size)[:, None] + near).ravel()
+        near = near.ravel()
+        k = np.flatnonzero((near >= 0) & (seen.take(flat, mode="wrap") == 0))
+        flat, r = flat.take(k), k // wide
+        place = (k - r * wide + 1).astype(seen.dtype)
+        seen[flat] = place
+        first = seen.take(flat) == place  # a node that several links lead to counts once
+        r, found = r[first], near.take(k[first])
+        code = coded(_products(points, queries[rows], found, np.bincount(r, minlength=m)) - less, found)
+        good = code > beam.min(axis=1).take(r)
+        r, code = r[good], code[good]
+        more = np.bincount(r, minlength=m)
+        total = width + int(more.max())
+        every = np.full((m, total), NONE)
+        every[:, :width] = beam
+        every[r, width + np.arange(len(r)) - np.repeat(np.cumsum(more) - more, more)] = code
+        beam = np.partition(every, total - width, axis=1)[:, total - width :]
+    return *decoded(ended), np.concatenate(path, axis=1)
 
 
 def pruned(points: np.ndarray, own: np.ndarray, proposed: np.ndarray, degree: int, relax: float) -> np.ndarray:
     """Neighbours of the nodes ``own`` among the proposed ones (-1: none), at most ``degree`` each."""
+    wide = proposed.shape[1]
+    if len(own) > (step := max(1, CELLS // wide**2)):
+        return np.concatenate([pruned(points, own[i : i + step], proposed[i : i + step], degree, relax) for i in range(0, len(own), step)])
     near = points[proposed]
-    between = np.maximum(2 - 2 * near @ near.transpose(0, 2, 1), 0)
-    away = np.maximum(2 - 2 * np.einsum("ikj,ij->ik", near, points[own]), 0)
-    away[(proposed < 0) | (proposed == own[:, None])] = np.inf
-    out = np.full((len(own), degree), -1, np.int32)
-    rows = np.arange(len(own))
+    close = (near @ points[own][:, :, None])[:, :, 0]
+    close[(proposed < 0) | (proposed == own[:, None])] = -np.inf
+    if wide > (some := 2 * degree + 8):  # the nearest come first, so the others matter only where these do not suffice
+        pick = np.argpartition(-close, some - 1, axis=1)[:, :some]
+        out = _spread(np.take_along_axis(near, pick[:, :, None], 1), np.take_along_axis(close, pick, 1), np.take_along_axis(proposed, pick, 1), degree, relax)
+        again = (out[:, -1] < 0) & ((close > -np.inf).sum(axis=1) > some)
+        if again.any():
+            out[again] = _spread(near[again], close[again], proposed[again], degree, relax)
+        return out
+    return _spread(near, close, proposed, degree, relax)
+
+
+def _spread(near: np.ndarray, close: np.ndarray, proposed: np.ndarray, degree: int, relax: float) -> np.ndarray:
+    """The nearest of the proposed nodes (vectors ``near``, products ``close``), then the nearest that none of those hides, and so on."""
+    between = near @ near.transpose(0, 2, 1)
+    hides = 1 - (1 - close) / (relax * relax)  # a neighbour hides what is at least this close to it
+    out = np.full((len(proposed), degree), -1, np.int32)
+    rows = np.arange(len(proposed))
     for k in range(degree):
-        pick = away.argmin(axis=1)
-        live = away[rows, pick] < np.inf
+        pick = close.argmax(axis=1)
+        live = close[rows, pick] > -np.inf
         if not live.any():
             break
-        out[live, k] = proposed[rows, pick][live]
-        away[relax * relax * between[rows, pick] <= away] = np.inf
-        away[rows, pick] = np.inf
+        out[:, k] = np.where(live, proposed[rows, pick], -1)
+        np.copyto(close, -np.inf, where=between[rows, pick] >= hides)
+        close[rows, pick] = -np.inf
     return out
 
 
-def _linked_back(points: np.ndarray, links: np.ndarray, new: np.ndarray, relax: float) -> None:
-    """Add the edges back to the nodes ``new``; prune where a node has too many."""
-    degree = links.shape[1]
-    source = np.repeat(new, degree)
+def _linked_back(points: np.ndarray, links: np.ndarray, new: np.ndarray, degree: int, relax: float) -> None:
+    """Add the edges back to the nodes ``new``; prune to ``degree`` where a node has no room for them."""
+    room = links.shape[1]
+    source = np.repeat(new, room)
     target = links[new].ravel()
-    known = (target < 0) | (links[target] == source[:, None]).any(axis=1)
+    source, target = source[target >= 0], target[target >= 0]
+    known = (links[target] == source[:, None]).any(axis=1)
     source, target = source[~known], target[~known]
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     nodes, first, more = np.unique(target, return_index=True, return_counts=True)
     nth = np.arange(len(target)) - np.repeat(first, more)
     had = (links[nodes] >= 0).sum(axis=1)
-    fits = np.repeat(had + more <= degree, more)
-    links[target[fits], np.repeat(had, more)[fits] + nth[fits]] = source[fits]
-    full = np.flatnonzero(had + more > degree)
-    full = full[np.argsort(more[full])]
-    at = 0
-    while at < len(full):
-        wide = degree + int(more[full[at:]].max())
-        part = full[at : at + max(1, CELLS // wide**2)]
-        wide = degree + int(more[part].max())
-        proposed = np.full((len(part), wide), -1, np.int64)
-        proposed[:, :degree] = links[nodes[part]]
-        for i, k in enumerate(part):
-            proposed[i, degree : degree + more[k]] = source[first[k] : first[k] + more[k]]
-        links[nodes[part]] = pruned(points, nodes[part], proposed, degree, relax)
-        at += len(part)
+    column = np.repeat(had, more) + nth
+    fits = np.repeat(had + more <= room, more)
+    links[target[fits], column[fits]] = source[fits]
+    full = np.flatnonzero(had + more > room)
+    full = full[np.argsort(more[full], kind="stable")]
+    for at in range(0, len(full), BATCH):
+        part = full[at : at + BATCH]
+        place = np.full(len(nodes), -1)
+        place[part] = np.arange(len(part))
+        row = np.repeat(place, more)
+        proposed = np.full((len(part), room + int(more[part].max())), -1, np.int32)
+        proposed[:, :room] = links[nodes[part]]
+        proposed[row[row >= 0], column[row >= 0]] = source[row >= 0]
+        links[nodes[part], :degree] = pruned(points, nodes[part], proposed, degree, relax)
+        links[nodes[part], degree:] = -1
 
 
 def built(points: np.ndarray, degree: int = DEGREE, width: int = WIDTH, relax: float = RELAX) -> tuple[np.ndarray, int]:
     """Links of every node (-1 where there are fewer than ``degree``) and the node where searches enter."""
     n = len(points)
-    links = np.full((n, degree), -1, np.int32)
+    links = np.full((n, degree + degree // 2), -1, np.int32)
     entry = int((points @ points.mean(axis=0)).argmax())
     order = np.random.default_rng(n).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
+    rough = points if _crowded(points) else points.astype(np.float32)
     done = 1
     while done < n:
         new = order[done : done + min(done, BATCH)]
-        proposed = walked(points, links, np.array([entry]), points[new], width)[1]
+        proposed = walked(rough, links, np.array([entry]), rough[new], width, 1)[2]
         with_batch = np.concatenate([proposed, _nearest(points[new] @ points[new].T, new)], axis=1)
-        links[new] = pruned(points, new, with_batch, degree, relax)
-        _linked_back(points, links, new, relax)
+        links[new, :degree] = pruned(points, new, with_batch, degree, relax)
+        _linked_back(points, links, new, degree, relax)
         done += len(new)
-    return _connected(points, links, entry, width), entry
+    full = np.flatnonzero(links[:, degree:].max(axis=1, initial=-1) >= 0)
+    links[full, :degree] = pruned(points, full, links[full], degree, relax) if len(full) else -1
+    return _connected(rough, links[:, :degree].copy(), entry, width), entry
+
+
+def _tried(points: np.ndarray) -> np.ndarray:
+    """Some vectors spread over the shard."""
+    return points[np.linspace(0, len(points) - 1, min(TRIED, len(points))).astype(np.int64)]
+
+
+def _crowded(points: np.ndarray, among: int = 8) -> bool:
+    """Whether some vectors have neighbours so close that single precision tells them badly apart."""
+    if len(points) <= among:
+        return True
+    products = np.partition(_tried(points) @ points.T, -among - 1, axis=1)[:, -among - 1]
+    return bool(np.mean(1 - products < 2.0**-16) > 1 / 16)
 
 
 def _reached(links: np.ndarray, entry: int) -> np.ndarray:
@@ -175,9 +253,8 @@ def _connected(points: np.ndarray, links: np.ndarray, entry: int, width: int, ea
         sources = []
         for at in range(0, len(lost), BATCH):
             part = lost[at : at + BATCH]
-            found = walked(points, links, np.array([entry]), points[part], width)[0]
-            away = np.where(found >= 0, np.einsum("ikj,ij->ik", points[found], points[part]), -np.inf)
-            sources.append(found[np.arange(len(part)), away.argmax(axis=1)])
+            found, close, _ = walked(points, links, np.array([entry]), points[part], width, 1)
+            sources.append(found[np.arange(len(part)), close.argmax(axis=1)])
         source = np.concatenate(sources)
         order = np.argsort(source, kind="stable")
         source, lost = source[order], lost[order]
@@ -215,7 +292,7 @@ def entries_of(vectors: np.ndarray, entry: int, most: int = DEGREE) -> np.ndarra
 
 def measured_beam(points: np.ndarray, links: np.ndarray, entries: np.ndarray, k: int, beam: int, recall: float) -> int:
     """The beam, doubled from ``beam`` on, that finds enough of the ``k`` best for vectors spread over the shard."""
-    queries = points[np.linspace(0, len(points) - 1, min(TRIED, len(points))).astype(np.int64)]
+    queries = _tried(points)
     k = min(k, len(points))
     best = np.argpartition(-(queries @ points.T), k - 1, axis=1)[:, :k]
     while beam < len(points):
@@ -226,6 +303,11 @@ def measured_beam(points: np.ndarray, links: np.ndarray, entries: np.ndarray, k:
     return beam
 
 
+def single(vectors: np.ndarray, by: np.ndarray | float) -> np.ndarray:
+    """Vectors in single precision, divided by ``by`` so that they fit; that changes no order of products."""
+    return np.ascontiguousarray(vectors / by, np.float32)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -313,7 +395,7 @@ def searched(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
         graph: list = []
 
         def loaded(dim: int) -> list:
-            """Vectors, links, entries and beam, and the ids of every node with where they begin."""
+            """Vectors, the same in single precision, links, entries and beam, and the ids of every node with where they begin."""
             table = pa.Table.from_batches(held).combine_chunks()
             vectors = _matrix(table["vector"].combine_chunks(), dim)
             near = table["links"].combine_chunks()
@@ -323,23 +405,29 @@ def searched(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
             own = table["ids"].combine_chunks()
             entries = entries_of(vectors, table["entry"][0].as_py())
             starts = np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
-            return [vectors, links, entries, measured_beam(vectors, links, entries, k, beam, recall), own.flatten().to_numpy(), starts]
+            points = single(vectors, np.abs(vectors).max())
+            return [vectors, points, links, entries, measured_beam(points, links, entries, k, beam, recall), own.flatten().to_numpy(), starts]
 
         def answer(ids: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
-            vectors, links, entries, wide, own, starts = graph
-            found = walked(vectors, links, entries, asked, wide)[0]
-            scores = np.where(found >= 0, scored(asked, vectors[found]), -np.inf)
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for query, nodes, values in zip(ids, found, scores, strict=True):
-                nodes, values = nodes[nodes >= 0], values[nodes >= 0]
-                times = np.minimum(starts[nodes + 1] - starts[nodes], k + 1)
-                firsts = np.repeat(starts[nodes], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                members, products = own[firsts], np.repeat(values, times)
-                products, members = products[members != query], members[members != query]
-                best = np.lexsort((members, -products))[:k]
-                out.append((np.full(len(best), query), members[best], products[best]))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            vectors, points, links, entries, wide, own, starts = graph
+            rough = single(asked, np.abs(asked).max(axis=1, keepdims=True))
+            found, close, _ = walked(points, links, entries, rough, wide)
+            least = np.full(len(ids), -np.inf)
+            if wide > k + 1:  # one more than asked, as the query may be a node; less by what rounding can do
+                most = np.sqrt(np.einsum("ij,ij->i", rough, rough) * np.einsum("ij,ij->i", points, points).max())
+                least = np.partition(close, wide - k - 1, axis=1)[:, wide - k - 1] - most * rough.shape[1] * 2.0**-22
+            r, column = np.nonzero((found >= 0) & (close >= least[:, None]))
+            nodes = found[r, column]
+            values = scored(asked[r], vectors[nodes][:, None])[:, 0]
+            times = np.minimum(starts[nodes + 1] - starts[nodes], k + 1)
+            firsts = np.repeat(starts[nodes], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            members, products, r = own[firsts], np.repeat(values, times), np.repeat(r, times)
+            other = members != ids[r]
+            members, products, r = members[other], products[other], r[other]
+            order = np.lexsort((members, -products, r))
+            counts = np.bincount(r, minlength=len(ids))
+            best = order[np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts) < k]
+            return pa.RecordBatch.from_arrays([pa.array(ids[r[best]], pa.int64()), pa.array(members[best], pa.int64()), pa.array(products[best], pa.float64())], ["query_id", "vec_id", "score"])
 
         names = ["dim", "kind", "id", "vector", "ids", "links", "entry"]
         at = None
@@ -363,8 +451,9 @@ def searched(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM
                     graph = loaded(dim)
                     held.clear()
                 ids, asked = part["id"].to_numpy(), _matrix(part["vector"], dim)
-                for i in range(0, len(ids), BATCH):
-                    yield answer(ids[i : i + BATCH], asked[i : i + BATCH])
+                step = max(1, min(BATCH, 8 * CELLS // (graph[4] * dim)))
+                for i in range(0, len(ids), step):
+                    yield answer(ids[i : i + step], asked[i : i + step])
 
     near = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -92,6 +92,81 @@ def test_every_node_is_reached():
         assert all(len(set(row[row >= 0])) == (row >= 0).sum() and i not in row for i, row in enumerate(links))
 
 
+def _unit(rng, n, dim=24):
+    points = rng.normal(size=(n, dim))
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
+def test_a_step_of_a_walk_looks_at_several_nodes(monkeypatch):
+    points = _unit(np.random.default_rng(7), 1500)
+    links, entry = graphindex.built(graphindex.lifted(points))
+    sorts = []
+    for name in ("partition", "argpartition"):
+        real = getattr(np, name)
+        monkeypatch.setattr(graphindex.np, name, lambda *a, real=real, **b: sorts.append(1) or real(*a, **b))
+    found = graphindex.walked(points, links, np.array([entry]), points[:16], 64)[0]
+    assert len(sorts) < 50  # node by node, each of the beam takes one
+    best = np.argsort(-(points[:16] @ points.T), axis=1)[:, :20]
+    assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) > 0.95
+
+
+def test_nodes_are_pruned_a_few_times_each_while_the_graph_grows(monkeypatch):
+    points, rows, deep, real = graphindex.lifted(_unit(np.random.default_rng(8), 1500)), [], [], graphindex.pruned
+
+    def counted(points, own, *rest):
+        rows.extend([0] if deep else [len(own)])
+        deep.append(1)
+        try:
+            return real(points, own, *rest)
+        finally:
+            deep.pop()
+
+    monkeypatch.setattr(graphindex, "pruned", counted)
+    monkeypatch.setattr(graphindex, "BATCH", 16)
+    links, _ = graphindex.built(points)
+    assert sum(rows) < 6 * len(points)
+    assert links.shape[1] >= graphindex.DEGREE and (links >= 0).sum(axis=1).max() <= links.shape[1]
+
+
+def test_a_walk_that_holds_all_nodes_finds_all():
+    rng = np.random.default_rng(9)
+    points = _unit(rng, 300, 6)
+    links, entry = graphindex.built(graphindex.lifted(points), degree=5, width=10)
+    for width in (1, 7, 300, 512):
+        found, visited = (lambda out: (out[0], out[-1]))(graphindex.walked(points, links, np.array([entry]), points[:40], width))
+        for f, v in zip(found, visited, strict=True):
+            f, v = f[f >= 0], v[v >= 0]
+            assert len(set(f)) == len(f) and len(set(v)) == len(v) and set(f) <= set(v)
+            assert len(f) == min(width, 300)
+
+
+def test_pruning_takes_the_nearest_that_no_nearer_one_hides():
+    rng = np.random.default_rng(10)
+    points, relax = _unit(rng, 400, 3), 1.2
+    for wide in (6, 60, 200):
+        own = rng.choice(400, 30, replace=False)
+        proposed = np.array([rng.choice(400, wide, replace=False) for _ in own])
+        proposed[rng.random(proposed.shape) < 0.2] = -1
+        out = graphindex.pruned(points, own, proposed, 5, relax)
+        for o, candidates, got in zip(own, proposed, out, strict=True):
+            away = lambda i, j: max(2 - 2 * float(points[i] @ points[j]), 0)
+            left, kept = sorted((c for c in candidates if c >= 0 and c != o), key=lambda c: away(c, o)), []
+            while left and len(kept) < 5:
+                kept.append(left[0])
+                left = [c for c in left[1:] if relax * relax * away(kept[-1], c) > away(c, o)]
+            assert list(got[got >= 0]) == kept
+
+
+def test_near_copies_and_values_of_any_size(spark):
+    rng = np.random.default_rng(11)
+    near = np.repeat(rng.normal(size=(3, 8)), 200, axis=0) + 1e-4 * rng.normal(size=(600, 8))
+    for scale in (1.0, 1e30, 1e-30):
+        rows = [(i, [float(np.float32(x * scale)) for x in v]) for i, v in enumerate(near)]
+        found, exact = _found(graphindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ASKED, shards=1)), _exact(rows, 20)
+        assert _recall(found, exact) > 0.95
+        assert all(f[0][1] == exact[q][0][1] for q, f in found.items())
+
+
 def test_shards_of_bounded_size(spark):
     rows = list(enumerate(_floats(np.random.default_rng(5), 400, 8)))
     vectors = graphindex.usable(spark.createDataFrame(rows, KIND))
