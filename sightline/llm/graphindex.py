@@ -83,7 +83,7 @@ def walked(points: np.ndarray, links: np.ndarray, entries: np.ndarray, queries:
     """Greedy beam search of several queries at once from the entries: (nodes in the beam, their products minus ``less``, nodes visited), -1 where there are fewer."""
     n, size, degree = len(queries), len(points), links.shape[1]
     at_once = max(1, min(width // 8, 8 + width // 32, 1024))
-    most = max(16, STEP // (at_once * degree))
+    most = max(1, min(max(16, STEP // (at_once * degree)), 8 * CELLS // size))
     if n > most:
         parts = [walked(points, links, entries, queries[i : i + most], width, less) for i in range(0, n, most)]
         steps = max(p[2].shape[1] for p in parts)
@@ -230,8 +230,8 @@ def _crowded(points: np.ndarray, among: int = 8) -> bool:
     """Whether some vectors have neighbours so close that single precision tells them badly apart."""
     if len(points) <= among:
         return True
-    products = np.partition(_tried(points) @ points.T, -among - 1, axis=1)[:, -among - 1]
-    return bool(np.mean(1 - products < 2.0**-16) > 1 / 16)
+    products = [np.partition(points @ v, -among - 1)[-among - 1] for v in _tried(points)]
+    return bool(np.mean(1 - np.array(products) < 2.0**-16) > 1 / 16)
 
 
 def _reached(links: np.ndarray, entry: int) -> np.ndarray:
@@ -294,7 +294,7 @@ def measured_beam(points: np.ndarray, links: np.ndarray, entries: np.ndarray, k:
     """The beam, doubled from ``beam`` on, that finds enough of the ``k`` best for vectors spread over the shard."""
     queries = _tried(points)
     k = min(k, len(points))
-    best = np.argpartition(-(queries @ points.T), k - 1, axis=1)[:, :k]
+    best = [np.argpartition(-(points @ v), k - 1)[:k] for v in queries]
     while beam < len(points):
         found = walked(points, links, entries, queries, beam)[0]
         if np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) >= recall:
